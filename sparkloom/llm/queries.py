@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import bpe, mixing, quality, simhash, token_files
 from .common import documents
 
 
+def op1_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_dedup_table(documents(spark, sf_dir))
+
+
+def op2_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digest_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_token_id_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.token_file_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_table(documents(spark, sf_dir))
 
@@ -14,5 +30,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixing_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op6_quality_rules, op10_mixing)}
 ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
