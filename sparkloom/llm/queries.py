@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, merkle, mixing, quality, simhash, token_files
+from . import bpe, merkle, mixing, quality, simhash, substring_trees, token_files
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality.quality_table(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_trees.removal_table(documents(spark, sf_dir))
+
+
 def op8_document_fingerprints(spark, sf_dir):
     return merkle.fingerprint_table(documents(spark, sf_dir))
 
@@ -34,5 +38,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixing_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op6_quality_rules, op8_document_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op10_mixing)}
 ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
