@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, merkle, mixing, quality, simhash, substring_trees, token_files
+from . import bpe, language, merkle, mixing, quality, simhash, substring_trees, token_files
 from .common import documents
 
 
@@ -22,6 +22,12 @@ def op3_token_id_files(spark, sf_dir):
     return token_files.token_file_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark, sf_dir):
+    import public_tokenizers
+
+    return language.language_table(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_table(documents(spark, sf_dir))
 
@@ -38,5 +44,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixing_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op5_language_id, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op10_mixing)}
 ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
