@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, merkle, mixing, quality, simhash, substring_trees, token_files
+from . import bpe, language, merkle, mixing, quality, simhash, substring_trees, suffix_array, token_counts, token_files
 from .common import documents
 
 
@@ -22,6 +22,12 @@ def op3_token_id_files(spark, sf_dir):
     return token_files.token_file_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_count_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_language_id(spark, sf_dir):
     import public_tokenizers
 
@@ -40,9 +46,13 @@ def op8_document_fingerprints(spark, sf_dir):
     return merkle.fingerprint_table(documents(spark, sf_dir))
 
 
+def op9_suffix_array_dedup(spark, sf_dir):
+    return suffix_array.removal_table(documents(spark, sf_dir))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mixing_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op5_language_id, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_token_counts, op5_language_id, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op9_suffix_array_dedup, op10_mixing)}
 ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

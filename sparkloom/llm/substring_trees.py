@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ARROW, pack, pack_bits, rolling, unpack, unpack_bits
+from .chunks import ARROW, CHUNK_BYTES, pack, pack_bits, rolling, unpack, unpack_bits
 
 GROUP_SUFFIXES = 2_000_000
 #: Chunks looked at to find frequent prefixes, and the most kept of each depth.
@@ -108,9 +108,9 @@ def deep_nodes(paths: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """key, n_words, spans (array of the first word and the one after the last of each removed run) and kept (the other words, joined by a space)."""
-    chunks = pack(docs, key=key, text=text)
+    chunks = pack(docs, False, chunk_bytes, key, text)
     kind = docs.schema[key].dataType.simpleString()
     # a word takes 2 bytes at least and about 6; groups need only be about even
     volume = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
