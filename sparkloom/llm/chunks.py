@@ -21,35 +21,38 @@ CHUNK_BYTES = 8 << 20
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
 
 
-def pack(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """chunk (long), keys, sizes, body. With `ordered`, chunk numbers and the places in a chunk ascend with (key, text hash), nulls first."""
+def pack(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """chunk (long), keys, sizes, body, and x0, x1, ... with the values of the `extra` columns. With `ordered`, chunk numbers and the places in a chunk ascend with (key, text hash), nulls first."""
     kind = docs.schema[key].dataType.simpleString()
+    kinds = [docs.schema[c].dataType.simpleString() for c in extra]
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        keys, sizes, body, held = [], [], [], 0
+        keys, sizes, body, held, more = [], [], [], 0, []
 
         def flush():
             cols = [pa.array([part << 32 | seq], pa.int64()), pa.array([keys], pa.list_(ARROW[kind])), pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(3).compress(b"".join(body))], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["chunk", "keys", "sizes", "body"])
+            cols += [pa.array([[m[i] for m in more]], pa.list_(ARROW[x])) for i, x in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "keys", "sizes", "body", *(f"x{i}" for i in range(len(kinds)))])
 
         for batch in small_steps(batches, "t"):
-            for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
+            for k, t, *xs in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (t or "").encode()
                 if held and held + len(raw) > chunk_bytes:
                     yield flush()
-                    seq, keys, sizes, body, held = seq + 1, [], [], [], 0
+                    seq, keys, sizes, body, held, more = seq + 1, [], [], [], 0, []
                 keys.append(k)
+                more.append(xs)
                 sizes.append(-1 if t is None else len(raw))
                 body.append(raw)
                 held += len(raw)
         if keys:
             yield flush()
 
-    rows = docs.selectExpr(f"`{key}` k", f"`{text}` t")
+    rows = docs.selectExpr(f"`{key}` k", f"`{text}` t", *(f"`{c}` x{i}" for i, c in enumerate(extra)))
     if ordered:
         rows = rows.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions(F.asc_nulls_first("k"), F.xxhash64("t"))
-    return materialize(rows.mapInArrow(run, f"chunk long, keys array<{kind}>, sizes array<long>, body binary"), "chunks")
+    return materialize(rows.mapInArrow(run, f"chunk long, keys array<{kind}>, sizes array<long>, body binary" + "".join(f", x{i} array<{x}>" for i, x in enumerate(kinds))), "chunks")
 
 
 def unpack(body: bytes, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:

@@ -20,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_steps
@@ -65,16 +65,17 @@ def budgets(segments: int, most: int) -> list[int]:
 
 
 def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
-    """a, b: distinct fingerprints (column fp) that differ in 1 to `most` bits, or a chain of such pairs through a shared neighbour value."""
+    """r, a, b: distinct fingerprints of one family (columns r, fp) that differ in 1 to `most` bits, or that are joined by a shared neighbour value."""
     if not 0 <= most <= 2 or 64 % segments:
         raise ValueError("most must be 0 to 2, and segments must divide 64")
     width, allowed = 64 // segments, budgets(segments, most)
     exact = sum(1 for x in allowed if not x)
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(_turned(F.col("fp"), i * width), 64 - exact * width).alias("key")) for i in range(segments)))
-    keyed = materialize(fps.select("fp", F.inline(keys)), "segments")
-    crowded = keyed.groupBy("i", "key").count().filter(F.col("count") > bucket).select("i", "key")
-    hot = keyed.join(crowded, ["i", "key"], "left_semi").select("fp").distinct()
-    few = keyed.join(crowded, ["i", "key"], "left_anti").groupBy("i", "key").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    keyed = materialize(fps.select("r", "fp", F.inline(keys)), "segments")
+    by = ["r", "i", "key"]
+    crowded = keyed.groupBy(*by).count().filter(F.col("count") > bucket).select(*by)
+    hot = keyed.join(crowded, by, "left_semi").select("r", "fp").distinct()
+    few = keyed.join(crowded, by, "left_anti").groupBy(*by).agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def chained(x: Column) -> Column:
         """x: the differing bits, turned so that the chain starts at the top."""
@@ -85,15 +86,16 @@ def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) ->
         return ok
 
     turn = F.col("i") * width
+
     def near(a: Column, b: Column) -> Column:
         x = a.bitwiseXOR(b)
         y = F.call_function("shiftleft", x, turn).bitwiseOR(F.when(turn == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", x, F.lit(64) - turn)))
         return (a < b) & chained(y)
 
-    pairs = few.select(F.inline(F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
-    around = hot.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64)))).alias("v"))
-    shared = around.groupBy("v").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = shared.select("a", F.explode("fps").alias("b")).filter("a <> b")
+    pairs = few.select("r", F.inline(F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
+    around = hot.select("r", "fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64)))).alias("v"))
+    shared = around.groupBy("r", "v").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = shared.select("r", "a", F.explode("fps").alias("b")).filter("a <> b")
     return pairs.unionAll(stars) if most == 2 else pairs.unionAll(stars.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
 
 
@@ -101,7 +103,7 @@ def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, most: int = 2, seg
     """doc_id, fp and component_id (least doc_id reachable over links) of each row."""
     marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    star = components(links(fps, most, segments, bucket))
+    star = components(links(fps.withColumn("r", F.lit(0)), most, segments, bucket))
     rooted = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
@@ -110,3 +112,86 @@ def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, most: int = 2, seg
 
 def near_dedup_table(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def families(text: str | None, tries: int = 10, size: int = 12) -> list[tuple[int, int]]:
+    """(family, fingerprint): SimHashes of hashed subsets of the distinct words, of about `size` words each.
+
+    A few edits leave many subsets untouched or nearly so, whereas they move the fingerprint of the
+    whole text by more than 2 bits. A subset takes one word in 2**k; k fits the number of words, and
+    both neighbours of a fraction are taken, so that texts of nearly equal length share a k.
+    """
+    import xxhash
+
+    w = set((text or "").encode().lower().split())
+    if not w:
+        return []
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    x = max(0.0, np.log2(len(w) / size))
+    out = []
+    for k in sorted({int(np.floor(x)), int(np.ceil(x))}):
+        for t in range(tries):
+            m = h * np.uint64((2 * t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            m ^= m >> np.uint64(32)
+            some = m[(m & np.uint64((1 << k) - 1)) == 0] * np.uint64(0xD6E8FEB86659FD93)
+            if len(some) >= min(5, len(w)):
+                some ^= some >> np.uint64(29)
+                counts = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                out.append((k * 64 + t, int(np.packbits(2 * counts > len(some), bitorder="little").view(np.int64)[0])))
+    return out
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> set[bytes]:
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+
+def similar(a: str | None, b: str | None, shingle: int = 5, least: float = 0.8) -> bool:
+    """Jaccard similarity of the word shingles of at least `least`; two texts without words are alike."""
+    x, y = shingle_set(a, shingle), shingle_set(b, shingle)
+    both = len(x & y)
+    return both >= least * (len(x) + len(y) - both)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = 4, bucket: int = 64) -> DataFrame:
+    """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
+
+    Texts that are equal are one text. Other candidates share a SimHash of a family within 2 bits; a
+    pair counts if the Jaccard similarity of its word shingles is at least `least`. Rows without a
+    doc_id stay as they are; of rows that repeat a doc_id and text, one stays.
+    """
+    text_hash = F.md5(F.coalesce("text", F.lit("")))
+    firsts = docs.filter(F.col("doc_id").isNotNull()).groupBy(text_hash.alias("th")).agg(F.min("doc_id").alias("doc_id"))
+    first = materialize(firsts, "texts")
+    held = docs.withColumn("__th", text_hash)
+    texts = held.join(first.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")), (F.col("doc_id") == F.col("__d")) & (F.col("__th") == F.col("__t"))).select("doc_id", "text")
+
+    def sign(batches):
+        for batch in small_steps(batches, "text"):
+            got = [families(t) for t in batch.column("text").to_pylist()]
+            ids = np.repeat(np.arange(len(got)), [len(x) for x in got])
+            flat = [x for xs in got for x in xs]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array([r for r, _ in flat], pa.int32()), pa.array([fp for _, fp in flat], pa.int64())], ["d", "r", "fp"])
+
+    signed = materialize(texts.mapInArrow(sign, "d long, r int, fp long"), "families")
+    fps = signed.groupBy("r", "fp").agg(F.min("d").alias("u"))
+    same = signed.join(fps, ["r", "fp"]).filter("d <> u").select("u", F.col("d").alias("v"))
+    named = fps.select("r", F.col("fp").alias("a"), "u")
+    near = links(fps, 2, segments, bucket).join(named, ["r", "a"]).join(named.select("r", F.col("a").alias("b"), F.col("u").alias("v")), ["r", "b"])
+    pairs = same.unionAll(near.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
+    pairs = materialize(pairs, "candidates")
+
+    def check(batches):
+        for batch in batches:
+            ok = [similar(x, y, shingle, least) for x, y in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    used = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    some = materialize(texts.join(used, "doc_id", "left_semi"), "candidate-texts")
+    both = pairs.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
+    gone = components(both.select("u", "v", "t", "s").mapInArrow(check, "a long, b long")).select(F.col("a").alias("doc_id"))
+    winners = first.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
+    kept = held.join(winners, (F.col("doc_id") == F.col("__d")) & (F.col("__th") == F.col("__t")))
+    turn = Window.partitionBy("__d", "__t").orderBy("__t")
+    once = kept.withColumn("__n", F.row_number().over(turn)).filter("__n = 1")
+    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

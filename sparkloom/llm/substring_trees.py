@@ -108,10 +108,13 @@ def deep_nodes(paths: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """key, n_words, spans (array of the first word and the one after the last of each removed run) and kept (the other words, joined by a space)."""
-    chunks = pack(docs, False, chunk_bytes, key, text)
-    kind = docs.schema[key].dataType.simpleString()
+def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, extra: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """key, n_words, spans (array of the first word and the one after the last of each removed run) and kept (the other words, joined by a space), and the `extra` columns.
+
+    With `as_is`, kept is the text itself where no word is removed.
+    """
+    chunks = pack(docs, False, chunk_bytes, key, text, extra)
+    kind, kinds = docs.schema[key].dataType.simpleString(), [docs.schema[c].dataType.simpleString() for c in extra]
     # a word takes 2 bytes at least and about 6; groups need only be about even
     volume = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
     groups = max(8, volume // 6 // GROUP_SUFFIXES + 1)
@@ -139,7 +142,9 @@ def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
         keys, n_words, spans, kept = [], [], [], []
         by = dict(zip(answers.column("grp").to_pylist(), answers.column("deep").to_pylist()))
+        more = [pa.array([v for vs in rows.column(f"x{i}").to_pylist() for v in vs], ARROW[x]) for i, x in enumerate(kinds)]
         for ids, sizes, body in zip(*(rows.column(c).to_pylist() for c in ("keys", "sizes", "body"))):
+            block, ends = unpack(body, np.array(sizes, np.int64))
             words, counts, places, (group, path, many, leaf) = of(sizes, body)
             cuts = np.append(np.flatnonzero(np.diff(group)) + 1, len(group)) if len(group) else np.zeros(0, np.int64)
             begun = np.append(0, cuts[:-1]) if len(group) else cuts
@@ -150,20 +155,21 @@ def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
             edge[starts + window] -= 1
             gone = np.cumsum(edge) > 0
             at = 0
-            for k, w, n in zip(ids, words, counts.tolist()):
+            for k, w, n, size, end in zip(ids, words, counts.tolist(), sizes, ends.tolist()):
                 mask = gone[at : at + n]
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
                 keys.append(k)
                 n_words.append(n)
                 spans.append(turns.reshape(-1, 2).tolist())
-                kept.append(b" ".join(x for x, m in zip(w, mask.tolist()) if not m) if len(turns) else b" ".join(w))
+                whole = None if size < 0 else block[end - size : end]
+                kept.append(b" ".join(x for x, m in zip(w, mask.tolist()) if not m) if len(turns) else whole if as_is else b" ".join(w))
                 at += n
-        return pa.table([pa.array(keys, ARROW[kind]), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["k", "n_words", "spans", "kept"])
+        return pa.table([pa.array(keys, ARROW[kind]), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), *more], ["k", "n_words", "spans", "kept", *(f"x{i}" for i in range(len(kinds)))])
 
     leaves = chunks.select("chunk", "sizes", "body").mapInArrow(deal, "chunk long, grp long, paths binary")
     answers = leaves.groupBy("grp").applyInArrow(subtree, "chunk long, grp long, deep binary")
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_words long, spans array<array<long>>, kept binary")
-    return out.select(F.col("k").alias(key), "n_words", "spans", F.col("kept").cast("string").alias("kept"))
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_words long, spans array<array<long>>, kept binary" + "".join(f", x{i} {x}" for i, x in enumerate(kinds)))
+    return out.select(F.col("k").alias(key), "n_words", "spans", F.col("kept").cast("string").alias("kept"), *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)))
 
 
 def removal_table(docs: DataFrame, window: int = 35) -> DataFrame:
