@@ -1,6 +1,8 @@
-"""Every registered query of the engine, by name, with its DuckDB twin."""
+"""Every registered query of the engine, by name, with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sparkloom.plans import relational, retrieval, review, streams, texts
+from sparkloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "relational", "retrieval", "review", "streams", "texts"]
