@@ -20,20 +20,22 @@ import base64
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LONGEST = 256
 #: Upper byte lengths of the buckets.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, LONGEST)
-#: Parts a worker remembers, at most; all are forgotten together when a batch starts beyond that.
-REMEMBER = 400_000
+#: Parts of a generation that a worker remembers, about.
+REMEMBER = 250_000
 NONE = np.int32(2**31 - 1)
-#: A space before any kind of white space: the parts around it can't be told apart from the space alone.
-UNCLEAR = re.compile("[ ][\\s᠎​﻿]")
+#: A space before any kind of white space, or the mark of `parts_of`: such texts are cut into pre-tokens at once.
+UNCLEAR = re.compile("\\0|[ ][\\s\u180e\u200b\ufeff]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -91,65 +93,70 @@ class PairTable:
 
 class MatrixBPE:
     def __init__(self, ranks: dict[bytes, int]):
-        self.whole = ranks
+        self.whole = {token: int(i).to_bytes(4, "little") for token, i in ranks.items()}
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece, as int32 arrays."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        by: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            whole = self.whole.get(piece)
-            if whole is not None:
-                out[i] = np.array([whole], np.int32)
-            elif not piece:
-                out[i] = np.zeros(0, np.int32)
-            elif len(piece) > LONGEST:
-                out[i] = self._long(piece)
-            else:
-                by.setdefault(next(n for n, top in enumerate(BUCKETS) if len(piece) <= top), []).append(i)
-        for bucket, members in by.items():
-            self._bucket(BUCKETS[bucket], members, pieces, out)
+        self.bucket_of = [next(n for n, top in enumerate(BUCKETS) if size <= top) for size in range(LONGEST + 1)]
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, packed as little-endian int32."""
+        out = list(map(self.whole.get, pieces))
+        by: list[list[int]] = [[] for _ in BUCKETS]
+        for i, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[i]
+                if len(piece) > LONGEST or not piece:
+                    out[i] = self._long(piece)
+                else:
+                    by[self.bucket_of[len(piece)]].append(i)
+        for width, members in zip(BUCKETS, by):
+            for at in range(0, len(members), 20000):
+                self._bucket(width, members[at : at + 20000], pieces, out)
         return out
 
     def _bucket(self, width: int, members: list[int], pieces: list[bytes], out: list) -> None:
-        raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in members), np.uint8).reshape(-1, width)
-        size = np.fromiter((len(pieces[i]) for i in members), np.int64, len(members))
+        mine = [pieces[i] for i in members]
+        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in mine]), np.uint8).reshape(-1, width)
+        size = np.fromiter(map(len, mine), np.int64, len(mine))
         ids = self.byte_ids[raw]
         ids[np.arange(width) >= size[:, None]] = -1
         rank = self.pairs.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), width - 1)
         row = np.array(members)
         while len(row):
+            n = np.arange(len(row))
             at = rank.argmin(1)  # the leftmost of the least
-            best = rank[np.arange(len(row)), at]
+            best = rank[n, at]
             done = best == NONE
             if done.any():
-                for r, one, n in zip(row[done].tolist(), ids[done], size[done].tolist()):
-                    out[r] = one[:n].copy()
+                full = ids[done]
+                flat = full[full >= 0].astype("<i4").tobytes()
+                ends = np.cumsum(size[done] * 4).tolist()
+                begin = 0
+                for r, end in zip(row[done].tolist(), ends):
+                    out[r] = flat[begin:end]
+                    begin = end
                 going = ~done
                 ids, rank, row, size, at, best = ids[going], rank[going], row[going], size[going], at[going], best[going]
                 if not len(row):
                     return
-            n, col = np.arange(len(row)), np.arange(ids.shape[1])
-            source = np.minimum(col + (col > at[:, None]), ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, source, 1)
-            ids[:, -1] = -1
+                n = n[: len(row)]
+            most = int(size.max())
+            ids, rank = ids[:, :most], rank[:, : most - 1]  # columns that only hold padding go
+            col = np.arange(most - 1)
+            shift = col > at[:, None] - 1  # from the merged pair on, everything moves one to the left
+            ids = np.where(shift, ids[:, 1:], ids[:, :-1])
             ids[n, at] = best
             size = size - 1
-            col = col[:-1]
-            rank = np.take_along_axis(rank, np.minimum(col + (col > at[:, None]), rank.shape[1] - 1), 1)
-            rank[:, -1] = NONE
-            right = np.minimum(at + 1, ids.shape[1] - 1)
-            has = at < rank.shape[1]
-            rank[n[has], at[has]] = self.pairs.ranks(ids[n, at], np.where(right > at, ids[n, right], -1))[has]
-            before = np.flatnonzero(at > 0)
-            rank[before, at[before] - 1] = self.pairs.ranks(ids[before, at[before] - 1], ids[before, at[before]])
-            most = int(size.max())
-            if most + 4 < ids.shape[1]:  # columns that only hold padding
-                ids, rank = ids[:, : most + 1], rank[:, :most]
+            if most <= 2:
+                rank = np.full((len(row), 1), NONE, np.int32)
+                continue
+            rank = np.where(shift[:, :-1], rank[:, 1:], rank[:, :-1])
+            right = np.flatnonzero(at + 1 < most - 1)
+            rank[right, at[right]] = self.pairs.ranks(best[right], ids[right, at[right] + 1])
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self.pairs.ranks(ids[left, at[left] - 1], best[left])
 
-    def _long(self, piece: bytes) -> np.ndarray:
+    def _long(self, piece: bytes) -> bytes:
         known = self.pairs.known
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
@@ -168,15 +175,38 @@ class MatrixBPE:
                     heapq.heappush(heap, (r, i, after[i]))
             if (p := before[i]) >= 0 and (r := known.get(ids[p] << 32 | ids[i])) is not None:
                 heapq.heappush(heap, (r, p, i))
-        return np.array([x for x, a in zip(ids, alive) if a], np.int32)
+        return np.array([x for x, a in zip(ids, alive) if a], "<i4").tobytes()
 
 
 def parts_of(text: str, findall) -> list[str]:
-    """Parts of a text that can be encoded apart; they join to the text."""
+    """Keys of the parts of a text that can be encoded apart: what follows a space, or "\\0" and the part itself."""
     if UNCLEAR.search(text):
-        return findall(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+        return ["\0" + x for x in findall(text)]
+    parts = text.split(" ")
+    if parts[0]:
+        parts[0] = "\0" + parts[0]
+        return parts
+    return parts[1:]
+
+
+def part(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else " " + key
+
+
+class Remembered:
+    """What parts were found to be, in two generations: when the young one is full it becomes the old one, and the old one goes."""
+
+    def __init__(self, most: int = REMEMBER):
+        self.young, self.old, self.most = {}, {}, most
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are known in neither; the others are young after it."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        keys = keys.difference(self.young)
+        back = keys & self.old.keys()
+        self.young.update((k, self.old[k]) for k in back)
+        return list(keys - back)
 
 
 class TextEncoder:
@@ -185,32 +215,49 @@ class TextEncoder:
     def __init__(self, bpe: MatrixBPE, pattern: str):
         import regex
 
-        self.bpe, self.findall, self.known = bpe, regex.compile(pattern).findall, {}
+        self.bpe, self.findall, self.parts = bpe, regex.compile(pattern).findall, Remembered()
 
-    def learn(self, parts: Iterable[str]) -> None:
-        parts = list(parts)
-        tokens = [self.findall(x) for x in parts]
+    def learn(self, parts: list[str]) -> None:
+        tokens = list(map(self.findall, map(part, parts)))
         pieces = list({t for ts in tokens for t in ts})
-        ids = dict(zip(pieces, (x.tobytes() for x in self.bpe.encode([p.encode() for p in pieces]))))
-        self.known.update((x, b"".join(ids[t] for t in ts)) for x, ts in zip(parts, tokens))
+        ids = dict(zip(pieces, self.bpe.encode([p.encode() for p in pieces])))
+        self.parts.young.update((x, ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])) for x, ts in zip(parts, tokens))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
         cut = [parts_of(x, self.findall) if x else [] for x in texts]
-        new: set[str] = set()
+        every: set[str] = set()
         for parts in cut:
-            new.update(parts)
-        self.learn(new.difference(self.known))
-        get = self.known.__getitem__
+            every.update(parts)
+        new = self.parts.missing(every)
+        self.learn(new)
+        get = self.parts.young.__getitem__
         out = [b"".join(map(get, parts)) for parts in cut]
         for x in new:
             if len(x) > 200:
-                self.known.pop(x, None)
+                del self.parts.young[x]
         return out
 
 
-def small_steps(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=1)
+def matrix_bpe(vocabulary: str) -> MatrixBPE:
+    """Kept by a Python worker from task to task."""
+    return MatrixBPE(load_ranks(vocabulary))
+
+
+@lru_cache(maxsize=1)
+def text_encoder(vocabulary: str, pattern: str) -> TextEncoder:
+    return TextEncoder(matrix_bpe(vocabulary), pattern)
+
+
+@lru_cache(maxsize=1)
+def token_bytes(vocabulary: str) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of each id and their number."""
+    names = {i: t for t, i in load_ranks(vocabulary).items()}
+    table = [names.get(i, b"") for i in range(max(names, default=-1) + 1)]
+    return table, np.array([len(x) for x in table], np.int64)
+
+
+def small_steps(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that `column` holds about `most` bytes in each, a longer single value alone."""
     for batch in batches:
         at = 0
@@ -222,51 +269,57 @@ def small_steps(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 <<
             at = to
 
 
+def encode_batches(batches: Iterable[pa.RecordBatch], vocabulary: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches of k, t to batches of k, ids."""
+    encoder = text_encoder(vocabulary, pattern)
+    for batch in small_steps(batches, "t"):
+        packed = encoder.encode(batch.column("t").to_pylist())
+        ends = np.zeros(len(packed) + 1, np.int32)
+        np.cumsum([len(x) // 4 for x in packed], out=ends[1:])
+        ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["k", "ids"])
+
+
 def encode_table(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and ids (array<int>) of each row. `vocabulary` is a file of base64 tokens and ranks that every executor can open."""
     kind = docs.schema[key].dataType.simpleString()
+    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(lambda batches: encode_batches(batches, vocabulary, pattern), f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
-    def run(batches):
-        encoder = TextEncoder(MatrixBPE(load_ranks(vocabulary)), pattern)
-        for batch in small_steps(batches, "t"):
-            packed = encoder.encode(batch.column("t").to_pylist())
-            ends = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in packed], out=ends[1:])
-            ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["k", "ids"])
 
-    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+def decode(ids: pa.Array, vocabulary: str) -> pa.Array:
+    """The bytes of each list of ids."""
+    table, size = token_bytes(vocabulary)
+    flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+    raw = b"".join(map(table.__getitem__, flat.tolist()))
+    cuts = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], ends])].tolist()
+    return pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())
 
 
 def decode_table(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
-    """key, ids and bytes (binary) of each row of `encode_table`."""
+    """key and bytes (binary) of each row of `encode_table`."""
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
-        names = {i: t for t, i in load_ranks(vocabulary).items()}
-        table = [names.get(i, b"") for i in range(max(names, default=-1) + 1)]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                raw = [b"".join(map(table.__getitem__, ids)) if ids else b"" for ids in some.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("k"), some.column("ids"), pa.array(raw, pa.binary())], ["k", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([some.column("k"), decode(some.column("ids"), vocabulary)], ["k", "bytes"])
 
-    return encoded.selectExpr(f"`{key}` k", "ids").mapInArrow(run, f"k {kind}, ids array<int>, bytes binary").withColumnRenamed("k", key)
+    return encoded.selectExpr(f"`{key}` k", "ids").mapInArrow(run, f"k {kind}, bytes binary").withColumnRenamed("k", key)
 
 
-def digest_table(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256, from the ids of `encode_table` and the bytes of `decode_table`."""
-    from hashlib import sha256
+def round_trip_table(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, ids, and the bytes the ids decode to, in one pass (one Python worker for each task)."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        say = [str(i) for i in range(1 << 16)]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                ids = some.column("ids").to_pylist()
-                told = [sha256(",".join([say[i] if i < 1 << 16 else str(i) for i in x or ()]).encode()).hexdigest() for x in ids]
-                back = [sha256(x or b"").hexdigest() for x in some.column("bytes").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(x or ()) for x in ids], pa.int64()), pa.array(told), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in encode_batches(batches, vocabulary, pattern):
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode(batch.column("ids"), vocabulary)], ["k", "ids", "bytes"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return decode_table(encode_table(docs, vocabulary, pattern), vocabulary).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, ids array<int>, bytes binary").withColumnRenamed("k", key)
+
+
+def digest_table(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256, from the ids and bytes of `round_trip_table`."""
+    told = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return round_trip_table(docs, vocabulary, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), told.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

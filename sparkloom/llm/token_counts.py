@@ -14,13 +14,14 @@ to the outcome of those before; places beyond the end mean the end, negative one
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBER, MatrixBPE, load_ranks, small_steps
+from .bpe import MatrixBPE, Remembered, matrix_bpe, small_steps
 
 BLOCK = 64
 #: A match of the pre-token pattern looks at most so many characters beyond its end.
@@ -33,18 +34,25 @@ class PieceCounts:
     def __init__(self, bpe: MatrixBPE, pattern: str):
         import regex
 
-        self.bpe, self.pattern, self.known = bpe, regex.compile(pattern), {}
+        self.bpe, self.pattern, self.pieces = bpe, regex.compile(pattern), Remembered()
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list(pieces.difference(self.known))
-        self.known.update(zip(new, map(len, self.bpe.encode([x.encode() for x in new]))))
+        new = self.pieces.missing(pieces)
+        self.pieces.young.update(zip(new, (len(x) // 4 for x in self.bpe.encode([x.encode() for x in new]))))
 
     def __call__(self, pieces: list[str]) -> list[int]:
-        if not self.known.keys() >= (all_of := set(pieces)):
-            self.known.update(zip(new := list(all_of.difference(self.known)), map(len, self.bpe.encode([x.encode() for x in new]))))
-        return list(map(self.known.__getitem__, pieces))
+        young = self.pieces.young
+        try:
+            return [young[x] for x in pieces]
+        except KeyError:
+            self.learn(set(pieces))
+            return [self.pieces.young[x] for x in pieces]
+
+
+@lru_cache(maxsize=1)
+def piece_counts(vocabulary: str, pattern: str) -> PieceCounts:
+    """Kept by a Python worker from task to task."""
+    return PieceCounts(matrix_bpe(vocabulary), pattern)
 
 
 class TokenTree:
@@ -158,7 +166,7 @@ def count_edits(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        counter = PieceCounts(MatrixBPE(load_ranks(vocabulary)), pattern)
+        counter = piece_counts(vocabulary, pattern)
         for batch in small_steps(batches, "t"):
             texts = [t or "" for t in batch.column("t").to_pylist()]
             pieces = [counter.pattern.findall(t) for t in texts]

@@ -19,8 +19,8 @@ gives empty files.
 from __future__ import annotations
 
 import uuid
-import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, small_steps
+from .bpe import Remembered, TextEncoder, part, small_steps
 from .common import shared_dir
 
 SHARD_BYTES = 1 << 20
@@ -47,13 +47,19 @@ class LibraryEncoder(TextEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.findall, self.known = (lambda text: [text]), {}
+        self.findall, self.parts = (lambda text: [text]), Remembered(600_000)
 
-    def learn(self, parts) -> None:
-        parts = list(parts)
+    def learn(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 5000):
             some = parts[at : at + 5000]
-            self.known.update((x, array("i", e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            got = self.tokenizer.encode_batch_fast(list(map(part, some)), add_special_tokens=False)
+            self.parts.young.update((x, array("i", e.ids).tobytes()) for x, e in zip(some, got))
+
+
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """Kept by a Python worker from task to task."""
+    return LibraryEncoder(path)
 
 
 SHARD_SCHEMA = "part int, shard int, base long, n_ids long, width int, keys array<{kind}>, nth array<int>, sizes array<int>, starts array<long>, payload binary"
@@ -64,7 +70,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, wi
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def run(batches):
-        part, encoder = TaskContext.get().partitionId(), LibraryEncoder(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), library_encoder(tokenizer)
         shard = base = 0
         keys, nth, sizes, parts, held = [], [], [], [], 0
         last, seen = object(), 0
