@@ -71,7 +71,7 @@ def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) ->
     width, allowed = 64 // segments, budgets(segments, most)
     exact = sum(1 for x in allowed if not x)
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(_turned(F.col("fp"), i * width), 64 - exact * width).alias("key")) for i in range(segments)))
-    keyed = materialize(fps.select("r", "fp", F.inline(keys)), "segments")
+    keyed = fps.select("r", "fp", F.inline(keys))
     by = ["r", "i", "key"]
     crowded = keyed.groupBy(*by).count().filter(F.col("count") > bucket).select(*by)
     hot = keyed.join(crowded, by, "left_semi").select("r", "fp").distinct()
@@ -153,18 +153,19 @@ def similar(a: str | None, b: str | None, shingle: int = 5, least: float = 0.8)
     return both >= least * (len(x) + len(y) - both)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = 4, bucket: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = 4, bucket: int = 64, near_tries: int = 3) -> DataFrame:
     """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
 
-    Texts that are equal are one text. Other candidates share a SimHash of a family within 2 bits; a
-    pair counts if the Jaccard similarity of its word shingles is at least `least`. Rows without a
-    doc_id stay as they are; of rows that repeat a doc_id and text, one stays.
+    Texts that are equal are one text. Other candidates share a SimHash of a family, or differ in up to 2
+    bits in one of the first `near_tries` families; a pair counts if the Jaccard similarity of its word
+    shingles is at least `least`. Rows without a doc_id stay as they are; rows that repeat a doc_id are
+    one document, of which the row of least text hash stays.
     """
     text_hash = F.md5(F.coalesce("text", F.lit("")))
-    firsts = docs.filter(F.col("doc_id").isNotNull()).groupBy(text_hash.alias("th")).agg(F.min("doc_id").alias("doc_id"))
-    first = materialize(firsts, "texts")
-    held = docs.withColumn("__th", text_hash)
-    texts = held.join(first.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")), (F.col("doc_id") == F.col("__d")) & (F.col("__th") == F.col("__t"))).select("doc_id", "text")
+    known = docs.filter(F.col("doc_id").isNotNull())
+    hashes = materialize(known.groupBy("doc_id").agg(F.min(text_hash).alias("th")), "texts")
+    firsts = hashes.groupBy("th").agg(F.min("doc_id").alias("first"))
+    copies = materialize(hashes.join(firsts, "th").filter("doc_id <> first").select("doc_id"), "copies")
 
     def sign(batches):
         for batch in small_steps(batches, "text"):
@@ -173,13 +174,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: in
             flat = [x for xs in got for x in xs]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array([r for r, _ in flat], pa.int32()), pa.array([fp for _, fp in flat], pa.int64())], ["d", "r", "fp"])
 
-    signed = materialize(texts.mapInArrow(sign, "d long, r int, fp long"), "families")
+    every = known.select("doc_id", "text").mapInArrow(sign, "d long, r int, fp long")
+    signed = materialize(every.join(copies.withColumnRenamed("doc_id", "d"), "d", "left_anti"), "families")
     fps = signed.groupBy("r", "fp").agg(F.min("d").alias("u"))
-    same = signed.join(fps, ["r", "fp"]).filter("d <> u").select("u", F.col("d").alias("v"))
-    named = fps.select("r", F.col("fp").alias("a"), "u")
-    near = links(fps, 2, segments, bucket).join(named, ["r", "a"]).join(named.select("r", F.col("a").alias("b"), F.col("u").alias("v")), ["r", "b"])
-    pairs = same.unionAll(near.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
-    pairs = materialize(pairs, "candidates")
+    same = signed.join(fps, ["r", "fp"]).filter("d <> u").select("u", F.col("d").alias("v")).distinct()
+    some = fps.filter(F.col("r") % 64 < near_tries)
+    named = some.select("r", F.col("fp").alias("a"), "u")
+    near = links(some, 2, segments, bucket).join(named, ["r", "a"]).join(named.select("r", F.col("a").alias("b"), F.col("u").alias("v")), ["r", "b"])
+    pairs = materialize(same.unionAll(near.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "candidates")
 
     def check(batches):
         for batch in batches:
@@ -187,11 +189,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: in
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     used = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    some = materialize(texts.join(used, "doc_id", "left_semi"), "candidate-texts")
-    both = pairs.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
+    once = Window.partitionBy("doc_id").orderBy(text_hash)
+    compared = materialize(known.select("doc_id", "text").join(used, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("doc_id", "text"), "compared")
+    both = pairs.join(compared.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(compared.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
     gone = components(both.select("u", "v", "t", "s").mapInArrow(check, "a long, b long")).select(F.col("a").alias("doc_id"))
-    winners = first.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
-    kept = held.join(winners, (F.col("doc_id") == F.col("__d")) & (F.col("__th") == F.col("__t")))
-    turn = Window.partitionBy("__d", "__t").orderBy("__t")
-    once = kept.withColumn("__n", F.row_number().over(turn)).filter("__n = 1")
-    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = known.withColumn("__n", F.row_number().over(once)).filter("__n = 1").join(copies.unionAll(gone), "doc_id", "left_anti")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
