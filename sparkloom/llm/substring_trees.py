@@ -27,7 +27,7 @@ from .chunks import ARROW, CHUNK_BYTES, pack, pack_bits, rolling, unpack, unpack
 
 GROUP_SUFFIXES = 2_000_000
 #: Chunks looked at to find frequent prefixes, and the most kept of each depth.
-SAMPLE_CHUNKS, FREQUENT = 4, 1 << 14
+SAMPLE_CHUNKS, FREQUENT = 2, 1 << 12
 
 
 def _words(block: bytes, ends: np.ndarray) -> tuple[list[list[bytes]], np.ndarray]:
@@ -68,21 +68,27 @@ def _groups(paths: dict[int, np.ndarray], frequent: dict[int, np.ndarray], group
 
 
 def find_frequent(chunks: DataFrame, window: int, groups: int) -> dict[int, np.ndarray]:
-    """Prefixes by depth that more than a quarter of a group's fair share of the sampled suffixes have."""
-    found: dict[int, list] = {}
-    total = 0
-    for row in chunks.select("sizes", "body").limit(SAMPLE_CHUNKS).toLocalIterator():
-        words, counts = _words(*unpack(row["body"], np.array(row["sizes"], np.int64)))
-        _, paths = _suffixes(words, counts, window)
-        total += len(paths[window])
-        for d, h in paths.items():
-            found.setdefault(d, []).append(h)
-    out, bound = {}, max(total / (4 * groups), 2)
-    for d, parts in found.items():
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        top = np.argsort(-n, kind="stable")[:FREQUENT]
-        out[d] = np.sort(keys[top[n[top] > bound]])
-    return out
+    """Prefixes by depth that more than a quarter of a group's fair share of the sampled suffixes have; counted in one task."""
+
+    def count(batches):
+        left = SAMPLE_CHUNKS
+        for batch in batches:
+            for sizes, body in zip(batch.column("sizes").to_pylist(), batch.column("body").to_pylist()):
+                if not left:
+                    return
+                left -= 1
+                words, counts = _words(*unpack(body, np.array(sizes, np.int64)))
+                _, paths = _suffixes(words, counts, window)
+                for d, h in paths.items():
+                    keys, n = np.unique(h, return_counts=True)
+                    top = np.argsort(-n, kind="stable")[:FREQUENT]
+                    top = top[n[top] > max(len(h) / (4 * groups), 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), d, np.int32)), pa.array(keys[top].view(np.int64))], ["d", "h"])
+
+    found: dict[int, set[int]] = {}
+    for d, h in chunks.select("sizes", "body").limit(SAMPLE_CHUNKS).mapInArrow(count, "d int, h long").collect():  # at most SAMPLE_CHUNKS * FREQUENT of each depth
+        found.setdefault(d, set()).add(h)
+    return {d: np.sort(np.array(list(h), np.int64).view(np.uint64)) for d, h in found.items()}
 
 
 def _leaves(paths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,3 +182,14 @@ def removal_table(docs: DataFrame, window: int = 35) -> DataFrame:
     out = repeated_words(docs.select("doc_id", "text"), window)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i, unnest(range(35)) AS k FROM rep)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r) LEFT JOIN kept USING (r)
+"""
