@@ -55,4 +55,4 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_token_counts, op5_language_id, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op9_suffix_array_dedup, op10_mixing)}
-ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op7_substring_dedup": substring_trees.ORACLE_SQL, "op9_suffix_array_dedup": suffix_array.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

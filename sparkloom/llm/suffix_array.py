@@ -21,6 +21,7 @@ gives an empty result; other columns never take part.
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .chunks import ARROW, pack, pack_bits, unpack, unpack_bits
 from .common import materialize
 
-GRAM = 20
+GRAM = 30
 CHUNK_BYTES = 2 << 20
 #: Anchors in a group, about; different segments of an anchor from which its windows are dealt apart.
 GROUP_ANCHORS, HOT = 1_000_000, 5_000
@@ -55,30 +56,18 @@ class SequentialFile:
 
 
 class RangeMin:
-    """Least values[a..b] of many ranges: blocks of 32, and a table of doubling lengths over the blocks."""
+    """Least values[a..b] of many ranges, from a table of the least of each 1, 2, 4, ... values."""
 
     def __init__(self, values: np.ndarray):
-        self.pad = np.append(values, np.full(-len(values) % 32, np.iinfo(values.dtype).max, values.dtype)).reshape(-1, 32)
-        self.levels = [self.pad.min(1)]
-        while 1 << len(self.levels) <= len(self.pad):
-            step, last = 1 << (len(self.levels) - 1), self.levels[-1]
-            self.levels.append(np.minimum(last[: len(last) - step], last[step:]))
+        self.table = np.empty((max(1, len(values).bit_length()), len(values)), values.dtype)
+        self.table[0] = values
+        for k in range(1, len(self.table)):
+            step, n = 1 << (k - 1), len(values) - (1 << k) + 1
+            np.minimum(self.table[k - 1, :n], self.table[k - 1, step : step + n], out=self.table[k, :n])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        first, last, col = a // 32, b // 32, np.arange(32)
-        top = np.iinfo(self.pad.dtype).max
-        one = first == last
-        left = np.where((col >= (a % 32)[:, None]) & (~one[:, None] | (col <= (b % 32)[:, None])), self.pad[first], top).min(1)
-        out = np.minimum(left, np.where((col <= (b % 32)[:, None]) & ~one[:, None], self.pad[last], top).min(1))
-        n = last - first - 1
-        mid = np.flatnonzero(n > 0)
-        if len(mid):
-            level = np.log2(n[mid]).astype(np.int64)
-            for k in np.unique(level).tolist():
-                at = mid[level == k]
-                t = self.levels[k]
-                out[at] = np.minimum(out[at], np.minimum(t[first[at] + 1], t[last[at] - (1 << k)]))
-        return out
+        level = np.frexp(b - a + 1)[1] - 1
+        return np.minimum(self.table[level, a], self.table[level, b + 1 - (1 << level)])
 
 
 class Collection:
@@ -86,49 +75,60 @@ class Collection:
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         m = len(starts)
-        before = lambda s, n: np.where(n < sizes[s], text[np.minimum(starts[s] + sizes[s] - n - 1, len(text) - 1)].astype(np.int16) + 1, 0).astype(np.int16)  # noqa: E731  symbol before the suffix of n bytes; 0 at a string's start
-        every = np.arange(m, dtype=np.int32)
-        bwt, lcp = SequentialFile(before(every, 0)), SequentialFile(np.zeros(m, np.int16))
-        self.string, self.length = every, np.zeros(m, np.int32)
+        kind = np.uint8 if sizes.max(initial=0) < 250 and not (text == 255).any() else np.int32
+
+        def before(s, n):
+            """The symbol before the suffix of n bytes; 0 at a string's start."""
+            return np.where(n < sizes[s], text[np.minimum(starts[s] + np.maximum(sizes[s] - n - 1, 0), len(text) - 1)].astype(kind) + kind(1), kind(0)).astype(kind)
+
+        who = np.arange(m)
+        bwt, lcp = SequentialFile(before(who, 0)), SequentialFile(np.zeros(m, kind))
         new, n = np.arange(m), 0
-        while len(new):
+        while True:
             b, common = bwt.read(), lcp.read()
-            new = new[b[new] > 0]
-            if not len(new):
-                break
-            n += 1
+            symbol = b[new]
+            going = np.flatnonzero(symbol > 0)
             order = np.argsort(b, kind="stable")
-            rank = np.empty(len(b), np.int64)
-            rank[order] = np.arange(len(b))
             ended = int(np.count_nonzero(b == 0))
-            r = rank[new]
+            if not len(going):
+                break
+            n += 1
+            put = going[np.argsort(symbol[going], kind="stable")]
+            who, new, symbol = who[put], new[put], symbol[put]
+            mark = np.zeros(len(b), bool)
+            mark[new] = True
+            r = np.flatnonzero(mark[order])  # ranks of the new ones among all symbols, in the same order as `new`
             to = m + r - ended  # the suffixes of 0 bytes stand first
             least = RangeMin(common)
             prev, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(b) - 1)]
-            has_prev, has_after = (r > 0) & (b[prev] == b[new]), (r + 1 < len(b)) & (b[after] == b[new])
-            grown = np.zeros(m + len(b) - ended, bool)
-            grown[to] = True
-            fresh, old = np.flatnonzero(grown), np.flatnonzero(~grown)
-            put = np.argsort(to, kind="stable")
-            new, to, has_prev, has_after, prev, after = new[put], to[put], has_prev[put], has_after[put], prev[put], after[put]
+            has_prev, has_after = (r > 0) & (b[prev] == symbol), (r + 1 < len(b)) & (b[after] == symbol)
+            up = np.zeros(len(new), kind)
+            up[has_prev] = least(prev[has_prev] + 1, new[has_prev]) + kind(1)
+            nxt = np.flatnonzero(has_after)
+            down = least(new[nxt] + 1, after[nxt]) + kind(1) if len(nxt) else np.zeros(0, kind)
+            fresh = np.zeros(m + len(b) - ended, bool)
+            fresh[to] = True
+            old = ~fresh
 
             def merged(x, y):
-                out = np.empty(len(grown), x.dtype)
+                out = np.empty(len(fresh), kind)
                 out[old], out[fresh] = x, y
                 return out
 
-            up = np.zeros(len(new), np.int16)
-            up[has_prev] = 1 + least(prev[has_prev] + 1, new[has_prev])
-            nxt = np.flatnonzero(has_after)
-            down = 1 + least(new[nxt] + 1, after[nxt]) if len(nxt) else np.zeros(0, np.int16)
-            strings = self.string[new]
             common = merged(common, up)
             common[to[nxt] + 1] = down
-            self.string, self.length = merged(self.string, strings), merged(self.length, np.full(len(new), n, np.int32))
-            bwt.write(merged(b, before(strings, n)))
+            bwt.write(merged(b, before(who, n)))
             lcp.write(common)
-            new = fresh
-        self.lcp = lcp.read()
+            new = to
+        # each suffix of n bytes leads to that of n + 1 bytes of its string
+        rank = np.empty(len(b), np.int64)
+        rank[order] = np.arange(len(b)) + m - ended
+        self.string, self.length, self.lcp = np.empty(len(b), np.int32), np.zeros(len(b), np.int32), common
+        at, who, n = np.arange(m), np.arange(m, dtype=np.int32), 0
+        while len(at):
+            self.string[at], self.length[at] = who, n
+            going = b[at] > 0
+            at, who, n = rank[at[going]], who[going], n + 1
 
 
 def repeats(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int) -> list[np.ndarray]:
@@ -156,42 +156,49 @@ def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
     return least(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
+#: A random 64-bit value for each byte.
+BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    return x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(17))
+
+
 class Anchors:
     """Anchors of the texts of a chunk, and their segments as entries: (group, anchor hash, segment hash)."""
 
     def __init__(self, block: bytes, ends: np.ndarray, window: int, groups: int):
         text = self.text = np.frombuffer(block, np.uint8)
         n, width = len(text), window - GRAM + 1
-        powers = np.ones(n + 1, np.uint64)
-        inverse = np.ones(n + 1, np.uint64)
+        powers, self.inverse = _powers(1 << max(21, n.bit_length()))
         with np.errstate(over="ignore"):
-            powers[1:] = np.multiply.accumulate(np.full(n, BASE, np.uint64))
-            inverse[1:] = np.multiply.accumulate(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
-            table = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[text] * powers[:n], out=sums[1:])
-        self.sums, self.inverse = sums, inverse
-        doc_of = np.searchsorted(ends, np.arange(n), "right") if n else np.zeros(0, np.int64)
-        self.at = np.zeros(0, np.int64)
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(BYTES[text] * powers[:n], out=self.sums[1:])
+        self.at = self.doc = self.low = self.windows = np.zeros(0, np.int64)
+        group, short, segment = self.at, np.zeros(0, np.uint32), np.zeros(0, np.uint64)
         if n >= window:
-            gram = self.hash(np.arange(n - GRAM + 1), GRAM) | np.uint64(1)
+            doc_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            gram = (_scramble((self.sums[GRAM:] - self.sums[: n - GRAM + 1]) * self.inverse[: n - GRAM + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             end = ends[doc_of]
-            fits = np.arange(n - window + 1) + window <= end[: n - window + 1]
-            low = np.where(fits, _slide(gram, width, np.minimum), np.uint64(0))
-            pad = np.zeros(width - 1, np.uint64)
+            low = np.where(np.arange(window, n + 1) <= end[: n - window + 1], _slide(gram, width, np.minimum), np.uint32(0))
+            pad = np.zeros(width - 1, np.uint32)
             high = _slide(np.concatenate([pad, low, pad]), width, np.maximum)  # over the windows that hold the place
             self.at = np.flatnonzero((gram == high[: len(gram)]) & (high[: len(gram)] > 0))
-            begin = np.concatenate([[0], ends[:-1]])[doc_of]
             self.doc = doc_of[self.at]
-            self.low = np.maximum(begin[self.at], self.at - width + 1)
+            self.low = np.maximum(np.concatenate([[0], ends[:-1]])[self.doc], self.at - width + 1)
             self.windows = np.minimum(self.at, end[self.at] - window) - self.low + 1
-            h = gram[self.at]
+            h = self.hash(self.at, GRAM)
             segment = self.hash(self.low, self.windows + window - 1)
             segment = (segment ^ (self.at - self.low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(BASE) + self.windows.astype(np.uint64)
             group, short = ((h >> np.uint64(1)) % np.uint64(groups)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
-        else:
-            self.doc = self.low = self.windows = self.at
-            group, short, segment = self.at, np.zeros(0, np.uint32), np.zeros(0, np.uint64)
         order = np.lexsort((self.at, segment, short, group))
         g, a, s = group[order], short[order], segment[order]
         new = np.ones(len(order), bool)
@@ -205,9 +212,7 @@ class Anchors:
 
     def hash(self, at: np.ndarray, size) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = (self.sums[at + size] - self.sums[at]) * self.inverse[at]
-            x ^= x >> np.uint64(29)
-            return x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(17))
+            return _scramble((self.sums[at + size] - self.sums[at]) * self.inverse[at])
 
     def split(self, x: np.ndarray) -> list[np.ndarray]:
         return np.split(x, self.cuts) if len(self.group) else []
@@ -373,3 +378,16 @@ def removal_table(docs: DataFrame, window: int = 50) -> DataFrame:
     out = removed_bytes(docs.select("doc_id", "text"), window)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d WHERE len(h) >= 100)),
+hit AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i, unnest(range(50)) AS k FROM hit)),
+runs AS (SELECT r, count(*) AS n, count(*) FILTER (b IS NULL OR b < p - 1) AS spans FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS b FROM gone) GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * p - 1, 2), '' ORDER BY p) AS t FROM (SELECT r, h, unnest(range(1, len(h) // 2 + 1)) AS p FROM d WHERE r IN (SELECT r FROM runs)) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE coalesce(t, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (r) LEFT JOIN kept USING (r)
+"""
