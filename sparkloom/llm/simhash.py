@@ -153,7 +153,7 @@ def similar(a: str | None, b: str | None, shingle: int = 5, least: float = 0.8)
     return both >= least * (len(x) + len(y) - both)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = 4, bucket: int = 64, near_tries: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = 4, bucket: int = 64, near_tries: int = 6) -> DataFrame:
     """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
 
     Texts that are equal are one text. Other candidates share a SimHash of a family, or differ in up to 2
