@@ -17,11 +17,12 @@ from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MatrixBPE, Remembered, matrix_bpe, small_steps
+from .bpe import MatrixBPE, Remembered, matrix_bpe, part, parts_of, small_steps
 
 BLOCK = 64
 #: A match of the pre-token pattern looks at most so many characters beyond its end.
@@ -29,12 +30,12 @@ AHEAD = 2
 
 
 class PieceCounts:
-    """Numbers of tokens of pre-tokens, remembered."""
+    """Numbers of tokens of pre-tokens and of parts (see `bpe.parts_of`), remembered."""
 
     def __init__(self, bpe: MatrixBPE, pattern: str):
         import regex
 
-        self.bpe, self.pattern, self.pieces = bpe, regex.compile(pattern), Remembered()
+        self.bpe, self.pattern, self.pieces, self.parts = bpe, regex.compile(pattern), Remembered(100_000), Remembered()
 
     def learn(self, pieces: set[str]) -> None:
         new = self.pieces.missing(pieces)
@@ -48,6 +49,34 @@ class PieceCounts:
             self.learn(set(pieces))
             return [self.pieces.young[x] for x in pieces]
 
+    def trees(self, texts: list[str]) -> list[TokenTree]:
+        cut = [parts_of(t, self.pattern.findall) if t else [] for t in texts]
+        every: set[str] = set()
+        for parts in cut:
+            every.update(parts)
+        new = self.parts.missing(every)
+        tokens = [self.pattern.findall(part(x)) for x in new]
+        pieces = list({t for ts in tokens for t in ts})
+        n = dict(zip(pieces, (len(x) // 4 for x in self.bpe.encode([x.encode() for x in pieces]))))
+        known = self.parts.young
+        known.update((x, n[ts[0]] if len(ts) == 1 else sum(n[t] for t in ts)) for x, ts in zip(new, tokens))
+        out = []
+        for text, parts in zip(texts, cut):
+            counts = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            if not text.startswith(" ") and parts and not (len(parts) > 1 and parts[1][:1] == "\0"):
+                sizes[1:] += 1  # a key of a part after a space is one short of it, a marked key is one more than its part
+                sizes[0] -= 1
+            else:
+                sizes += np.array([-1 if x[:1] == "\0" else 1 for x in parts], np.int64)
+            starts = np.arange(0, len(parts), BLOCK)
+            ends = np.cumsum(np.add.reduceat(sizes, starts)).tolist() if len(parts) else []
+            out.append(TokenTree([(text[x:y], k, None) for x, y, k in zip([0, *ends], ends, (np.add.reduceat(counts, starts) if len(parts) else counts).tolist())], self))
+        for x in new:
+            if len(x) > 200:
+                del known[x]
+        return out
+
 
 @lru_cache(maxsize=1)
 def piece_counts(vocabulary: str, pattern: str) -> PieceCounts:
@@ -56,26 +85,39 @@ def piece_counts(vocabulary: str, pattern: str) -> PieceCounts:
 
 
 class TokenTree:
-    def __init__(self, text: str, pieces: list[str], counter: PieceCounts):
+    """blocks: (text, tokens, sizes and counts of its pre-tokens or None); blocks end where pre-tokens do."""
+
+    def __init__(self, blocks: list[tuple], counter: PieceCounts):
         self.counter, self.encoded = counter, 0
-        self._build(text, list(map(len, pieces)), counter(pieces))
-
-    def _build(self, text: str, sizes: list[int], counts: list[int]) -> None:
-        self.texts, self.sizes, self.counts, at = [], [], [], 0
-        for i in range(0, max(1, len(sizes)), BLOCK):
-            some = sizes[i : i + BLOCK]
-            n = sum(some)
-            self.texts.append(text[at : at + n])
-            self.sizes.append(some)
-            self.counts.append(counts[i : i + BLOCK])
-            at += n
-        self.width = 1 << (len(self.texts) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i in range(len(self.texts)):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(self.texts[i]), sum(self.counts[i])
+        self._load(blocks)
+
+    @classmethod
+    def of(cls, text: str, counter: PieceCounts) -> TokenTree:
+        return counter.trees([text])[0]
+
+    def _load(self, blocks: list[tuple]) -> None:
+        blocks = blocks or [("", 0, ([], []))]
+        self.texts, self.details = [x[0] for x in blocks], [x[2] for x in blocks]
+        self.width = 1 << (len(blocks) - 1).bit_length()
+        rest = [0] * (self.width - len(blocks))
+        self.chars, self.tokens = [0] * self.width + [len(x[0]) for x in blocks] + rest, [0] * self.width + [x[1] for x in blocks] + rest
         for i in range(self.width - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def detail(self, i: int) -> tuple[list[int], list[int]]:
+        """Sizes and token counts of the pre-tokens of a block, read with the characters that follow it."""
+        if self.details[i] is None:
+            after, k = "", i + 1
+            while len(after) < AHEAD and k < len(self.texts):
+                after, k = after + self.texts[k][:AHEAD], k + 1
+            pieces, size = [], len(self.texts[i])
+            for m in self.counter.pattern.finditer(self.texts[i] + after):
+                if m.start() >= size:
+                    break
+                pieces.append(m.group())
+            self.details[i] = list(map(len, pieces)), self.counter(pieces)
+        return self.details[i]
+
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
@@ -98,7 +140,7 @@ class TokenTree:
         return min(node - self.width, len(self.texts) - 1), before
 
     def _set(self, i: int, text: str, sizes: list[int], counts: list[int]) -> None:
-        self.texts[i], self.sizes[i], self.counts[i] = text, sizes, counts
+        self.texts[i], self.details[i] = text, (sizes, counts)
         node = self.width + i
         self.chars[node], self.tokens[node] = len(text), sum(counts)
         while node > 1:
@@ -112,21 +154,21 @@ class TokenTree:
         if not (drop or put):
             return
         first, before = self._find(max(at - AHEAD, 0))
-        ends = list(accumulate(self.sizes[first], initial=before))
+        ends = list(accumulate(self.detail(first)[0], initial=before))
         keep = bisect_right(ends, at - AHEAD) - 1 if ends[0] <= at - AHEAD else 0  # pre-tokens that end AHEAD before the edit
         if not keep and first:  # the block's first pre-token may have to start anew: take one block more
             first, before = self._find(before - 1)
-            ends = list(accumulate(self.sizes[first], initial=before))
+            ends = list(accumulate(self.detail(first)[0], initial=before))
             keep = max(0, bisect_right(ends, at - AHEAD) - 1)
         start, last, old = ends[keep], first, self.texts[first]
         old_end = before + len(old)
-        sizes, counts = list(self.sizes[first]), list(self.counts[first])
+        sizes, counts = map(list, self.detail(first))
         while True:
             while last + 1 < len(self.texts) and (old_end < at + drop + AHEAD + 1 or last == first and old_end < total):
                 last += 1
                 old, old_end = old + self.texts[last], old_end + len(self.texts[last])
-                sizes += self.sizes[last]
-                counts += self.counts[last]
+                sizes += self.detail(last)[0]
+                counts += self.detail(last)[1]
             fresh = old[start - before : at - before] + put + old[at + drop - before :]
             shift, whole = len(put) - drop, old_end >= total
             bounds = {e: k for k, e in enumerate(accumulate(sizes, initial=before))}
@@ -145,8 +187,8 @@ class TokenTree:
                 break
             last += 1
             old, old_end = old + self.texts[last], old_end + len(self.texts[last])
-            sizes += self.sizes[last]
-            counts += self.counts[last]
+            sizes += self.detail(last)[0]
+            counts += self.detail(last)[1]
         self.encoded += end
         keep_chars = start - before
         text = old[:keep_chars] + fresh[:end] + old[start + end - shift - before :]
@@ -154,8 +196,14 @@ class TokenTree:
         for i in range(first + 1, last + 1):
             self._set(i, "", [], [])
         self._set(first, text, sizes, counts)
-        if len(sizes) > 8 * BLOCK:
-            self._build(self.text(), [x for s in self.sizes for x in s], [x for c in self.counts for x in c])
+        if len(sizes) > 8 * BLOCK:  # cut the block again
+            cut, begin = [], 0
+            for i in range(0, len(sizes), BLOCK):
+                n = sum(sizes[i : i + BLOCK])
+                cut.append((text[begin : begin + n], sum(counts[i : i + BLOCK]), (sizes[i : i + BLOCK], counts[i : i + BLOCK])))
+                begin += n
+            others = [(t, self.tokens[self.width + i], d) for i, (t, d) in enumerate(zip(self.texts, self.details))]
+            self._load([x for x in [*others[:first], *cut, *others[first + 1 :]] if x[0]])
 
 
 def count_edits(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
@@ -169,11 +217,8 @@ def count_edits(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_
         counter = piece_counts(vocabulary, pattern)
         for batch in small_steps(batches, "t"):
             texts = [t or "" for t in batch.column("t").to_pylist()]
-            pieces = [counter.pattern.findall(t) for t in texts]
-            counter.learn({x for ps in pieces for x in ps})
             before, after, chars, encoded = [], [], [], []
-            for t, ps, script in zip(texts, pieces, batch.column("e").to_pylist()):
-                tree = TokenTree(t, ps, counter)
+            for tree, script in zip(counter.trees(texts), batch.column("e").to_pylist()):
                 before.append(tree.n_tokens)
                 for e in script or ():
                     if e is not None:
