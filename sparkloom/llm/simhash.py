@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .bpe import small_steps
 from .common import materialize
 from .graph import components
@@ -114,33 +115,6 @@ def near_dedup_table(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def families(text: str | None, tries: int = 10, size: int = 12) -> list[tuple[int, int]]:
-    """(family, fingerprint): SimHashes of hashed subsets of the distinct words, of about `size` words each.
-
-    A few edits leave many subsets untouched or nearly so, whereas they move the fingerprint of the
-    whole text by more than 2 bits. A subset takes one word in 2**k; k fits the number of words, and
-    both neighbours of a fraction are taken, so that texts of nearly equal length share a k.
-    """
-    import xxhash
-
-    w = set((text or "").encode().lower().split())
-    if not w:
-        return []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    x = max(0.0, np.log2(len(w) / size))
-    out = []
-    for k in sorted({int(np.floor(x)), int(np.ceil(x))}):
-        for t in range(tries):
-            m = h * np.uint64((2 * t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            m ^= m >> np.uint64(32)
-            some = m[(m & np.uint64((1 << k) - 1)) == 0] * np.uint64(0xD6E8FEB86659FD93)
-            if len(some) >= min(5, len(w)):
-                some ^= some >> np.uint64(29)
-                counts = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out.append((k * 64 + t, int(np.packbits(2 * counts > len(some), bitorder="little").view(np.int64)[0])))
-    return out
-
-
 def shingle_set(text: str | None, shingle: int = 5) -> set[bytes]:
     w = (text or "").encode().lower().split()
     return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
@@ -153,45 +127,40 @@ def similar(a: str | None, b: str | None, shingle: int = 5, least: float = 0.8)
     return both >= least * (len(x) + len(y) - both)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, segments: int = 4, bucket: int = 64, near_tries: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds: int = 3, crowd: int = 64) -> DataFrame:
     """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
 
-    Texts that are equal are one text. Other candidates share a SimHash of a family, or differ in up to 2
-    bits in one of the first `near_tries` families; a pair counts if the Jaccard similarity of its word
-    shingles is at least `least`. Rows without a doc_id stay as they are; rows that repeat a doc_id are
-    one document, of which the row of least text hash stays.
+    Texts that are equal are one text. Others are joined if the Jaccard similarity of their word shingles is
+    at least `least`; no such pair is missed (see shingle_join). Rows without a doc_id stay as they are; rows
+    that repeat a doc_id are one document, of which the row of least text hash stays.
     """
     text_hash = F.md5(F.coalesce("text", F.lit("")))
     known = docs.filter(F.col("doc_id").isNotNull())
     hashes = materialize(known.groupBy("doc_id").agg(F.min(text_hash).alias("th")), "texts")
     firsts = hashes.groupBy("th").agg(F.min("doc_id").alias("first"))
     copies = materialize(hashes.join(firsts, "th").filter("doc_id <> first").select("doc_id"), "copies")
-
-    def sign(batches):
-        for batch in small_steps(batches, "text"):
-            got = [families(t) for t in batch.column("text").to_pylist()]
-            ids = np.repeat(np.arange(len(got)), [len(x) for x in got])
-            flat = [x for xs in got for x in xs]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids)), pa.array([r for r, _ in flat], pa.int32()), pa.array([fp for _, fp in flat], pa.int64())], ["d", "r", "fp"])
-
-    every = known.select("doc_id", "text").mapInArrow(sign, "d long, r int, fp long")
-    signed = materialize(every.join(copies.withColumnRenamed("doc_id", "d"), "d", "left_anti"), "families")
-    fps = signed.groupBy("r", "fp").agg(F.min("d").alias("u"))
-    same = signed.join(fps, ["r", "fp"]).filter("d <> u").select("u", F.col("d").alias("v")).distinct()
-    some = fps.filter(F.col("r") % 64 < near_tries)
-    named = some.select("r", F.col("fp").alias("a"), "u")
-    near = links(some, 2, segments, bucket).join(named, ["r", "a"]).join(named.select("r", F.col("a").alias("b"), F.col("u").alias("v")), ["r", "b"])
-    pairs = materialize(same.unionAll(near.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "candidates")
+    tokens = shingle_join.prefixes(known.select("doc_id", "text").join(copies, "doc_id", "left_anti"), shingle, least)
+    once = Window.partitionBy("doc_id").orderBy(text_hash)
+    used = tokens.select(F.col("d").alias("doc_id")).distinct()
+    compared = materialize(known.select("doc_id", "text").join(used, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("doc_id", "text"), "compared")
 
     def check(batches):
         for batch in batches:
             ok = [similar(x, y, shingle, least) for x, y in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    used = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    once = Window.partitionBy("doc_id").orderBy(text_hash)
-    compared = materialize(known.select("doc_id", "text").join(used, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("doc_id", "text"), "compared")
-    both = pairs.join(compared.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(compared.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
-    gone = components(both.select("u", "v", "t", "s").mapInArrow(check, "a long, b long")).select(F.col("a").alias("doc_id"))
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(compared.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(compared.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
+        return both.select("u", "v", "t", "s").mapInArrow(check, "a long, b long")
+
+    largest = tokens.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    stars, seen = None, None
+    for salt in range(star_rounds if largest > crowd else 1):
+        pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt), "candidates")
+        seen = pairs if seen is None else seen.unionAll(pairs)
+        edges = checked(pairs)
+        stars = components(edges if stars is None else edges.unionAll(stars))
+    rest = materialize(shingle_join.pairs_across(tokens, stars, least).join(seen, ["u", "v"], "left_anti"), "candidates")
+    gone = components(checked(rest).unionAll(stars)).select(F.col("a").alias("doc_id"))
     kept = known.withColumn("__n", F.row_number().over(once)).filter("__n = 1").join(copies.unionAll(gone), "doc_id", "left_anti")
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

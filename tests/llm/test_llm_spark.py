@@ -128,6 +128,29 @@ def test_keep_one(docs, clashing):
     assert sorted(map(repr, (r.doc_id for r in simhash.keep_one(again).collect()))) == ["0", "None"]
 
 
+def kept_by_brute_force(texts):
+    root = dict.fromkeys(texts)
+    for i in texts:
+        root[i] = i
+    for i in texts:
+        for j in texts:
+            if i < j and simhash.similar(texts[i], texts[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    return sorted(i for i in texts if root[i] == i)
+
+
+def test_keep_one_finds_inserted_blocks(spark):
+    """One text is the other plus a block of new words, at similarities from 0.81."""
+    texts = {}
+    for p in range(60):
+        w, more = [f"a{p}x{i}" for i in range(300)], [f"b{p}x{i}" for i in range(60)]
+        at, size = 5 * p, (60, 45, 25)[p % 3]
+        texts |= {2 * p: " ".join(w), 2 * p + 1: " ".join(w[:at] + more[:size] + w[at:])}
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert kept == kept_by_brute_force(texts) == list(range(0, 120, 2))
+
+
 def test_bpe_round_trip(docs):
     import tiktoken
 
