@@ -151,6 +151,17 @@ def test_keep_one_finds_inserted_blocks(spark):
     assert kept == kept_by_brute_force(texts) == list(range(0, 120, 2))
 
 
+def test_keep_one_compares_within_a_vocabulary(spark):
+    """Texts of one small vocabulary in different order: near copies are found though the least document is like none."""
+    words, texts = [f"w{i}" for i in range(40)], {}
+    for p in range(30):
+        w = np.random.default_rng(p).permutation(words * 3).tolist()
+        texts |= {2 * p: " ".join(w), 2 * p + 1: " ".join(w[:60] + w[61:])}
+    texts[0] = " ".join(np.random.default_rng(99).permutation(words * 3))
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert kept == kept_by_brute_force(texts) and len(kept) == 31
+
+
 def test_bpe_round_trip(docs):
     import tiktoken
 
