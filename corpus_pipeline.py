@@ -36,7 +36,7 @@ def substring_dedup(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Documents drawn so that tokens meet the tempered source, language and topic marginals, 0.9 of all tokens expected."""
+    """Documents drawn so that tokens meet the tempered source, language and topic marginals, 0.9 of all tokens expected; small classes give documents more than once."""
     return mixing.sample_mixture(docs, keep=0.9).select(*COLUMNS)
 
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,12 +45,12 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dict[str, dict[str, float] | None] | None = None, alpha: float = 0.7, rounds: int = 10) -> DataFrame:
-    """cells: the margins and w0 (tokens). Adds w: w0 raked to the target of each margin.
+    """cells: the margins and w0 (tokens). Adds w: w0 (or the w that is there) raked to the target of each margin.
 
     One row per cell; each sum is a window over a margin. The table has as many rows as there are
     combinations of classes, not of documents.
     """
-    out = cells.withColumn("w", F.col("w0").cast("double"))
+    out = cells if "w" in cells.columns else cells.withColumn("w", F.col("w0").cast("double"))
     everything = Window.partitionBy(F.lit(1))
     out = out.withColumn("all", F.sum("w0").over(everything).cast("double"))
     for m in margins:
@@ -99,11 +101,30 @@ def mixing_table(docs: DataFrame, keep: float = 0.5, targets=None, alpha: float
     return rows.select("doc_id", *MARGINS, "n_tokens", F.round(F.when(F.col("w0") > 0, F.col("w") / F.col("w0")).otherwise(0.0), 6).alias("weight"), F.round("p", 6).alias("prob"), (uniform(F.col("doc_id"), seed) < F.round("p", 6)).alias("sampled"))
 
 
+def converged(cells: DataFrame, targets=None, alpha: float = 0.7, rounds: int = 10, tolerance: float = 1e-6, most: int = 20) -> DataFrame:
+    """`rake` repeated until `rounds` more move less than `tolerance` of all tokens between cells; targets that no weights meet end after `most` times."""
+    now = materialize(rake(cells, MARGINS, targets, alpha, rounds), "raked")
+    for _ in range(most):
+        new = materialize(rake(now, MARGINS, targets, alpha, rounds), "raked")
+        moved = now.select(*MARGINS, F.col("w").alias("old")).join(new, list(MARGINS)).agg(F.sum(F.abs(F.col("w") - F.col("old"))) / F.sum("w0")).first()[0] or 0.0
+        now = new
+        if moved < tolerance:
+            break
+    return now
+
+
 def sample_mixture(docs: DataFrame, keep: float = 0.8, targets=None, alpha: float = 0.7, rounds: int = 10, seed: int = 7) -> DataFrame:
-    """The drawn documents with all their columns."""
-    chance = cell_chances(docs, keep, targets, alpha, rounds)
+    """The drawn documents with all their columns: `keep` of all tokens is expected, in the raked shares.
+
+    A cell whose raked weight is more than it has gives documents more than once: each p times, rounded
+    down or up by the draw, so no cell is capped and none falls short. Cells without tokens give each document once.
+    """
+    cells = with_margins(docs, []).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("w0"))
+    chance = converged(cells, targets, alpha, rounds).withColumn("p", F.when(F.col("w0") > 0, F.col("w") / F.col("w0") * keep).otherwise(F.lit(1.0)))
     held = with_margins(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")])
-    return held.join(chance, list(MARGINS), "left").filter(uniform(F.col("row.doc_id"), seed) < F.round("p", 6)).select("row.*")
+    whole = F.floor("p").cast("int")
+    times = whole + F.coalesce(uniform(F.col("row.doc_id"), seed) < F.col("p") - whole, F.lit(False)).cast("int")
+    return held.join(chance, list(MARGINS), "left").select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def oracle_ctes(table: str, keep: float, alpha: float = 0.7, rounds: int = 10, cap_rounds: int = 6) -> str:

@@ -274,6 +274,21 @@ def test_raking_meets_its_targets(spark):
     assert (p.p * p.w0).sum() == pytest.approx(0.2 * p.w0.sum(), rel=0.05) and p.p.max() <= 1
 
 
+def test_mixture_meets_its_targets(spark):
+    """Small classes get their tempered share although that is more than they have; the draw is within sampling error."""
+    kinds = [("w " * 20, 9000), ("w | " * 10, 600), ("a@b " * 20, 300), ("x = " * 10, 100)]
+    rows = [(t, f"s{i % 3 % 2}", "en" if i % 7 else "de") for t, n in kinds for i in range(n)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    out = mixing.sample_mixture(docs, keep=0.9)
+    assert out.columns == docs.columns
+    before, after = (mixing.with_margins(x, []).toPandas() for x in (docs, out))
+    assert after.n_tokens.sum() == pytest.approx(0.9 * before.n_tokens.sum(), rel=0.03)
+    for m in mixing.MARGINS:
+        had, got_ = (x.groupby(m).n_tokens.sum() / x.n_tokens.sum() for x in (before, after))
+        want = had**0.7 / (had**0.7).sum()
+        assert all(got_[k] == pytest.approx(v, rel=0.1) for k, v in want.items())
+
+
 def test_language_held_out(spark, sf_dir):
     table = language.language_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("piece_bpe_32k.model"), 100)
     d = table.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").filter("held_out")
