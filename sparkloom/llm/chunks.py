@@ -1,8 +1,9 @@
-"""Documents packed into chunks of bounded size, written once to the shared folder.
+"""Documents packed into chunks of bounded size, written once to the shared folder, and their symbols.
 
 A chunk is one row: its number, the keys of its documents, their sizes in bytes (-1 for a null text)
 and their UTF-8 texts as one zstd block. Operators that read the texts more than once work on chunks:
 the numbers stay the same for all readers, and what goes back to a chunk is addressed by its number.
+A text beyond the chunk size is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -15,46 +16,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_steps
-from .common import materialize
+from .common import materialize, worker_state
 
-CHUNK_BYTES = 8 << 20
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}
+CHUNK_BYTES = 2 << 20
+#: [\x20\x09-\x0D], by byte.
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def pack(docs: DataFrame, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """chunk (long), keys, sizes, body, and x0, x1, ... with the values of the `extra` columns. With `ordered`, chunk numbers and the places in a chunk ascend with (key, text hash), nulls first."""
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """chunk (long), keys, sizes, body, and x0, x1, ... with the values of the `extra` columns."""
     kind = docs.schema[key].dataType.simpleString()
     kinds = [docs.schema[c].dataType.simpleString() for c in extra]
 
     def run(batches):
+        worker_state(None, None)
         part, seq = TaskContext.get().partitionId(), 0
-        keys, sizes, body, held, more = [], [], [], 0, []
+        columns, sizes, body, held = [[] for _ in range(1 + len(kinds))], [], [], 0
 
-        def flush():
-            cols = [pa.array([part << 32 | seq], pa.int64()), pa.array([keys], pa.list_(ARROW[kind])), pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(3).compress(b"".join(body))], pa.binary())]
-            cols += [pa.array([[m[i] for m in more]], pa.list_(ARROW[x])) for i, x in enumerate(kinds)]
+        def flush(types):
+            cols = [pa.array([part << 32 | seq], pa.int64()), pa.array([columns[0]], pa.list_(types[0])), pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(3).compress(b"".join(body))], pa.binary())]
+            cols += [pa.array([xs], pa.list_(t)) for xs, t in zip(columns[1:], types[1:])]
             return pa.RecordBatch.from_arrays(cols, ["chunk", "keys", "sizes", "body", *(f"x{i}" for i in range(len(kinds)))])
 
-        for batch in small_steps(batches, "t"):
+        types = None
+        for batch in small_steps(batches, "t", chunk_bytes):
+            types = [batch.schema.field(c).type for c in ("k", *(f"x{i}" for i in range(len(kinds))))]
             for k, t, *xs in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (t or "").encode()
                 if held and held + len(raw) > chunk_bytes:
-                    yield flush()
-                    seq, keys, sizes, body, held, more = seq + 1, [], [], [], 0, []
-                keys.append(k)
-                more.append(xs)
+                    yield flush(types)
+                    seq, columns, sizes, body, held = seq + 1, [[] for _ in columns], [], [], 0
+                for to, x in zip(columns, (k, *xs)):
+                    to.append(x)
                 sizes.append(-1 if t is None else len(raw))
                 body.append(raw)
                 held += len(raw)
-        if keys:
-            yield flush()
+        if sizes:
+            yield flush(types)
 
     rows = docs.selectExpr(f"`{key}` k", f"`{text}` t", *(f"`{c}` x{i}" for i, c in enumerate(extra)))
-    if ordered:
-        rows = rows.repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions(F.asc_nulls_first("k"), F.xxhash64("t"))
     return materialize(rows.mapInArrow(run, f"chunk long, keys array<{kind}>, sizes array<long>, body binary" + "".join(f", x{i} array<{x}>" for i, x in enumerate(kinds))), "chunks")
 
 
+def volume(chunks: DataFrame) -> int:
+    """Bytes of the texts of all chunks."""
+    return chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
+
+
 def unpack(body: bytes, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The texts as one block, and the ends of the documents in it."""
     return zstandard.ZstdDecompressor().decompress(body) if body else b"", np.cumsum(np.maximum(sizes, 0))
@@ -68,18 +77,61 @@ def unpack_bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then those of starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def word_spans(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words [^\\x20\\x09-\\x0D]+ of a block begin and end (in bytes), and the numbers of their documents."""
+    n = len(text)
+    white = WHITE[text]
+    cut = np.zeros(n + 1, bool)  # a document begins here
+    cut[ends] = True
+    begin, stop = ~white, ~white
+    begin[1:] &= white[:-1] | cut[1:n]
+    stop[:-1] &= white[1:] | cut[1:n]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(stop) + 1, np.searchsorted(ends, starts, "right")
+
+
+BASE = 0x9E3779B97F4A7C15
+#: A random 64-bit value for each byte.
+BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class SpanHash:
+    """64-bit hashes of any spans of a block, from prefix sums of its bytes. `bits` leaves fewer of them, to force clashes in tests."""
+
+    def __init__(self, text: np.ndarray, bits: int = 64):
+        n, self.mask = len(text), np.uint64((1 << bits) - 1)
+        power = lambda x: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTES[text] * power(BASE)[:n], out=self.sums[1:])
+        self.inverse = power(pow(BASE, -1, 1 << 64))
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return scramble((self.sums[stops] - self.sums[starts]) * self.inverse[starts]) & self.mask
+
+
 def rolling(symbols: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """64-bit path hashes of the `d` symbols from each place, for each depth; places with fewer left than the deepest are missing.
 
     Hashes of depth 1, 2, 4, ... are joined to any depth: hash(a + b) = hash(a) * B**len(b) + hash(b).
     """
-    base, deepest = 0x9E3779B97F4A7C15, max(depths)
+    deepest = max(depths)
     n = max(0, len(symbols) - deepest + 1)
-    power = lambda k: np.uint64(pow(base, k, 1 << 64))
+    power = lambda k: np.uint64(pow(BASE, k, 1 << 64))
     level, out, size = {1: symbols.astype(np.uint64)}, {}, 1
     while size * 2 <= deepest:
         h = level[size]
-        level[size * 2] = h[: len(h) - size] * power(size) + h[size:]
+        level[size * 2] = h[: max(0, len(h) - size)] * power(size) + h[size:]
         size *= 2
     for d in depths:
         at, h = 0, None
@@ -87,6 +139,5 @@ def rolling(symbols: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarra
             if d - at >= s:
                 h = level[s][:n].copy() if h is None else h * power(s) + level[s][at : at + n]
                 at += s
-        x = h ^ (h >> np.uint64(31))
-        out[d] = (x * np.uint64(0xBF58476D1CE4E5B9)) ^ (x >> np.uint64(27))
+        out[d] = scramble(h)
     return out

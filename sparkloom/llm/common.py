@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -15,14 +17,45 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) a local one is made."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, build):
+    """What `build` made for `key`, kept by a Python worker from task to task. A worker holds the state of one key at a time: another key (or None) frees it first."""
+    if key not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            _return_memory()
+        if key is None:
+            return None
+        _STATE[key] = build()
+    return _STATE[key]
+
+
+def _return_memory() -> None:
+    """Give freed memory back to the system, so that it is there for the next operator."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # not glibc: nothing to trim
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_steps
-from .chunks import ARROW
 
 LONGEST = 40
 PIECE = 8

@@ -69,7 +69,7 @@ def at_least(share: float, n):
 
 def prefixes(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """d, token, n, pos: the shingles in the prefix of each text (doc_id, text) that other texts have too, the number of its shingles and the place in their order."""
-    chunks = pack(docs.select("doc_id", "text"), False, chunk_bytes)
+    chunks = pack(docs.select("doc_id", "text"), chunk_bytes)
     volume = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
     groups = max(8, volume // 6 // GROUP_SHINGLES + 1)
 

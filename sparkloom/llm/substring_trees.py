@@ -1,180 +1,169 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-Symbols are words (their XXH64). A suffix is dealt to a group by a prefix of variable length: the
-shortest of 1, 2, 4, ... words that few suffixes share, so frequent prefixes are split further until
-a group fits into memory (a sample decides which prefixes are frequent; that only moves suffixes
-between groups). Each group builds its subtrees from the sorted paths of its suffixes down to depth
-`window`: a node there with two leaves or more is a repeat of at least `window` words, and what
-follows from the next places extends it to the maximal repeat. Path labels are 64-bit hashes; two of
-n suffixes that differ share one with a chance of about n * n / 2**65.
-
-Suffixes of one chunk that share a path travel as one, so a passage in a third of all documents
-costs one leaf per chunk, and the answer is one bit per leaf.
-
-Defined results: a null or empty text has no words; texts shorter than `window` words keep all;
-repeated rows are repeats of each other; other columns never take part; an empty table gives an
-empty result.
+Suffixes are cut at `window` words, since what is looked for are nodes at that depth or deeper. They are
+dealt to groups by a part of variable length: the run of 8 words of least hash in the suffix's window (its
+anchor), and all `window` words of it where very many suffixes share the anchor. The part isn't the
+suffix's first words, because neighbouring suffixes then go to different groups and each needs its own copy
+of its 35 words; by anchors, neighbours travel as one run of words. Suffixes whose anchor occurs once in
+the table are nobody's equals and stay at home (see `anchors`).
+
+Each group builds its subtree over the words themselves: the sorted suffixes and the common prefixes of
+neighbours (in words). Neighbours with `window` words or more in common hang below one internal node of
+that depth; a node with two leaves or more is a repeat, and repeats that start at consecutive words join
+to maximal ones. Hashes only decide which suffixes meet; words decide whether they are equal.
+
+Equal runs of one chunk travel as one, so a passage in a third of all documents costs one run per chunk,
+and the answer is one bit per suffix.
+
+Defined results: a null or empty text has no words; texts shorter than `window` words keep all; repeated
+rows are repeats of each other, whatever their keys (null ones too); other columns never take part; an
+empty table gives an empty result. Keys may have any type.
 """
 
 from __future__ import annotations
 
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ARROW, CHUNK_BYTES, pack, pack_bits, rolling, unpack, unpack_bits
-
-GROUP_SUFFIXES = 2_000_000
-#: Chunks looked at to find frequent prefixes, and the most kept of each depth.
-SAMPLE_CHUNKS, FREQUENT = 2, 1 << 12
-
-
-def _words(block: bytes, ends: np.ndarray) -> tuple[list[list[bytes]], np.ndarray]:
-    at, out = 0, []
-    for end in ends.tolist():
-        out.append(block[at:end].split())
-        at = end
-    return out, np.array([len(w) for w in out], np.int64)
-
-
-def _suffixes(words: list[list[bytes]], counts: np.ndarray, window: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Places (in the words of the whole chunk) of the windows, and their prefix hashes by depth."""
-    import xxhash
-
-    symbols = np.fromiter((h for w in words for h in map(xxhash.xxh64_intdigest, w)), np.uint64, int(counts.sum()))
-    depths = tuple(1 << k for k in range(window.bit_length()) if 1 << k < window) + (window,)
-    paths = rolling(symbols, depths)
-    n = len(paths[window])
-    ends = np.repeat(np.cumsum(counts), counts)[:n]
-    places = np.flatnonzero(np.arange(n) + window <= ends)
-    return places, {d: h[places] for d, h in paths.items()}
-
-
-def _groups(paths: dict[int, np.ndarray], frequent: dict[int, np.ndarray], groups: int) -> np.ndarray:
-    """The group of each suffix, by its shortest prefix that isn't frequent."""
-    depths = sorted(paths)
-    out = np.empty(len(paths[depths[0]]), np.int64)
-    todo = np.arange(len(out))
-    for d in depths:
-        h = paths[d][todo]
-        known = frequent.get(d)
-        deeper = np.zeros(len(h), bool)
-        if d != depths[-1] and known is not None and len(known):
-            deeper = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-        out[todo[~deeper]] = (h[~deeper] >> np.uint64(7)) % np.uint64(groups)
-        todo = todo[deeper]
-    return out
-
-
-def find_frequent(chunks: DataFrame, window: int, groups: int) -> dict[int, np.ndarray]:
-    """Prefixes by depth that more than a quarter of a group's fair share of the sampled suffixes have; counted in one task."""
-
-    def count(batches):
-        left = SAMPLE_CHUNKS
-        for batch in batches:
-            for sizes, body in zip(batch.column("sizes").to_pylist(), batch.column("body").to_pylist()):
-                if not left:
-                    return
-                left -= 1
-                words, counts = _words(*unpack(body, np.array(sizes, np.int64)))
-                _, paths = _suffixes(words, counts, window)
-                for d, h in paths.items():
-                    keys, n = np.unique(h, return_counts=True)
-                    top = np.argsort(-n, kind="stable")[:FREQUENT]
-                    top = top[n[top] > max(len(h) / (4 * groups), 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), d, np.int32)), pa.array(keys[top].view(np.int64))], ["d", "h"])
-
-    found: dict[int, set[int]] = {}
-    for d, h in chunks.select("sizes", "body").limit(SAMPLE_CHUNKS).mapInArrow(count, "d int, h long").collect():  # at most SAMPLE_CHUNKS * FREQUENT of each depth
-        found.setdefault(d, set()).add(h)
-    return {d: np.sort(np.array(list(h), np.int64).view(np.uint64)) for d, h in found.items()}
-
-
-def _leaves(paths: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, path) in order: their groups, paths and numbers of suffixes, and the leaf of each suffix."""
-    order = np.argsort(paths, kind="stable")
-    order = order[np.argsort(group[order], kind="stable")]
-    p, g = paths[order], group[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (g[1:] != g[:-1])
-    leaf = np.empty(len(p), np.int64)
-    leaf[order] = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    return g[starts], p[starts], np.diff(np.append(starts, len(p))), leaf
-
-
-def deep_nodes(paths: np.ndarray) -> np.ndarray:
-    """For each leaf, whether its node at the window's depth has another: equal neighbours among the sorted paths."""
-    order = np.argsort(paths, kind="stable")
-    same = np.zeros(len(paths) + 1, bool)
-    same[1:-1] = paths[order][1:] == paths[order][:-1]
-    out = np.empty(len(paths), bool)
-    out[order] = same[1:] | same[:-1]
-    return out
-
-
-def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, extra: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
-    """key, n_words, spans (array of the first word and the one after the last of each removed run) and kept (the other words, joined by a space), and the `extra` columns.
-
-    With `as_is`, kept is the text itself where no word is removed.
+from . import anchors
+from .chunks import CHUNK_BYTES, SpanHash, pack, pack_bits, rolling, spread, unpack, volume, word_spans
+from .common import materialize, worker_state
+
+GRAM = 8
+#: Words of the table to a group of subtrees, and suffixes of a group that are sorted at a time, about.
+GROUP_WORDS, SORTED = 1_500_000, 200_000
+
+
+class Words:
+    """The words of a chunk, and the runs of its windows."""
+
+    def __init__(self, block: bytes, ends: np.ndarray, window: int, groups: int, bits: int = 64):
+        self.block, self.window = block, window
+        text = np.frombuffer(block, np.uint8)
+        self.starts, self.stops, self.doc = word_spans(text, ends)
+        self.counts = np.bincount(self.doc, minlength=len(ends))
+        self.symbols = SpanHash(text, bits)(self.starts, self.stops)
+        n = max(0, len(self.starts) - window + 1)
+        grams = rolling(self.symbols, (min(GRAM, window),))[min(GRAM, window)]
+        self.runs = anchors.runs(grams & np.uint64(((1 << bits) - 1) << (64 - bits)), self.doc[:n] == self.doc[window - 1 :][:n])
+        self.entries = anchors.Entries(self.runs, groups)
+
+    def text_of(self, first: int, count: int) -> bytes:
+        """The words of `count` windows, joined by a space."""
+        return b" ".join(self.block[self.starts[first] : self.stops[first + count + self.window - 2]].split())
+
+    def contents(self, by: dict[int, bytes], groups: int) -> tuple[anchors.Pieces, anchors.Contents]:
+        whole = lambda at: rolling(self.symbols, (self.window,))[self.window][at]
+        got = anchors.pieces(self.runs, self.entries, by, whole, groups)
+        return got, anchors.Contents(got, self.text_of)
+
+
+def repeated_suffixes(texts: list[bytes], many: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each run of words, a flag per suffix of `window` words or more: its node has another leaf. many: how often a run occurs."""
+    number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    alike = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+    times = np.bincount(alike, weights=many)
+    words = [t.split(b" ") for t in number]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = [w for ws in words for w in ws]
+    names = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    symbols = np.fromiter(map(names.__getitem__, flat), ">u4", len(flat))
+    counts = sizes - window + 1
+    at = spread(np.cumsum(sizes) - sizes, counts)
+    paths = np.lib.stride_tricks.sliding_window_view(symbols, window)[at]
+    order = np.argsort(np.ascontiguousarray(paths).view(f"S{4 * window}").ravel(), kind="stable")  # bytes in order are words in order
+    near = paths[order]
+    common = np.zeros(len(order) + 1, np.int64)  # common prefix with the suffix before
+    different = near[1:] != near[:-1]
+    common[1:-1] = np.where(different.any(1), different.argmax(1), window)
+    deep = np.empty(len(order), bool)
+    deep[order] = (common[1:] >= window) | (common[:-1] >= window)
+    deep |= np.repeat(times > 1, counts)
+    each = np.split(deep, np.cumsum(counts)[:-1])
+    return [each[i] for i in alike.tolist()]
+
+
+def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, extra: tuple[str, ...] = (), as_is: bool = False, crowded: int = anchors.CROWDED, bits: int = 64) -> DataFrame:
+    """key, n_words, spans (array of the first word and the one after the last of each maximal repeat, overlapping ones joined) and kept (the other words, joined by a space), and the `extra` columns.
+
+    With `as_is`, kept is the text itself where no word is removed. `bits` of all hashes are used (fewer in tests).
     """
-    chunks = pack(docs, False, chunk_bytes, key, text, extra)
+    chunks = pack(docs, chunk_bytes, key, text, extra)
     kind, kinds = docs.schema[key].dataType.simpleString(), [docs.schema[c].dataType.simpleString() for c in extra]
-    # a word takes 2 bytes at least and about 6; groups need only be about even
-    volume = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
-    groups = max(8, volume // 6 // GROUP_SUFFIXES + 1)
-    frequent = find_frequent(chunks, window, groups)
+    n_words = volume(chunks) // 6  # about; groups need only be about even
+    gram_groups, groups = max(16, n_words // 14 // anchors.GROUP_GRAMS + 1), max(48, n_words // GROUP_WORDS + 1)
 
-    def of(sizes: list[int], body: bytes):
-        words, counts = _words(*unpack(body, np.array(sizes, np.int64)))
-        places, paths = _suffixes(words, counts, window)
-        return words, counts, places, _leaves(paths[window], _groups(paths, frequent, groups))
+    def of(sizes: list[int], body: bytes) -> Words:
+        return Words(*unpack(body, np.array(sizes, np.int64)), window, gram_groups, bits)
 
     def deal(batches):
+        worker_state(None, None)
         for batch in batches:
             for chunk, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "body"))):
-                group, path, _, _ = of(sizes, body)[3]
-                cuts = np.flatnonzero(np.diff(group)) + 1
-                parts = np.split(path, cuts) if len(path) else []
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(parts), pa.int64()), pa.array(group[np.append(0, cuts)] if parts else [], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "grp", "paths"])
+                yield of(sizes, body).entries.batch(chunk)
+
+    def ship(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("chunk", "grp", "codes", "sizes", "many", "body")}
+        by = dict(zip(marks.column("grp").to_pylist(), marks.column("bits").to_pylist()))
+        for chunk, sizes, body in zip(*(rows.column(c).to_pylist() for c in ("chunk", "sizes", "body"))):
+            c = of(sizes, body).contents(by, groups)[1]
+            for a, b in c.spans:
+                out["chunk"].append(chunk)
+                out["grp"].append(int(c.grp[a]))
+                out["codes"].append(c.code[a:b].tobytes())
+                out["sizes"].append(c.count[a:b].astype(np.int32).tobytes())
+                out["many"].append(np.minimum(c.many[a:b], 2).astype(np.uint8).tobytes())
+                out["body"].append(zstandard.ZstdCompressor(1).compress(b"\n".join(c.texts[a:b])))
+        return pa.table([pa.array(out["chunk"], pa.int64()), pa.array(out["grp"], pa.int64()), *(pa.array(out[x], pa.binary()) for x in ("codes", "sizes", "many", "body"))], list(out))
 
     def subtree(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("paths").to_pylist()]
-        deep = deep_nodes(np.concatenate(parts))
-        ends = np.cumsum([len(x) for x in parts])
-        return pa.table({"chunk": table.column("chunk"), "grp": table.column("grp"), "deep": pa.array([pack_bits(x) for x in np.split(deep, ends[:-1])], pa.binary())})
+        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        codes, counts, many = join("codes", np.uint32), join("sizes", np.int32).astype(np.int64), join("many", np.uint8)
+        texts = [t for raw in table.column("body").to_pylist() for t in zstandard.ZstdDecompressor().decompress(raw).split(b"\n")]
+        flags, first = np.zeros(int(counts.sum()), bool), np.cumsum(counts) - counts
+        for some in anchors.batches_by_code(codes, counts, SORTED):
+            flags[spread(first[some], counts[some])] = np.concatenate(repeated_suffixes([texts[i] for i in some.tolist()], many[some], window))
+        ends = np.append(first, len(flags))[np.cumsum([len(x) // 4 for x in table.column("codes").to_pylist()])]
+        return pa.table({"chunk": table.column("chunk"), "grp": pa.array([-1 - g for g in table.column("grp").to_pylist()], pa.int64()), "bits": pa.array([pack_bits(x) for x in np.split(flags, ends[:-1])], pa.binary())})
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, n_words, spans, kept = [], [], [], []
-        by = dict(zip(answers.column("grp").to_pylist(), answers.column("deep").to_pylist()))
-        more = [pa.array([v for vs in rows.column(f"x{i}").to_pylist() for v in vs], ARROW[x]) for i, x in enumerate(kinds)]
-        for ids, sizes, body in zip(*(rows.column(c).to_pylist() for c in ("keys", "sizes", "body"))):
-            block, ends = unpack(body, np.array(sizes, np.int64))
-            words, counts, places, (group, path, many, leaf) = of(sizes, body)
-            cuts = np.append(np.flatnonzero(np.diff(group)) + 1, len(group)) if len(group) else np.zeros(0, np.int64)
-            begun = np.append(0, cuts[:-1]) if len(group) else cuts
-            deep = np.concatenate([unpack_bits(by[g], b - a) for g, a, b in zip(group[begun].tolist(), begun.tolist(), cuts.tolist())]) if len(group) else np.zeros(0, bool)
-            starts = places[(deep | (many > 1))[leaf]]
-            edge = np.zeros(int(counts.sum()) + window + 1, np.int64)
+        keys, totals, spans, kept = [], [], [], []
+        by = dict(zip(answers.column("grp").to_pylist(), answers.column("bits").to_pylist()))
+        for sizes, body in zip(*(rows.column(c).to_pylist() for c in ("sizes", "body"))):
+            w = of(sizes, body)
+            got, c = w.contents(by, groups)
+            flags, first = c.flags(by)
+            starts = spread(got.first, got.count)[flags[spread(first[c.of_piece], got.count)]]
+            edge = np.zeros(len(w.starts) + window + 1, np.int64)
             edge[starts] += 1
             edge[starts + window] -= 1
-            gone = np.cumsum(edge) > 0
-            at = 0
-            for k, w, n, size, end in zip(ids, words, counts.tolist(), sizes, ends.tolist()):
-                mask = gone[at : at + n]
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                keys.append(k)
-                n_words.append(n)
-                spans.append(turns.reshape(-1, 2).tolist())
-                whole = None if size < 0 else block[end - size : end]
-                kept.append(b" ".join(x for x, m in zip(w, mask.tolist()) if not m) if len(turns) else whole if as_is else b" ".join(w))
-                at += n
-        return pa.table([pa.array(keys, ARROW[kind]), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), *more], ["k", "n_words", "spans", "kept", *(f"x{i}" for i in range(len(kinds)))])
-
-    leaves = chunks.select("chunk", "sizes", "body").mapInArrow(deal, "chunk long, grp long, paths binary")
-    answers = leaves.groupBy("grp").applyInArrow(subtree, "chunk long, grp long, deep binary")
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_words long, spans array<array<long>>, kept binary" + "".join(f", x{i} {x}" for i, x in enumerate(kinds)))
+            gone = np.cumsum(edge)[: len(w.starts)] > 0
+            at, end = 0, 0
+            for n, size in zip(w.counts.tolist(), sizes):
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], gone[at : at + n].astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                whole = w.block[end : end + max(size, 0)]
+                totals.append(n)
+                spans.append(turns)
+                if turns or not as_is:
+                    bounds = [0, *(x for t in turns for x in t), n]  # words kept are those from each even place to the next
+                    parts = [w.block[w.starts[at + a] : w.stops[at + b - 1]].split() for a, b in zip(bounds[::2], bounds[1::2]) if a < b]
+                    kept.append(b" ".join(x for p in parts for x in p))
+                else:
+                    kept.append(None if size < 0 else whole)
+                at, end = at + n, end + max(size, 0)
+        flat = lambda c: rows.column(c).combine_chunks().flatten()
+        return pa.table([flat("keys"), pa.array(totals, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), *(flat(f"x{i}") for i in range(len(kinds)))], ["k", "n_words", "spans", "kept", *(f"x{i}" for i in range(len(kinds)))])
+
+    entries = chunks.select("chunk", "sizes", "body").mapInArrow(deal, anchors.ENTRY_SCHEMA)
+    marks = materialize(entries.groupBy("grp").applyInArrow(lambda table: anchors.mark(table, crowded), anchors.MARK_SCHEMA), "marks")
+    by_chunk = chunks.groupBy("chunk")
+    shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(ship, "chunk long, grp long, codes binary, sizes binary, many binary, body binary")
+    answers = marks.unionAll(shipped.groupBy("grp").applyInArrow(subtree, anchors.MARK_SCHEMA))
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_words long, spans array<array<long>>, kept binary" + "".join(f", x{i} {x}" for i, x in enumerate(kinds)))
     return out.select(F.col("k").alias(key), "n_words", "spans", F.col("kept").cast("string").alias("kept"), *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)))
 
 

@@ -2,57 +2,41 @@
 
 `Collection` inserts one symbol of every string each round (from the last to the first) into the
 sorted list of the suffixes so far. The transform and the common prefixes of neighbours are two
-sequential files that a round reads once and writes once. In the end, neighbours with a common prefix
+columns that a round reads from start to end and writes anew. In the end, neighbours with a common prefix
 of `window` bytes or more form the intervals of the suffix array in which a repeated string starts.
-
-Which strings are inserted. Every window of `window` bytes holds the least hash of its k-byte strings;
-places that are least in some window are anchors, and two equal windows have equal anchors at the
-same place. The segment of an anchor is all windows around it. Where a whole segment repeats one of
-an earlier document, that settles all its windows; where an anchor occurs with different segments, one
-copy of each goes into the collection, together with the others of that anchor. An anchor with more
-than `HOT` different segments is dealt by the hashes of its windows instead, so that no group
-holds more than its share. Segments are compared by 64-bit hashes, windows by their bytes.
-
-Defined results: documents are ordered by doc_id, null first, and rows that repeat a doc_id by text
-hash, each counting as a document of its own; a null or empty text has no bytes; an empty table
-gives an empty result; other columns never take part.
+The columns of a group are held in memory, not in external files: a group is bounded, and a scratch file
+would lie on the local disk of one machine, where a lost executor takes it along.
+
+Which strings are inserted. A round per byte of the longest document would be needed for whole texts. So
+windows meet through their anchors (the 30-byte string of least hash in each 50-byte window, see
+`anchors`): windows whose anchor occurs once in the table repeat nowhere, the others travel as pieces,
+runs of neighbouring windows with one anchor. Pieces that are equal, byte by byte, are one string; an anchor
+with different strings brings them all into the collection. Hashes only decide which strings meet.
+
+Defined results: order is by doc_id alone, so rows with equal doc_ids take nothing from each other; a null
+doc_id is neither smaller nor larger than any, so its row keeps all and no other row loses bytes for it; a
+null or empty text has no bytes; an empty table gives an empty result; other columns never take part.
+Keys may have any type with an order.
 """
 
 from __future__ import annotations
 
-import tempfile
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ARROW, pack, pack_bits, unpack, unpack_bits
-from .common import materialize
+from . import anchors
+from .chunks import SpanHash, pack, pack_bits, spread, unpack, volume
+from .common import materialize, worker_state
 
 GRAM = 30
 CHUNK_BYTES = 2 << 20
-#: Anchors in a group, about; different segments of an anchor from which its windows are dealt apart.
-GROUP_ANCHORS, HOT = 1_000_000, 5_000
-BASE = 0x9E3779B97F4A7C15
-
-
-class SequentialFile:
-    """A column on scratch storage, read from start to end and then written anew; nothing stays behind."""
-
-    def __init__(self, values: np.ndarray):
-        self.kind, self.file = values.dtype, tempfile.TemporaryFile()
-        self.write(values)
-
-    def read(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.frombuffer(self.file.read(), self.kind)
-
-    def write(self, values: np.ndarray) -> None:
-        self.file.seek(0)
-        self.file.truncate()
-        self.file.write(np.ascontiguousarray(values, self.kind).data)
+#: Bytes of the table to a group of strings, and windows of a group that are put into a collection at a time, about.
+GROUP_BYTES, INSERTED = 12_000_000, 400_000
 
 
 class RangeMin:
@@ -82,10 +66,9 @@ class Collection:
             return np.where(n < sizes[s], text[np.minimum(starts[s] + np.maximum(sizes[s] - n - 1, 0), len(text) - 1)].astype(kind) + kind(1), kind(0)).astype(kind)
 
         who = np.arange(m)
-        bwt, lcp = SequentialFile(before(who, 0)), SequentialFile(np.zeros(m, kind))
+        b, common = before(who, 0), np.zeros(m, kind)
         new, n = np.arange(m), 0
         while True:
-            b, common = bwt.read(), lcp.read()
             symbol = b[new]
             going = np.flatnonzero(symbol > 0)
             order = np.argsort(b, kind="stable")
@@ -117,9 +100,7 @@ class Collection:
 
             common = merged(common, up)
             common[to[nxt] + 1] = down
-            bwt.write(merged(b, before(who, n)))
-            lcp.write(common)
-            new = to
+            b, new = merged(b, before(who, n)), to
         # each suffix of n bytes leads to that of n + 1 bytes of its string
         rank = np.empty(len(b), np.int64)
         rank[order] = np.arange(len(b)) + m - ended
@@ -131,249 +112,172 @@ class Collection:
             at, who, n = rank[at[going]], who[going], n + 1
 
 
-def repeats(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each string a flag per window start: the window also starts in a string of a smaller document."""
-    if not len(starts):
-        return []
+def least_owner(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """For each window start of each string in turn, the least owner of a string that holds the window."""
+    count = np.maximum(sizes - window + 1, 0)
+    out = np.zeros(int(count.sum()), owner.dtype)
+    if not len(out):
+        return out
     c = Collection(text, starts, sizes)
     begun = np.flatnonzero(np.append(True, c.lcp[1:] < window))
-    doc = docs[c.string]
-    least = np.repeat(np.minimum.reduceat(doc, begun), np.diff(np.append(begun, len(doc))))
-    hit = np.flatnonzero((doc > least) & (c.length >= window))
-    count = np.maximum(sizes - window + 1, 0)
-    first = np.cumsum(count) - count
-    flags = np.zeros(int(count.sum()), bool)
+    own = owner[c.string]
+    least = np.repeat(np.minimum.reduceat(own, begun), np.diff(np.append(begun, len(own))))
+    hit = np.flatnonzero(c.length >= window)
     s = c.string[hit]
-    flags[first[s] + sizes[s] - c.length[hit]] = True
-    return np.split(flags, np.cumsum(count)[:-1])
-
-
-def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
-    """least of x[i .. i + n - 1]."""
-    size = 1
-    while size * 2 <= n:
-        x, size = least(x[: len(x) - size], x[size:]), size * 2
-    return least(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
-
-
-#: A random 64-bit value for each byte.
-BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64."""
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))]) for x in (BASE, pow(BASE, -1, 1 << 64)))
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    return x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(17))
-
-
-class Anchors:
-    """Anchors of the texts of a chunk, and their segments as entries: (group, anchor hash, segment hash)."""
-
-    def __init__(self, block: bytes, ends: np.ndarray, window: int, groups: int):
-        text = self.text = np.frombuffer(block, np.uint8)
-        n, width = len(text), window - GRAM + 1
-        powers, self.inverse = _powers(1 << max(21, n.bit_length()))
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(BYTES[text] * powers[:n], out=self.sums[1:])
-        self.at = self.doc = self.low = self.windows = np.zeros(0, np.int64)
-        group, short, segment = self.at, np.zeros(0, np.uint32), np.zeros(0, np.uint64)
-        if n >= window:
-            doc_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            gram = (_scramble((self.sums[GRAM:] - self.sums[: n - GRAM + 1]) * self.inverse[: n - GRAM + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            end = ends[doc_of]
-            low = np.where(np.arange(window, n + 1) <= end[: n - window + 1], _slide(gram, width, np.minimum), np.uint32(0))
-            pad = np.zeros(width - 1, np.uint32)
-            high = _slide(np.concatenate([pad, low, pad]), width, np.maximum)  # over the windows that hold the place
-            self.at = np.flatnonzero((gram == high[: len(gram)]) & (high[: len(gram)] > 0))
-            self.doc = doc_of[self.at]
-            self.low = np.maximum(np.concatenate([[0], ends[:-1]])[self.doc], self.at - width + 1)
-            self.windows = np.minimum(self.at, end[self.at] - window) - self.low + 1
-            h = self.hash(self.at, GRAM)
-            segment = self.hash(self.low, self.windows + window - 1)
-            segment = (segment ^ (self.at - self.low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(BASE) + self.windows.astype(np.uint64)
-            group, short = ((h >> np.uint64(1)) % np.uint64(groups)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((self.at, segment, short, group))
-        g, a, s = group[order], short[order], segment[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        self.first = order[new]  # the first anchor of each entry, in document order
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.group, self.short, self.segment = g[new], a[new], s[new]
-        self.cuts = np.flatnonzero(np.diff(self.group)) + 1
-        self.window = window
-
-    def hash(self, at: np.ndarray, size) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _scramble((self.sums[at + size] - self.sums[at]) * self.inverse[at])
-
-    def split(self, x: np.ndarray) -> list[np.ndarray]:
-        return np.split(x, self.cuts) if len(self.group) else []
-
-    def groups(self) -> np.ndarray:
-        return self.group[np.append(0, self.cuts)] if len(self.group) else self.group
-
-    def gather(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Two bits and a split bit of each entry, as a number."""
-        parts = [unpack_bits(answers[g], 3 * len(x)).reshape(3, -1) for g, x in zip(self.groups().tolist(), self.split(self.short))]
-        return (np.concatenate(parts, 1) if parts else np.zeros((3, 0), bool)).astype(bool)
-
-    def strings(self, mixed: np.ndarray, apart: np.ndarray, groups: int):
-        """What goes into the collection: start, size and group of each string, and for each window of a dealt-out entry its string and whether its first is in another document."""
-        whole = np.flatnonzero(mixed & ~apart)
-        a = self.first[whole]
-        start, size, group = self.low[a], self.windows[a] + self.window - 1, self.group[whole]
-        one = self.first[np.flatnonzero(mixed & apart)]
-        many = self.windows[one]
-        places = np.repeat(self.low[one], many) + (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
-        h = self.hash(places, self.window)
-        lead = back = places
-        if len(h):  # np.unique gives the first of equal hashes: by ascending places, that of the smallest document
-            by = np.argsort(places, kind="stable")
-            _, lead, ranked = np.unique(h[by], return_index=True, return_inverse=True)
-            back = np.empty(len(h), np.int64)
-            back[by] = ranked
-            lead = by[lead]
-        start = np.concatenate([start, places[lead]]) if len(h) else start
-        size = np.concatenate([size, np.full(len(lead), self.window)]) if len(h) else size
-        group = np.concatenate([group, (h[lead] % np.uint64(groups)).astype(np.int64) + groups]) if len(h) else group
-        order = np.argsort(group, kind="stable")
-        return whole, places, back + len(whole) if len(h) else back, start, size, group, order
-
-
-def removed_bytes(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """key, n_bytes, spans (array of first byte and byte after the last of each removed run) and kept (the other bytes)."""
-    chunks = pack(docs, True, chunk_bytes, key, text)
+    out[(np.cumsum(count) - count)[s] + sizes[s] - c.length[hit]] = least[hit]
+    return out
+
+
+def earlier(texts: list[bytes], codes: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """For each window of each string in turn: does it occur in a string of smaller rank. Strings with different codes share no window."""
+    number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    alike = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+    distinct, sizes = list(number), np.fromiter(map(len, number), np.int64, len(number))
+    owner, code = np.full(len(distinct), np.iinfo(np.int64).max), np.zeros(len(distinct), np.uint32)
+    np.minimum.at(owner, alike, rank)
+    code[alike] = codes
+    _, kind, many = np.unique(code, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(many[kind] > 1)  # an anchor's only string is compared with nothing but its copies
+    count = sizes - window + 1
+    first = np.cumsum(count) - count
+    least = np.repeat(owner, count)
+    some = sizes[mixed]
+    least[spread(first[mixed], count[mixed])] = least_owner(np.frombuffer(b"".join([distinct[i] for i in mixed.tolist()]), np.uint8), np.cumsum(some) - some, some, owner[mixed], window)
+    return least[spread(first[alike], count[alike])] < np.repeat(rank, count[alike])
+
+
+class Bytes:
+    """The bytes of a chunk's documents with a key, and the runs of their windows."""
+
+    def __init__(self, block: bytes, ends: np.ndarray, keyed: np.ndarray, window: int, groups: int, bits: int = 64):
+        self.block, self.window = block, window
+        self.text = np.frombuffer(block, np.uint8)
+        self.hash = SpanHash(self.text, bits)
+        n = max(0, len(block) - window + 1)
+        at = np.arange(max(0, len(block) - GRAM + 1))
+        valid = np.zeros(n, bool)
+        begin = np.concatenate([[0], ends[:-1]])
+        edge = np.zeros(len(block) + 1, np.int64)
+        here = keyed & (ends - begin >= window)
+        np.add.at(edge, begin[here], 1)
+        np.add.at(edge, ends[here] - window + 1, -1)
+        valid = np.cumsum(edge)[:n] > 0
+        grams = self.hash(at, at + GRAM)
+        if bits < 64:
+            grams = grams << np.uint64(64 - bits)
+        self.runs = anchors.runs(grams, valid)
+        self.entries = anchors.Entries(self.runs, groups)
+        self.ends = ends
+
+    def text_of(self, first: int, count: int) -> bytes:
+        return self.block[first : first + count + self.window - 1]
+
+    def contents(self, by: dict[int, bytes], groups: int) -> tuple[anchors.Pieces, anchors.Contents, np.ndarray]:
+        """The pieces, their contents, and the document of each piece."""
+        got = anchors.pieces(self.runs, self.entries, by, lambda at: self.hash(at, at + self.window), groups)
+        return got, anchors.Contents(got, self.text_of), np.searchsorted(self.ends, got.first, "right")
+
+
+def _ranks(keys: pa.Array) -> np.ndarray:
+    """Dense ranks of keys by their order (null: 0)."""
+    return np.where(np.asarray(pc.is_null(keys)), 0, pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)) if len(keys) else np.zeros(0, np.int64)
+
+
+def removed_bytes(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, crowded: int = anchors.CROWDED, bits: int = 64) -> DataFrame:
+    """key, n_bytes, spans (array of first byte and byte after the last of each removed run) and kept (the other bytes). `bits` of all hashes are used (fewer in tests)."""
+    chunks = pack(docs, chunk_bytes, key, text)
     kind = docs.schema[key].dataType.simpleString()
-    volume = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
-    groups = max(8, volume * 2 // (window - GRAM + 2) // GROUP_ANCHORS + 1)
-    names = ("chunk", "keys", "sizes", "body")
+    n_bytes = volume(chunks)
+    gram_groups, groups = max(16, n_bytes // 11 // anchors.GROUP_GRAMS + 1), max(48, n_bytes // GROUP_BYTES + 1)
+    names = ("chunk", "sizes", "body")
 
     def rows_of(table):
-        for chunk, keys, sizes, body in zip(*(table.column(c).to_pylist() for c in names)):
+        keys = table.column("keys")
+        keys = (keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys).flatten()
+        at = 0
+        for chunk, sizes, body in zip(*(table.column(c).to_pylist() for c in names)):
+            mine = keys.slice(at, len(sizes))
+            at += len(sizes)
             block, ends = unpack(body, np.array(sizes, np.int64))
-            yield chunk, keys, sizes, ends, Anchors(block, ends, window, groups)
+            yield chunk, mine, sizes, ends, Bytes(block, ends, np.asarray(pc.is_valid(mine)), window, gram_groups, bits)
 
     def deal(batches):
+        worker_state(None, None)
         for batch in batches:
-            for chunk, _, _, _, a in rows_of(batch):
-                short, segment = ([x.tobytes() for x in a.split(y)] for y in (a.short, a.segment))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(short), pa.int64()), pa.array(a.groups(), pa.int64()), pa.array(short, pa.binary()), pa.array(segment, pa.binary())], ["chunk", "grp", "short", "segment"])
-
-    def settle(table: pa.Table) -> pa.Table:
-        """Per entry: an earlier chunk has the segment; the anchor has different segments (for their first); it has very many."""
-        table = table.sort_by("chunk")
-        short = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
-        ends = np.cumsum([len(x) for x in short])
-        s, g = np.concatenate(short), np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("segment").to_pylist()])
-        order = np.lexsort((g, s))  # stable, so in the order of the chunks within equal ones
-        s, g = s[order], g[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        owner = new.copy()
-        owner[1:] |= g[1:] != g[:-1]
-        begun = np.flatnonzero(new)
-        owners = np.repeat(np.add.reduceat(owner.astype(np.int64), begun), np.diff(np.append(begun, len(s))))
-        bits = np.empty((3, len(s)), bool)
-        bits[0, order], bits[1, order], bits[2, order] = ~owner, owner & (owners > 1), owners > hot
-        return pa.table({"chunk": table.column("chunk"), "grp": table.column("grp"), "bits": pa.array([pack_bits(x.ravel()) for x in np.split(bits, ends[:-1], 1)], pa.binary())})
-
-    def ship(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"chunk": [], "grp": [], "docs": [], "sizes": [], "text": []}
-        by = dict(zip(answers.column("grp").to_pylist(), answers.column("bits").to_pylist()))
-        for chunk, _, _, ends, a in rows_of(rows):
-            _, mixed, apart = a.gather(by)
-            _, _, _, start, size, group, order = a.strings(mixed, apart, groups)
-            for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+            for at in range(batch.num_rows):
+                for chunk, _, _, _, b in rows_of(batch.slice(at, 1)):
+                    yield b.entries.batch(chunk)
+
+    def ship(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        out, owners = {c: [] for c in ("chunk", "grp", "codes", "sizes", "body")}, []
+        by = dict(zip(marks.column("grp").to_pylist(), marks.column("bits").to_pylist()))
+        for chunk, keys, _, _, b in rows_of(rows):
+            _, c, doc = b.contents(by, groups)
+            lead = first_docs(c, doc, _ranks(keys))
+            for x, y in c.spans:
                 out["chunk"].append(chunk)
-                out["grp"].append(int(group[part[0]]))
-                out["docs"].append(np.searchsorted(ends, start[part], "right").astype(np.int32).tobytes())
-                out["sizes"].append(size[part].astype(np.int32).tobytes())
-                out["text"].append(b"".join(a.text[x : x + n].tobytes() for x, n in zip(start[part].tolist(), size[part].tolist())))
-        return pa.table([pa.array(out["chunk"], pa.int64()), pa.array(out["grp"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("docs", "sizes", "text"))], list(out))
+                out["grp"].append(int(c.grp[x]))
+                out["codes"].append(c.code[x:y].tobytes())
+                out["sizes"].append(c.count[x:y].astype(np.int32).tobytes())
+                out["body"].append(zstandard.ZstdCompressor(1).compress(b"".join(c.texts[x:y])))
+                owners.append(keys.take(pa.array(lead[x:y])))
+        ends = np.cumsum([0, *map(len, owners)], dtype=np.int32)
+        values = pa.concat_arrays(owners) if owners else pa.array([], rows.schema.field("keys").type.value_type)
+        return pa.table([pa.array(out["chunk"], pa.int64()), pa.array(out["grp"], pa.int64()), *(pa.array(out[x], pa.binary()) for x in ("codes", "sizes", "body")), pa.ListArray.from_arrays(pa.array(ends), values)], [*out, "owners"])
 
     def collect(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("sizes").to_pylist()]
-        every = np.concatenate(sizes)
-        # documents are numbered by chunk, then by place in the chunk
-        docs = np.concatenate([np.frombuffer(x, np.int32).astype(np.int64) + (i << 32) for i, x in enumerate(table.column("docs").to_pylist())])
-        flags = repeats(np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8), np.cumsum(every) - every, every, docs, window)
-        ends = np.cumsum([len(x) for x in sizes])
-        bits = [pack_bits(np.concatenate(flags[a:b])) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        return pa.table({"chunk": table.column("chunk"), "grp": pa.array([-1 - g for g in table.column("grp").to_pylist()], pa.int64()), "bits": pa.array(bits, pa.binary())})
+        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        codes, counts = join("codes", np.uint32), join("sizes", np.int32).astype(np.int64)
+        rank = _ranks(table.column("owners").combine_chunks().flatten())
+        text = b"".join(zstandard.ZstdDecompressor().decompress(raw) for raw in table.column("body").to_pylist())
+        ends, first = np.cumsum(counts + window - 1), np.cumsum(counts) - counts
+        flags = np.zeros(int(counts.sum()), bool)
+        for some in anchors.batches_by_code(codes, counts, INSERTED):
+            flags[spread(first[some], counts[some])] = earlier([text[b - n - window + 1 : b] for b, n in zip(ends[some].tolist(), counts[some].tolist())], codes[some], rank[some], window)
+        cuts = np.append(first, len(flags))[np.cumsum([len(x) // 4 for x in table.column("codes").to_pylist()])]
+        return pa.table({"chunk": table.column("chunk"), "grp": pa.array([-1 - g for g in table.column("grp").to_pylist()], pa.int64()), "bits": pa.array([pack_bits(x) for x in np.split(flags, cuts[:-1])], pa.binary())})
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
         by = dict(zip(answers.column("grp").to_pylist(), answers.column("bits").to_pylist()))
-        out_keys, n_bytes, spans, kept = [], [], [], []
-        for _, keys, sizes, ends, a in rows_of(rows):
-            earlier, mixed, apart = a.gather(by)
-            whole, places, back, start, size, group, order = a.strings(mixed, apart, groups)
-            edge = np.zeros(len(a.text) + window + 1, np.int64)
-
-            def cover(at, count):
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + count - 1 + window, -1)
-
-            # a segment that an earlier chunk or an earlier document here has
-            same = earlier[a.entry] | (a.doc > a.doc[a.first][a.entry]) if len(a.entry) else np.zeros(0, bool)
-            cover(a.low[same], a.windows[same])
-            count = size - window + 1
-            found = np.zeros(int(count.sum()), bool)
-            first = np.cumsum(count) - count
-            for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-                n = count[part]
-                at = np.repeat(first[part], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-                found[at] = unpack_bits(by[-1 - int(group[part[0]])], int(n.sum()))
-            # strings are windows of the first anchor of their entry; other anchors of it in the same document share the answer
-            where = np.full(len(a.group), -1, np.int64)
-            where[whole] = np.arange(len(whole))
-            users = np.flatnonzero(~same & (where[a.entry] >= 0)) if len(a.entry) else np.zeros(0, np.int64)
-            n = a.windows[users]
-            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            hit = found[np.repeat(first[where[a.entry[users]]], n) + k] if len(users) else np.zeros(0, bool)
-            at = (np.repeat(a.low[users], n) + k)[hit]
-            cover(at, np.ones(len(at), np.int64))
-            if len(places):  # windows dealt apart, for every anchor of their entries that isn't settled
-                cover_at = places[found[first[back]] | (np.searchsorted(ends, places, "right") > np.searchsorted(ends, start[back], "right"))]
-                cover(cover_at, np.ones(len(cover_at), np.int64))
-                others = np.flatnonzero(~same & (mixed & apart)[a.entry])
-                others = others[a.first[a.entry[others]] != others]
-                if len(others):
-                    lead = dict(zip(places.tolist(), (found[first[back]] | (np.searchsorted(ends, places, "right") > np.searchsorted(ends, start[back], "right"))).tolist()))
-                    for i in others.tolist():
-                        from_ = int(a.low[a.first[a.entry[i]]])
-                        for t in range(int(a.windows[i])):
-                            if lead[from_ + t]:
-                                cover(np.array([a.low[i] + t]), np.ones(1, np.int64))
-            gone = np.cumsum(edge)[: len(a.text)] > 0
+        spans, kept, n_bytes = [], [], []
+        for _, keys, sizes, ends, b in rows_of(rows):
+            got, c, doc = b.contents(by, groups)
+            rank = _ranks(keys)
+            flags, first = c.flags(by)
+            hit = flags[spread(first[c.of_piece], got.count)]
+            if len(got.first):  # a smaller document of the same chunk has the piece
+                hit |= np.repeat(rank[doc] > rank[first_docs(c, doc, rank)][c.of_piece], got.count)
+            starts = spread(got.first, got.count)[hit]
+            edge = np.zeros(len(b.text) + window + 1, np.int64)
+            edge[starts] += 1
+            edge[starts + window] -= 1
+            gone = np.cumsum(edge)[: len(b.text)] > 0
             begin = 0
-            for k_, n_, end in zip(keys, sizes, ends.tolist()):
+            for size, end in zip(sizes, ends.tolist()):
                 mask = gone[begin:end]
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2)
-                out_keys.append(k_)
-                n_bytes.append(max(n_, 0))
-                spans.append(turns.tolist())
-                kept.append(a.text[begin:end][~mask].tobytes())
+                spans.append(np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2).tolist())
+                n_bytes.append(max(size, 0))
+                kept.append(b.text[begin:end][~mask].tobytes() if spans[-1] else b.block[begin:end])
                 begin = end
-        return pa.table([pa.array(out_keys, ARROW[kind]), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["k", "n_bytes", "spans", "kept"])
-
-    anchors = chunks.mapInArrow(deal, "chunk long, grp long, short binary, segment binary")
-    settled = materialize(anchors.groupBy("grp").applyInArrow(settle, "chunk long, grp long, bits binary"), "settled")
-    shipped = chunks.groupBy("chunk").cogroup(settled.groupBy("chunk")).applyInArrow(ship, "chunk long, grp long, docs binary, sizes binary, text binary")
-    collected = shipped.groupBy("grp").applyInArrow(collect, "chunk long, grp long, bits binary")
-    answers = settled.unionAll(collected)
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_bytes long, spans array<array<long>>, kept binary")
+        return pa.table([rows.column("keys").combine_chunks().flatten(), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["k", "n_bytes", "spans", "kept"])
+
+    entries = chunks.mapInArrow(deal, anchors.ENTRY_SCHEMA)
+    marks = materialize(entries.groupBy("grp").applyInArrow(lambda table: anchors.mark(table, crowded), anchors.MARK_SCHEMA), "marks")
+    by_chunk = chunks.groupBy("chunk")
+    shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(ship, f"chunk long, grp long, codes binary, sizes binary, body binary, owners array<{kind}>")
+    answers = marks.unionAll(shipped.groupBy("grp").applyInArrow(collect, anchors.MARK_SCHEMA))
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_bytes long, spans array<array<long>>, kept binary")
     return out.withColumnRenamed("k", key)
 
 
+def first_docs(c: anchors.Contents, doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each content, the document of least rank among those of its pieces."""
+    order = np.argsort(rank[doc], kind="stable")[::-1]
+    out = np.zeros(len(c.texts), np.int64)
+    out[c.of_piece[order]] = doc[order]
+    return out
+
+
 def removal_table(docs: DataFrame, window: int = 50) -> DataFrame:
     out = removed_bytes(docs.select("doc_id", "text"), window)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))

@@ -216,37 +216,59 @@ def test_quality_counts(docs):
     assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(i for i, r in by.items() if r.kept)
 
 
-@pytest.mark.parametrize("chunk_bytes", [8 << 20, 900])
-def test_substring_removal(docs, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "crowded", "bits"), [(2 << 20, 2000, 64), (900, 2000, 64), (2 << 20, 1, 64), (900, 1, 64), (900, 2000, 4), (900, 1, 4)])
+def test_substring_removal(docs, chunk_bytes, crowded, bits):
+    """Also where all hashes have 4 bits, so that different windows meet, and where every anchor is crowded."""
     c = Counter(tuple(w[j : j + 35]) for _, t in TEXTS for w in [words(t)] for j in range(len(w) - 34))
     want = {}
     for i, t in TEXTS:
         w = words(t)
         gone = {j + k for j in range(len(w) - 34) if c[tuple(w[j : j + 35])] > 1 for k in range(35)}
         want[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
-    out = substring_trees.repeated_words(docs, chunk_bytes=chunk_bytes).collect()
+    out = substring_trees.repeated_words(docs, chunk_bytes=chunk_bytes, crowded=crowded, bits=bits).collect()
     assert {r.doc_id: (r.n_words, sum(b - a for a, b in r.spans), r.kept) for r in out} == want
     assert want[3][1] == 60 and want[12][1] == 120
+
+
+def test_substring_extras(docs):
     as_is = {r.doc_id: r for r in substring_trees.repeated_words(docs, extra=("lang", "n_chars"), as_is=True).collect()}
     assert as_is[8].kept == TEXTS[8][1] and as_is[5].kept is None and as_is[3].lang is None and as_is[9].n_chars == len(TEXTS[9][1])
 
 
-@pytest.mark.parametrize(("chunk_bytes", "hot"), [(2 << 20, 5000), (600, 5000), (2 << 20, 1), (600, 1)])
-def test_suffix_array_removal(docs, chunk_bytes, hot):
-    first, want = {}, {}
-    for i, t in TEXTS:
+def lost_bytes(rows, window=50):
+    """By brute force: the bytes of each row that are covered by a window which starts in a row of smaller id."""
+    first = {}
+    for i, t in rows:
         b = (t or "").encode()
-        for j in range(len(b) - 49):
-            first.setdefault(b[j : j + 50], i)
-    for i, t in TEXTS:
+        for j in range(len(b) - window + 1):
+            if i is not None:
+                first[b[j : j + window]] = min(i, first.get(b[j : j + window], i))
+    out = []
+    for i, t in rows:
         b = (t or "").encode()
         mask = np.zeros(len(b), bool)
-        for j in range(len(b) - 49):
-            if first[b[j : j + 50]] < i:
-                mask[j : j + 50] = True
-        want[i] = (len(b), int(mask.sum()), np.frombuffer(b, np.uint8)[~mask].tobytes())
-    out = suffix_array.removed_bytes(docs, chunk_bytes=chunk_bytes, hot=hot).collect()
-    assert {r.doc_id: (r.n_bytes, sum(b - a for a, b in r.spans), bytes(r.kept)) for r in out} == want
+        for j in range(len(b) - window + 1):
+            if i is not None and first[b[j : j + window]] < i:
+                mask[j : j + window] = True
+        out.append((i, len(b), int(mask.sum()), np.frombuffer(b, np.uint8)[~mask].tobytes()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("chunk_bytes", "crowded", "bits"), [(2 << 20, 2000, 64), (600, 2000, 64), (2 << 20, 1, 64), (600, 1, 64), (600, 2000, 4), (600, 1, 4)])
+def test_suffix_array_removal(docs, chunk_bytes, crowded, bits):
+    out = suffix_array.removed_bytes(docs, chunk_bytes=chunk_bytes, crowded=crowded, bits=bits).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(b - a for a, b in r.spans), bytes(r.kept)) for r in out), key=repr) == lost_bytes(TEXTS)
+
+
+@pytest.mark.parametrize("chunk_bytes", [2 << 20, 200])
+def test_suffix_array_equal_and_null_ids(spark, chunk_bytes):
+    """Only a smaller id takes bytes: equal ids, and rows without one, lose nothing to each other."""
+    rows = [(1, PASSAGE[:104]), (1, PASSAGE[:104]), (None, PASSAGE[:104]), (None, PASSAGE[:104]), (2, "x" + PASSAGE[:80]), (2, PASSAGE[:80]), (0, prose(30, 77))]
+    out = suffix_array.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()
+    got_ = sorted(((r.doc_id, r.n_bytes, sum(b - a for a, b in r.spans), bytes(r.kept)) for r in out), key=repr)
+    assert got_ == lost_bytes(rows) and [x[2] for x in got_ if x[0] == 1] == [0, 0]
+    named = suffix_array.removed_bytes(spark.createDataFrame([(None if i is None else f"k{i}", t) for i, t in rows], "doc_id string, text string"), chunk_bytes=chunk_bytes).collect()
+    assert sorted((r.n_bytes, sum(b - a for a, b in r.spans)) for r in named) == sorted(x[1:3] for x in got_)
 
 
 @pytest.mark.parametrize("block_rows", [1500, 3])

@@ -10,8 +10,8 @@ P = pytest.importorskip("public_tokenizers")
 
 from sparkloom.llm import language, simhash, suffix_array, token_files  # noqa: E402
 from sparkloom.llm.bpe import MatrixBPE, Remembered, TextEncoder, load_ranks  # noqa: E402
-from sparkloom.llm.chunks import pack_bits, rolling, unpack_bits  # noqa: E402
-from sparkloom.llm.substring_trees import deep_nodes  # noqa: E402
+from sparkloom.llm.chunks import pack_bits, rolling, unpack_bits, word_spans  # noqa: E402
+from sparkloom.llm.substring_trees import repeated_suffixes  # noqa: E402
 from sparkloom.llm.token_counts import PieceCounts, TokenTree  # noqa: E402
 
 
@@ -92,21 +92,40 @@ def test_collection_is_the_suffix_array():
         assert suffixes == sorted(suffixes)
         common = lambda x, y: next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
         assert c.lcp[1:].tolist() == [common(x, y) for x, y in zip(suffixes, suffixes[1:])]
-        flags = suffix_array.repeats(text, np.cumsum(sizes) - sizes, sizes, docs, w)
-        for i, s in enumerate(strings):
-            assert flags[i].tolist() == [any(docs[k] < docs[i] and s[j : j + w] in strings[k] for k in range(len(strings))) for j in range(len(s) - w + 1)]
-    assert suffix_array.repeats(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 3) == []
+        flags = suffix_array.earlier(strings, np.zeros(len(strings), np.uint32), docs, w)
+        assert flags.tolist() == [any(docs[k] < docs[i] and s[j : j + w] in strings[k] for k in range(len(strings))) for i, s in enumerate(strings) for j in range(len(s) - w + 1)]
 
 
-def test_anchors_meet_in_equal_windows():
+def test_subtree_compares_words():
+    rng = random.Random(8)
+    for _ in range(100):
+        texts = [" ".join(rng.choice(["a", "b", "ab"]) for _ in range(rng.randint(3, 30))).encode() for _ in range(rng.randint(1, 8))]
+        all_ = [tuple(w[i : i + 3]) for t in texts for w in [t.split()] for i in range(len(w) - 2)]
+        got = [x for f in repeated_suffixes(texts, np.ones(len(texts)), 3) for x in f.tolist()]
+        assert got == [all_.count(x) > 1 for x in all_]
+
+
+def test_word_spans():
+    rng = random.Random(9)
+    for _ in range(100):
+        texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r\x1cé") for _ in range(rng.choice([0, 1, 9]))).encode() for _ in range(rng.randint(0, 6))]
+        block, ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
+        starts, stops, doc = word_spans(np.frombuffer(block, np.uint8), ends)
+        assert [(d, block[a:b]) for a, b, d in zip(starts, stops, doc)] == [(d, w) for d, t in enumerate(texts) for w in t.split()]
+
+
+@pytest.mark.parametrize("bits", [64, 4])
+def test_equal_windows_have_equal_anchors(bits):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcdef ") for _ in range(90))
     texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 200))) + passage + "x" * rng.randint(0, 40) for _ in range(6)]
-    block = "".join(texts).encode()
-    a = suffix_array.Anchors(block, np.cumsum([len(t) for t in texts]), 50, 8)
-    at = [{(int(x) - block.index(passage.encode(), sum(map(len, texts[:d])))) for x, dd in zip(a.at, a.doc) if dd == d} for d in range(6)]
-    inner = [{p for p in s if 31 <= p <= 40} for s in at]
-    assert all(x == inner[0] for x in inner) and any(at[0])
+    block, ends = "".join(texts).encode(), np.cumsum([len(t) for t in texts])
+    b = suffix_array.Bytes(block, ends, np.ones(6, bool), 50, 8, bits)
+    gram = {}
+    for first, count, g in zip(b.runs.first.tolist(), b.runs.count.tolist(), b.runs.gram.tolist()):
+        for at in range(first, first + count):
+            assert gram.setdefault(block[at : at + 50], g) == g
+    assert len(gram) == len({t[i : i + 50] for t in texts for i in range(len(t) - 49)})
 
 
 def test_rolling_and_bits():
@@ -115,7 +134,6 @@ def test_rolling_and_bits():
     assert len(h[3]) == 6 and h[3][0] == h[3][4] and h[2][0] == h[2][4] and h[3][1] != h[3][5 - 1]
     flags = np.random.default_rng(0).random(77) > 0.5
     assert (unpack_bits(pack_bits(flags), 77) == flags).all()
-    assert deep_nodes(np.array([5, 3, 5, 9], np.uint64)).tolist() == [True, False, True, False]
 
 
 def test_pigeonring_budgets():
