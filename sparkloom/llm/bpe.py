@@ -3,12 +3,13 @@
 Pieces are put into buckets by byte length, one padded matrix of token ids per bucket. Each round,
 every row merges its leftmost pair of least rank; pair ranks come from an open-addressing hash table
 that is probed for whole columns at once. Rows without a pair left leave the matrix (compaction).
-Pieces beyond `LONGEST` bytes follow the same rule with a heap, since a matrix would take time
-in the square of their length.
+Pieces beyond `LONGEST` bytes are matrices of one row. A round there takes all places of the least rank
+from left to right, as long as no pair that a merge makes has a lower rank, so the outcome is that of one
+merge a round; the columns that are merged away leave the row.
 
-Texts are cut before each single space that a non-space follows; the pre-token pattern always has a
-boundary there, so the cut parts can be encoded (and remembered) apart. Texts where a space is
-followed by white space are cut into pre-tokens at once.
+With a pattern of `SPACE_CUT`, texts are cut before each single space that a non-space follows, where such
+a pattern always has a boundary; the cut parts are encoded (and remembered) apart. Texts where a space
+is followed by white space, and all texts under other patterns, are cut into pre-tokens at once.
 
 Defined results: a null or empty text has no ids and decodes to b""; repeated rows each get their
 row; other columns never take part.
@@ -17,10 +18,9 @@ row; other columns never take part.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 LONGEST = 256
 #: Upper byte lengths of the buckets.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, LONGEST)
 #: Parts of a generation that a worker remembers, about.
 REMEMBER = 250_000
 NONE = np.int32(2**31 - 1)
+#: Public pre-token patterns that begin a match at every single space before a non-space, and look at most two characters beyond the end of a match.
+SPACE_CUT = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+)
 #: A space before any kind of white space, or the mark of `parts_of`: such texts are cut into pre-tokens at once.
 UNCLEAR = re.compile("\\0|[ ][\\s\u180e\u200b\ufeff]")
 
@@ -54,7 +61,6 @@ class PairTable:
                 if left is not None and right is not None:
                     keys.append(left << 32 | right)
                     values.append(rank)
-        self.known = dict(zip(keys, values))
         size = 1 << max(4, (4 * len(keys)).bit_length())
         self.mask, self.keys, self.values = size - 1, np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
         left = np.array(keys, np.int64)
@@ -94,7 +100,7 @@ class PairTable:
 class MatrixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.whole = {token: int(i).to_bytes(4, "little") for token, i in ranks.items()}
-        self.pairs = PairTable(ranks)
+        self.pairs, self.names = PairTable(ranks), token_bytes(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.bucket_of = [next(n for n, top in enumerate(BUCKETS) if size <= top) for size in range(LONGEST + 1)]
 
@@ -157,25 +163,34 @@ class MatrixBPE:
             rank[left, at[left] - 1] = self.pairs.ranks(ids[left, at[left] - 1], best[left])
 
     def _long(self, piece: bytes) -> bytes:
-        known = self.pairs.known
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(known[k], i, i + 1) for i in range(n - 1) if (k := ids[i] << 32 | ids[i + 1]) in known]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            rank, i, j = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and after[i] == j) or known.get(ids[i] << 32 | ids[j]) != rank:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := known.get(ids[i] << 32 | ids[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i, after[i]))
-            if (p := before[i]) >= 0 and (r := known.get(ids[p] << 32 | ids[i])) is not None:
-                heapq.heappush(heap, (r, p, i))
-        return np.array([x for x, a in zip(ids, alive) if a], "<i4").tobytes()
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.ranks(ids[:-1], ids[1:])
+        while len(rank):
+            best = rank.min()
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1 and (np.diff(at) == 1).any():  # of places that overlap (aaa), every other from the left
+                run = np.cumsum(np.concatenate([[0], np.diff(at) != 1]))
+                at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            merged = np.full(len(at), best, np.int32)
+            # the pairs that each merge makes, one after the other from the left: with what is before it (merged or not), and with what is after it (not merged yet)
+            prev = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)
+            prev[1:][at[1:] - at[:-1] == 2] = best
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            lower = np.minimum(self.pairs.ranks(prev.astype(np.int32), merged), self.pairs.ranks(merged, after.astype(np.int32))) < best
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = best
+            ids = ids[keep]
+            rank = np.append(rank, NONE)[keep][:-1]
+            to = at - np.arange(len(at))  # where the merged ones are now
+            for near in (to - 1, to):
+                near = near[(near >= 0) & (near < len(rank))]
+                rank[near] = self.pairs.ranks(ids[near], ids[near + 1])
+        return ids.astype("<i4").tobytes()
 
 
 def parts_of(text: str, findall) -> list[str]:
@@ -216,6 +231,7 @@ class TextEncoder:
         import regex
 
         self.bpe, self.findall, self.parts = bpe, regex.compile(pattern).findall, Remembered()
+        self.cut = parts_of if pattern in SPACE_CUT else lambda text, findall: ["\0" + x for x in findall(text)]
 
     def learn(self, parts: list[str]) -> None:
         tokens = list(map(self.findall, map(part, parts)))
@@ -223,36 +239,38 @@ class TextEncoder:
         ids = dict(zip(pieces, self.bpe.encode([p.encode() for p in pieces])))
         self.parts.young.update((x, ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])) for x, ts in zip(parts, tokens))
 
+    def values(self, texts: list[str | None]) -> tuple[list[str], list, list[int]]:
+        """The parts of all texts, what is remembered of each, and how many each text has."""
+        cut = [self.cut(x, self.findall) if x else [] for x in texts]
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.parts.young.get, flat))
+        lost = {x for x, y in zip(flat, found) if y is None}
+        if lost:
+            new = self.parts.missing(lost)
+            self.learn(new)
+            young = self.parts.young
+            found = [young[x] if y is None else y for x, y in zip(flat, found)]
+            for x in new:
+                if len(x) > 200:
+                    del young[x]
+        return flat, found, list(map(len, cut))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [parts_of(x, self.findall) if x else [] for x in texts]
-        every: set[str] = set()
-        for parts in cut:
-            every.update(parts)
-        new = self.parts.missing(every)
-        self.learn(new)
-        get = self.parts.young.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        for x in new:
-            if len(x) > 200:
-                del self.parts.young[x]
+        _, found, sizes = self.values(texts)
+        out, at = [], 0
+        for n in sizes:
+            out.append(b"".join(found[at : at + n]))
+            at += n
         return out
 
 
-@lru_cache(maxsize=1)
-def matrix_bpe(vocabulary: str) -> MatrixBPE:
-    """Kept by a Python worker from task to task."""
-    return MatrixBPE(load_ranks(vocabulary))
-
-
-@lru_cache(maxsize=1)
 def text_encoder(vocabulary: str, pattern: str) -> TextEncoder:
-    return TextEncoder(matrix_bpe(vocabulary), pattern)
+    return worker_state(("text", vocabulary, pattern), lambda: TextEncoder(MatrixBPE(load_ranks(vocabulary)), pattern))
 
 
-@lru_cache(maxsize=1)
-def token_bytes(vocabulary: str) -> tuple[list[bytes], np.ndarray]:
+def token_bytes(ranks: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
     """The bytes of each id and their number."""
-    names = {i: t for t, i in load_ranks(vocabulary).items()}
+    names = {i: t for t, i in ranks.items()}
     table = [names.get(i, b"") for i in range(max(names, default=-1) + 1)]
     return table, np.array([len(x) for x in table], np.int64)
 
@@ -286,9 +304,8 @@ def encode_table(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(lambda batches: encode_batches(batches, vocabulary, pattern), f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
-def decode(ids: pa.Array, vocabulary: str) -> pa.Array:
-    """The bytes of each list of ids."""
-    table, size = token_bytes(vocabulary)
+def decode(ids: pa.Array, table: list[bytes], size: np.ndarray) -> pa.Array:
+    """The bytes of each list of ids, from `token_bytes`."""
     flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
     raw = b"".join(map(table.__getitem__, flat.tolist()))
     cuts = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], ends])].tolist()
@@ -300,10 +317,11 @@ def decode_table(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> Da
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
+        names = worker_state(("bytes", vocabulary), lambda: token_bytes(load_ranks(vocabulary)))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([some.column("k"), decode(some.column("ids"), vocabulary)], ["k", "bytes"])
+                yield pa.RecordBatch.from_arrays([some.column("k"), decode(some.column("ids"), *names)], ["k", "bytes"])
 
     return encoded.selectExpr(f"`{key}` k", "ids").mapInArrow(run, f"k {kind}, bytes binary").withColumnRenamed("k", key)
 
@@ -313,8 +331,9 @@ def round_trip_table(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        names = text_encoder(vocabulary, pattern).bpe.names
         for batch in encode_batches(batches, vocabulary, pattern):
-            yield pa.RecordBatch.from_arrays([*batch.columns, decode(batch.column("ids"), vocabulary)], ["k", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode(batch.column("ids"), *names)], ["k", "ids", "bytes"])
 
     return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, ids array<int>, bytes binary").withColumnRenamed("k", key)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MatrixBPE, Remembered, matrix_bpe, small_steps
+from .bpe import MatrixBPE, Remembered, load_ranks, small_steps
 
 BLOCK = 64
 #: A match of the pre-token pattern looks at most so many characters beyond its end.
@@ -52,7 +52,7 @@ class PieceCounts:
 @lru_cache(maxsize=1)
 def piece_counts(vocabulary: str, pattern: str) -> PieceCounts:
     """Kept by a Python worker from task to task."""
-    return PieceCounts(matrix_bpe(vocabulary), pattern)
+    return PieceCounts(MatrixBPE(load_ranks(vocabulary)), pattern)
 
 
 class TokenTree:

@@ -3,108 +3,146 @@
 Files. Two Parquet tables, so that any store Spark can write holds them and a failed task leaves
 nothing behind:
 * `shards`: ids of the documents in ascending key order, cut into payloads of raw little-endian
-  ids (2 bytes where the vocabulary allows, else 4), with part and shard number, the ids before the
-  shard in its part, and the directory (key, ids) of its documents. Part p + 1 follows part p.
+  ids (2 bytes where all ids of the vocabulary fit, else 4), with part and shard number, the ids before the
+  shard in its part, and the directory (key, number among equal keys, ids) of its documents. Part p + 1 follows part p.
 * `index`: the keys dealt to buckets by hash. Per bucket a minimal perfect hash (seeds) sends
   each key to its own slot; the slot holds a 32-bit fingerprint of the key, the shard and the offset.
 
 A lookup reads one index row, computes one slot, compares the fingerprint and slices one payload,
 whatever the number of documents.
 
+Texts are encoded before the order is made, so that ids and not texts are moved. Rows of one key are
+ordered by text hash and dealt to several parts where they are many.
+
 Defined results: a null or empty text holds only the end id; null keys come first and can be looked
 up like others; rows that repeat a key are told apart by their number among equals; an empty table
-gives empty files.
+gives empty files. Keys may have any type with an order. A special token's string in a text is that token, as the
+library has it by default (`special_as_text` makes it ordinary text). Two keys of a bucket with one 64-bit hash
+are told apart by a second hash.
 """
 
 from __future__ import annotations
 
 import uuid
-from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, TextEncoder, part, small_steps
-from .common import shared_dir
+from .bpe import Remembered, TextEncoder, part, parts_of, small_steps
+from .common import materialize, shared_dir, worker_state
 
 SHARD_BYTES = 1 << 20
 BUCKET_KEYS = 4096
 
 
 class LibraryEncoder(TextEncoder):
-    """Texts to ids with a tokenizers file; parts are remembered as in `TextEncoder`."""
+    """Texts to packed ids with a byte-level file of the tokenizers library; parts are remembered as in `TextEncoder`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.findall, self.parts = (lambda text: [text]), Remembered(600_000)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.findall, self.cut, self.parts = (lambda text: [text]), parts_of, Remembered(400_000)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        most = max([end_id, *names.values()])
+        self.kind = np.dtype("<u2" if most < 1 << 16 else "<u4")
+        self.spaced = np.zeros(most + 1, bool)  # ids that begin with a space, which byte-level files write so
+        self.spaced[[i for t, i in names.items() if t.startswith("\u0120")]] = True
 
     def learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 5000):
-            some = parts[at : at + 5000]
-            got = self.tokenizer.encode_batch_fast(list(map(part, some)), add_special_tokens=False)
-            self.parts.young.update((x, array("i", e.ids).tobytes()) for x, e in zip(some, got))
-
-
-@lru_cache(maxsize=1)
-def library_encoder(path: str) -> LibraryEncoder:
-    """Kept by a Python worker from task to task."""
-    return LibraryEncoder(path)
+        ids_of = lambda texts: [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain, odd = [x for x in parts if x and x[0] != "\0"], [x for x in parts if not x or x[0] == "\0"]
+        size = self.kind.itemsize
+        for at in range(0, len(plain), 5000):  # many parts as one text: each begins with its only space
+            some = plain[at : at + 5000]
+            ids = ids_of([" " + " ".join(some)])[0]
+            begin = np.flatnonzero(self.spaced[ids])
+            if len(begin) != len(some):
+                odd += some
+                continue
+            raw, cuts = ids.tobytes(), [*(begin * size).tolist(), len(ids) * size]
+            self.parts.young.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for at in range(0, len(odd), 5000):
+            some = odd[at : at + 5000]
+            self.parts.young.update((x, ids.tobytes()) for x, ids in zip(some, ids_of(list(map(part, some)))))
 
 
 SHARD_SCHEMA = "part int, shard int, base long, n_ids long, width int, keys array<{kind}>, nth array<int>, sizes array<int>, starts array<long>, payload binary"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, width: int = 2, text: str = "text", key: str = "doc_id") -> None:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", special_as_text: bool = False) -> DataFrame:
+    """k, h (hash of the text), r (row number), width and ids (binary) of each row, written once."""
     kind = docs.schema[key].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def run(batches):
-        part, encoder = TaskContext.get().partitionId(), library_encoder(tokenizer)
+        encoder = worker_state(("library", tokenizer, end_id, special_as_text), lambda: LibraryEncoder(tokenizer, end_id, special_as_text))
+        end = np.array([end_id], encoder.kind).tobytes()
+        for batch in small_steps(batches, "t"):
+            ids = pa.array([x + end for x in encoder.encode(batch.column("t").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "h", "r")), pa.array(np.full(batch.num_rows, encoder.kind.itemsize, np.int32)), ids], ["k", "h", "r", "width", "ids"])
+
+    rows = docs.selectExpr(f"`{key}` k", f"xxhash64(`{text}`) h", "monotonically_increasing_id() r", f"`{text}` t")
+    return materialize(rows.mapInArrow(run, f"k {kind}, h long, r long, width int, ids binary"), "ids")
+
+
+def write_shards(ids: DataFrame, path: str) -> None:
+    """ids: rows of `encoded`."""
+    kind = ids.schema["k"].dataType.simpleString()
+    names = [x.split()[0] for x in SHARD_SCHEMA.format(kind=kind).split(", ")]
+
+    def run(batches):
+        worker_state(None, None)
+        part = TaskContext.get().partitionId()
         shard = base = 0
-        keys, nth, sizes, parts, held = [], [], [], [], 0
-        last, seen = object(), 0
+        keys, nth, sizes, payload, held = [], [], [], [], 0
+        last, seen, width, of = object(), 0, 0, None
 
         def flush():
-            ids = np.concatenate(parts) if parts else np.zeros(0, f"<u{width}")
-            cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([base], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32()),
-                    pa.array([keys], pa.list_(arrow_kind)), pa.array([nth], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int32())), pa.array([np.cumsum(sizes) - sizes], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names), len(ids)
-
-        names = [x.split()[0] for x in SHARD_SCHEMA.format(kind=kind).split(", ")]
-        end = np.array([end_id], np.int32).tobytes()
-        for batch in small_steps(batches, "t"):
-            for k, packed in zip(batch.column("k").to_pylist(), encoder.encode(batch.column("t").to_pylist())):
-                ids = np.frombuffer(packed + end, np.int32)
-                if held and held + len(ids) * width > SHARD_BYTES:
+            n = sum(sizes)
+            cols = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([width], pa.int32()),
+                    pa.array([keys], pa.list_(of)), pa.array([nth], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int32())), pa.array([np.cumsum(sizes) - sizes], pa.list_(pa.int64())), pa.array([b"".join(payload)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names), n
+
+        for batch in small_steps(batches, "ids"):
+            of = batch.schema.field("k").type
+            for k, width, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "width", "ids"))):
+                if held and held + len(raw) > SHARD_BYTES:
                     out, n = flush()
                     yield out
-                    shard, base, keys, nth, sizes, parts, held = shard + 1, base + n, [], [], [], [], 0
+                    shard, base, keys, nth, sizes, payload, held = shard + 1, base + n, [], [], [], [], 0
                 seen = seen + 1 if k == last else 0
                 last = k
                 keys.append(k)
                 nth.append(seen)
-                sizes.append(len(ids))
-                parts.append(ids.astype(f"<u{width}"))
-                held += len(ids) * width
+                sizes.append(len(raw) // width)
+                payload.append(raw)
+                held += len(raw)
         if keys:
             yield flush()[0]
 
-    # equal keys meet in one part, where they are numbered as they stream by
-    dealt = docs.selectExpr(f"`{key}` k", f"`{text}` t").repartitionByRange("k").sortWithinPartitions("k", F.xxhash64("t"))
+    dealt = ids.repartitionByRange("k", "h", "r").sortWithinPartitions("k", "h", "r").select("k", "width", "ids")
     dealt.mapInArrow(run, SHARD_SCHEMA.format(kind=kind)).write.option("compression", "zstd").parquet(path)
 
 
+def carried(shards: DataFrame) -> list[tuple[int, object, int]]:
+    """(part, key, rows): parts that begin with the key with which earlier parts end, and how many rows of it those have. One row per part comes to the driver."""
+    ends = shards.groupBy("part").agg(F.min_by(F.element_at("keys", 1), "shard").alias("first"), F.max_by(F.struct(F.element_at("keys", -1).alias("k"), F.element_at("nth", -1).alias("n")), "shard").alias("last"))
+    out, key, rows = [], object(), 0
+    for part, first, (last, n) in sorted(ends.collect(), key=lambda r: r[0]):
+        if first == key:
+            out.append((part, first, rows))
+        rows = n + 1 + (rows if first == key and last == first else 0)
+        key = last
+    return out
+
+
 def _mix(h: np.ndarray, seed) -> np.ndarray:
     x = h ^ (np.asarray(seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -153,12 +191,25 @@ def mph_slots(h: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
     return np.where(s < 0, -s - 1, (_mix(h, np.maximum(s, 0)) % np.uint64(n)).astype(np.int64))
 
 
-INDEX_SCHEMA = "bucket long, n int, seeds array<long>, prints array<int>, part array<int>, shard array<int>, start array<long>, size array<int>"
+INDEX_SCHEMA = "bucket long, n int, salt int, seeds array<long>, prints array<int>, part array<int>, shard array<int>, start array<long>, size array<int>"
 
 
 def _hashed(df: DataFrame, buckets: int) -> DataFrame:
-    """df: k, nth. Adds h, print and bucket."""
-    return df.withColumn("h", F.xxhash64("k", "nth")).withColumn("print", F.hash("nth", "k")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    """df: k, nth. Adds h, more (a second hash), print and bucket."""
+    return df.withColumn("h", F.xxhash64("k", "nth")).withColumn("more", F.xxhash64("nth", "k", F.lit("more"))).withColumn("print", F.hash("nth", "k")).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+
+
+def salted(h: np.ndarray, more: np.ndarray, salt: int) -> np.ndarray:
+    """The hashes that a bucket with this salt uses: h alone for 0."""
+    return h if not salt else _mix(h, salt) ^ _mix(more, salt + 1)
+
+
+def choose_salt(h: np.ndarray, more: np.ndarray) -> int:
+    """The least salt by which all keys of a bucket differ."""
+    for salt in range(16):
+        if len(np.unique(salted(h, more, salt))) == len(h):
+            return salt
+    raise ValueError("two keys of the index have the same 128 bits of hashes")
 
 
 def write_index(shards: DataFrame, path: str) -> None:
@@ -167,16 +218,21 @@ def write_index(shards: DataFrame, path: str) -> None:
     buckets = max(1, -(-n // BUCKET_KEYS))
 
     def build(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy().view(np.uint64)
-        if len(np.unique(h)) < len(h):
-            raise ValueError("two keys of the index have the same 64-bit hash")
+        h, more = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "more"))
+        salt = choose_salt(h, more)
+        h = salted(h, more, salt)
         seeds, at = build_mph(h), np.empty(len(h), np.int64)
         at[mph_slots(h, seeds, len(h))] = np.arange(len(h))
         take = lambda c: pa.array([table.column(c).to_numpy()[at]])
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "n": pa.array([len(h)], pa.int32()), "seeds": pa.array([seeds]), "prints": take("print"), "part": take("part"), "shard": take("shard"), "start": take("start"), "size": take("size")})
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "n": pa.array([len(h)], pa.int32()), "salt": pa.array([salt], pa.int32()), "seeds": pa.array([seeds]), "prints": take("print"), "part": take("part"), "shard": take("shard"), "start": take("start"), "size": take("size")})
 
     each = shards.select("part", "shard", F.inline(F.arrays_zip("keys", "nth", "sizes", "starts"))).toDF("part", "shard", "k", "nth", "size", "start")
-    _hashed(each, buckets).groupBy("bucket").applyInArrow(build, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+    before = carried(shards)
+    if before:
+        kind = shards.schema["keys"].dataType.elementType.simpleString()
+        more = F.broadcast(spark.createDataFrame(before, f"part int, first {kind}, rows int"))  # at most a row per part
+        each = each.join(more, "part", "left").withColumn("nth", F.col("nth") + F.when(F.col("k").eqNullSafe(F.col("first")), F.coalesce("rows", F.lit(0))).otherwise(0)).drop("first", "rows")
+    _hashed(each, buckets).drop("k", "nth").groupBy("bucket").applyInArrow(build, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 class TokenFiles:
@@ -197,7 +253,8 @@ class TokenFiles:
                 return pa.table([pa.array([], x) for x in kinds], names)
             get = lambda c: index.column(c).combine_chunks().flatten().to_numpy()
             n = index.column("n")[0].as_py()
-            slot = mph_slots(keys.column("h").to_numpy().view(np.uint64), get("seeds"), n)
+            h = salted(*(keys.column(c).to_numpy().view(np.uint64) for c in ("h", "more")), index.column("salt")[0].as_py())
+            slot = mph_slots(h, get("seeds"), n)
             here = np.flatnonzero(get("prints")[slot] == keys.column("print").to_numpy())
             at = slot[here]
             return pa.table([keys.column("k").take(pa.array(here)), *(pa.array(get(c)[at], t) for c, t in zip(names[1:], kinds[1:]))], names)
@@ -210,28 +267,23 @@ class TokenFiles:
         for part, n in sorted(self.shards.groupBy("part").agg(F.sum("n_ids")).collect()):  # as many rows as parts
             before[part], total = total, total + n
 
-        def pack(batches):
-            for batch in batches:
-                payload = pa.array([zstandard.ZstdCompressor(1).compress(x) for x in batch.column("payload").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], payload], batch.schema.names)
-
         def cut(places: pa.Table, shard: pa.Table) -> pa.Table:
             if not shard.num_rows:
                 return pa.table([places.column("k").slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.binary())], ["k", "start", "ids"])
             part, base, width = (shard.column(c)[0].as_py() for c in ("part", "base", "width"))
-            ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard.column("payload")[0].as_py()), f"<u{width}").astype("<u4")
+            raw = np.frombuffer(shard.column("payload")[0].as_buffer(), f"<u{width}").astype("<u4").tobytes()
             start, size = places.column("start").to_numpy(), places.column("size").to_numpy()
-            return pa.table([places.column("k"), pa.array(before[part] + base + start, pa.int64()), pa.array([ids[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())], pa.binary())], ["k", "start", "ids"])
+            return pa.table([places.column("k"), pa.array(before[part] + base + start, pa.int64()), pa.array([raw[4 * a : 4 * (a + n)] for a, n in zip(start.tolist(), size.tolist())], pa.binary())], ["k", "start", "ids"])
 
-        packed = self.shards.select("part", "shard", "base", "width", "payload").mapInArrow(pack, "part int, shard int, base long, width int, payload binary")
-        return places.groupBy("part", "shard").cogroup(packed.groupBy("part", "shard")).applyInArrow(cut, f"k {self.kind}, start long, ids binary")
+        payloads = self.shards.select("part", "shard", "base", "width", "payload")
+        return places.groupBy("part", "shard").cogroup(payloads.groupBy("part", "shard")).applyInArrow(cut, f"k {self.kind}, start long, ids binary")
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int = 2, path: str | None = None, key: str = "doc_id") -> TokenFiles:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, key: str = "doc_id", special_as_text: bool = False) -> TokenFiles:
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/sparkloom/token-files-{uuid.uuid4().hex}"
     kind = docs.schema[key].dataType.simpleString()
-    write_shards(docs, tokenizer, f"{path}/shards", end_id, width, key=key)
+    write_shards(encoded(docs, tokenizer, end_id, key=key, special_as_text=special_as_text), f"{path}/shards")
     write_index(spark.read.schema(SHARD_SCHEMA.format(kind=kind)).parquet(f"{path}/shards"), f"{path}/index")
     return TokenFiles(spark, path, kind)
 
