@@ -1,80 +1,116 @@
-"""Edit-aware token counts on segment trees of pre-tokens.
+"""Edit-aware token counts on segment trees that are kept per document.
 
-A document's pre-tokens are kept in blocks; a segment tree over the blocks holds the sums of
-characters and tokens. An edit (at, drop, put: at character `at` remove `drop` characters and put in
-`put`) descends to its block, starts again at the last pre-token whose match cannot have looked at
-the edit, and cuts and encodes until a boundary falls on an old one behind the edit. From there on
-the old pre-tokens stand; only the sums above the touched blocks change.
+`build_trees` writes one row per document: its text, and a segment tree over blocks of its pre-tokens as two
+arrays in heap order (node 1 is the root, node i has the children 2i and 2i + 1, the leaves are the second
+half) with the characters and the tokens of each subtree. `edit_trees` takes such a table and edit scripts. An
+edit (at, drop, put: at character `at` remove `drop` characters and put in `put`) descends to the last block
+that can't have looked at the edit, re-encodes from its start to the end of the block behind the edit, and
+updates the sums above the touched blocks. The end of a block is a boundary whatever comes before it if a
+space and a non-space follow; else pre-tokens are matched on, with the characters behind as context, and the
+region grows until a match ends at the end of a block. No other block is read or counted.
 
 Defined results: a null or empty text has no tokens; edits are applied in order of their array, each
 to the outcome of those before; places beyond the end mean the end, negative ones the start; a null
-`put` is empty; a row without edits keeps its count; repeated rows each keep their row.
+`put` is empty; a row without edits keeps its count; repeated rows and rows with a null key each keep their row;
+an empty table gives an empty result; other columns never take part.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MatrixBPE, Remembered, load_ranks, small_steps
+from .bpe import SPACE_CUT, UNCLEAR, MatrixBPE, TextEncoder, load_ranks, part, small_steps
+from .common import materialize, worker_state
 
-BLOCK = 64
-#: A match of the pre-token pattern looks at most so many characters beyond its end.
+#: Parts (see bpe) in a block.
+BLOCK = 16
+#: A match of a pattern of SPACE_CUT looks at most so many characters beyond its end.
 AHEAD = 2
 
 
-class PieceCounts:
-    """Numbers of tokens of pre-tokens, remembered."""
+class PartCounts(TextEncoder):
+    """Numbers of tokens of the parts of texts, remembered."""
 
-    def __init__(self, bpe: MatrixBPE, pattern: str):
+    def __init__(self, bpe: MatrixBPE, pattern: str, ahead: int | None = None):
+        super().__init__(bpe, pattern)
         import regex
 
-        self.bpe, self.pattern, self.pieces = bpe, regex.compile(pattern), Remembered()
-
-    def learn(self, pieces: set[str]) -> None:
-        new = self.pieces.missing(pieces)
-        self.pieces.young.update(zip(new, (len(x) // 4 for x in self.bpe.encode([x.encode() for x in new]))))
-
-    def __call__(self, pieces: list[str]) -> list[int]:
-        young = self.pieces.young
-        try:
-            return [young[x] for x in pieces]
-        except KeyError:
-            self.learn(set(pieces))
-            return [self.pieces.young[x] for x in pieces]
-
-
-@lru_cache(maxsize=1)
-def piece_counts(vocabulary: str, pattern: str) -> PieceCounts:
-    """Kept by a Python worker from task to task."""
-    return PieceCounts(MatrixBPE(load_ranks(vocabulary)), pattern)
+        self.finditer, self.spaced = regex.compile(pattern).finditer, pattern in SPACE_CUT
+        if ahead is None and not self.spaced:
+            raise ValueError("say how many characters beyond its end a match of this pattern can look at")
+        self.ahead = AHEAD if ahead is None else ahead
+
+    def learn(self, parts: list[str]) -> None:
+        tokens = list(map(self.findall, map(part, parts)))
+        pieces = list({t for ts in tokens for t in ts})
+        size = dict(zip(pieces, (len(x) // 4 for x in self.bpe.encode([p.encode() for p in pieces]))))
+        self.parts.young.update((x, sum([size[t] for t in ts])) for x, ts in zip(parts, tokens))
+
+    def blocks(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Characters and tokens of each block of each text; an empty text has one empty block."""
+        flat, found, sizes = self.values(texts)
+        n = np.array(sizes, np.int64)
+        first = np.cumsum(n) - n
+        chars, tokens = np.fromiter(map(len, flat), np.int64, len(flat)) + 1, np.array(found, np.int64)
+        for a, k in zip(first.tolist(), sizes):  # keys with a mark hold the part itself: the first, or all
+            if k and flat[a][:1] == "\0":
+                chars[a : a + k if k > 1 and flat[a + 1][:1] == "\0" else a + 1] -= 2
+        many = -(-n // BLOCK)
+        cuts = np.repeat(first - BLOCK * (np.cumsum(many) - many), many) + BLOCK * np.arange(int(many.sum()))
+        sums = [np.add.reduceat(x, cuts) if len(cuts) else x[:0] for x in (chars, tokens)]
+        ends, none = np.cumsum(many).tolist(), np.zeros(1, np.int64)
+        return [(sums[0][b - k : b], sums[1][b - k : b]) if k else (none, none) for b, k in zip(ends, many.tolist())]
+
+    def count(self, text: str) -> int:
+        return sum(self.values([text])[1])
+
+    def count_pieces(self, pieces: list[str]) -> int:
+        found = list(map(self.parts.young.get, ["\0" + p for p in pieces]))
+        if None in found:
+            self.learn(["\0" + p for p, n in zip(pieces, found) if n is None])
+            found = [self.parts.young["\0" + p] for p in pieces]
+        return sum(found)
+
+
+def part_counts(vocabulary: str, pattern: str, ahead: int | None) -> PartCounts:
+    return worker_state(("counts", vocabulary, pattern, ahead), lambda: PartCounts(MatrixBPE(load_ranks(vocabulary)), pattern, ahead))
+
+
+def heaps(leaves: list[np.ndarray]) -> list[np.ndarray]:
+    """The sums of each tree in heap order; trees of one width are summed together."""
+    width = np.array([1 << (len(x) - 1).bit_length() for x in leaves])
+    out: list = [None] * len(leaves)
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w).tolist()
+        heap = np.zeros((len(mine), 2 * w), np.int32)
+        for row, i in zip(heap, mine):
+            row[w : w + len(leaves[i])] = leaves[i]
+        half = w
+        while half > 1:
+            heap[:, half // 2 : half] = heap[:, half : 2 * half : 2] + heap[:, half + 1 : 2 * half : 2]
+            half //= 2
+        for row, i in zip(heap, mine):
+            out[i] = row
+    return out
 
 
 class TokenTree:
-    def __init__(self, text: str, pieces: list[str], counter: PieceCounts):
+    """One document's tree. chars, tokens: the sums in heap order."""
+
+    def __init__(self, text: str, chars: list[int], tokens: list[int], counter: PartCounts):
         self.counter, self.encoded = counter, 0
-        self._build(text, list(map(len, pieces)), counter(pieces))
-
-    def _build(self, text: str, sizes: list[int], counts: list[int]) -> None:
-        self.texts, self.sizes, self.counts, at = [], [], [], 0
-        for i in range(0, max(1, len(sizes)), BLOCK):
-            some = sizes[i : i + BLOCK]
-            n = sum(some)
-            self.texts.append(text[at : at + n])
-            self.sizes.append(some)
-            self.counts.append(counts[i : i + BLOCK])
-            at += n
-        self.width = 1 << (len(self.texts) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i in range(len(self.texts)):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(self.texts[i]), sum(self.counts[i])
-        for i in range(self.width - 1, 0, -1):
-            self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.base, self.chars, self.tokens, self.width = text, chars, tokens, len(chars) // 2
+        self.begin, self.changed = list(accumulate(chars[self.width :], initial=0)), {}
+
+    @classmethod
+    def of(cls, text: str, counter: PartCounts) -> TokenTree:
+        chars, tokens = counter.blocks([text])[0]
+        return cls(text, heaps([chars])[0].tolist(), heaps([tokens])[0].tolist(), counter)
 
     @property
     def n_tokens(self) -> int:
@@ -84,106 +120,147 @@ class TokenTree:
     def n_chars(self) -> int:
         return self.chars[1]
 
+    def _text(self, i: int) -> str:
+        return self.changed[i] if i in self.changed else self.base[self.begin[i] : self.begin[i + 1]]
+
     def text(self) -> str:
-        return "".join(self.texts)
+        return "".join(map(self._text, range(self.width))) if self.changed else self.base
 
     def _find(self, at: int) -> tuple[int, int]:
-        """The block that holds character `at` (the last one for the end), and the characters before it."""
+        """The block that holds character `at` (the last one with text for the end), and the characters before it."""
         node, before = 1, 0
         while node < self.width:
             node *= 2
             if at >= before + self.chars[node] and self.chars[node + 1]:
                 before += self.chars[node]
                 node += 1
-        return min(node - self.width, len(self.texts) - 1), before
+        return node - self.width, before
 
-    def _set(self, i: int, text: str, sizes: list[int], counts: list[int]) -> None:
-        self.texts[i], self.sizes[i], self.counts[i] = text, sizes, counts
+    def _set(self, i: int, chars: int, tokens: int) -> None:
         node = self.width + i
-        self.chars[node], self.tokens[node] = len(text), sum(counts)
-        while node > 1:
+        more, most = chars - self.chars[node], tokens - self.tokens[node]
+        while node and (more or most):
+            self.chars[node] += more
+            self.tokens[node] += most
             node //= 2
-            self.chars[node], self.tokens[node] = self.chars[2 * node] + self.chars[2 * node + 1], self.tokens[2 * node] + self.tokens[2 * node + 1]
+
+    def _behind(self, last: int, n: int) -> str:
+        """The first n characters behind a block."""
+        out = ""
+        for i in range(last + 1, self.width):
+            if len(out) >= n:
+                break
+            out += self._text(i)[: n - len(out)]
+        return out
 
     def edit(self, at: int, drop: int, put: str) -> None:
-        total = self.n_chars
+        total, ahead = self.n_chars, self.counter.ahead
         at = min(max(at, 0), total)
         drop = min(max(drop, 0), total - at)
         if not (drop or put):
             return
-        first, before = self._find(max(at - AHEAD, 0))
-        ends = list(accumulate(self.sizes[first], initial=before))
-        keep = bisect_right(ends, at - AHEAD) - 1 if ends[0] <= at - AHEAD else 0  # pre-tokens that end AHEAD before the edit
-        if not keep and first:  # the block's first pre-token may have to start anew: take one block more
-            first, before = self._find(before - 1)
-            ends = list(accumulate(self.sizes[first], initial=before))
-            keep = max(0, bisect_right(ends, at - AHEAD) - 1)
-        start, last, old = ends[keep], first, self.texts[first]
-        old_end = before + len(old)
-        sizes, counts = list(self.sizes[first]), list(self.counts[first])
+        first, before = self._find(max(at - ahead, 0))
+        last, end = self._find(at + drop)
+        end += self.chars[self.width + last]
+        old = "".join(map(self._text, range(first, last + 1)))
         while True:
-            while last + 1 < len(self.texts) and (old_end < at + drop + AHEAD + 1 or last == first and old_end < total):
-                last += 1
-                old, old_end = old + self.texts[last], old_end + len(self.texts[last])
-                sizes += self.sizes[last]
-                counts += self.counts[last]
-            fresh = old[start - before : at - before] + put + old[at + drop - before :]
-            shift, whole = len(put) - drop, old_end >= total
-            bounds = {e: k for k, e in enumerate(accumulate(sizes, initial=before))}
-            pieces, end, meet = [], 0, None
-            for m in self.counter.pattern.finditer(fresh):
-                if not whole and m.end() + AHEAD > len(fresh):
-                    break
-                pieces.append(m.group())
-                end = m.end()
-                if start + end >= at + len(put) and start + end - shift in bounds:
-                    meet = bounds[start + end - shift]
-                    break
-            if meet is None and whole:
-                meet = len(sizes)
-            if meet is not None:
+            fresh, tokens = old[: at - before] + put + old[at + drop - before :], None
+            behind = self._behind(last, max(2, ahead)) if end < total else ""
+            if not behind or self.counter.spaced and behind[0] == " " and len(behind) > 1 and not UNCLEAR.search(behind):
+                tokens = self.counter.count(fresh)
+            else:
+                pieces, upto = [], 0
+                for m in self.counter.finditer(fresh + behind):
+                    upto = m.end()
+                    if upto > len(fresh):
+                        break
+                    pieces.append(m.group())
+                    if upto == len(fresh):
+                        break
+                if upto == len(fresh):
+                    tokens = self.counter.count_pieces(pieces)
+            if tokens is not None:
                 break
             last += 1
-            old, old_end = old + self.texts[last], old_end + len(self.texts[last])
-            sizes += self.sizes[last]
-            counts += self.counts[last]
-        self.encoded += end
-        keep_chars = start - before
-        text = old[:keep_chars] + fresh[:end] + old[start + end - shift - before :]
-        sizes, counts = sizes[:keep] + list(map(len, pieces)) + sizes[meet:], counts[:keep] + self.counter(pieces) + counts[meet:]
+            old, end = old + self._text(last), end + self.chars[self.width + last]
+        self.encoded += len(fresh)
+        if len(fresh) > 200 * BLOCK:
+            self._grow(first, last, fresh)
+            return
         for i in range(first + 1, last + 1):
-            self._set(i, "", [], [])
-        self._set(first, text, sizes, counts)
-        if len(sizes) > 8 * BLOCK:
-            self._build(self.text(), [x for s in self.sizes for x in s], [x for c in self.counts for x in c])
+            self.changed[i] = ""
+            self._set(i, 0, 0)
+        self.changed[first] = fresh
+        self._set(first, len(fresh), tokens)
+
+    def _grow(self, first: int, last: int, fresh: str) -> None:
+        """Put the blocks of a long region in place of blocks; the counts of the others stand."""
+        rest = [i for i in range(self.width) if not first <= i <= last and self.chars[self.width + i]]
+        (c, t), text = self.counter.blocks([fresh])[0], self.text()
+        at = sum(self.chars[self.width + i] for i in range(first))
+        text = text[:at] + fresh + text[at + sum(self.chars[self.width + i] for i in range(first, last + 1)) :]
+        merge = lambda heap, x: np.array([*(heap[self.width + i] for i in rest if i < first), *x.tolist(), *(heap[self.width + i] for i in rest if i > last)], np.int64)
+        chars, tokens, encoded = heaps([merge(self.chars, c)])[0].tolist(), heaps([merge(self.tokens, t)])[0].tolist(), self.encoded
+        self.__init__(text, chars, tokens, self.counter)
+        self.encoded = encoded
+
+
+def _lists(rows: list) -> pa.Array:
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(x) for x in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(x, np.int32) for x in rows]) if rows else np.zeros(0, np.int32)))
+
+
+def build_trees(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", ahead: int | None = None) -> DataFrame:
+    """key, text, chars and tokens (array<int>) of each row: the table of trees, written once."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        counter = part_counts(vocabulary, pattern, ahead)
+        for batch in small_steps(batches, "t"):
+            found = counter.blocks(batch.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), *(_lists(heaps([x[i] for x in found])) for i in (0, 1))], ["k", "t", "chars", "tokens"])
 
+    trees = docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, t string, chars array<int>, tokens array<int>")
+    return materialize(trees.toDF(key, text, "chars", "tokens"), "trees")
 
-def count_edits(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
-    """key, n_tokens, n_tokens_after (after the row's edits), n_chars_after and n_chars_encoded (read anew for the edits).
 
-    `edits` is array<struct<at int, drop int, put string>>.
+def edit_trees(trees: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits", ahead: int | None = None, keep: bool = True) -> DataFrame:
+    """trees: rows of `build_trees` with edits, array<struct<at int, drop int, put string>>.
+
+    key, n_tokens, n_tokens_after, n_chars_after and n_chars_encoded (read anew for the edits), and with
+    `keep` the edited text, chars and tokens, so that the outcome (its first four columns renamed) is a table of trees again.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind = trees.schema[key].dataType.simpleString()
+    names = ["k", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded"] + (["t", "chars", "tokens"] if keep else [])
 
     def run(batches):
-        counter = piece_counts(vocabulary, pattern)
+        counter = part_counts(vocabulary, pattern, ahead)
         for batch in small_steps(batches, "t"):
-            texts = [t or "" for t in batch.column("t").to_pylist()]
-            pieces = [counter.pattern.findall(t) for t in texts]
-            counter.learn({x for ps in pieces for x in ps})
-            before, after, chars, encoded = [], [], [], []
-            for t, ps, script in zip(texts, pieces, batch.column("e").to_pylist()):
-                tree = TokenTree(t, ps, counter)
+            before, after, size, encoded, kept = [], [], [], [], []
+            for t, chars, tokens, script in zip(*(batch.column(c).to_pylist() for c in ("t", "chars", "tokens", "e"))):
+                tree = TokenTree(t or "", chars, tokens, counter)
                 before.append(tree.n_tokens)
                 for e in script or ():
                     if e is not None:
                         tree.edit(e["at"] or 0, e["drop"] or 0, e["put"] or "")
                 after.append(tree.n_tokens)
-                chars.append(tree.n_chars)
+                size.append(tree.n_chars)
                 encoded.append(tree.encoded)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(x, pa.int64()) for x in (before, after, chars, encoded))], ["k", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded"])
+                if keep:
+                    kept.append((None if t is None and not tree.n_chars else tree.text(), *settled(tree)))
+            more = [pa.array([x[0] for x in kept], pa.string()), _lists([x[1] for x in kept]), _lists([x[2] for x in kept])] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(x, pa.int64()) for x in (before, after, size, encoded)), *more], names)
+
+    rows = trees.selectExpr(f"`{key}` k", f"`{text}` t", "chars", "tokens", f"`{edits}` e")
+    out = rows.mapInArrow(run, f"k {kind}, n_tokens long, n_tokens_after long, n_chars_after long, n_chars_encoded long" + (", t string, chars array<int>, tokens array<int>" if keep else ""))
+    return out.withColumnsRenamed({"k": key, "t": text})
+
 
-    return docs.selectExpr(f"`{key}` k", f"`{text}` t", f"`{edits}` e").mapInArrow(run, f"k {kind}, n_tokens long, n_tokens_after long, n_chars_after long, n_chars_encoded long").withColumnRenamed("k", key)
+def settled(tree: TokenTree) -> tuple[np.ndarray, np.ndarray]:
+    """The tree's sums without blocks that edits have emptied."""
+    full = [i for i in range(tree.width, 2 * tree.width) if tree.chars[i]] or [tree.width]
+    return tuple(heaps([np.array([x[i] for i in full], np.int64)])[0] for x in (tree.chars, tree.tokens))
 
 
 def revision(text: Column) -> Column:
@@ -194,4 +271,6 @@ def revision(text: Column) -> Column:
 
 
 def token_count_table(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    return count_edits(docs.select("doc_id", "text", revision(F.coalesce("text", F.lit(""))).alias("edits")), vocabulary, pattern)
+    """doc_id, n_tokens, and the counts after the text's revision, which is applied to the written trees."""
+    trees = build_trees(docs.select("doc_id", "text"), vocabulary, pattern)
+    return edit_trees(trees.withColumn("edits", revision(F.coalesce("text", F.lit("")))), vocabulary, pattern, keep=False)

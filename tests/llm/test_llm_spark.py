@@ -175,19 +175,48 @@ def test_bpe_round_trip(docs):
     assert {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode_table(table, BPE).collect()} == {i: t or "" for i, t in TEXTS}
 
 
-def test_token_files(docs, spark, tmp_path):
-    files = token_files.write_files(docs, P.path("byte_bpe_50k.json"), path="file://" + str(tmp_path / "f"))
-    enc = token_files.LibraryEncoder(P.path("byte_bpe_50k.json")).tokenizer
-    want, start = [], 0
-    for i, t in TEXTS:
-        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+def ids_by_library(rows, end=2):
+    """(key, start, number of ids, crc32) by a fresh tokenizer of the library, rows in order of key and text hash left open among equals."""
+    from tokenizers import Tokenizer
+
+    enc, want, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), [], 0
+    for i, t in rows:
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, end], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
+    return want
+
+
+def test_token_files(docs, spark, tmp_path):
+    files = token_files.write_files(docs, P.path("byte_bpe_50k.json"), path="file://" + str(tmp_path / "f"))
+    want = ids_by_library(TEXTS)
     assert got(token_files.token_file_table(docs, P.path("byte_bpe_50k.json")), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
     keys = spark.createDataFrame([(4, 0), (99, 0), (4, 1)], "k long, nth int")
     assert [(r.k, r.size) for r in files.lookup(keys).collect()] == [(4, want[4][2])]  # others are not in the index
 
 
+def test_token_files_special_and_wide(spark, tmp_path):
+    """Special tokens as the library has them; ids of 4 bytes where the end id asks for it; string keys."""
+    rows = [("a", "x <|endoftext|> y"), ("b", "<|endoftext|>"), ("c", "z<|endoftext|>  z "), ("d", " ")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert got(token_files.token_file_table(docs, P.path("byte_bpe_50k.json")), "doc_id", "start", "n_tokens", "ids_crc32") == ids_by_library(rows)
+    assert got(token_files.token_file_table(docs, P.path("byte_bpe_50k.json"), 70000), "doc_id", "start", "n_tokens", "ids_crc32") == ids_by_library(rows, 70000)
+
+
+def test_token_files_of_one_key(spark, monkeypatch):
+    """A key that fills several parts and shards: each of its rows is found once, and the starts are those of one file."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 300)
+    rows = [(7, prose(20, 100 + i)) for i in range(80)] + [(None, prose(20, 300 + i)) for i in range(40)] + [(9, "end")]
+    table = token_files.token_file_table(spark.createDataFrame(rows, "doc_id int, text string"), P.path("byte_bpe_50k.json")).collect()
+    size = {(i, n, c): 0 for i, _, n, c in ids_by_library(rows)}
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in table), key=repr) == sorted(size, key=repr)
+    at = 0
+    for r in sorted(table, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(table, key=lambda r: r.start)] == [None] * 40 + [7] * 80 + [9]
+
+
 def test_token_counts(docs):
     import tiktoken
 
@@ -203,6 +232,24 @@ def test_token_counts(docs):
     assert got(token_counts.token_count_table(docs, BPE, P.PATTERN), "doc_id", "n_tokens", "n_tokens_after", "n_chars_after") == sorted(want, key=repr)
 
 
+def test_token_trees_are_edited_again(docs):
+    """The outcome of edits is a table of trees: two scripts, one after the other, give what one of both gives."""
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(BPE), special_tokens={})
+    trees = token_counts.build_trees(docs, BPE, P.PATTERN)
+    script = lambda at, drop, put: F.expr(f"array(named_struct('at', {at}, 'drop', {drop}, 'put', {put}), null)")
+    once = token_counts.edit_trees(trees.withColumn("edits", script(5, 3, "'new  words here'")), BPE, P.PATTERN)
+    twice = token_counts.edit_trees(once.select("doc_id", "text", "chars", "tokens").withColumn("edits", script(-4, 2, "cast(null as string)")), BPE, P.PATTERN)
+    want = {}
+    for i, t in TEXTS:
+        t = t or ""
+        t = (t[:5] + "new  words here" + t[8:])[2:]
+        want[i] = (t, len(enc.encode_ordinary(t)), len(t))
+    assert {r.doc_id: (r.text, r.n_tokens_after, r.n_chars_after) for r in twice.collect()} == want
+    assert {r.doc_id: r.tokens[1] for r in twice.collect()} == {i: x[1] for i, x in want.items()}
+
+
 def test_quality_counts(docs):
     def measures(t):
         w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]

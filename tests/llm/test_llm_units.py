@@ -12,7 +12,7 @@ from sparkloom.llm import language, simhash, suffix_array, token_files  # noqa:
 from sparkloom.llm.bpe import MatrixBPE, Remembered, TextEncoder, load_ranks  # noqa: E402
 from sparkloom.llm.chunks import pack_bits, rolling, unpack_bits, word_spans  # noqa: E402
 from sparkloom.llm.substring_trees import repeated_suffixes  # noqa: E402
-from sparkloom.llm.token_counts import PieceCounts, TokenTree  # noqa: E402
+from sparkloom.llm.token_counts import PartCounts, TokenTree  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -37,13 +37,22 @@ ODD = ["", " ", "   ", "  a", "a  b", "a   b", " a\n b", "x\n\n  y ", "it's  we'
 
 def test_bpe_is_tiktoken(bpe, tiktoken_encoding):
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice(" \n\tabcé日1.,'’s ") for _ in range(rng.randint(0, 60))) for _ in range(600)] + ["".join(rng.choice("abcdef") for _ in range(rng.randint(250, 600))) for _ in range(5)]
+    texts = ODD + ["".join(rng.choice(" \n\tabcé日1.,'’s ") for _ in range(rng.randint(0, 60))) for _ in range(600)] + ["".join(rng.choice(a) for _ in range(rng.randint(250, 600))) for a in ("abcdef", "a", "ab", "etaoin", "日本é") for _ in range(5)]
     got = TextEncoder(bpe, P.PATTERN).encode(texts)
     for t, g in zip(texts, got):
         assert np.frombuffer(g, np.int32).tolist() == tiktoken_encoding.encode_ordinary(t), t
     assert TextEncoder(bpe, P.PATTERN).encode([None]) == [b""]
 
 
+def test_bpe_under_another_pattern(bpe, ranks):
+    """A pattern that doesn't begin a match at each space: texts are not cut there."""
+    import tiktoken
+
+    pattern = r"\w+ \w+|\s+|\w+|[^\w\s]+"
+    enc, texts = tiktoken.Encoding("two", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ["one two three four", " a b  c, d"]
+    assert [np.frombuffer(x, np.int32).tolist() for x in TextEncoder(bpe, pattern).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_memory_keeps_two_generations():
     m = Remembered(2)
     m.young.update(dict.fromkeys(m.missing({"a", "b", "c"}), 1))
@@ -51,10 +60,21 @@ def test_memory_keeps_two_generations():
 
 
 def test_library_encoder_is_the_library():
-    enc = token_files.LibraryEncoder(P.path("byte_bpe_50k.json"))
-    texts = ODD + ["plain words here and there, again and again." * 3]
-    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, np.int32).tolist() for x in enc.encode(texts)] == want
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ODD + ["plain words here and there, again and again." * 3] + ["".join(rng.choice(" \n\tabcé日1.,'’s ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for as_text in (False, True):
+        enc, fresh = token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), 2, as_text), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        fresh.encode_special_tokens = as_text
+        assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_index_salts_clashing_keys():
+    h, more = np.array([5, 5, 6], np.uint64), np.array([1, 2, 1], np.uint64)
+    assert token_files.choose_salt(h, more) == 1 and token_files.choose_salt(h[1:], more[1:]) == 0
+    with pytest.raises(ValueError):
+        token_files.choose_salt(np.array([5, 5], np.uint64), np.array([1, 1], np.uint64))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 4096])
@@ -64,22 +84,42 @@ def test_minimal_perfect_hash(n):
 
 
 def test_token_tree_edits(bpe, tiktoken_encoding):
-    count, rng = PieceCounts(bpe, P.PATTERN), random.Random(2)
-    letters = "ab c d  \n\n'srel1.2,é日"
-    for _ in range(150):
-        t = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 50, 700, 3000])))
-        tree = TokenTree(t, count.pattern.findall(t), count)
-        for _ in range(8):
-            at, drop, put = rng.randint(0, len(t) + 2), rng.choice([0, 1, 3, 40, 300]), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 60, 900])))
-            tree.edit(at, drop, put)
-            at = min(at, len(t))
-            t = t[:at] + put + t[at + drop :]
-            assert tree.text() == t and tree.n_tokens == len(tiktoken_encoding.encode_ordinary(t)) and tree.n_chars == len(t)
-    big = TokenTree(t := "word " * 20000, count.pattern.findall(t), count)
+    count, rng = PartCounts(bpe, P.PATTERN), random.Random(2)
+    for letters in ("ab c d  \n\n'srel1.2,é日", "ab cde fg h"):
+        for _ in range(150):
+            t = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 50, 700, 3000])))
+            tree = TokenTree.of(t, count)
+            assert tree.n_tokens == len(tiktoken_encoding.encode_ordinary(t)) and tree.n_chars == len(t)
+            for _ in range(8):
+                at, drop, put = rng.randint(0, len(t) + 2), rng.choice([0, 1, 3, 40, 300]), "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 4, 60, 900, 5000])))
+                tree.edit(at, drop, put)
+                at = min(at, len(t))
+                t = t[:at] + put + t[at + drop :]
+                assert tree.text() == t and tree.n_tokens == len(tiktoken_encoding.encode_ordinary(t)) and tree.n_chars == len(t)
+                for heap in (tree.chars, tree.tokens):
+                    assert all(heap[i] == heap[2 * i] + heap[2 * i + 1] for i in range(1, tree.width))
+    big = TokenTree.of(t := "word " * 20000, count)
     big.edit(50000, 3, "xyz")
     assert big.encoded < 1000  # only the touched region is read anew
 
 
+def test_token_tree_asks_for_the_look_ahead(bpe, ranks):
+    import tiktoken
+
+    pattern = r"\s*[\r\n]+|\s+(?!\S)|\S+|\s+"
+    with pytest.raises(ValueError):
+        PartCounts(bpe, pattern)
+    enc, count, rng = tiktoken.Encoding("three", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), PartCounts(bpe, pattern, 40), random.Random(5)
+    for _ in range(60):
+        t = "".join(rng.choice("ab  \n\r") for _ in range(rng.choice([10, 300])))
+        tree = TokenTree.of(t, count)
+        for _ in range(5):
+            at, drop, put = rng.randint(0, len(t)), rng.choice([0, 2, 20]), rng.choice(["", "x", " \n", "\n\n"])
+            tree.edit(at, drop, put)
+            t = t[:at] + put + t[at + drop :]
+            assert tree.n_tokens == len(enc.encode_ordinary(t))
+
+
 def test_collection_is_the_suffix_array():
     rng = random.Random(3)
     for trial in range(150):
