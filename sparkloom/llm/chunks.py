@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_steps
-from .common import materialize, worker_state
+from .common import materialize, trimmed_steps, worker_state
 
 CHUNK_BYTES = 2 << 20
 #: [\x20\x09-\x0D], by byte.
@@ -56,7 +56,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, key: str = "doc_id", t
             yield flush(types)
 
     rows = docs.selectExpr(f"`{key}` k", f"`{text}` t", *(f"`{c}` x{i}" for i, c in enumerate(extra)))
-    return materialize(rows.mapInArrow(run, f"chunk long, keys array<{kind}>, sizes array<long>, body binary" + "".join(f", x{i} array<{x}>" for i, x in enumerate(kinds))), "chunks")
+    return materialize(rows.mapInArrow(lambda batches: trimmed_steps(run(batches)), f"chunk long, keys array<{kind}>, sizes array<long>, body binary" + "".join(f", x{i} array<{x}>" for i, x in enumerate(kinds))), "chunks")
 
 
 def volume(chunks: DataFrame) -> int:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +38,15 @@ def worker_state(key, build):
         if _STATE:
             _STATE.clear()
             gc.collect()
-            _return_memory()
+        trim()
         if key is None:
             return None
         _STATE[key] = build()
     return _STATE[key]
 
 
-def _return_memory() -> None:
-    """Give freed memory back to the system, so that it is there for the next operator."""
-    import ctypes
-
-    import pyarrow as pa
-
+def trim() -> None:
+    """Give freed memory back to the system: an idle worker shall not hold what its last group took."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -56,6 +54,22 @@ def _return_memory() -> None:
         pass  # not glibc: nothing to trim
 
 
+def trimmed(f, *args):
+    """f(*args), with the memory it took given back."""
+    try:
+        return f(*args)
+    finally:
+        trim()
+
+
+def trimmed_steps(steps):
+    """The items of a generator; the memory goes back at its end."""
+    try:
+        yield from steps
+    finally:
+        trim()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .chunks import CHUNK_BYTES, SpanHash, pack, pack_bits, rolling, spread, unpack, volume, word_spans
-from .common import materialize, worker_state
+from .common import materialize, trimmed, trimmed_steps, worker_state
 
 GRAM = 8
 #: Words of the table to a group of subtrees, and suffixes of a group that are sorted at a time, about.
@@ -158,12 +158,12 @@ def repeated_words(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
         flat = lambda c: rows.column(c).combine_chunks().flatten()
         return pa.table([flat("keys"), pa.array(totals, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), *(flat(f"x{i}") for i in range(len(kinds)))], ["k", "n_words", "spans", "kept", *(f"x{i}" for i in range(len(kinds)))])
 
-    entries = chunks.select("chunk", "sizes", "body").mapInArrow(deal, anchors.ENTRY_SCHEMA)
-    marks = materialize(entries.groupBy("grp").applyInArrow(lambda table: anchors.mark(table, crowded), anchors.MARK_SCHEMA), "marks")
+    entries = chunks.select("chunk", "sizes", "body").mapInArrow(lambda batches: trimmed_steps(deal(batches)), anchors.ENTRY_SCHEMA)
+    marks = materialize(entries.groupBy("grp").applyInArrow(lambda table: trimmed(anchors.mark, table, crowded), anchors.MARK_SCHEMA), "marks")
     by_chunk = chunks.groupBy("chunk")
-    shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(ship, "chunk long, grp long, codes binary, sizes binary, many binary, body binary")
-    answers = marks.unionAll(shipped.groupBy("grp").applyInArrow(subtree, anchors.MARK_SCHEMA))
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_words long, spans array<array<long>>, kept binary" + "".join(f", x{i} {x}" for i, x in enumerate(kinds)))
+    shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda rows, marks: trimmed(ship, rows, marks), "chunk long, grp long, codes binary, sizes binary, many binary, body binary")
+    answers = marks.unionAll(shipped.groupBy("grp").applyInArrow(lambda table: trimmed(subtree, table), anchors.MARK_SCHEMA))
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, answers: trimmed(apply, rows, answers), f"k {kind}, n_words long, spans array<array<long>>, kept binary" + "".join(f", x{i} {x}" for i, x in enumerate(kinds)))
     return out.select(F.col("k").alias(key), "n_words", "spans", F.col("kept").cast("string").alias("kept"), *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)))
 
 

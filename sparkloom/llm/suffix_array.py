@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .chunks import SpanHash, pack, pack_bits, spread, unpack, volume
-from .common import materialize, worker_state
+from .common import materialize, trimmed, trimmed_steps, worker_state
 
 GRAM = 30
 CHUNK_BYTES = 2 << 20
@@ -261,12 +261,12 @@ def removed_bytes(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
                 begin = end
         return pa.table([rows.column("keys").combine_chunks().flatten(), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["k", "n_bytes", "spans", "kept"])
 
-    entries = chunks.mapInArrow(deal, anchors.ENTRY_SCHEMA)
-    marks = materialize(entries.groupBy("grp").applyInArrow(lambda table: anchors.mark(table, crowded), anchors.MARK_SCHEMA), "marks")
+    entries = chunks.mapInArrow(lambda batches: trimmed_steps(deal(batches)), anchors.ENTRY_SCHEMA)
+    marks = materialize(entries.groupBy("grp").applyInArrow(lambda table: trimmed(anchors.mark, table, crowded), anchors.MARK_SCHEMA), "marks")
     by_chunk = chunks.groupBy("chunk")
-    shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(ship, f"chunk long, grp long, codes binary, sizes binary, body binary, owners array<{kind}>")
-    answers = marks.unionAll(shipped.groupBy("grp").applyInArrow(collect, anchors.MARK_SCHEMA))
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, f"k {kind}, n_bytes long, spans array<array<long>>, kept binary")
+    shipped = by_chunk.cogroup(marks.groupBy("chunk")).applyInArrow(lambda rows, marks: trimmed(ship, rows, marks), f"chunk long, grp long, codes binary, sizes binary, body binary, owners array<{kind}>")
+    answers = marks.unionAll(shipped.groupBy("grp").applyInArrow(lambda table: trimmed(collect, table), anchors.MARK_SCHEMA))
+    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, answers: trimmed(apply, rows, answers), f"k {kind}, n_bytes long, spans array<array<long>>, kept binary")
     return out.withColumnRenamed("k", key)
 
 
