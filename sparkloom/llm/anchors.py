@@ -19,7 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .chunks import pack_bits, spread, unpack_bits
+from .chunks import pack_bits, unpack_bits
+from .spans import spread
 
 #: Grams in a group of the first pass, about.
 GROUP_GRAMS = 4_000_000

@@ -7,8 +7,9 @@ Pieces beyond `LONGEST` bytes are matrices of one row. A round there takes all p
 from left to right, as long as no pair that a merge makes has a lower rank, so the outcome is that of one
 merge a round; the columns that are merged away leave the row.
 
-With a pattern of `SPACE_CUT`, texts are cut before each single space that a non-space follows, where such
-a pattern always has a boundary; the cut parts are encoded (and remembered) apart. Texts where a space
+With a pattern of `SPACE_CUT`, texts are cut before each single space that a non-space follows and
+between an ASCII letter and another ASCII character, where such a pattern always has a boundary; the cut
+parts are encoded (and remembered) apart, each different one of a batch once. Texts where a space
 is followed by white space, and all texts under other patterns, are cut into pre-tokens at once.
 
 Defined results: a null or empty text has no ids and decodes to b""; repeated rows each get their
@@ -20,7 +21,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_state
+from .spans import SpanHash, spread
 
 LONGEST = 256
 #: Upper byte lengths of the buckets.
@@ -41,8 +42,11 @@ SPACE_CUT = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
     r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
 )
-#: A space before any kind of white space, or the mark of `parts_of`: such texts are cut into pre-tokens at once.
-UNCLEAR = re.compile("\\0|[ ][\\s\u180e\u200b\ufeff]")
+#: A space before any kind of white space: such texts are cut into pre-tokens at once.
+UNCLEAR = re.compile("[ ][\\s\u180e\u200b\ufeff]")
+#: ASCII letters, by byte.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -193,75 +197,106 @@ class MatrixBPE:
         return ids.astype("<i4").tobytes()
 
 
-def parts_of(text: str, findall) -> list[str]:
-    """Keys of the parts of a text that can be encoded apart: what follows a space, or "\\0" and the part itself."""
-    if UNCLEAR.search(text):
-        return ["\0" + x for x in findall(text)]
-    parts = text.split(" ")
-    if parts[0]:
-        parts[0] = "\0" + parts[0]
-        return parts
-    return parts[1:]
-
-
-def part(key: str) -> str:
-    return key[1:] if key[:1] == "\0" else " " + key
-
-
 class Remembered:
     """What parts were found to be, in two generations: when the young one is full it becomes the old one, and the old one goes."""
 
     def __init__(self, most: int = REMEMBER):
         self.young, self.old, self.most = {}, {}, most
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of the keys that are known in neither; the others are young after it."""
+    def missing(self, keys: list[bytes]) -> list[bytes]:
+        """Those of the keys (all different) that are known in neither; the others are young after it."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        keys = keys.difference(self.young)
-        back = keys & self.old.keys()
-        self.young.update((k, self.old[k]) for k in back)
-        return list(keys - back)
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 class TextEncoder:
-    """Encodes texts part by part and remembers parts as packed little-endian int32 ids."""
+    """Encodes texts part by part and remembers parts as packed little-endian ids."""
+
+    kind = np.dtype("<i4")
 
     def __init__(self, bpe: MatrixBPE, pattern: str):
         import regex
 
-        self.bpe, self.findall, self.parts = bpe, regex.compile(pattern).findall, Remembered()
-        self.cut = parts_of if pattern in SPACE_CUT else lambda text, findall: ["\0" + x for x in findall(text)]
+        self.bpe, self.findall, self.spaced, self.parts = bpe, regex.compile(pattern).findall, pattern in SPACE_CUT, Remembered()
+        self.unclear = UNCLEAR.search
 
-    def learn(self, parts: list[str]) -> None:
-        tokens = list(map(self.findall, map(part, parts)))
+    def learn(self, parts: list[bytes]) -> None:
+        tokens = [list(map(str.encode, self.findall(x.decode()))) for x in parts]
         pieces = list({t for ts in tokens for t in ts})
-        ids = dict(zip(pieces, self.bpe.encode([p.encode() for p in pieces])))
+        ids = dict(zip(pieces, self.bpe.encode(pieces)))
         self.parts.young.update((x, ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])) for x, ts in zip(parts, tokens))
 
-    def values(self, texts: list[str | None]) -> tuple[list[str], list, list[int]]:
-        """The parts of all texts, what is remembered of each, and how many each text has."""
-        cut = [self.cut(x, self.findall) if x else [] for x in texts]
-        flat = list(chain.from_iterable(cut))
-        found = list(map(self.parts.young.get, flat))
-        lost = {x for x, y in zip(flat, found) if y is None}
-        if lost:
-            new = self.parts.missing(lost)
-            self.learn(new)
-            young = self.parts.young
-            found = [young[x] if y is None else y for x, y in zip(flat, found)]
-            for x in new:
-                if len(x) > 200:
-                    del young[x]
-        return flat, found, list(map(len, cut))
+    def parts_of(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different parts of the texts, the part at each place of all texts in turn, and how many each text has."""
+        clear = [bool(t) and self.spaced and not self.unclear(t) for t in texts]
+        raw = [t.encode() for t, c in zip(texts, clear) if c]
+        keys, which, sizes = _cut(b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64))
+        if len(raw) < len(texts):
+            more, n, at, out, each = {k: i for i, k in enumerate(keys)}, iter(sizes.tolist()), 0, [], []
+            for t, c in zip(texts, clear):
+                if c:
+                    size = next(n)
+                    out.append(which[at : at + size])
+                    at += size
+                else:
+                    out.append(np.array([more.setdefault(x.encode(), len(more)) for x in (self.findall(t) if t else ())], np.int64))
+                each.append(len(out[-1]))
+            keys, which, sizes = list(more), np.concatenate(out) if out else which, np.array(each, np.int64)
+        return keys, which, sizes
+
+    def known(self, keys: list[bytes]) -> list:
+        """What is remembered of each part, learned before where need be. Long parts are forgotten again."""
+        new = self.parts.missing(keys)
+        self.learn(new)
+        out = list(map(self.parts.young.__getitem__, keys))
+        for x in new:
+            if len(x) > 200:
+                del self.parts.young[x]
+        return out
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where those of each text end."""
+        keys, which, sizes = self.parts_of(texts)
+        found = self.known(keys)
+        many = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        each = many[which]
+        flat = np.frombuffer(b"".join(found), self.kind)[spread((np.cumsum(many) - many)[which], each)]
+        return flat, np.append(0, np.cumsum(each))[np.cumsum(sizes)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        _, found, sizes = self.values(texts)
-        out, at = [], 0
-        for n in sizes:
-            out.append(b"".join(found[at : at + n]))
-            at += n
-        return out
+        """The packed ids of each text."""
+        flat, ends = self.ids(texts)
+        return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _cut(block: bytes, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """`TextEncoder.parts_of` for texts in which no white space follows a space, none of them empty."""
+    text = np.frombuffer(block, np.uint8)
+    if not len(text):
+        return [], np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
+    begin = text == 32
+    begin[1:] |= LETTER[text[:-1]] & ~LETTER[text[1:]] & (text[1:] < 128)
+    begin[0] = True
+    begin[ends[:-1]] = True
+    starts = np.flatnonzero(begin)
+    size = np.diff(np.append(starts, len(text)))
+    _, lead, which = np.unique(SpanHash(text)(starts, starts + size), return_index=True, return_inverse=True)
+    n = size[lead][which]
+    if not (np.array_equal(n, size) and np.array_equal(text[spread(starts[lead][which], n)], text)):  # two parts share a hash
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(block[a : a + k], len(number)) for a, k in zip(starts.tolist(), size.tolist())])
+        keys = list(number)
+    else:
+        keys = [block[a : a + k] for a, k in zip(starts[lead].tolist(), size[lead].tolist())]
+    return keys, which, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def text_encoder(vocabulary: str, pattern: str) -> TextEncoder:
@@ -291,11 +326,8 @@ def encode_batches(batches: Iterable[pa.RecordBatch], vocabulary: str, pattern:
     """Batches of k, t to batches of k, ids."""
     encoder = text_encoder(vocabulary, pattern)
     for batch in small_steps(batches, "t"):
-        packed = encoder.encode(batch.column("t").to_pylist())
-        ends = np.zeros(len(packed) + 1, np.int32)
-        np.cumsum([len(x) // 4 for x in packed], out=ends[1:])
-        ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["k", "ids"])
+        ids, ends = encoder.ids(batch.column("t").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))], ["k", "ids"])
 
 
 def encode_table(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:

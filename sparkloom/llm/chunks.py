@@ -19,9 +19,6 @@ from .bpe import small_steps
 from .common import materialize, trimmed_steps, worker_state
 
 CHUNK_BYTES = 2 << 20
-#: [\x20\x09-\x0D], by byte.
-WHITE = np.zeros(256, bool)
-WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -75,69 +72,3 @@ def pack_bits(flags: np.ndarray) -> bytes:
 
 def unpack_bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (counts[0] of them), then those of starts[1], and so on."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-
-
-def word_spans(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words [^\\x20\\x09-\\x0D]+ of a block begin and end (in bytes), and the numbers of their documents."""
-    n = len(text)
-    white = WHITE[text]
-    cut = np.zeros(n + 1, bool)  # a document begins here
-    cut[ends] = True
-    begin, stop = ~white, ~white
-    begin[1:] &= white[:-1] | cut[1:n]
-    stop[:-1] &= white[1:] | cut[1:n]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(stop) + 1, np.searchsorted(ends, starts, "right")
-
-
-BASE = 0x9E3779B97F4A7C15
-#: A random 64-bit value for each byte.
-BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-
-
-def scramble(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-class SpanHash:
-    """64-bit hashes of any spans of a block, from prefix sums of its bytes. `bits` leaves fewer of them, to force clashes in tests."""
-
-    def __init__(self, text: np.ndarray, bits: int = 64):
-        n, self.mask = len(text), np.uint64((1 << bits) - 1)
-        power = lambda x: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))])
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[text] * power(BASE)[:n], out=self.sums[1:])
-        self.inverse = power(pow(BASE, -1, 1 << 64))
-
-    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        return scramble((self.sums[stops] - self.sums[starts]) * self.inverse[starts]) & self.mask
-
-
-def rolling(symbols: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """64-bit path hashes of the `d` symbols from each place, for each depth; places with fewer left than the deepest are missing.
-
-    Hashes of depth 1, 2, 4, ... are joined to any depth: hash(a + b) = hash(a) * B**len(b) + hash(b).
-    """
-    deepest = max(depths)
-    n = max(0, len(symbols) - deepest + 1)
-    power = lambda k: np.uint64(pow(BASE, k, 1 << 64))
-    level, out, size = {1: symbols.astype(np.uint64)}, {}, 1
-    while size * 2 <= deepest:
-        h = level[size]
-        level[size * 2] = h[: max(0, len(h) - size)] * power(size) + h[size:]
-        size *= 2
-    for d in depths:
-        at, h = 0, None
-        for s in sorted(level, reverse=True):
-            if d - at >= s:
-                h = level[s][:n].copy() if h is None else h * power(s) + level[s][at : at + n]
-                at += s
-        out[d] = scramble(h)
-    return out

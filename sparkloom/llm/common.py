@@ -83,6 +83,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Rows that `spread_join` broadcasts at most.
+HOT_KEYS = 200_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to facts (one row per key, with n: how many of the `total` rows have the key; n is left out of the result).
+
+    Keys of more than total / HOT_KEYS rows (64 at least) are fewer than HOT_KEYS, so their facts are
+    broadcast and their rows stay where they are; the others are shuffled, and none of them is large.
+    A null key meets nothing, as in any join.
+    """
+    limit, columns = max(64, total // HOT_KEYS + 1), [c for c in facts.columns if c not in (key, "n")]
+    hot = F.broadcast(facts.filter(F.col("n") > limit).select(key, F.struct(*columns).alias("__hot")))
+    first = rows.join(hot, key, "left")
+    found = first.filter(F.col("__hot").isNotNull()).select(*rows.columns, *(F.col(f"__hot.{c}").alias(c) for c in columns))
+    rest = first.filter(F.col("__hot").isNull()).drop("__hot").join(facts.filter(F.col("n") <= limit).drop("n"), key, how)
+    return found.unionByName(rest.select(*found.columns))
+
+
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RE), "")

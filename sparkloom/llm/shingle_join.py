@@ -21,35 +21,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import pack, rolling, unpack
-from .common import materialize
+from .chunks import CHUNK_BYTES, pack, unpack, volume
+from .common import materialize, trimmed, trimmed_steps, worker_state
+from .spans import SpanHash, rolling, word_spans
 
-CHUNK_BYTES = 4 << 20
 GROUP_SHINGLES = 1_000_000
 EPS = 1e-9
 
 
+#: ASCII letters in lower case, by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def shingle_hashes(block: bytes, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text of a block, as the number of the text and the hash, in this order."""
     import xxhash
 
-    at, words = 0, []
-    for end in ends.tolist():
-        words.append(block[at:end].lower().split())
-        at = end
-    counts = np.array([len(w) for w in words], np.int64)
-    symbols = np.fromiter((h for w in words for h in map(xxhash.xxh64_intdigest, w)), np.uint64, int(counts.sum()))
-    paths = rolling(symbols, (shingle,))[shingle]
-    owner = np.repeat(np.arange(len(words)), counts)[: len(paths)]
-    whole = np.arange(len(paths)) + shingle <= np.cumsum(counts)[owner]
+    text = LOWER[np.frombuffer(block, np.uint8)]
+    starts, stops, doc = word_spans(text, ends)
+    paths = rolling(SpanHash(text)(starts, stops), (shingle,))[shingle]
+    whole = doc[: len(paths)] == doc[shingle - 1 :][: len(paths)]
+    counts = np.bincount(doc, minlength=len(ends))
     short = np.flatnonzero((counts > 0) & (counts < shingle))
-    few = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i]), seed=1) for i in short.tolist()), np.uint64, len(short))
-    text, h = np.concatenate([owner[whole], short]), np.concatenate([paths[whole], few])
-    order = np.lexsort((h, text))
-    text, h = text[order], h[order]
+    begin = ends - np.diff(ends, prepend=0)
+    few = np.fromiter((xxhash.xxh64_intdigest(b" ".join(block[a:b].lower().split()), seed=1) for a, b in zip(begin[short].tolist(), ends[short].tolist())), np.uint64, len(short))
+    owner, h = np.concatenate([doc[: len(paths)][whole], short]), np.concatenate([paths[whole], few])
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    return text[new], h[new]
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], h[new]
 
 
 def _keys(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,10 +72,10 @@ def at_least(share: float, n):
 def prefixes(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """d, token, n, pos: the shingles in the prefix of each text (doc_id, text) that other texts have too, the number of its shingles and the place in their order."""
     chunks = pack(docs.select("doc_id", "text"), chunk_bytes)
-    volume = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0))))).first()[0] or 0
-    groups = max(8, volume // 6 // GROUP_SHINGLES + 1)
+    groups = max(8, volume(chunks) // 6 // GROUP_SHINGLES + 1)
 
     def deal(batches):
+        worker_state(None, None)
         for batch in batches:
             for chunk, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "body"))):
                 keys, _, many = _keys(shingle_hashes(*unpack(body, np.array(sizes, np.int64)), shingle)[1], groups)
@@ -107,8 +109,8 @@ def prefixes(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk_bytes:
             out.append((np.array(ids, np.int64)[text[use]], h[use].view(np.int64), n[text[use]], pos[use]))
         return pa.table({c: np.concatenate(xs) if out else np.zeros(0, np.int64) for c, xs in zip(("d", "token", "n", "pos"), zip(*out) if out else [()] * 4)})
 
-    counted = chunks.select("chunk", "sizes", "body").mapInArrow(deal, "chunk long, grp long, low binary, many binary").groupBy("grp").applyInArrow(weigh, "chunk long, grp long, rank binary")
-    return materialize(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(choose, "d long, token long, n long, pos long"), "prefixes")
+    counted = chunks.select("chunk", "sizes", "body").mapInArrow(lambda batches: trimmed_steps(deal(batches)), "chunk long, grp long, low binary, many binary").groupBy("grp").applyInArrow(lambda table: trimmed(weigh, table), "chunk long, grp long, rank binary")
+    return materialize(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda rows, answers: trimmed(choose, rows, answers), "d long, token long, n long, pos long"), "prefixes")
 
 
 def may_reach(n, pos, m, at, least: float):

@@ -16,16 +16,17 @@ is kept but never the id of a component that has another; repeated rows each kee
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import shingle_join
 from .bpe import small_steps
-from .common import materialize
+from .common import materialize, spread_join, trimmed_steps, worker_state
 from .graph import components
 
 
@@ -103,12 +104,13 @@ def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) ->
 def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable over links) of each row."""
     marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    star = components(links(fps.withColumn("r", F.lit(0)), most, segments, bucket))
-    rooted = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "values")
+    many, total = fps.agg(F.count("*"), F.sum("n")).first()
+    star = components(links(fps.select(F.lit(0).alias("r"), "fp"), most, segments, bucket))
+    rooted = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(rooted, least, "root", many).select("fp", "component_id", F.col("rows").alias("n"))
+    return spread_join(marked, named, "fp", total or 0).select("doc_id", "fp", "component_id")
 
 
 def near_dedup_table(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,10 @@ def shingle_set(text: str | None, shingle: int = 5) -> set[bytes]:
 
 def similar(a: str | None, b: str | None, shingle: int = 5, least: float = 0.8) -> bool:
     """Jaccard similarity of the word shingles of at least `least`; two texts without words are alike."""
-    x, y = shingle_set(a, shingle), shingle_set(b, shingle)
+    return alike(shingle_set(a, shingle), shingle_set(b, shingle), least)
+
+
+def alike(x: set, y: set, least: float) -> bool:
     both = len(x & y)
     return both >= least * (len(x) + len(y) - both)
 
@@ -132,26 +137,34 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
 
     Texts that are equal are one text. Others are joined if the Jaccard similarity of their word shingles is
     at least `least`; no such pair is missed (see shingle_join). Rows without a doc_id stay as they are; rows
-    that repeat a doc_id are one document, of which the row of least text hash stays.
+    that repeat a doc_id are one document, of which the row of least text hash stays; a null text counts as
+    empty, and texts without words are alike only if equal; an empty table stays empty. Ids of other types than
+    integers are numbered in their order first.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        numbers = materialize(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("__d")), "numbers")
+        rows = docs.join(numbers, "doc_id", "left").select(F.col("__d").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+        return keep_one(rows, shingle, least, star_rounds, crowd).select("__row.*")
     text_hash = F.md5(F.coalesce("text", F.lit("")))
-    known = docs.filter(F.col("doc_id").isNotNull())
-    hashes = materialize(known.groupBy("doc_id").agg(F.min(text_hash).alias("th")), "texts")
-    firsts = hashes.groupBy("th").agg(F.min("doc_id").alias("first"))
-    copies = materialize(hashes.join(firsts, "th").filter("doc_id <> first").select("doc_id"), "copies")
-    tokens = shingle_join.prefixes(known.select("doc_id", "text").join(copies, "doc_id", "left_anti"), shingle, least)
-    once = Window.partitionBy("doc_id").orderBy(text_hash)
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__d", F.col("doc_id").cast("long"))
+    hashes = materialize(known.groupBy(F.col("__d").alias("doc_id")).agg(F.min(text_hash).alias("th")), "texts")
+    firsts = hashes.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copies = materialize(spread_join(hashes, firsts.filter("n > 1"), "th", hashes.count()).filter("doc_id <> first").select("doc_id"), "copies")
+    texts = known.select(F.col("__d").alias("doc_id"), "text")
+    tokens = shingle_join.prefixes(texts.join(copies, "doc_id", "left_anti"), shingle, least)
     used = tokens.select(F.col("d").alias("doc_id")).distinct()
-    compared = materialize(known.select("doc_id", "text").join(used, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select("doc_id", "text"), "compared")
+    compared = materialize(texts.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", text_hash).alias("text")), "compared")
 
     def check(batches):
-        for batch in batches:
-            ok = [similar(x, y, shingle, least) for x, y in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist())]
+        worker_state(None, None)
+        sets = lru_cache(16)(lambda text: shingle_set(text, shingle))
+        for batch in (b for wide in small_steps(batches, "t") for b in small_steps([wide], "s")):
+            ok = [alike(sets(x), sets(y), least) for x, y in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def checked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(compared.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(compared.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
-        return both.select("u", "v", "t", "s").mapInArrow(check, "a long, b long")
+        return both.select("u", "v", "t", "s").mapInArrow(lambda batches: trimmed_steps(check(batches)), "a long, b long")
 
     largest = tokens.groupBy("token").count().agg(F.max("count")).first()[0] or 0
     stars, seen = None, None
@@ -161,6 +174,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
         edges = checked(pairs)
         stars = components(edges if stars is None else edges.unionAll(stars))
     rest = materialize(shingle_join.pairs_across(tokens, stars, least).join(seen, ["u", "v"], "left_anti"), "candidates")
-    gone = components(checked(rest).unionAll(stars)).select(F.col("a").alias("doc_id"))
-    kept = known.withColumn("__n", F.row_number().over(once)).filter("__n = 1").join(copies.unionAll(gone), "doc_id", "left_anti")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    gone = components(checked(rest).unionAll(stars)).select(F.col("a").alias("__d"))
+    # of rows that repeat an id, the one of least text hash stays; of equal ones, the first numbered
+    once = Window.partitionBy("__d").orderBy(text_hash)
+    kept = known.join(copies.select(F.col("doc_id").alias("__d")).unionAll(gone), "__d", "left_anti").withColumn("__n", F.row_number().over(once)).filter("__n = 1")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col("doc_id").isNull()))

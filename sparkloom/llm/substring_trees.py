@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .chunks import CHUNK_BYTES, SpanHash, pack, pack_bits, rolling, spread, unpack, volume, word_spans
+from .chunks import CHUNK_BYTES, pack, pack_bits, unpack, volume
 from .common import materialize, trimmed, trimmed_steps, worker_state
+from .spans import SpanHash, rolling, spread, word_spans
 
 GRAM = 8
 #: Words of the table to a group of subtrees, and suffixes of a group that are sorted at a time, about.

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .chunks import SpanHash, pack, pack_bits, spread, unpack, volume
+from .chunks import pack, pack_bits, unpack, volume
 from .common import materialize, trimmed, trimmed_steps, worker_state
+from .spans import SpanHash, spread
 
 GRAM = 30
 CHUNK_BYTES = 2 << 20

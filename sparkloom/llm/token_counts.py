@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns never take part.
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 
 import numpy as np
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPACE_CUT, UNCLEAR, MatrixBPE, TextEncoder, load_ranks, part, small_steps
+from .bpe import UNCLEAR, MatrixBPE, TextEncoder, load_ranks, small_steps
 from .common import materialize, worker_state
 
 #: Parts (see bpe) in a block.
 BLOCK = 16
 #: A match of a pattern of SPACE_CUT looks at most so many characters beyond its end.
 AHEAD = 2
+#: Where `bpe` cuts texts: before a space, and between an ASCII letter and another ASCII character.
+CUTS = re.compile(rb"(?= )|(?<=[A-Za-z])(?=[\x00-@\[-`{-\x7f])")
 
 
 class PartCounts(TextEncoder):
@@ -40,47 +43,45 @@ class PartCounts(TextEncoder):
         super().__init__(bpe, pattern)
         import regex
 
-        self.finditer, self.spaced = regex.compile(pattern).finditer, pattern in SPACE_CUT
+        self.finditer = regex.compile(pattern).finditer
         if ahead is None and not self.spaced:
             raise ValueError("say how many characters beyond its end a match of this pattern can look at")
         self.ahead = AHEAD if ahead is None else ahead
 
-    def learn(self, parts: list[str]) -> None:
-        tokens = list(map(self.findall, map(part, parts)))
+    def learn(self, parts: list[bytes]) -> None:
+        tokens = [list(map(str.encode, self.findall(x.decode()))) for x in parts]
         pieces = list({t for ts in tokens for t in ts})
-        size = dict(zip(pieces, (len(x) // 4 for x in self.bpe.encode([p.encode() for p in pieces]))))
+        size = dict(zip(pieces, (len(x) // 4 for x in self.bpe.encode(pieces))))
         self.parts.young.update((x, sum([size[t] for t in ts])) for x, ts in zip(parts, tokens))
 
     def blocks(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Characters and tokens of each block of each text; an empty text has one empty block."""
-        flat, found, sizes = self.values(texts)
-        n = np.array(sizes, np.int64)
+        keys, which, n = self.parts_of(texts)
         first = np.cumsum(n) - n
-        chars, tokens = np.fromiter(map(len, flat), np.int64, len(flat)) + 1, np.array(found, np.int64)
-        for a, k in zip(first.tolist(), sizes):  # keys with a mark hold the part itself: the first, or all
-            if k and flat[a][:1] == "\0":
-                chars[a : a + k if k > 1 and flat[a + 1][:1] == "\0" else a + 1] -= 2
+        chars = np.fromiter((len(k) if k.isascii() else len(k.decode()) for k in keys), np.int64, len(keys))[which]
+        tokens = np.array(self.known(keys), np.int64)[which]
         many = -(-n // BLOCK)
         cuts = np.repeat(first - BLOCK * (np.cumsum(many) - many), many) + BLOCK * np.arange(int(many.sum()))
         sums = [np.add.reduceat(x, cuts) if len(cuts) else x[:0] for x in (chars, tokens)]
         ends, none = np.cumsum(many).tolist(), np.zeros(1, np.int64)
         return [(sums[0][b - k : b], sums[1][b - k : b]) if k else (none, none) for b, k in zip(ends, many.tolist())]
 
-    def count(self, text: str) -> int:
-        return sum(self.values([text])[1])
-
-    def count_pieces(self, pieces: list[str]) -> int:
-        found = list(map(self.parts.young.get, ["\0" + p for p in pieces]))
-        if None in found:
-            self.learn(["\0" + p for p, n in zip(pieces, found) if n is None])
-            found = [self.parts.young["\0" + p] for p in pieces]
-        return sum(found)
+    def cut(self, text: str) -> list[bytes]:
+        """The parts of a short text."""
+        return [x for x in CUTS.split(text.encode()) if x] if self.spaced and not UNCLEAR.search(text) else list(map(str.encode, self.findall(text)))
 
 
 def part_counts(vocabulary: str, pattern: str, ahead: int | None) -> PartCounts:
     return worker_state(("counts", vocabulary, pattern, ahead), lambda: PartCounts(MatrixBPE(load_ranks(vocabulary)), pattern, ahead))
 
 
+def _apart(last: str, behind: str) -> bool:
+    """Whether patterns of SPACE_CUT have a boundary between a character and what is behind it, whatever else there is."""
+    if last.isascii() and last.isalpha() and behind[0].isascii() and not behind[0].isalpha():
+        return True
+    return behind[0] == " " and len(behind) > 1 and not UNCLEAR.search(behind)
+
+
 def heaps(leaves: list[np.ndarray]) -> list[np.ndarray]:
     """The sums of each tree in heap order; trees of one width are summed together."""
     width = np.array([1 << (len(x) - 1).bit_length() for x in leaves])
@@ -106,6 +107,7 @@ class TokenTree:
         self.counter, self.encoded = counter, 0
         self.base, self.chars, self.tokens, self.width = text, chars, tokens, len(chars) // 2
         self.begin, self.changed = list(accumulate(chars[self.width :], initial=0)), {}
+        self.pending: dict[int, list[bytes]] = {}  # parts of blocks whose tokens are not counted yet
 
     @classmethod
     def of(cls, text: str, counter: PartCounts) -> TokenTree:
@@ -114,6 +116,7 @@ class TokenTree:
 
     @property
     def n_tokens(self) -> int:
+        settle([self], self.counter)
         return self.tokens[1]
 
     @property
@@ -136,12 +139,12 @@ class TokenTree:
                 node += 1
         return node - self.width, before
 
-    def _set(self, i: int, chars: int, tokens: int) -> None:
+    def _add(self, heap: list[int], i: int, value: int) -> None:
+        """Give block i a value and update the sums above it."""
         node = self.width + i
-        more, most = chars - self.chars[node], tokens - self.tokens[node]
-        while node and (more or most):
-            self.chars[node] += more
-            self.tokens[node] += most
+        more = value - heap[node]
+        while node and more:
+            heap[node] += more
             node //= 2
 
     def _behind(self, last: int, n: int) -> str:
@@ -164,22 +167,22 @@ class TokenTree:
         end += self.chars[self.width + last]
         old = "".join(map(self._text, range(first, last + 1)))
         while True:
-            fresh, tokens = old[: at - before] + put + old[at + drop - before :], None
+            fresh, parts = old[: at - before] + put + old[at + drop - before :], None
             behind = self._behind(last, max(2, ahead)) if end < total else ""
-            if not behind or self.counter.spaced and behind[0] == " " and len(behind) > 1 and not UNCLEAR.search(behind):
-                tokens = self.counter.count(fresh)
+            if not behind or self.counter.spaced and _apart(fresh[-1:], behind):
+                parts = self.counter.cut(fresh)
             else:
                 pieces, upto = [], 0
                 for m in self.counter.finditer(fresh + behind):
                     upto = m.end()
                     if upto > len(fresh):
                         break
-                    pieces.append(m.group())
+                    pieces.append(m.group().encode())
                     if upto == len(fresh):
                         break
                 if upto == len(fresh):
-                    tokens = self.counter.count_pieces(pieces)
-            if tokens is not None:
+                    parts = pieces
+            if parts is not None:
                 break
             last += 1
             old, end = old + self._text(last), end + self.chars[self.width + last]
@@ -189,12 +192,15 @@ class TokenTree:
             return
         for i in range(first + 1, last + 1):
             self.changed[i] = ""
-            self._set(i, 0, 0)
-        self.changed[first] = fresh
-        self._set(first, len(fresh), tokens)
+            self.pending.pop(i, None)
+            self._add(self.chars, i, 0)
+            self._add(self.tokens, i, 0)
+        self.changed[first], self.pending[first] = fresh, parts
+        self._add(self.chars, first, len(fresh))
 
     def _grow(self, first: int, last: int, fresh: str) -> None:
         """Put the blocks of a long region in place of blocks; the counts of the others stand."""
+        settle([self], self.counter)
         rest = [i for i in range(self.width) if not first <= i <= last and self.chars[self.width + i]]
         (c, t), text = self.counter.blocks([fresh])[0], self.text()
         at = sum(self.chars[self.width + i] for i in range(first))
@@ -205,6 +211,16 @@ class TokenTree:
         self.encoded = encoded
 
 
+def settle(trees: list[TokenTree], counter: PartCounts) -> None:
+    """Count the tokens of all blocks that edits have touched, each different part once, and update the sums above them."""
+    keys = list({x for tree in trees for parts in tree.pending.values() for x in parts})
+    known = dict(zip(keys, counter.known(keys))) if keys else {}
+    for tree in trees:
+        for i, parts in tree.pending.items():
+            tree._add(tree.tokens, i, sum([known[x] for x in parts]))
+        tree.pending = {}
+
+
 def _lists(rows: list) -> pa.Array:
     ends = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(x) for x in rows], out=ends[1:])
@@ -237,18 +253,16 @@ def edit_trees(trees: DataFrame, vocabulary: str, pattern: str, key: str = "doc_
     def run(batches):
         counter = part_counts(vocabulary, pattern, ahead)
         for batch in small_steps(batches, "t"):
-            before, after, size, encoded, kept = [], [], [], [], []
-            for t, chars, tokens, script in zip(*(batch.column(c).to_pylist() for c in ("t", "chars", "tokens", "e"))):
-                tree = TokenTree(t or "", chars, tokens, counter)
-                before.append(tree.n_tokens)
+            texts = batch.column("t").to_pylist()
+            done = [TokenTree(t or "", chars, tokens, counter) for t, chars, tokens in zip(texts, *(batch.column(c).to_pylist() for c in ("chars", "tokens")))]
+            before = [tree.tokens[1] for tree in done]
+            for tree, script in zip(done, batch.column("e").to_pylist()):
                 for e in script or ():
                     if e is not None:
                         tree.edit(e["at"] or 0, e["drop"] or 0, e["put"] or "")
-                after.append(tree.n_tokens)
-                size.append(tree.n_chars)
-                encoded.append(tree.encoded)
-                if keep:
-                    kept.append((None if t is None and not tree.n_chars else tree.text(), *settled(tree)))
+            settle(done, counter)
+            after, size, encoded = [tree.tokens[1] for tree in done], [tree.n_chars for tree in done], [tree.encoded for tree in done]
+            kept = [(None if t is None and not tree.n_chars else tree.text(), *packed(tree)) for t, tree in zip(texts, done)] if keep else []
             more = [pa.array([x[0] for x in kept], pa.string()), _lists([x[1] for x in kept]), _lists([x[2] for x in kept])] if keep else []
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(x, pa.int64()) for x in (before, after, size, encoded)), *more], names)
 
@@ -257,7 +271,7 @@ def edit_trees(trees: DataFrame, vocabulary: str, pattern: str, key: str = "doc_
     return out.withColumnsRenamed({"k": key, "t": text})
 
 
-def settled(tree: TokenTree) -> tuple[np.ndarray, np.ndarray]:
+def packed(tree: TokenTree) -> tuple[np.ndarray, np.ndarray]:
     """The tree's sums without blocks that edits have emptied."""
     full = [i for i in range(tree.width, 2 * tree.width) if tree.chars[i]] or [tree.width]
     return tuple(heaps([np.array([x[i] for i in full], np.int64)])[0] for x in (tree.chars, tree.tokens))

@@ -23,6 +23,7 @@ are told apart by a second hash.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, TextEncoder, part, parts_of, small_steps
+from .bpe import UNCLEAR, Remembered, TextEncoder, small_steps
 from .common import materialize, shared_dir, worker_state
 
 SHARD_BYTES = 1 << 20
@@ -49,21 +50,25 @@ class LibraryEncoder(TextEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.findall, self.cut, self.parts = (lambda text: [text]), parts_of, Remembered(400_000)
+        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(400_000)
+        special = [] if special_as_text else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unclear = re.compile("|".join([UNCLEAR.pattern, *special])).search  # texts with a special token are encoded as a whole
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         most = max([end_id, *names.values()])
         self.kind = np.dtype("<u2" if most < 1 << 16 else "<u4")
-        self.spaced = np.zeros(most + 1, bool)  # ids that begin with a space, which byte-level files write so
-        self.spaced[[i for t, i in names.items() if t.startswith("\u0120")]] = True
+        self.begins = np.zeros(most + 1, bool)  # ids that begin with a space, which byte-level files write so
+        self.begins[[i for t, i in names.items() if t.startswith("\u0120")]] = True
 
-    def learn(self, parts: list[str]) -> None:
+    def learn(self, parts: list[bytes]) -> None:
         ids_of = lambda texts: [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain, odd = [x for x in parts if x and x[0] != "\0"], [x for x in parts if not x or x[0] == "\0"]
+        plain, odd = [], []
+        for x in parts:
+            (plain if len(x) > 1 and x.startswith(b" ") and x.find(b" ", 1) < 0 else odd).append(x)
         size = self.kind.itemsize
         for at in range(0, len(plain), 5000):  # many parts as one text: each begins with its only space
             some = plain[at : at + 5000]
-            ids = ids_of([" " + " ".join(some)])[0]
-            begin = np.flatnonzero(self.spaced[ids])
+            ids = ids_of([b"".join(some).decode()])[0]
+            begin = np.flatnonzero(self.begins[ids])
             if len(begin) != len(some):
                 odd += some
                 continue
@@ -71,7 +76,7 @@ class LibraryEncoder(TextEncoder):
             self.parts.young.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         for at in range(0, len(odd), 5000):
             some = odd[at : at + 5000]
-            self.parts.young.update((x, ids.tobytes()) for x, ids in zip(some, ids_of(list(map(part, some)))))
+            self.parts.young.update((x, ids.tobytes()) for x, ids in zip(some, ids_of(list(map(bytes.decode, some)))))
 
 
 SHARD_SCHEMA = "part int, shard int, base long, n_ids long, width int, keys array<{kind}>, nth array<int>, sizes array<int>, starts array<long>, payload binary"

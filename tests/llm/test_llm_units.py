@@ -10,7 +10,8 @@ P = pytest.importorskip("public_tokenizers")
 
 from sparkloom.llm import language, simhash, suffix_array, token_files  # noqa: E402
 from sparkloom.llm.bpe import MatrixBPE, Remembered, TextEncoder, load_ranks  # noqa: E402
-from sparkloom.llm.chunks import pack_bits, rolling, unpack_bits, word_spans  # noqa: E402
+from sparkloom.llm.chunks import pack_bits, unpack_bits
+from sparkloom.llm.spans import rolling, word_spans  # noqa: E402
 from sparkloom.llm.substring_trees import repeated_suffixes  # noqa: E402
 from sparkloom.llm.token_counts import PartCounts, TokenTree  # noqa: E402
 
@@ -55,8 +56,17 @@ def test_bpe_under_another_pattern(bpe, ranks):
 
 def test_memory_keeps_two_generations():
     m = Remembered(2)
-    m.young.update(dict.fromkeys(m.missing({"a", "b", "c"}), 1))
-    assert sorted(m.missing({"a", "d"})) == ["d"] and "a" in m.young and "b" in m.old
+    m.young.update(dict.fromkeys(m.missing([b"a", b"b", b"c"]), 1))
+    assert m.missing([b"a", b"d"]) == [b"d"] and b"a" in m.young and b"b" in m.old
+
+
+def test_parts_with_one_hash(bpe, tiktoken_encoding, monkeypatch):
+    """Parts are told apart by their bytes also where all hashes are equal."""
+    from sparkloom.llm import spans
+
+    monkeypatch.setattr(spans.SpanHash, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
+    texts = ["some words, and some more", "ab", "x y"]
+    assert [np.frombuffer(x, np.int32).tolist() for x in TextEncoder(bpe, P.PATTERN).encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
 
 
 def test_library_encoder_is_the_library():
