@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_state
-from .spans import SpanHash, spread
+from .spans import distinct, spread
 
 LONGEST = 256
 #: Upper byte lengths of the buckets.
@@ -287,15 +287,7 @@ def _cut(block: bytes, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.nd
     begin[0] = True
     begin[ends[:-1]] = True
     starts = np.flatnonzero(begin)
-    size = np.diff(np.append(starts, len(text)))
-    _, lead, which = np.unique(SpanHash(text)(starts, starts + size), return_index=True, return_inverse=True)
-    n = size[lead][which]
-    if not (np.array_equal(n, size) and np.array_equal(text[spread(starts[lead][which], n)], text)):  # two parts share a hash
-        number: dict[bytes, int] = {}
-        which = np.array([number.setdefault(block[a : a + k], len(number)) for a, k in zip(starts.tolist(), size.tolist())])
-        keys = list(number)
-    else:
-        keys = [block[a : a + k] for a, k in zip(starts[lead].tolist(), size[lead].tolist())]
+    keys, which = distinct(block, starts, np.diff(np.append(starts, len(text))))
     return keys, which, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 

@@ -73,3 +73,17 @@ def rolling(symbols: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarra
                 at += s
         out[d] = scramble(h)
     return out
+
+
+def distinct(block: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different spans of a block, and which of them each span is. Found by hash, told apart by their bytes."""
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    text = np.frombuffer(block, np.uint8)
+    _, lead, which = np.unique(SpanHash(text)(starts, starts + sizes), return_index=True, return_inverse=True)
+    n = sizes[lead][which]
+    if np.array_equal(n, sizes) and np.array_equal(text[spread(starts[lead][which], n)], text[spread(starts, sizes)]):
+        return [block[a : a + k] for a, k in zip(starts[lead].tolist(), sizes[lead].tolist())], which
+    number: dict[bytes, int] = {}  # two spans share a hash
+    which = np.array([number.setdefault(block[a : a + k], len(number)) for a, k in zip(starts.tolist(), sizes.tolist())])
+    return list(number), which

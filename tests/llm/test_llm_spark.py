@@ -369,6 +369,13 @@ def test_language_undecided(docs):
     assert by[5].lang_pred == by[6].lang_pred == by[7].lang_pred == "und" and by[0].lang_pred == "en" and by[0].score == 1.0
 
 
+def test_language_without_letters(docs):
+    """Numbers and signs that count as word characters elsewhere are no letters."""
+    odd = docs.filter("doc_id = 0").withColumn("text", F.lit("½ ² Ⅷ 12_3 ...")).withColumn("doc_id", F.lit(50).cast("long"))
+    by = {r.doc_id: r for r in language.language_table(docs.unionAll(odd), P.path("piece_bpe_32k.model"), 50).collect()}
+    assert (by[50].lang_pred, by[50].score) == ("und", 0.0) and by[0].lang_pred == "en"
+
+
 def test_components_of_a_chain(spark):
     from sparkloom.llm.graph import components
 

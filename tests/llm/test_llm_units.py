@@ -1,7 +1,6 @@
 """Kernels of the training-data operators against brute force, without Spark."""
 
 import random
-import re
 
 import numpy as np
 import pytest
@@ -203,21 +202,44 @@ def test_fingerprint_cases():
     assert simhash.similar(None, "") and not simhash.similar("a", "b") and simhash.similar("A b", "a B")
 
 
-def test_language_lattice_sums_all_segmentations():
-    pieces, probs = ["a", "b", "ab", "▁a"], np.array([[0.2], [0.3], [0.1], [0.25], [1e-7]])
-    lattice = language.Lattice(pieces)
-
-    def total(w):
-        if not w:
-            return 1.0
-        return sum((probs[pieces.index(w[:k])][0] if w[:k] in pieces else 1e-7 if k == 1 else 0) * total(w[k:]) for k in range(1, len(w) + 1))
-
-    for w in ("ab", "aabb", "▁ab", "xab", "b"):
-        assert np.exp(lattice.forward([w], probs)[0, 0]) == pytest.approx(total(w))
-    got = lattice.expected(["aabb"], np.array([2.0]), probs[:, 0])
-    assert sum(got[i] * len(p) for i, p in enumerate(pieces)) + got[-1] == pytest.approx(8.0)  # 2 words of 4 characters
+def total_of(w, pieces, p):
+    """P(word) by recursion over all segmentations."""
+    if not w:
+        return 1.0
+    return sum((p[pieces.index(w[:k])] if w[:k] in pieces else p[-1] if k == 1 else 0) * total_of(w[k:], pieces, p) for k in range(1, len(w) + 1))
+
+
+@pytest.mark.parametrize("matrix", [40, 0])
+def test_language_lattice_sums_all_segmentations(monkeypatch, matrix):
+    """In matrices and along the word (matrix 0)."""
+    monkeypatch.setattr(language, "MATRIX", matrix)
+    pieces = ["a", "b", "ab", "▁a", "aabbabab", "aabbababab"]
+    p = np.array([0.2, 0.3, 0.1, 0.25, 0.03, 0.04, 1e-7])
+    lattice, words = language.Lattice(pieces), ["ab", "aabb", "▁ab", "xab", "b", "aabbababab", "xaabbababaabb"]
+    out = lattice.forward(words, np.stack([p, p[::-1]], 1))
+    for k, q in enumerate((p, p[::-1])):
+        assert np.exp(out[:, k]) == pytest.approx([total_of(w, pieces, q) for w in words])
+    got = lattice.expected(["aabb", "▁ab"], np.array([2.0, 1.0]), p)
+    assert sum(got[i] * len(x) for i, x in enumerate(pieces)) + got[-1] == pytest.approx(11.0)  # 2 words of 4 characters, 1 of 3
+    assert got == pytest.approx(language.Lattice(pieces).expected(["aabb", "aabb", "▁ab"], np.ones(3), p))
+
+
+def test_long_words_are_scored_as_a_whole():
+    pieces, rng = ["a", "b", "ab", "bba"], random.Random(1)
+    p = np.array([[0.2, 0.1], [0.3, 0.2], [0.1, 0.4], [0.2, 0.1], [1e-7, 1e-7]])
+    lattice, words = language.Lattice(pieces), ["".join(rng.choice("abx") for _ in range(n)) for n in (39, 40, 41, 80)]
+    both = []
+    for matrix in (40, 0):
+        language.MATRIX, held = matrix, language.MATRIX
+        try:
+            both.append(lattice.forward(words, p))
+            both.append(lattice.expected(words, np.ones(4), p[:, 0]))
+        finally:
+            language.MATRIX = held
+    assert np.allclose(both[0], both[2]) and np.allclose(both[1], both[3]) and np.isfinite(lattice.forward(["ab" * 50000], p)).all()
+    every = language.load_pieces(P.path("piece_bpe_32k.model"))
+    assert max(map(len, every)) > 10 and len(every) == len(set(every))
 
 
 def test_spell():
-    assert language.spell("l'été,2") == ["▁l", "▁été"] and language.spell("123") == [] and [len(x) for x in language.spell("x" * 90)] == [41, 40, 10]
-    assert re.fullmatch(r"\w+", "été")
+    assert language.spell("l'été,2") == ["▁l", "▁été"] and language.spell("123 ½²Ⅷ_") == [] and [len(x) for x in language.spell("x" * 90)] == [91]
