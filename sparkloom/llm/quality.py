@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a lazy Column over (text, words). `order_rules` measures every rule on a bounded
-sample (its cost in seconds, and the share of the sample it rejects) and sorts the rules by
-rejection per cost. `cascade` then evaluates them in that order inside one CASE expression, so a
-document that an early rule rejects never pays for the later ones. The order decides cost only:
-a document is kept exactly when no rule rejects it.
+Each rule is a Column over the measures of a document. `order_rules` takes the first rows of the table
+(at most `sample_rows`, from as few partitions as hold them), measures every rule on them (its cost in
+seconds, and the share it rejects) and sorts the rules by rejection per cost. `cascade` then
+evaluates them in that order inside one CASE expression, so a document that an early rule rejects
+never pays for the later ones. The order decides cost only: a document is kept exactly when no rule
+rejects it. Where all measures are wanted anyway (`quality_table`), the rules read them and none is
+taken twice.
 
 Defined results: a null or empty text has no words and is rejected by `too_few_words`; repeated
 rows each get their own result; an empty table gives an empty result; other columns never take
@@ -40,12 +42,9 @@ def worded_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
 
 
-def n_dup_lines(text: Column) -> Column:
-    return let(worded_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-
-
-def n_lines(text: Column) -> Column:
-    return F.size(worded_lines(text)).cast("long")
+def lines(text: Column) -> Column:
+    """struct of n, the lines with a word, and dups, those of them equal to an earlier one."""
+    return let(worded_lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dups")))
 
 
 def _beside(a: Column, same) -> Column:
@@ -80,52 +79,80 @@ def n_repeat_words(w: Column) -> Column:
     return let(w, of).cast("long")
 
 
+class Measures:
+    """The measures of a document, each an expression over its text and words unless a column already holds it."""
+
+    def __init__(self, text: Column, words: Column, known: dict[str, Column] | None = None):
+        self.text, self.words, self.known = text, words, known or {}
+
+    def __getattr__(self, name: str) -> Column:
+        made = {
+            "n_words": lambda: F.size(self.words).cast("long"), "word_chars": lambda: word_chars(self.words), "n_symbols": lambda: n_symbols(self.text),
+            "lines": lambda: lines(self.text), "n_repeat_words": lambda: n_repeat_words(self.words),
+        }
+        if name not in made:
+            raise AttributeError(name)
+        return self.known[name] if name in self.known else made[name]()
+
+
+#: Largest text, in bytes, that the sample takes; the order of rules needs no larger ones.
+SAMPLE_BYTES = 256 << 10
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`rejects(text, words)` is true for a document to be rejected."""
+    """`rejects(measures)` is true for a document to be rejected."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Measures], Column]
 
 
 def default_rules(min_words: int = 50, repeat_pct: int = 50, symbols_pct: int = 10, dup_lines_pct: int = 50, longest_mean: int = 15, shortest_mean: int = 2) -> list[Rule]:
     return [
-        Rule("too_few_words", lambda t, w: F.size(w) < min_words),
-        Rule("repeated_words", lambda t, w: n_repeat_words(w) * 100 > F.size(w) * repeat_pct),
-        Rule("symbols", lambda t, w: n_symbols(t) * 100 > F.size(w) * symbols_pct),
-        Rule("duplicate_lines", lambda t, w: n_dup_lines(t) * 100 > n_lines(t) * dup_lines_pct),
-        Rule("long_words", lambda t, w: word_chars(w) > F.size(w) * longest_mean),
-        Rule("short_words", lambda t, w: word_chars(w) < F.size(w) * shortest_mean),
+        Rule("too_few_words", lambda m: m.n_words < min_words),
+        Rule("repeated_words", lambda m: m.n_repeat_words * 100 > m.n_words * repeat_pct),
+        Rule("symbols", lambda m: m.n_symbols * 100 > m.n_words * symbols_pct),
+        Rule("duplicate_lines", lambda m: let(m.lines, lambda x: x["dups"] * 100 > x["n"] * dup_lines_pct)),
+        Rule("long_words", lambda m: m.word_chars > m.n_words * longest_mean),
+        Rule("short_words", lambda m: m.word_chars < m.n_words * shortest_mean),
     ]
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 500) -> list[Rule]:
     """The rules by rejection per cost, estimated on at most `sample_rows` rows (the only place that samples)."""
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).select("t", words(F.col("t")).alias("w")).cache()
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(t.alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES).head(sample_rows)  # at most sample_rows * SAMPLE_BYTES come to the driver
+    if not rows:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "t string").coalesce(1).select("t", words(F.col("t")).alias("w")).cache()
     try:
-        n = max(1, sample.count())
+        sample.count()
+        every = Measures(F.col("t"), F.col("w"))
 
         def measure(hit: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            got = sample.agg(F.count_if(hit)).first()[0]
-            return time.perf_counter() - began, got
-
-        idle = min(measure(F.col("t").isNull())[0] for _ in range(2))
+            """The least time of three, and the rows hit."""
+            took = []
+            for _ in range(3):
+                began = time.perf_counter()
+                got = sample.agg(F.count_if(hit)).first()[0]
+                took.append(time.perf_counter() - began)
+            return min(took), got
+
+        idle = measure(F.col("t").isNull())[0]
         rank = []
         for at, rule in enumerate(rules):
-            took, got = measure(rule.rejects(F.col("t"), F.col("w")))
-            rank.append((-(got / n) / max(took - idle, 1e-3), at))
+            took, got = measure(rule.rejects(every))
+            rank.append((-(got / len(rows)) / max(took - idle, 1e-3), at))
         return [rules[at] for _, at in sorted(rank)]
     finally:
         sample.unpersist()
 
 
-def cascade(rules: list[Rule], text: Column, w: Column) -> Column:
+def cascade(rules: list[Rule], measures: Measures) -> Column:
     """Name of the first rule, in the given order, that rejects the document; null if none does."""
-    out = None
-    for rule in rules:
-        hit = F.coalesce(rule.rejects(text, w), F.lit(False))
-        out = F.when(hit, rule.name) if out is None else out.when(hit, rule.name)
+    out = F.lit(None).cast("string")
+    for rule in reversed(rules):
+        out = F.when(F.coalesce(rule.rejects(measures), F.lit(False)), rule.name).otherwise(out)
     return out
 
 
@@ -133,25 +160,23 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "tex
     """The documents, with all their columns, that no rule rejects."""
     ordered = order_rules(docs, default_rules() if rules is None else rules, text, sample_rows)
     t, w, names = "__quality_text", "__quality_words", docs.columns
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias(t)).withColumn(w, words(F.col(t)))
-    return held.filter(cascade(ordered, F.col(t), F.col(w)).isNull()).select("row.*")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t)).withColumn(w, words(F.col(t)))
+    return held.filter(cascade(ordered, Measures(F.col(t), F.col(w))).isNull()).select("row.*")
 
 
 def quality_table(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
     """doc_id, the base measures, base_failed and kept for each document."""
     ordered = order_rules(docs, default_rules() if rules is None else rules, "text", sample_rows)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
-    t, w = F.col("t"), F.col("w")
-    out = base.select(
-        "doc_id", "t", "w", F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), n_symbols(t).alias("n_symbols"),
-        n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(w).alias("n_repeat_words"),
-    )
+    taken, names = Measures(F.col("t"), F.col("w")), ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+    out = base.select("doc_id", "t", "w", *(getattr(taken, c).alias(c) for c in names))
+    measures = Measures(F.col("t"), F.col("w"), {c: F.col(c) for c in names})
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    verdict = F.when(F.col("base_failed"), False).otherwise(cascade([r for r in ordered if r.name not in BASE], t, w).isNull())
-    return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"))
+    verdict = F.when(F.col("base_failed"), False).otherwise(cascade([r for r in ordered if r.name not in BASE], measures).isNull())
+    return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dups").alias("n_dup_lines"), "n_repeat_words", "base_failed", verdict.alias("kept"))
 
 
-#: Rules that `quality_table` takes from its measures.
+#: Rules that base_failed covers.
 BASE = ("too_few_words", "repeated_words")
 
 WORDS_SQL = r"[x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
