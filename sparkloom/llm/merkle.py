@@ -1,14 +1,18 @@
 """Document fingerprints as Merkle trees, in DataFrame functions only.
 
 Tree: root <- sections (ended by blank lines) <- paragraphs (ended by \\n) <- runs of up to
-`run_words` words with the white space after them. The leaves join to the text, so the root is
+`run_words` words with the white space after them. The runs join to the text, so the root is
 equal exactly for equal texts (up to hash collisions). Each level hashes the digests below it. The
-fingerprint is the root's digest, then "-", then the first 8 hex digits of each leaf's digest: roots
-test equality, and the leaves that differ between two fingerprints locate an edit.
-
-Likeness of two fingerprints: 1 if the roots agree, else the Dice coefficient of their leaf sets.
-Defined results: a null text counts as empty, an empty text has one empty leaf; repeated rows each
-keep their row; an empty table gives an empty result.
+fingerprint is the root's digest (64 hex digits), then "-", then the tree below it in units of 8 hex digits: the
+first digits of each run's digest, a unit of zeros at the end of each paragraph and one more at the end of
+each section. `branches` reads the tree back, with a digest for each section and paragraph; `differing`
+descends from two differing roots through the branches that differ and gives the runs of the
+first that the second hasn't there; `locate_edits` turns these into places in the text.
+
+Likeness of two fingerprints: 1 if the roots agree, else the Dice coefficient of their sets of runs.
+Defined results: a null text counts as empty, an empty text has one empty run; repeated rows each
+keep their row, in order of text hash; null ids come first; an empty table gives an empty result; a table of one
+row is followed by itself; other columns never take part. Ids that can't be cast to a long are all in one block.
 """
 
 from __future__ import annotations
@@ -19,7 +23,11 @@ from pyspark.sql import functions as F
 from .common import let
 
 RUN_WORDS = 4
-LEAF_HEX = 8
+UNIT = 8
+#: The unit at the end of a paragraph or section, and what stands for a run whose digest begins with it.
+MARK, FIRST = "0" * UNIT, "0" * (UNIT - 1) + "1"
+#: Bounds that are looked up by binary search, and blocks whose first rows are broadcast, at most.
+MOST_CUTS, MOST_BROADCAST = 8192, 65536
 
 
 def _runs(paragraph: Column, run_words: int) -> Column:
@@ -37,17 +45,87 @@ def root(nodes: Column) -> Column:
     return F.sha2(F.array_join(sections, "|"), 256)
 
 
-def fingerprint(text: Column, run_words: int = RUN_WORDS) -> Column:
+def packed(text: Column, run_words: int = RUN_WORDS) -> Column:
+    """The fingerprint as binary, half as long."""
+
+    def unit(x: Column) -> Column:
+        return F.when(F.startswith(x, F.lit(MARK)), F.lit(FIRST)).otherwise(F.substring(x, 1, UNIT))
+
     def of(nodes: Column) -> Column:
-        leaves = F.transform(F.flatten(F.flatten(nodes)), lambda x: F.substring(x, 1, LEAF_HEX))
-        return F.concat(root(nodes), F.lit("-"), F.array_join(leaves, ""))
+        paragraph = lambda p: F.concat(F.array_join(F.transform(p, unit), ""), F.lit(MARK))
+        section = lambda s: F.concat(F.array_join(F.transform(s, paragraph), ""), F.lit(MARK))
+        return F.unhex(F.concat(root(nodes), F.array_join(F.transform(nodes, section), "")))
 
     return let(tree(text, run_words), of)
 
 
+def unpacked(raw: Column) -> Column:
+    """The fingerprint of its binary form."""
+    return let(F.lower(F.hex(raw)), lambda h: F.concat(F.substring(h, 1, 64), F.lit("-"), F.substring(h, 65, 1 << 30)))
+
+
+def fingerprint(text: Column, run_words: int = RUN_WORDS) -> Column:
+    return unpacked(packed(text, run_words))
+
+
+def _units(print_: Column) -> Column:
+    return F.regexp_extract_all(F.substring(print_, 66, 1 << 30), F.lit(f".{{{UNIT}}}"), F.lit(0))
+
+
 def leaves(print_: Column) -> Column:
-    """The distinct leaf digests in a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.substring(print_, 66, 1 << 30), F.lit(f".{{{LEAF_HEX}}}"), F.lit(0)))
+    """The distinct digests of runs in a fingerprint."""
+    return F.array_remove(F.array_distinct(_units(print_)), MARK)
+
+
+def branches(print_: Column) -> Column:
+    """array (sections) of struct<digest, paragraphs: array of struct<digest, runs: array of digests>>, read from a fingerprint."""
+    spelt = F.regexp_replace(F.array_join(_units(print_), ","), f"{MARK},{MARK}(,|$)", "/")  # sections end with /
+    parts = lambda x, end: F.filter(F.split(x, end), lambda y: y != "")
+    paragraph = lambda p: let(parts(p, ","), lambda runs: F.struct(F.md5(F.array_join(runs, ",")).alias("digest"), runs.alias("runs")))
+    section = lambda s: let(F.transform(parts(s, f"{MARK}(?:,|$)"), paragraph), lambda ps: F.struct(F.md5(F.array_join(F.transform(ps, lambda p: p["digest"]), ";")).alias("digest"), ps.alias("paragraphs")))
+    return F.transform(parts(spelt, "/"), section)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """array of struct<section, paragraph, run> (from 0; run counts within its paragraph): the runs of fingerprint a that b lacks in the branches in which they differ."""
+
+    def descend(x: Column, y: Column) -> Column:
+        digests = lambda nodes: F.transform(nodes, lambda n: n["digest"])
+        below = lambda sections: F.flatten(F.transform(sections, lambda s: s["paragraphs"]))
+        open_y = lambda ys: F.filter(y, lambda s: ~F.array_contains(ys, s["digest"]))
+        there = open_y(digests(x))  # sections of b that a hasn't
+        lacking = F.filter(below(there), lambda p: ~F.array_contains(digests(below(x)), p["digest"]))
+        runs = F.flatten(F.transform(lacking, lambda p: p["runs"]))
+
+        def in_paragraph(p, si, pi):
+            some = F.filter(F.transform(p["runs"], lambda r, i: F.struct(F.lit(si).alias("section"), F.lit(pi).alias("paragraph"), i.alias("run"), r.alias("digest"))), lambda r: ~F.array_contains(runs, r["digest"]))
+            return F.when(F.array_contains(digests(below(there)), p["digest"]), F.filter(some, lambda r: F.lit(False))).otherwise(some)
+
+        def in_section(s, si):
+            found = F.flatten(F.transform(s["paragraphs"], lambda p, pi: in_paragraph(p, si, pi)))
+            return F.when(F.array_contains(digests(y), s["digest"]), F.filter(found, lambda r: F.lit(False))).otherwise(found)
+
+        return F.transform(F.flatten(F.transform(x, in_section)), lambda r: F.struct(r["section"].alias("section"), r["paragraph"].alias("paragraph"), r["run"].alias("run")))
+
+    found = let(F.struct(branches(a).alias("a"), branches(b).alias("b")), lambda t: descend(t["a"], t["b"]))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.filter(found, lambda r: F.lit(False))).otherwise(found)
+
+
+def locate_edits(pairs: DataFrame, text: str = "text", other: str = "other", run_words: int = RUN_WORDS) -> DataFrame:
+    """The rows of pairs with edits: array of struct<at, size>, the places (in code points) of the runs of `text` that the fingerprint of `other` lacks in differing branches."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    sizes = F.transform(F.split(t, r"(?<=\n\n)(?!\n)"), lambda s: F.transform(F.split(s, r"(?<=\n)"), lambda p: F.transform(_runs(p, run_words), F.char_length)))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
+
+    def place(n: Column) -> Column:
+        def of(d: Column) -> Column:
+            section, paragraph = F.get(n, d["section"]), F.get(F.get(n, d["section"]), d["paragraph"])
+            before = total(F.flatten(F.flatten(F.slice(n, F.lit(1), d["section"])))) + total(F.flatten(F.slice(section, F.lit(1), d["paragraph"]))) + total(F.slice(paragraph, F.lit(1), d["run"]))
+            return F.struct(before.alias("at"), F.get(paragraph, d["run"]).alias("size"))
+
+        return F.transform(differing(fingerprint(t, run_words), fingerprint(F.coalesce(F.col(f"`{other}`"), F.lit("")), run_words)), of)
+
+    return pairs.withColumn("edits", let(sizes, place))
 
 
 def _dice(a: Column, b: Column) -> Column:
@@ -58,39 +136,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(_dice(leaves(a), leaves(b)))
 
 
-def with_next(docs: DataFrame, values: dict[str, Column], block_rows: int = 1500, most_blocks: int = 8192) -> DataFrame:
+def with_next(docs: DataFrame, values: dict[str, Column], block_rows: int = 1500, most_cuts: int = MOST_CUTS) -> DataFrame:
     """doc_id, the values of each row, and `next`: a struct of the values of the row after it by ascending doc_id, then text hash.
 
-    After the last row comes the first. Rows are dealt to blocks between quantiles of doc_id (at most
-    `most_blocks`, a small array); neighbours within a block come from a window, and the one row at
+    After the last row comes the first. Rows are dealt to blocks: between quantiles of doc_id (at most
+    `most_cuts`, a small array), and within each into equal ranges of ids where the table has more rows than that makes
+    blocks of `block_rows`. Neighbours within a block come from a window, and the one row at
     each block's end gets its successor from the next block. Null ids come first.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("i"))
-    blocks = max(1, min(most_blocks, ids.count() // block_rows))
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] or [])) if blocks > 1 else []
-    block = F.lit(0)
-    if cuts:  # number of cuts not above the id, by binary search
-        bounds, at = F.array(*(F.lit(c).cast("long") for c in cuts)), F.col("doc_id").cast("long")
-        steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
-        block = F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.coalesce(F.get(bounds, acc + s - 1) <= at, F.lit(False)), acc + s).otherwise(acc))
+    wanted = max(1, ids.count() // block_rows)
+    tops = min(most_cuts, wanted)
+    parts = -(-wanted // tops)
+    low, high, *quantiles = ids.agg(F.min("i"), F.max("i"), F.percentile_approx("i", [k / tops for k in range(1, tops)] or [0.5], 20 * tops)).first()
+    cuts = sorted(set(quantiles[0] or [])) if tops > 1 else []
+    block = F.lit(0).cast("long")
+    if cuts or parts > 1 and low is not None:
+        longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+        at = F.col("doc_id").cast("long")
+        steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1))) if cuts else F.array().cast("array<int>")
+        # the number of cuts not above the id, by binary search
+        top = F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.coalesce(F.get(longs(cuts), acc + s - 1) <= at, F.lit(False)), acc + s).otherwise(acc)) if cuts else F.lit(0)
+        if parts == 1:
+            block = top.cast("long")
+        else:
+            def within(t: Column) -> Column:
+                begin, end = F.get(longs([low, *cuts]), t).cast("double"), F.get(longs([*cuts, high + 1]), t).cast("double")
+                part = F.floor((at.cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)) * parts)
+                return t.cast("long") * parts + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)), F.lit(0)).cast("long")
+
+            block = let(top, within)
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), block.alias("block"))
     order = [F.col("doc_id").asc_nulls_first(), "h"]
-    named = F.struct(*values)
-    rows = held.select("doc_id", "h", "block", *(c.alias(k) for k, c in values.items())).withColumn("next", F.lead(named).over(Window.partitionBy("block").orderBy(*order)))
+    named = F.struct(*(c.alias(k) for k, c in values.items()))
+    rows = held.select("doc_id", "h", "block", *(c.alias(k) for k, c in values.items())).withColumn("next", F.lead(F.struct(*values)).over(Window.partitionBy("block").orderBy(*order)))
     least = held.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("m")).select(F.col("block").alias("b"), "m")
-    hit = held.join(F.broadcast(least), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("h") == F.col("m.h")))  # one row per block
-    firsts = hit.dropDuplicates(["b"]).select("b", F.struct(*(c.alias(k) for k, c in values.items())).alias("head"))
-    turn = Window.partitionBy(F.lit(1)).orderBy("b")  # one row per block again
-    heads = firsts.select("b", F.coalesce(F.lead("head").over(turn), F.first("head").over(turn.rowsBetween(Window.unboundedPreceding, 0))).alias("head"))
+    least = F.broadcast(least) if wanted <= MOST_BROADCAST else least  # one row per block
+    hit = held.join(least, (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("h") == F.col("m.h")))
+    firsts = hit.dropDuplicates(["b"]).select("b", named.alias("head"))
+    turn = Window.partitionBy(F.lit(1)).orderBy("b")  # the numbers of the blocks, one for each `block_rows` rows
+    after = firsts.select("b").withColumn("to", F.coalesce(F.lead("b").over(turn), F.first("b").over(turn.rowsBetween(Window.unboundedPreceding, 0))))
+    heads = after.join(firsts.withColumnRenamed("b", "to"), "to").select("b", "head")
     return rows.join(heads, rows["block"] == heads["b"], "left").select("doc_id", *values, F.coalesce("next", "head").alias("next"))
 
 
 def fingerprint_table(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Fingerprints of each text and of its edited text (its last half replaced by the start of the next document), and their likeness."""
     text = F.coalesce("text", F.lit(""))
-    rows = with_next(docs, {"body": text, "print": fingerprint(text, run_words)}).withColumn("n", F.char_length("body").cast("long"))
+    rows = with_next(docs, {"body": text, "raw": packed(text, run_words)}).withColumn("n", F.char_length("body").cast("long"))
     half = F.floor(F.col("n") / 2).cast("int")
-    edited = rows.select("doc_id", "n", "print", F.col("next.print").alias("next_print"), F.concat(F.substring("body", F.lit(1), (F.col("n") - half).cast("int")), F.substring(F.col("next.body"), F.lit(1), half)).alias("edited"))
+    edited = rows.select("doc_id", "n", unpacked(F.col("raw")).alias("print"), unpacked(F.col("next.raw")).alias("next_print"), F.concat(F.substring("body", F.lit(1), (F.col("n") - half).cast("int")), F.substring(F.col("next.body"), F.lit(1), half)).alias("edited"))
     marked = edited.select("doc_id", "n", "print", "next_print", F.sha2("edited", 256).alias("sha"), fingerprint(F.col("edited"), run_words).alias("edited_print"))
     return marked.select(
         "doc_id", F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
