@@ -203,18 +203,19 @@ class Remembered:
     def __init__(self, most: int = REMEMBER):
         self.young, self.old, self.most = {}, {}, most
 
-    def missing(self, keys: list[bytes]) -> list[bytes]:
-        """Those of the keys (all different) that are known in neither; the others are young after it."""
+    def get(self, keys: list[bytes]) -> tuple[list, list[int]]:
+        """What is known of each key (all different), and the places of the unknown ones. Known ones are young after it."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
+        found, lost = list(map(self.young.get, keys)), []
+        for i, x in enumerate(found):
+            if x is None:
+                x = self.old.get(keys[i])
+                if x is None:
+                    lost.append(i)
                 else:
-                    out.append(k)
-        return out
+                    found[i] = self.young[keys[i]] = x
+        return found, lost
 
 
 class TextEncoder:
@@ -254,13 +255,16 @@ class TextEncoder:
 
     def known(self, keys: list[bytes]) -> list:
         """What is remembered of each part, learned before where need be. Long parts are forgotten again."""
-        new = self.parts.missing(keys)
-        self.learn(new)
-        out = list(map(self.parts.young.__getitem__, keys))
-        for x in new:
-            if len(x) > 200:
-                del self.parts.young[x]
-        return out
+        found, lost = self.parts.get(keys)
+        if lost:
+            new = [keys[i] for i in lost]
+            self.learn(new)
+            young = self.parts.young
+            for i, x in zip(lost, new):
+                found[i] = young[x]
+                if len(x) > 200:
+                    del young[x]
+        return found
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where those of each text end."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join
+from .common import discard, materialize, spread_join
 
 
 def _large_star(e: DataFrame, total: int) -> DataFrame:
@@ -34,7 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         starred = materialize(_large_star(now, seen[0]).distinct(), "edges")
-        now = materialize(_small_star(starred, mark(starred)[0]).distinct(), "edges")
+        after = materialize(_small_star(starred, mark(starred)[0]).distinct(), "edges")
+        discard(now)
+        discard(starred)
+        now = after
         got = mark(now)
         if got == seen:
             break

@@ -75,15 +75,43 @@ def rolling(symbols: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarra
     return out
 
 
+def _loads(text: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Up to 8 bytes from each place as one number."""
+    wide = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))[at]
+    short = sizes < 8
+    wide[short] &= (np.uint64(1) << (sizes[short] * 8).astype(np.uint64)) - np.uint64(1)
+    return wide
+
+
 def distinct(block: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The different spans of a block, and which of them each span is. Found by hash, told apart by their bytes."""
+    """The different spans of a block, and which of them each span is.
+
+    Spans of up to 16 bytes are compared by size, first and last 8 bytes, in numpy; longer ones by a dict.
+    """
     if not len(starts):
         return [], np.zeros(0, np.int64)
-    text = np.frombuffer(block, np.uint8)
-    _, lead, which = np.unique(SpanHash(text)(starts, starts + sizes), return_index=True, return_inverse=True)
-    n = sizes[lead][which]
-    if np.array_equal(n, sizes) and np.array_equal(text[spread(starts[lead][which], n)], text[spread(starts, sizes)]):
-        return [block[a : a + k] for a, k in zip(starts[lead].tolist(), sizes[lead].tolist())], which
-    number: dict[bytes, int] = {}  # two spans share a hash
-    which = np.array([number.setdefault(block[a : a + k], len(number)) for a, k in zip(starts.tolist(), sizes.tolist())])
-    return list(number), which
+    text = np.frombuffer(block + bytes(8), np.uint8)
+    which, small = np.empty(len(starts), np.int64), np.flatnonzero(sizes <= 16)
+    at, n = starts[small], sizes[small]
+    head, tail = _loads(text, at, n), _loads(text, at + np.maximum(n - 8, 0), n)
+    h = scramble(head * np.uint64(BASE) + tail + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    order = np.argsort(h)
+    sorted_ = h[order]
+    new = np.ones(len(order), bool)
+    for x in (head, tail, n):  # equal hashes: the same span, or a new one where one of these differs
+        y = x[order]
+        np.logical_or(new[1:], y[1:] != y[:-1], out=new[1:]) if x is not head else np.not_equal(y[1:], y[:-1], out=new[1:])
+    which[small[order]] = np.cumsum(new) - 1
+    lead = order[new]
+    if (new[1:] & (sorted_[1:] == sorted_[:-1])).any():  # different spans share a hash, so equal ones may lie apart
+        number: dict[bytes, int] = {}
+        which[small] = [number.setdefault(block[a : a + k], len(number)) for a, k in zip(at.tolist(), n.tolist())]
+        keys = list(number)
+    else:
+        keys = [block[a : a + k] for a, k in zip(at[lead].tolist(), n[lead].tolist())]
+    if len(small) < len(starts):
+        more: dict[bytes, int] = {}
+        large = np.flatnonzero(sizes > 16)
+        which[large] = [more.setdefault(block[a : a + k], len(keys) + len(more)) for a, k in zip(starts[large].tolist(), sizes[large].tolist())]
+        keys += more
+    return keys, which

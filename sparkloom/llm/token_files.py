@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import UNCLEAR, Remembered, TextEncoder, small_steps
-from .common import materialize, shared_dir, worker_state
+from .common import discard, materialize, shared_dir, worker_state
 
 SHARD_BYTES = 1 << 20
 BUCKET_KEYS = 4096
@@ -50,7 +50,7 @@ class LibraryEncoder(TextEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(400_000)
+        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(600_000)
         special = [] if special_as_text else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.unclear = re.compile("|".join([UNCLEAR.pattern, *special])).search  # texts with a special token are encoded as a whole
         names = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -288,7 +288,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/sparkloom/token-files-{uuid.uuid4().hex}"
     kind = docs.schema[key].dataType.simpleString()
-    write_shards(encoded(docs, tokenizer, end_id, key=key, special_as_text=special_as_text), f"{path}/shards")
+    ids = encoded(docs, tokenizer, end_id, key=key, special_as_text=special_as_text)
+    write_shards(ids, f"{path}/shards")
+    discard(ids)
     write_index(spark.read.schema(SHARD_SCHEMA.format(kind=kind)).parquet(f"{path}/shards"), f"{path}/index")
     return TokenFiles(spark, path, kind)
 

@@ -318,17 +318,49 @@ def test_suffix_array_equal_and_null_ids(spark, chunk_bytes):
     assert sorted((r.n_bytes, sum(b - a for a, b in r.spans)) for r in named) == sorted(x[1:3] for x in got_)
 
 
-@pytest.mark.parametrize("block_rows", [1500, 3])
-def test_merkle(docs, block_rows):
-    nxt = merkle.with_next(docs, {"body": F.coalesce("text", F.lit(""))}, block_rows=block_rows)
+def merkle_tree(t):
+    """Sections of paragraphs of runs, by brute force."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    runs = re.compile(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,4}|[\x20\x09-\x0D]+|^$")
+    sections = [[runs.findall(p) or [""] for p in re.split(r"(?<=\n)", s)] for s in re.split(r"(?<=\n\n)(?!\n)", t or "")]
+    sections = [[p for i, p in enumerate(s) if p != [""] or len(s) == 1 or i == len(s) - 1] for s in sections]
+    digests = [[[md5(x) for x in p if x or p == [""]] for p in s] for s in sections]
+    root = hashlib.sha256("|".join(md5(";".join(md5(",".join(p)) for p in s)) for s in digests).encode()).hexdigest()
+    return sections, root, root + "-" + "".join("".join("".join(x[:8] for x in p) + "0" * 8 for p in s) + "0" * 8 for s in digests)
+
+
+def dice(a, b):
+    if a[:64] == b[:64]:
+        return 1.0
+    x, y = ({p[65 + 8 * i :][:8] for i in range(len(p[65:]) // 8)} - {"0" * 8} for p in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+@pytest.mark.parametrize(("block_rows", "most_cuts"), [(1500, 8192), (3, 8192), (2, 3), (2, 1)])
+def test_merkle_next(docs, block_rows, most_cuts):
+    nxt = merkle.with_next(docs, {"body": F.coalesce("text", F.lit(""))}, block_rows=block_rows, most_cuts=most_cuts)
     assert {r.doc_id: r.next.body for r in nxt.collect()} == {i: TEXTS[(k + 1) % len(TEXTS)][1] or "" for k, (i, _) in enumerate(TEXTS)}
+
+
+def test_merkle_prints(docs):
+    """All columns of the table against brute force."""
     by = {r.doc_id: r for r in merkle.fingerprint_table(docs).collect()}
-    assert by[0].fingerprint == by[1].fingerprint != by[2].fingerprint and by[0].near_next == 1.0 and by[5].fingerprint == by[6].fingerprint != by[7].fingerprint
-    assert 0.3 < by[0].near_edited <= 1 and by[9].near_next < 0.05 and by[5].near_edited == 1.0
     for k, (i, t) in enumerate(TEXTS):
-        t, n = t or "", len(t or "")
-        assert by[i].edited_sha256 == hashlib.sha256((t[: n - n // 2] + (TEXTS[(k + 1) % len(TEXTS)][1] or "")[: n // 2]).encode()).hexdigest() and by[i].n_chars == n
-        assert all(0 <= x <= 1 for x in (by[i].near_edited, by[i].near_next))
+        t, n, after = t or "", len(t or ""), TEXTS[(k + 1) % len(TEXTS)][1] or ""
+        edited = t[: n - n // 2] + after[: n // 2]
+        a, b, c = (merkle_tree(x)[2] for x in (t, edited, after))
+        assert (by[i].fingerprint, by[i].edited_fingerprint, by[i].n_chars, by[i].edited_sha256) == (a, b, n, hashlib.sha256(edited.encode()).hexdigest()), i
+        assert (by[i].near_edited, by[i].near_next) == (pytest.approx(dice(a, b)), pytest.approx(dice(a, c)))
+    assert by[0].fingerprint == by[1].fingerprint != by[2].fingerprint and by[5].fingerprint == by[6].fingerprint != by[7].fingerprint
+
+
+def test_merkle_locates_edits(spark):
+    a = "one two three four five six seven eight\nnine ten\n\nsecond section here\nand more of it to read\n\nthird one"
+    b = a.replace("second section", "2nd section").replace("seven", "7")
+    rows = [(1, a, b), (2, a, a), (3, a, None), (4, None, a), (5, a, "new words up front\n\n" + a), (6, "", "")]
+    got_ = {r.i: [(x.at, x.size) for x in r.edits] for r in merkle.locate_edits(spark.createDataFrame(rows, "i int, text string, other string")).collect()}
+    assert [a[x : x + n] for x, n in got_[1]] == ["five six seven eight\n", "second section here\n"]
+    assert got_[2] == got_[4] == got_[5] == got_[6] == [] and sum(n for _, n in got_[3]) == len(a)  # an empty text has no run that could be placed
 
 
 def test_raking_meets_its_targets(spark):

@@ -55,17 +55,24 @@ def test_bpe_under_another_pattern(bpe, ranks):
 
 def test_memory_keeps_two_generations():
     m = Remembered(2)
-    m.young.update(dict.fromkeys(m.missing([b"a", b"b", b"c"]), 1))
-    assert m.missing([b"a", b"d"]) == [b"d"] and b"a" in m.young and b"b" in m.old
+    for k in (b"a", b"b", b"c"):
+        m.young[k] = 1
+    assert m.get([b"a", b"d"]) == ([1, None], [1]) and b"a" in m.young and b"b" in m.old
 
 
-def test_parts_with_one_hash(bpe, tiktoken_encoding, monkeypatch):
-    """Parts are told apart by their bytes also where all hashes are equal."""
+@pytest.mark.parametrize("clash", [False, True])
+def test_distinct_spans(monkeypatch, clash):
+    """Spans are told apart by their bytes also where all hashes are equal."""
     from sparkloom.llm import spans
 
-    monkeypatch.setattr(spans.SpanHash, "__call__", lambda self, a, b: np.zeros(len(a), np.uint64))
-    texts = ["some words, and some more", "ab", "x y"]
-    assert [np.frombuffer(x, np.int32).tolist() for x in TextEncoder(bpe, P.PATTERN).encode(texts)] == [tiktoken_encoding.encode_ordinary(t) for t in texts]
+    if clash:
+        monkeypatch.setattr(spans, "scramble", lambda x: x & np.uint64(1))
+    rng = random.Random(2)
+    for _ in range(50):
+        words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 15, 16, 17, 40]))).encode() for _ in range(rng.randint(0, 60))]
+        sizes = np.array([len(w) for w in words], np.int64)
+        keys, which = spans.distinct(b"".join(words), np.cumsum(sizes) - sizes, sizes)
+        assert [keys[i] for i in which] == words and len(keys) == len(set(words)) == len(set(keys))
 
 
 def test_library_encoder_is_the_library():
