@@ -367,22 +367,29 @@ def test_raking_meets_its_targets(spark):
     rng = np.random.default_rng(0)
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 1000))) for a in range(3) for b in range(2) for c in range(2)], "source string, lang string, topic string, w0 long")
     targets = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"l0": 0.5, "l1": 0.5}, "topic": {"t0": 0.9, "t1": 0.1}}
-    out = mixing.rake(cells, targets=targets).toPandas()
+    raked, gap = mixing.rake(cells, targets=targets)
+    out = raked.toPandas()
+    assert gap < 1e-9
     for m, want in targets.items():
         share = out.groupby(m).w.sum() / out.w.sum()
         assert all(share[k] == pytest.approx(v, abs=1e-3) for k, v in want.items())
-    p = mixing.probabilities(mixing.rake(cells, targets=targets), 0.2).toPandas()
-    assert (p.p * p.w0).sum() == pytest.approx(0.2 * p.w0.sum(), rel=0.05) and p.p.max() <= 1
+    for keep in (0.2, 0.9):
+        p = mixing.probabilities(raked, keep).toPandas()
+        assert (p.p * p.w0).sum() == pytest.approx(keep * p.w0.sum(), rel=1e-6) and p.p.max() <= 1
+    none = {"source": {"s0": 1.0}, "lang": {"l0": 0.5, "l1": 0.5}, "topic": {"t0": 1.0, "t9": 1.0}}
+    assert mixing.rake(cells, targets=none)[1] == pytest.approx(0.5)  # no weights meet these; it ends and says by how much
 
 
 def test_mixture_meets_its_targets(spark):
     """Small classes get their tempered share although that is more than they have; the draw is within sampling error."""
-    kinds = [("w " * 20, 9000), ("w | " * 10, 600), ("a@b " * 20, 300), ("x = " * 10, 100)]
+    kinds = [("common of it " * 7, 9000), ("seldom of it " * 7, 600), ("rarely seldom rarely " * 7, 300), ("of it " * 10, 100)]
     rows = [(t, f"s{i % 3 % 2}", "en" if i % 7 else "de") for t, n in kinds for i in range(n)]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
-    out = mixing.sample_mixture(docs, keep=0.9)
+    topics = mixing.learn_topics(docs)
+    out = mixing.sample_mixture(docs, keep=0.9, topics=topics)
     assert out.columns == docs.columns
-    before, after = (mixing.with_margins(x, []).toPandas() for x in (docs, out))
+    before, after = (mixing.with_margins(x, [], topics=topics).toPandas() for x in (docs, out))
+    assert set(before.topic) == {"common", "seldom", "rarely", "(none)"}
     assert after.n_tokens.sum() == pytest.approx(0.9 * before.n_tokens.sum(), rel=0.03)
     for m in mixing.MARGINS:
         had, got_ = (x.groupby(m).n_tokens.sum() / x.n_tokens.sum() for x in (before, after))
@@ -390,6 +397,19 @@ def test_mixture_meets_its_targets(spark):
         assert all(got_[k] == pytest.approx(v, rel=0.1) for k, v in want.items())
 
 
+def test_mixing_by_a_given_topic(docs, monkeypatch):
+    """A topic column is taken as it is; many cells are joined without a broadcast of all of them; null ids draw apart."""
+    named = docs.withColumn("subject", F.col("doc_id") % 2).unionAll(docs.filter("doc_id in (0, 3, 4)").withColumn("subject", F.lit(None).cast("long")).withColumn("doc_id", F.lit(None).cast("long")))
+    plain = got(mixing.mixing_table(named, topic="subject"), "doc_id", "topic", "weight", "prob", "sampled")
+    assert {r[1] for r in plain} == {"0", "1", "(none)"}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    assert got(mixing.mixing_table(named, topic="subject"), "doc_id", "topic", "weight", "prob", "sampled") == plain
+    keys = [r[0] for r in named.select(mixing.draw_key(F.col("doc_id"), F.col("text"))).collect()]
+    assert len(set(keys)) == len(keys)
+    report, gap = mixing.mixing_report(docs)
+    assert gap < 1e-9 and all(abs(r.raked - r.target) < 1e-9 for r in report.collect())
+
+
 def test_language_held_out(spark, sf_dir):
     table = language.language_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("piece_bpe_32k.model"), 100)
     d = table.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").filter("held_out")
