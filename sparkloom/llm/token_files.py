@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import UNCLEAR, Remembered, TextEncoder, small_steps
-from .common import discard, materialize, shared_dir, worker_state
+from .common import discard, materialize, shared_dir, trim, worker_state
 
 SHARD_BYTES = 1 << 20
 BUCKET_KEYS = 4096
@@ -50,7 +50,7 @@ class LibraryEncoder(TextEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(600_000)
+        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(300_000)
         special = [] if special_as_text else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.unclear = re.compile("|".join([UNCLEAR.pattern, *special])).search  # texts with a special token are encoded as a whole
         names = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -92,6 +92,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", ke
         for batch in small_steps(batches, "t"):
             ids = pa.array([x + end for x in encoder.encode(batch.column("t").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "h", "r")), pa.array(np.full(batch.num_rows, encoder.kind.itemsize, np.int32)), ids], ["k", "h", "r", "width", "ids"])
+            trim()
 
     rows = docs.selectExpr(f"`{key}` k", f"xxhash64(`{text}`) h", "monotonically_increasing_id() r", f"`{text}` t")
     return materialize(rows.mapInArrow(run, f"k {kind}, h long, r long, width int, ids binary"), "ids")
