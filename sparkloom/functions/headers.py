@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import sqrt
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,20 +58,46 @@ def load_synonyms(spark, synonyms: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "canonical string, term string, ord int")
 
 
-def map_headers(headers: DataFrame, synonyms: DataFrame, header: str = "header", fuzzy_above: float = 70.0) -> DataFrame:
-    """The headers with canonical, confidence and tier (exact, fuzzy, unmatched). The synonym table is a few hundred rows of configuration."""
+#: Synonyms that are broadcast and compared with each unknown header, at most; they are hand-written configuration.
+MOST_SYNONYMS = 20_000
+
+
+def trigram_cosine(a: str | None, b: str | None) -> float:
+    """Cosine of the counts of three-letter runs of two lower-cased texts: a stand-in for word vectors."""
+    x, y = (Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in (f"  {(v or '').strip().lower()} " for v in (a, b)))
+    n = sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[k] for k, v in x.items()) / n if n else 0.0
+
+
+def map_headers(headers: DataFrame, synonyms: DataFrame, header: str = "header", fuzzy_above: float = 70.0, alike_above: float = 0.65, alike=trigram_cosine) -> DataFrame:
+    """The headers with canonical, confidence and tier: exact, else fuzzy (token-set ratio above `fuzzy_above`), else nlp (`alike` above `alike_above`), else unmatched (TXT8).
+
+    Of equal scores the earlier synonym wins. Each different unknown header is compared once.
+    """
+    if synonyms.count() > MOST_SYNONYMS:
+        raise ValueError(f"more than {MOST_SYNONYMS} synonyms")
+
+    @F.pandas_udf("struct<fuzzy:double,nlp:double>")
+    def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fuzzy": [ratio(x, y) for x, y in zip(a, b)], "nlp": [alike(x, y) for x, y in zip(a, b)]})
+
     named = headers.withColumn("__h", F.lower(F.trim(header)))
     exact = named.join(F.broadcast(synonyms.select(F.col("term").alias("__h"), F.col("canonical").alias("__exact"))), "__h", "left")
-    distinct = exact.filter(F.col("__exact").isNull()).select("__h").distinct()
-    scored = distinct.join(F.broadcast(synonyms), F.lit(fuzzy_above <= 100)).withColumn("r", token_set_ratio("__h", "term") * 100).filter(F.col("r") > fuzzy_above)
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("__h").orderBy(F.col("r").desc(), "ord"))).filter("n = 1").select("__h", F.col("canonical").alias("__fuzzy"), "r")
+    distinct = exact.filter(F.col("__exact").isNull() & F.col("__h").isNotNull()).select("__h").distinct()
+    pairs = distinct.crossJoin(F.broadcast(synonyms)).withColumn("s", scored("__h", "term"))  # at most MOST_SYNONYMS a header
+    tier = F.when(F.col("s.fuzzy") > fuzzy_above, F.struct(F.lit(2).alias("t"), (F.col("s.fuzzy") / 100).alias("r"))).when(F.col("s.nlp") > alike_above, F.struct(F.lit(1).alias("t"), F.col("s.nlp").alias("r")))
+    best = pairs.withColumn("m", tier).filter("m IS NOT NULL").groupBy("__h").agg(F.max(F.struct("m.t", "m.r", (-F.col("ord")).alias("o"), "canonical")).alias("b")).select("__h", "b.t", "b.r", F.col("b.canonical").alias("__near"))
     out = exact.join(best, "__h", "left")
-    return out.select(*headers.columns, F.coalesce("__exact", "__fuzzy").alias("canonical"), F.when(F.col("__exact").isNotNull(), 1.0).otherwise(F.coalesce(F.col("r") / 100, F.lit(0.0))).alias("confidence"), F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__fuzzy").isNotNull(), "fuzzy").otherwise("unmatched").alias("tier"))
+    is_exact = F.col("__exact").isNotNull()
+    return out.select(*headers.columns, F.coalesce("__exact", "__near").alias("canonical"), F.when(is_exact, 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("confidence"), F.when(is_exact, "exact").when(F.col("t") == 2, "fuzzy").when(F.col("t") == 1, "nlp").otherwise("unmatched").alias("tier"))
 
 
 def canonical_rows(rows: DataFrame, mapping: DataFrame, cells: str = "cells", required: str = "requirement_text") -> DataFrame:
     """cells (map<header, value>) renamed to canonical names; blank cells go, and rows without the required field (PRJ1)."""
-    m = mapping.filter(F.col("canonical").isNotNull()).groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "canonical")))).alias("m"))
+    mapped = mapping.filter(F.col("canonical").isNotNull()).select("header", "canonical").distinct()
+    if mapped.count() > MOST_SYNONYMS:
+        raise ValueError(f"more than {MOST_SYNONYMS} mapped headers")
+    m = mapped.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "canonical")))).alias("m"))
     out = rows.join(F.broadcast(m)).withColumn("pairs", F.filter(F.transform(F.map_entries(cells), lambda e: F.struct(F.element_at(F.col("m"), e["key"]).alias("k"), F.trim(e["value"]).alias("v"))), lambda e: e["k"].isNotNull() & (e["v"] != "")))
     keys = F.array_distinct(F.transform("pairs", lambda e: e["k"]))
     named = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.filter("pairs", lambda e: e["k"] == k)[0]["v"])))

@@ -3,34 +3,43 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.retrieval import _unit
+from sparkloom.storage import written
 
-def similar_pairs(rows: DataFrame, above: float, block: str) -> DataFrame:
+#: Rows of a tile, about: a block of n rows is n / TILE_ROWS tiles, and each two of them meet in one task.
+TILE_ROWS = 4096
+#: Rows of a block from which the index way takes over.
+MATRIX_ROWS = 300
+
+
+def similar_pairs(rows: DataFrame, above: float, block: str, tile: int = TILE_ROWS) -> DataFrame:
     """i < j and their cosine, above a threshold, within a block; the block's rows are compared tile by tile (JON12)."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            unit = lambda v: (m := np.array(v.tolist(), float)) / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-            a, b, x, y = unit(left["vec"]), unit(right["vec"]), left["id"].to_numpy(), right["id"].to_numpy()
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            a, b, x, y = _unit(left.column("vec")), _unit(right.column("vec")), left.column("id").to_numpy(), right.column("id").to_numpy()
+            same = left.column("t")[0] == left.column("u")[0]
             for at in range(0, len(a), 1024):
                 s = a[at : at + 1024] @ b.T
-                p, q = np.nonzero((s > above) & (x[at : at + 1024, None] < y[None, :]))
-                out.append(pd.DataFrame({"i": x[at : at + 1024][p], "j": y[q], "s": s[p, q]}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "s": []})
-
-    held = rows.select(F.col("id").cast("long"), F.col("vec"), F.col(block).alias("b")).withColumn("t", F.pmod(F.xxhash64("id"), F.lit(TILES)))
-    sides = F.sequence(F.lit(0), F.lit(TILES - 1))
-    left = held.withColumn("u", F.explode(sides)).select("b", "t", "u", "id", "vec")
-    right = held.select("b", F.col("t").alias("u"), "id", "vec").withColumn("t", F.explode(sides)).select("b", "t", "u", "id", "vec")
-    return left.groupBy("b", "t", "u").cogroup(right.groupBy("b", "t", "u")).applyInPandas(run, "i long, j long, s double")
-
-
-#: A block is cut into so many tiles a side, so that a hot block is TILES * TILES tasks.
-TILES = 4
+                near = s > above
+                if same:
+                    near &= x[at : at + 1024, None] < y[None, :]
+                p, q = np.nonzero(near)
+                i, j = x[at : at + 1024][p], y[q]
+                out.append((np.minimum(i, j), np.maximum(i, j), s[p, q]))
+        return pa.table({c: np.concatenate(v) for c, v in zip("ijs", zip(*out))})
+
+    sizes = rows.groupBy(F.col(block).alias("b")).agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles"))
+    held = rows.filter(F.col("vec").isNotNull()).select(F.col("id").cast("long"), F.col("vec").cast("array<float>"), F.col(block).alias("b")).join(sizes, "b").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    zero = F.lit(0).cast("long")
+    left = held.withColumn("u", F.explode(F.sequence("t", F.col("tiles") - 1))).select("b", "t", "u", "id", "vec")
+    right = held.withColumn("u", F.col("t")).withColumn("t", F.explode(F.sequence(zero, "u"))).select("b", "t", "u", "id", "vec").toDF("b", "t", "u", "id", "vec")
+    return left.groupBy("b", "t", "u").cogroup(right.groupBy("b", "t", "u")).applyInArrow(run, "i long, j long, s double")
 
 
 def owners(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b") -> DataFrame:
@@ -44,24 +53,41 @@ def owners(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str =
 
 
 def greedy(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b") -> DataFrame:
-    """id, owner, soft where an absorbed row absorbs no other (DED3): sequential over the pairs of a block."""
-    pairs = similar_pairs(rows, soft, block)
-    labelled = pairs.join(rows.select(F.col("id").alias("i"), F.col(block).alias("b")), "i")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        gone, near = {}, set()
-        for i, j, s in part.sort_values(["i", "j"])[["i", "j", "s"]].itertuples(index=False):
-            if i in gone or j in gone:
-                continue
-            if s > hard:
-                gone[j] = i
-            else:
-                near.add(j)
-        ids = sorted({*gone, *near})
-        return pd.DataFrame({"id": ids, "owner": pd.array([gone.get(x) for x in ids], "Int64"), "soft": [x in near for x in ids]})
-
-    found = labelled.groupBy("b").applyInPandas(run, "id long, owner long, soft boolean")
-    return rows.select("id").join(found, "id", "left").select("id", "owner", F.coalesce("soft", F.lit(False)).alias("soft"))
+    """id, owner, soft where an absorbed row absorbs no other (DED3).
+
+    What the pairs in (i, j) order decide one by one: a row is absorbed if a smaller similar row is kept, and kept if all
+    of those are absorbed. Each round decides every row whose smaller neighbours are decided, so rounds follow the
+    longest chain of such rows, not the number of pairs. The owner is the least kept neighbour; a row is soft if a
+    kept row was similar to it before it was absorbed.
+    """
+    pairs = written(similar_pairs(rows, soft, block), "pairs")
+    hard_pairs = pairs.filter(F.col("s") > hard).select("i", "j")
+    live = written(hard_pairs, "live")
+    status = written(live.select(F.col("i").alias("id")).distinct().join(live.select(F.col("j").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "status")
+    while not live.isEmpty():
+        seen = live.join(status.withColumnRenamed("id", "i"), "i", "left").groupBy(F.col("j").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.min(F.col("kept").isNotNull()).alias("all_known"))
+        new = written(seen.filter("any_kept OR all_known").select("id", (~F.col("any_kept")).alias("kept")), "status")
+        live = written(live.join(new.select(F.col("id").alias("j")), "j", "left_anti"), "live")
+        status = written(status.unionByName(new), "status")
+    gone = status.filter(~F.col("kept")).select(F.col("id").alias("i"))
+    owner = hard_pairs.join(gone, "i", "left_anti").groupBy(F.col("j").alias("id")).agg(F.min("i").alias("owner"))
+    near = pairs.filter(F.col("s") <= hard).select("i", F.col("j").alias("id")).join(gone, "i", "left_anti").groupBy("id").agg(F.min("i").alias("first"))
+    out = rows.select("id").join(owner, "id", "left").join(near, "id", "left")
+    return out.select("id", "owner", (F.col("first").isNotNull() & (F.col("owner").isNull() | (F.col("first") < F.col("owner")))).alias("soft"))
+
+
+def deduplicate(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b", most: int = MATRIX_ROWS) -> DataFrame:
+    """id, owner, soft: blocks of up to `most` rows by `owners`, larger ones by `greedy`; a block of one row has no pairs (DED1)."""
+    sizes = rows.groupBy(block).agg((F.count("*") > most).alias("__large"))
+    marked = rows.join(sizes, block)
+    return owners(marked.filter(~F.col("__large")), hard, soft, block).unionByName(greedy(marked.filter("__large"), hard, soft, block))
+
+
+def text_copies(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Adds is_copy: an equal text has a smaller key (DED5, DED6). Texts are compared by SHA-256; null ones are no copies."""
+    hashed = rows.withColumn("__sha", F.sha2(F.col(text), 256))
+    first = hashed.groupBy("__sha").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).filter("__n > 1 AND __sha IS NOT NULL").drop("__n")
+    return hashed.join(first, "__sha", "left").withColumn("is_copy", F.coalesce(F.col(key) > F.col("__first"), F.lit(False))).drop("__sha", "__first")
 
 
 def merge(rows: DataFrame, owned: DataFrame, ref: str = "source_ref") -> DataFrame:

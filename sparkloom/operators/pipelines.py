@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
 from sparkloom.functions import text as tx
-from sparkloom.operators import pii, retrieval
+from sparkloom.operators import dedup, pii, retrieval
+from sparkloom.sources import files as files_
 
 #: Confidence of a unified element by modality (fixed).
 CONFIDENCE = {"TEXT": 1.0, "TABLE": 0.9, "IMAGE": 0.3}
@@ -19,20 +20,33 @@ def unify(text: DataFrame, tables: DataFrame, images: DataFrame, key: str = "doc
     return one(text, "TEXT").unionByName(one(tables, "TABLE")).unionByName(one(images, "IMAGE"))
 
 
-def rule_atoms(rows: DataFrame, key: str, text: str, least: int = 10) -> DataFrame:
-    """A rule in place of a model (MDL1, MDL2): each sentence of at least `least` characters is an atom; key, pos, atom."""
-    parts = rows.select(key, F.posexplode(F.split(F.col(text), r"\. ")).alias("p", "x"))
-    return parts.select(key, (F.col("p") + 1).cast("long").alias("pos"), F.trim("x").alias("atom")).filter(F.char_length("atom") >= least)
+def rule_atoms(rows: DataFrame, key: str, text: str, least: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A rule in place of a model (MDL1, MDL2): each sentence of at least `least` characters is an atom; key, pos, atom, and the `keep` columns."""
+    parts = rows.select(key, *keep, F.posexplode(F.split(F.col(text), r"\. ")).alias("p", "x"))
+    return parts.select(key, *keep, (F.col("p") + 1).cast("long").alias("pos"), F.trim("x").alias("atom")).filter(F.char_length("atom") >= least)
 
 
-def ingested(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Injection scan, PII redaction, atoms and their quality gate; blocked texts go (PIP1)."""
-    scanned = rows.select(key, text, tx.injection_action(tx.injection_hits(F.col(text))).alias("action")).filter("action <> 'BLOCK'")
-    clean = pii.redact(scanned.select(key, text), key, text).select(key, "redacted", F.size("entities").alias("n_entities"))
-    atoms = rule_atoms(clean, key, "redacted").join(clean.select(key, "n_entities"), key).join(scanned.select(key, "action"), key)
-    w = atoms.withColumn("w", tx.tokens(F.col("atom")))
-    gate = tx.quality_gate(F.lit(False), F.lit(None).cast("string"), tx.specificity(F.col("w")), tx.completeness(F.col("w"), F.lit("")), F.char_length("atom"))
-    return w.select(key, "pos", "action", "n_entities", F.coalesce(gate, F.lit("VALIDATED")).alias("gate"))
+def ingested(rows: DataFrame, key: str, text: str, module: Column | None = None) -> DataFrame:
+    """Injection scan, PII redaction, atoms, copies and the quality gate of each atom; blocked texts go (PIP1).
+
+    Columns are carried from step to step, so each text is scanned and redacted once. An atom whose text an earlier atom
+    has (by key, then place) is a duplicate.
+    """
+    of = F.lit("") if module is None else module
+    scanned = rows.select(key, text, of.alias("module"), tx.injection_action(tx.injection_hits(F.col(text))).alias("action")).filter("action <> 'BLOCK'")
+    clean = pii.redact(scanned, key, text, keep=("module", "action")).select(key, "redacted", "module", "action", F.size("entities").alias("n_entities"))
+    atoms = rule_atoms(clean, key, "redacted", keep=("module", "action", "n_entities"))
+    w = dedup.text_copies(atoms.withColumn("__place", F.struct(key, "pos")), "__place", "atom").withColumn("w", tx.tokens(F.col("atom")))
+    gate = tx.quality_gate(F.col("is_copy"), tx.consistency_flag(F.col("atom"), F.col("module"), F.lit("")), tx.specificity(F.col("w")), tx.completeness(F.col("w"), F.col("module")), F.char_length("atom"))
+    return w.select(key, "pos", "module", "action", "n_entities", F.coalesce(gate, F.lit("VALIDATED")).alias("gate"))
+
+
+def ingested_files(files: DataFrame, module: Column | None = None) -> DataFrame:
+    """`ingested` over the requirement texts of accepted files; files that are refused give one row with the reason as gate (PIP1, FLT10)."""
+    checked = files_.validated(files_.with_format(files))
+    texts = files_.requirement_texts(files_.parsed(checked.filter("verdict = 'OK'"))).withColumn("ref", F.concat_ws("#", "path", "pos"))
+    refused = checked.filter("verdict <> 'OK'").select(F.col("path").alias("ref"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("module"), F.lit("REJECTED").alias("action"), F.lit(0).alias("n_entities"), F.col("verdict").alias("gate"))
+    return ingested(texts, "ref", "text", module).unionByName(refused)
 
 
 def matched(pairs: DataFrame) -> DataFrame:

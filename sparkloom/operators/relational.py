@@ -17,11 +17,10 @@ def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], update: list[str], set_on_update: dict[str, Column] | None = None) -> DataFrame:
-    """Rows of either side by key; in both, the `update` columns come from new and the others stay (SNK3, SNK4)."""
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, key, "full_outer")
+    """Rows of either side by key; in both, the `update` columns come from new and the others stay. Of equal new keys the largest row counts (SNK3, SNK4)."""
     in_old, in_new = F.col("o.__in").isNotNull(), F.col("n.__in").isNotNull()
-    both = old.withColumn("__in", F.lit(1)).alias("o").join(new.withColumn("__in", F.lit(1)).alias("n"), key, "full_outer")
+    last = new.groupBy(*key).agg(F.max(F.struct(*(c for c in new.columns if c not in key))).alias("__row")).select(*key, "__row.*") if set(new.columns) - set(key) else new.distinct()
+    both = old.withColumn("__in", F.lit(1)).alias("o").join(last.withColumn("__in", F.lit(1)).alias("n"), key, "full_outer")
 
     def value(c: str) -> Column:
         if c in key:
@@ -96,3 +95,20 @@ def violations(rows: DataFrame, **constraints: Column) -> DataFrame:
 def only_known(m: Column, known: tuple[str, ...]) -> Column:
     """Entries of a map with a known key (FLT15)."""
     return F.map_filter(m, lambda k, _: k.isin(*known))
+
+
+def one_after_other(parts: list[DataFrame], by: list[str], order: str) -> DataFrame:
+    """The rows of all parts with pos, from 1 within each group: those of the first part, then of the next, each in order (SET2, SET3)."""
+    every = reduce(DataFrame.unionByName, (p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)))
+    return every.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("__part", order))).drop("__part")
+
+
+def split_at(rows: DataFrame, key: str, first: int, head: str, tail: str) -> DataFrame:
+    """Adds part: `head` for the `first` rows in order of a unique key, else `tail`. Only those rows' keys are broadcast (SRC11)."""
+    top = F.broadcast(rows.select(key).orderBy(key).limit(first).withColumn("__top", F.lit(True)))
+    return rows.join(top, key, "left").withColumn("part", F.when(F.col("__top"), head).otherwise(tail)).drop("__top")
+
+
+def in_batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
+    """Adds batch: 0, 1, ... for each `size` rows of a group in order (WIN11)."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))

@@ -10,58 +10,65 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scores
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", base_id: str = "id", vector: str = "vec", same_part: str | None = None, exclude_self: bool = True, block: int = 4096) -> DataFrame:
+#: Queries in a block and base rows in a tile that meet in one task, about; rows of a tile that are scored at a time.
+QUERY_BLOCK, BASE_TILE, SCORED = 2048, 100_000, 8192
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as rows of length 1 (a zero vector stays)."""
+    lists = column.combine_chunks()
+    v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", base_id: str = "id", vector: str = "vec", same_part: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK, tile: int = BASE_TILE) -> DataFrame:
     """query_id, id, score (cosine), rank: the k nearest of each query, exact; ties by id (SRT4, SRT15, JON9).
 
-    The queries (a stated, bounded set) are taken to the executors `block` at a time; each task keeps the k best
-    of its own rows for every query, so what is shuffled is tasks * queries * k rows and not the product.
-    With `same_part`, a query only meets rows with an equal value there (FLT3).
+    Blocks of the stated queries meet tiles of the base in a cogroup, so neither side is collected or broadcast; each
+    task keeps the k best of its tile for every query, and what is shuffled after it is queries * tiles * k rows.
+    With `same_part`, a query only meets rows with an equal value there (FLT3): blocks and tiles are then within a part.
+    Null vectors are left out.
     """
-    spark = base.sparkSession
-    parts = [c for c in (same_part,) if c]
-    rows = queries.select(F.col(query_id).cast("long"), *parts, F.col(vector).cast("array<double>")).orderBy(query_id).toLocalIterator()
-    blocks, now = [], []
-    for r in rows:
-        now.append(r)
-        if len(now) == block:
-            blocks, now = [*blocks, now], []
-    blocks = [b for b in [*blocks, now] if b]
-    schema = "query_id long, id long, score double"
-    out = None
-    for b in blocks:
-        ids = np.array([r[0] for r in b], np.int64)
-        part = [r[1] if parts else None for r in b]
-        q = np.array([r[-1] for r in b], float)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        q = q / np.where(norm == 0, 1, norm)
-
-        def best(batches, ids=ids, part=part, q=q):
-            top = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                base_ids = batch.column(0).to_numpy()
-                v = np.array(batch.column(1).to_pylist(), float)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                s = q @ (v / np.where(n == 0, 1, n)).T
-                labels = np.array(batch.column(2).to_pylist(), object) if parts else None
-                for i in range(len(ids)):
-                    ok = np.ones(len(base_ids), bool)
-                    if exclude_self:
-                        ok &= base_ids != ids[i]
-                    if parts:
-                        ok &= labels == part[i]
-                    x, y = np.concatenate([top[i][0], s[i][ok]]), np.concatenate([top[i][1], base_ids[ok]])
-                    pick = np.lexsort((y, -x))[:k]
-                    top[i] = x[pick], y[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(t[0]) for t in top])), pa.array(np.concatenate([t[1] for t in top])), pa.array(np.concatenate([t[0] for t in top]))], ["query_id", "id", "score"])
-
-        found = base.filter(F.col(vector).isNotNull()).select(F.col(base_id).cast("long"), F.col(vector).cast("array<double>"), *parts).mapInArrow(best, schema)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    parts = [same_part] if same_part else []
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("qid"), F.col(vector).cast("array<float>").alias("v"), *(F.col(c).alias("part") for c in parts))
+    b = base.filter(F.col(vector).isNotNull()).select(F.col(base_id).cast("long").alias("bid"), F.col(vector).cast("array<float>").alias("v"), *(F.col(c).alias("part") for c in parts))
+    blocks, tiles = max(1, -(-q.count() // block)), max(1, -(-b.count() // tile))
+    on = ["part"] if parts else []
+    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("bt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    b = b.withColumn("bt", F.pmod(F.xxhash64("bid"), F.lit(tiles))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            x, ids, every, base_ids = _unit(left.column("v")), left.column("qid").to_numpy(), _unit(right.column("v")), right.column("bid").to_numpy()
+            top, at = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            for begin in range(0, len(base_ids), SCORED):
+                there = base_ids[begin : begin + SCORED]
+                s = x @ every[begin : begin + SCORED].T
+                if exclude_self:
+                    s[ids[:, None] == there[None, :]] = -np.inf
+                s, found = np.concatenate([top, s], 1), np.concatenate([at, np.broadcast_to(there, (len(ids), len(there)))], 1)
+                if s.shape[1] > 2 * k:  # more than k only where scores tie
+                    edge = -np.partition(-s, k - 1, 1)[:, k - 1 : k]
+                    keep = min(s.shape[1], max(2 * k, int((s >= edge - 1e-9).sum(1).max())))
+                    pick = np.argpartition(-s, keep - 1, 1)[:, :keep] if keep < s.shape[1] else np.broadcast_to(np.arange(keep), (len(ids), keep))
+                    s, found = np.take_along_axis(s, pick, 1), np.take_along_axis(found, pick, 1)
+                top, at = s, found
+            for i, qid in enumerate(ids.tolist()):
+                order = np.lexsort((at[i], -np.round(top[i], 9)))[:k]
+                order = order[np.isfinite(top[i][order])]
+                out.append((np.full(len(order), qid), at[i][order], top[i][order]))
+        return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "id", "score"), zip(*out))})
+
+    found = q.groupBy("qb", "bt", *on).cogroup(b.groupBy("qb", "bt", *on)).applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def source_ranks(hits: DataFrame) -> DataFrame:
+    """Adds source_rank: 1..n in each list of a query and source, by rank (WIN1)."""
+    return hits.withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank")))
 
 
 def priors_first(hits: DataFrame, k: int, override: str = "override") -> DataFrame:
@@ -118,18 +125,16 @@ def greedy_distinct(items: Column, alike) -> Column:
     return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: alike(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def trimmed(sizes: Column, budget: Column | int, least: int = 80) -> Column:
-    """New lengths of descriptions (array<struct<id, n>>), longest first cut to meet the budget, none below `least` (WIN6)."""
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    order = F.array_sort(sizes, lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    start = F.struct((total - F.lit(budget)).alias("over"), F.transform(F.slice(order, 1, 0), lambda x: F.struct(x["id"].cast("long").alias("id"), x["n"].cast("long").alias("n"))).alias("out"))
+def trim_descriptions(rows: DataFrame, by: list[str], key: str, size: str, budget: int, least: int = 80) -> DataFrame:
+    """The rows with new sizes: in each list the longest are cut first until the sum meets the budget, none below `least` (WIN6).
 
-    def step(acc, x):
-        new = F.when(acc["over"] > 0, F.greatest(F.lit(least).cast("long"), x["n"] - acc["over"])).otherwise(x["n"].cast("long"))
-        new = F.least(new, x["n"].cast("long"))
-        return F.struct((acc["over"] - (x["n"] - new)).alias("over"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("long").alias("id"), new.alias("n")))).alias("out"))
-
-    return F.aggregate(order, start, step, lambda acc: acc["out"])
+    What a row gives up is what is still over after the longer ones have given all they can, so this is a running sum.
+    """
+    w = Window.partitionBy(*by)
+    before = w.orderBy(F.col(size).desc(), key).rowsBetween(Window.unboundedPreceding, -1)
+    can = F.greatest(F.lit(0).cast("long"), F.col(size).cast("long") - least)
+    out = rows.withColumn("__can", can).withColumn("__left", F.sum(F.col(size).cast("long")).over(w) - budget - F.coalesce(F.sum("__can").over(before), F.lit(0)))
+    return out.withColumn(size, F.col(size).cast("long") - F.least(F.col("__can"), F.greatest(F.lit(0).cast("long"), F.col("__left")))).drop("__can", "__left")
 
 
 def bm25_vocabulary(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:

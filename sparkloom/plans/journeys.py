@@ -22,11 +22,11 @@ def jon2(spark, d):
     return verdicts(spark, d).withColumn("atom", F.expr("atom_id div 8")).join(a, "atom", "left").select("atom_id", "country", "classification")
 
 
-@query("jon7_results_with_journey", f"WITH {VERDICTS} SELECT v.atom_id, v.module, j.n AS journey_steps FROM v LEFT JOIN (SELECT atom_id, count(*) AS n FROM v WHERE wave <= 2 GROUP BY 1) j USING (atom_id) WHERE v.batch_id < 5")
+@query("jon7_results_with_journey", f"WITH {VERDICTS} SELECT v.atom_id, v.module, j.n AS journey_steps FROM v LEFT JOIN (SELECT atom_id, count(*) AS n FROM v WHERE wave <= 2 GROUP BY 1) j USING (atom_id)")
 def jon7(spark, d):
     v = verdicts(spark, d)
     j = v.filter("wave <= 2").groupBy("atom_id").agg(F.count("*").alias("journey_steps"))
-    return v.filter("batch_id < 5").join(j, "atom_id", "left").select("atom_id", "module", "journey_steps")
+    return v.join(j, "atom_id", "left").select("atom_id", "module", "journey_steps")
 
 
 @query("jon13_reranked_payload", f"WITH {knn_sql(8)} SELECT query_id, h.id, e.label, h.rank FROM hits h JOIN embeddings e ON e.vec_id = h.id WHERE h.rank <= 5")
@@ -65,10 +65,10 @@ def set5(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(F.array_union(F.array("p_brand", "p_type"), F.array("p_brand"))).alias("n"))
 
 
-@query("win1_source_ranks", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
+@query("win1_source_ranks", f"WITH {knn_sql(20)} SELECT query_id, h.id, e.label AS source, row_number() OVER (PARTITION BY query_id, e.label ORDER BY h.rank) AS rank FROM hits h JOIN embeddings e ON e.vec_id = h.id")
 def win1(spark, d):
-    w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).cast("long").alias("rank"))
+    source = table(spark, d, "embeddings").selectExpr("vec_id id", "label source")
+    return ret.source_ranks(hits(spark, d, 20).join(source, "id")).select("query_id", "id", "source", F.col("source_rank").cast("long").alias("rank"))
 
 
 @query("srt7_fused_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, role, turn) AS pos FROM conversations")
@@ -77,10 +77,10 @@ def srt7(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("pos"))
 
 
-@query("srt9_chunk_order", "SELECT page_id, row_number() OVER (ORDER BY page_id % 7, page_id) AS pos FROM pages")
+@query("srt9_chunk_order", "SELECT page_id, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id % 7, page_id) AS pos FROM pages")
 def srt9(spark, d):
     p = table(spark, d, "pages").select("page_id", F.array((F.col("page_id") % 7)).alias("section_path"))
-    return p.select("page_id", F.row_number().over(Window.orderBy("section_path", "page_id")).cast("long").alias("pos"))
+    return p.select("page_id", F.row_number().over(Window.partitionBy(F.expr("page_id div 20")).orderBy("section_path", "page_id")).cast("long").alias("pos"))
 
 
 @query("srt13_page_slice", "SELECT p_partkey AS id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 30")
@@ -100,10 +100,10 @@ def srt16(spark, d):
     return table(spark, d, "embeddings").selectExpr("vec_id id", "label")
 
 
-@query("mdl6_srt15_single_source_text", f"WITH {knn_sql(4)} SELECT query_id, h.id, left(coalesce(d.text, d.source), 40) AS chunk FROM hits h JOIN documents d ON d.doc_id = h.id")
+@query("mdl6_srt15_single_source_text", f"WITH {knn_sql(4)} SELECT query_id, h.id, md5(CASE WHEN trim(d.text) <> '' THEN d.text ELSE d.source END) AS chunk_md5 FROM hits h JOIN documents d ON d.doc_id = h.id")
 def mdl6(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.col("source")), 1, 40).alias("chunk"))
-    return hits(spark, d, 4).join(docs, "id").select("query_id", "id", "chunk")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.col("source"))).alias("chunk_md5"))
+    return hits(spark, d, 4).join(docs, "id").select("query_id", "id", "chunk_md5")
 
 
 @query("flt4_usable_priors", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 9 <> 0 GROUP BY 1")
@@ -133,10 +133,10 @@ def prj10(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey id", "p_brand module", "p_name title")
 
 
-@query("prj11_result_view", f"WITH {VERDICTS} SELECT atom_id, module || '/' || classification AS label, round(confidence, 1) AS evidence FROM v WHERE batch_id = 2")
+@query("prj11_result_view", f"WITH {VERDICTS} SELECT atom_id, module || '/' || classification AS label, round(confidence, 1) AS evidence FROM v")
 def prj11(spark, d):
     view = F.struct(F.concat_ws("/", "module", "classification").alias("label"), F.struct(F.round("confidence", 1).alias("score")).alias("evidence"))
-    return verdicts(spark, d).filter("batch_id = 2").select("atom_id", view.alias("x")).select("atom_id", "x.label", F.col("x.evidence.score").alias("evidence"))
+    return verdicts(spark, d).select("atom_id", view.alias("x")).select("atom_id", "x.label", F.col("x.evidence.score").alias("evidence"))
 
 
 @query("prj17_gate_by_number", f"WITH {VERDICTS} SELECT atom_id, wave AS gate FROM v WHERE wave = 3")
@@ -150,9 +150,9 @@ def dtj2(spark, d):
     return packed.select("doc_id", F.from_json("j", "source string, n_chars bigint").alias("x")).select("doc_id", "x.source", "x.n_chars")
 
 
-@query("dtj12_review_required", f"WITH {VERDICTS} SELECT atom_id, 'REVIEW_REQUIRED' AS classification, 0.0::DOUBLE AS confidence FROM v WHERE wave = 5")
+@query("dtj12_review_required", f"WITH {VERDICTS} SELECT atom_id, 'REVIEW_REQUIRED' AS classification, 0.0::DOUBLE AS confidence FROM v")
 def dtj12(spark, d):
-    return verdicts(spark, d).filter("wave = 5").select("atom_id", F.lit("REVIEW_REQUIRED").alias("classification"), F.lit(0.0).alias("confidence"))
+    return verdicts(spark, d).select("atom_id", F.lit("REVIEW_REQUIRED").alias("classification"), F.lit(0.0).alias("confidence"))
 
 
 @query("txt20_module_or_default", "SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_brand ELSE 'default' END AS module FROM part")
@@ -190,16 +190,21 @@ def pip8(spark, d):
     return pipe.listing(rel.matching(batches(spark, d), status="O"), uploads(spark, d), offset=20, size=20)
 
 
-@query("pip9_resume_overrides", f"WITH {VERDICTS} SELECT atom_id, CASE WHEN atom_id % 2 = 0 THEN 'FIT' ELSE classification END AS classification FROM v WHERE batch_id = 3")
+@query("pip9_resume_overrides", f"WITH {VERDICTS} SELECT atom_id, CASE WHEN atom_id % 2 = 0 THEN 'FIT' ELSE classification END AS classification FROM v")
 def pip9(spark, d):
-    v = verdicts(spark, d).filter("batch_id = 3").withColumn("flags", F.array(F.lit("low_confidence")))
+    v = verdicts(spark, d).withColumn("flags", F.array(F.lit("low_confidence")))
     dec = v.filter("atom_id % 2 = 0").select("atom_id", F.lit("OVERRIDE").alias("decision"), F.lit("FIT").alias("override_classification"), F.lit("r").alias("reviewer")).distinct()
     return rv.merge_overrides(v, dec).select("atom_id", "classification")
 
 
-@query("pip10_search_dispatch", f"WITH {knn_sql(5)} SELECT query_id, id FROM hits")
+@query("pip10_search_dispatch", f"""WITH {knn_sql(10)}, s AS (SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY id) AS other FROM hits),
+f AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + other) AS score FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS n FROM f)
+SELECT query_id, id, 'hybrid' AS way FROM b WHERE n <= 5 UNION ALL SELECT query_id, id, 'dense' FROM hits WHERE rank <= 5""")
 def pip10(spark, d):
-    return pipe.search(hits(spark, d, 10), None, 5).select("query_id", "id")
+    dense = hits(spark, d, 10)
+    sparse = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    both = pipe.search(dense, sparse, 5).select("query_id", "id", F.lit("hybrid").alias("way"))
+    return both.unionByName(pipe.search(dense, None, 5).select("query_id", "id", F.lit("dense").alias("way")))
 
 
 @query("pip3_matching", f"""WITH {VERDICTS}, s AS (SELECT atom_id // 8 AS atom, atom_id, module, top_score, round(least(1.0, 0.25 * confidence + 0.20 * top_score + 0.15 * quantity / 50 + 0.25 * reviewed::INT + 0.15 * wave / 7), 6)::DOUBLE AS c, reviewed FROM v),
@@ -232,4 +237,5 @@ def ded5(spark, d):
 
 @query("pip1_ingestion")
 def pip1(spark, d):
-    return pipe.ingested(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", "action", "n_entities", "gate")
+    module = F.when(F.col("doc_id") % 2 == 0, "AccountsPayable").otherwise("Budgeting")
+    return pipe.ingested(table(spark, d, "documents"), "doc_id", "text", module).select("doc_id", "pos", "module", "action", "n_entities", "gate")

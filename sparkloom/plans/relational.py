@@ -124,10 +124,7 @@ def src19(spark, d):
 
 @query("src11_split_kb", "SELECT p_partkey AS id, CASE WHEN row_number() OVER (ORDER BY p_partkey) <= 120 THEN 'capabilities' ELSE 'docs' END AS part FROM part")
 def src11(spark, d):
-    from pyspark.sql import Window
-
-    p = table(spark, d, "part").selectExpr("p_partkey id")
-    return p.withColumn("part", F.when(F.row_number().over(Window.orderBy("id")) <= 120, "capabilities").otherwise("docs"))
+    return rel.split_at(table(spark, d, "part").selectExpr("p_partkey id"), "id", 120, "capabilities", "docs")
 
 
 @query("set6_module_overlap", "SELECT DISTINCT p_brand AS module FROM part WHERE p_partkey <= 120 INTERSECT SELECT p_brand FROM part WHERE p_partkey > 120")
@@ -208,10 +205,10 @@ def flt15(spark, d):
     return table(spark, d, "events").withColumn("m", rel.only_known(m, ("k",))).filter(F.size("m") > 0).select("event_id", F.element_at("m", F.lit("k")).alias("k"))
 
 
-@query("prj5_gate_rows", f"WITH {VERDICTS} SELECT atom_id, classification, coalesce(CASE WHEN wave % 3 = 0 THEN NULL ELSE module END, '') AS top_capability, CASE WHEN wave % 3 = 0 THEN 0.0 ELSE top_score END AS top_score FROM v WHERE confidence < 0.3")
+@query("prj5_gate_rows", f"WITH {VERDICTS} SELECT atom_id, classification, coalesce(CASE WHEN wave % 3 = 0 THEN NULL ELSE module END, '') AS top_capability, CASE WHEN wave % 3 = 0 THEN 0.0 ELSE top_score END AS top_score FROM v")
 def prj5(spark, d):
     caps = F.when(F.col("wave") % 3 == 0, F.array().cast("array<struct<name:string,score:double>>")).otherwise(F.array(F.struct(F.col("module").alias("name"), F.col("top_score").alias("score"))))
-    v = verdicts(spark, d).filter("confidence < 0.3").withColumn("top", F.get(caps, F.lit(0)))
+    v = verdicts(spark, d).withColumn("top", F.get(caps, F.lit(0)))
     return v.select("atom_id", "classification", F.coalesce("top.name", F.lit("")).alias("top_capability"), F.coalesce("top.score", F.lit(0.0)).alias("top_score"))
 
 
@@ -236,11 +233,11 @@ def prj8(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json(raw, "k int")["k"].alias("k"))
 
 
-@query("prj12_vector_literal", "SELECT vec_id, len(embedding) AS n, '[' || label || ',' || vec_id || ']' AS literal FROM embeddings")
+@query("prj12_vector_literal", "SELECT vec_id, len(embedding) AS n, '[' || array_to_string([round(x::DOUBLE * 1000)::BIGINT FOR x IN embedding], ',') || ']' AS literal FROM embeddings")
 def prj12(spark, d):
     from sparkloom.functions.text import vector_literal
 
-    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), vector_literal(F.array(F.col("label").cast("long"), F.col("vec_id"))).alias("literal"))
+    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), vector_literal(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("literal"))
 
 
 @query("prj13_template_line", f"WITH {VERDICTS} SELECT atom_id, format('{{}} — {{}} ({{}}%)', module, classification, round_even(confidence * 100, 0)::INT) AS line FROM v")
@@ -299,13 +296,11 @@ def mth13(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(scores.percent(F.count_if(F.col("role") == "user"), F.count("*")).alias("pct"))
 
 
-@query("set2_clean_then_resolved", f"WITH {VERDICTS} SELECT row_number() OVER (ORDER BY flagged, atom_id) AS pos, atom_id FROM (SELECT atom_id, (confidence < 0.6)::INT AS flagged FROM v WHERE batch_id = 1)")
+@query("set2_clean_then_resolved", f"WITH {VERDICTS} SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY flagged, atom_id) AS pos, atom_id FROM (SELECT batch_id, atom_id, (confidence < 0.6)::INT AS flagged FROM v)")
 def set2(spark, d):
-    from pyspark.sql import Window
-
-    v = verdicts(spark, d).filter("batch_id = 1")
-    both = v.filter("confidence >= 0.6").select(F.lit(0).alias("part"), "atom_id").unionAll(v.filter("confidence < 0.6").select(F.lit(1).alias("part"), "atom_id"))
-    return both.select(F.row_number().over(Window.orderBy("part", "atom_id")).cast("long").alias("pos"), "atom_id")
+    v = verdicts(spark, d)
+    both = rel.one_after_other([v.filter("confidence >= 0.6"), v.filter("confidence < 0.6")], ["batch_id"], "atom_id")
+    return both.select("batch_id", F.col("pos").cast("long").alias("pos"), "atom_id")
 
 
 @query("srt11_index_newest_first", f"WITH {BATCHES} SELECT batch_id, floor(epoch(created_at))::BIGINT AS at FROM b ORDER BY created_at DESC, batch_id LIMIT 50")

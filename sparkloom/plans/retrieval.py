@@ -141,16 +141,20 @@ def mth9(spark, d):
     return verdicts(spark, d).select("atom_id", F.round(scores.calibrated(F.col("top_score"), q, F.col("reviewed")), 6).alias("calibrated"))
 
 
-@query("win4_greedy_capabilities", f"WITH {VERDICTS} SELECT batch_id, wave, count(DISTINCT round(confidence, 1)) AS kept FROM v GROUP BY 1, 2")
+@query("win4_greedy_capabilities", f"""WITH RECURSIVE {VERDICTS}, i AS (SELECT DISTINCT batch_id, wave, round(confidence, 1) AS x FROM v), k AS (SELECT batch_id, wave, min(x) AS x, 1 AS n FROM i GROUP BY ALL
+UNION ALL SELECT batch_id, wave, (SELECT min(i.x) FROM i WHERE i.batch_id = k.batch_id AND i.wave = k.wave AND i.x - k.x >= 0.15) AS x, n + 1 FROM k WHERE EXISTS (SELECT 1 FROM i WHERE i.batch_id = k.batch_id AND i.wave = k.wave AND i.x - k.x >= 0.15))
+SELECT batch_id, wave, max(n)::BIGINT AS kept FROM k GROUP BY ALL""")
 def win4(spark, d):
     v = verdicts(spark, d).groupBy("batch_id", "wave").agg(F.array_sort(F.collect_set(F.round("confidence", 1))).alias("items"))
-    return v.select("batch_id", "wave", F.size(ret.greedy_distinct(F.col("items"), lambda x, y: F.abs(x - y) < 0.05)).cast("long").alias("kept"))
+    return v.select("batch_id", "wave", F.size(ret.greedy_distinct(F.col("items"), lambda x, y: F.abs(x - y) < 0.15)).cast("long").alias("kept"))
 
 
-@query("win6_trim_descriptions")
+@query("win6_trim_descriptions", f"""WITH {knn_sql(20)}, l AS (SELECT query_id, h.id, d.n_chars AS n, greatest(0, d.n_chars - 80) AS cap FROM hits h JOIN documents d ON d.doc_id = h.id),
+o AS (SELECT *, sum(n) OVER (PARTITION BY query_id) - 12288 AS over, coalesce(sum(cap) OVER (PARTITION BY query_id ORDER BY n DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM l)
+SELECT query_id, id, (n - least(cap, greatest(0, over - given)))::BIGINT AS n_chars FROM o""")
 def win6(spark, d):
-    lens = table(spark, d, "documents").groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.col("n_chars").alias("n"))).alias("sizes"))
-    return lens.select("source", F.explode(ret.trimmed(F.col("sizes"), 12288)).alias("x")).select(F.col("x.id").alias("doc_id"), F.col("x.n").alias("n_chars"))
+    sizes = table(spark, d, "documents").selectExpr("doc_id id", "n_chars n")
+    return ret.trim_descriptions(hits(spark, d, 20).select("query_id", "id").join(sizes, "id"), ["query_id"], "id", "n", 12288).select("query_id", "id", F.col("n").alias("n_chars"))
 
 
 @query("mth10_composite_and_route", f"""WITH {VERDICTS}, c AS (SELECT atom_id, reviewed, greatest(0.0, least(1.0, least(1.0, 0.25 * confidence + 0.20 * top_score + 0.15 * quantity / 50 + 0.25 * reviewed::INT + 0.15 * wave / 7) + CASE WHEN classification = 'FIT' THEN 0.10 ELSE 0 END))::DOUBLE AS s FROM v)
@@ -241,8 +245,11 @@ def agg32(spark, d):
 
 
 @query("pip2_retrieval", f"""WITH {knn_sql(10)}, g AS (SELECT *, score - lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS gap FROM hits), c AS (SELECT query_id, arg_max(rank, round(gap, 9) * 1000 - rank / 1e7) AS k FROM g WHERE rank BETWEEN 3 AND 7 GROUP BY 1),
-t AS (SELECT * FROM hits JOIN c USING (query_id) WHERE rank <= k) SELECT query_id, count(*) AS kept, round(max(least(1.0, score * 0.70)), 6)::DOUBLE AS best, md5(string_agg(id::VARCHAR, ',' ORDER BY rank)) AS provenance FROM t GROUP BY 1""")
+t AS (SELECT * FROM hits JOIN c USING (query_id) WHERE rank <= k), z AS (SELECT query_id, (max(score) > 0.5)::INT + (max(score) - arg_max(score, least(rank, 5) * 1000 - rank) > 0.01)::INT AS p, query_id % 200 = 0 AS h FROM t GROUP BY query_id)
+SELECT query_id, any_value(CASE p + h::INT WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END) AS quality, count(*) AS kept, round(max(least(1.0, score * CASE p + h::INT WHEN 3 THEN 1.0 WHEN 2 THEN 0.85 ELSE 0.70 END * CASE WHEN h THEN 1.1 ELSE 1.0 END)), 6)::DOUBLE AS best, md5(string_agg(id::VARCHAR, ',' ORDER BY rank)) AS provenance FROM t JOIN z USING (query_id) GROUP BY 1""")
 def pip2(spark, d):
     kept = ret.adaptive_k(hits(spark, d, 10))
-    got = kept.groupBy("query_id").agg(F.count("*").alias("kept"), F.max(scores.calibrated(F.col("score"), F.lit("LOW"), F.lit(False))).alias("best"), F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x"))
-    return got.select("query_id", "kept", F.round("best", 6).alias("best"), F.md5(F.array_join(F.transform("x", lambda e: e["id"].cast("string")), ",")).alias("provenance"))
+    history = F.col("query_id") % 200 == 0
+    graded = kept.join(ret.quality(kept, history).select("query_id", "quality"), "query_id")
+    got = graded.groupBy("query_id", "quality").agg(F.count("*").alias("kept"), F.max(scores.calibrated(F.col("score"), F.col("quality"), history)).alias("best"), F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x"))
+    return got.select("query_id", "quality", "kept", F.round("best", 6).alias("best"), F.md5(F.array_join(F.transform("x", lambda e: e["id"].cast("string")), ",")).alias("provenance"))

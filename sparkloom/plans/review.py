@@ -182,8 +182,8 @@ def dtj11(spark, d):
 @query("jon4_priors_by_atom", f"WITH {VERDICTS}, p AS (SELECT module, count(*) AS n FROM v WHERE wave = 7 GROUP BY 1) SELECT atom_id, coalesce(n, 0) AS n_priors FROM v LEFT JOIN p USING (module)")
 def jon4(spark, d):
     v = verdicts(spark, d)
-    p = v.filter("wave = 7").groupBy("module").agg(F.collect_list("atom_id").alias("priors"))
-    return v.join(p, "module", "left").select("atom_id", F.size(F.coalesce("priors", F.array().cast("array<bigint>"))).cast("long").alias("n_priors"))
+    p = v.filter("wave = 7").groupBy("module").agg(F.count("*").alias("n"))
+    return v.join(p, "module", "left").select("atom_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_priors"))
 
 
 @query("pip5_validation", f"""WITH {VERDICTS}, {_FLAGS}, m AS (SELECT batch_id, CASE WHEN len(flags) > 0 AND atom_id % 6 = 0 THEN 'FIT' ELSE classification END AS c FROM r)

@@ -45,9 +45,9 @@ def str6(spark, d):
     return pr.repaired(pr.phase_states(events(spark, d))).select("batch_id", "phase", "status", "pct")
 
 
-@query("str7_progress_view", f"WITH {EVENTS}, {_STATES}, p AS (SELECT * FROM (SELECT DISTINCT batch_id FROM s WHERE phase > 2), range(1, 6) r(phase)) SELECT p.batch_id, p.phase::INT AS phase, coalesce(x.status, 'pending') AS status, coalesce(x.pct, 0) AS pct FROM p LEFT JOIN (SELECT * FROM s WHERE phase > 2) q ON q.batch_id = p.batch_id AND q.phase = p.phase")
+@query("str7_progress_view", f"WITH {EVENTS}, {_STATES}, p AS (SELECT * FROM (SELECT DISTINCT batch_id FROM s), range(1, 6) r(phase)) SELECT p.batch_id, p.phase::INT AS phase, coalesce(x.status, 'pending') AS status, coalesce(x.pct, 0) AS pct FROM p LEFT JOIN s q ON q.batch_id = p.batch_id AND q.phase = p.phase")
 def str7(spark, d):
-    return pr.progress_view(pr.phase_states(events(spark, d)).filter("phase > 2"))
+    return pr.progress_view(pr.phase_states(events(spark, d)))
 
 
 @query("str8_live_states", "SELECT user_id AS batch_id, max(ts) AS last FROM events GROUP BY 1 HAVING epoch((SELECT max(ts) FROM events)) - epoch(max(ts)) < 86400")

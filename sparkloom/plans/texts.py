@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import chunking, pii
+from sparkloom.operators import chunking, dedup, pii
+from sparkloom.operators import relational as rel
 from sparkloom.plans.base import query, table
 
 #: A lexicon of frequent words, so that queries over the invented prose count something.
@@ -67,16 +68,16 @@ def flt5(spark, d):
     return docs(spark, d).select("doc_id", short.alias("flag"))
 
 
-@query("flt9_quality_gates", f"""WITH t AS (SELECT doc_id, text, n_chars, source, {TOKENS} AS w, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS dup FROM documents),
+@query("flt9_quality_gates", f"""WITH t AS (SELECT doc_id, text, n_chars, source, {TOKENS} AS w, doc_id > min(doc_id) OVER (PARTITION BY text) AS dup, doc_id % 11 = 0 AS named FROM documents),
 c AS (SELECT *, len([x FOR x IN w IF x IN {_in(SAMPLE_CONCRETE + SAMPLE_SPECIFIC)}]) + len([i FOR i IN range(1, len(w)) IF (w[i] || ' ' || w[i + 1]) IN {_in(SAMPLE_CONCRETE)}]) AS good, len([x FOR x IN w IF x IN {_in(SAMPLE_VAGUE)}]) AS bad FROM t)
-SELECT doc_id, CASE WHEN dup THEN 'POTENTIAL_DUPLICATE' WHEN s < 0.30 THEN 'TOO_VAGUE' WHEN source = 'src3' AND s < 0.5 THEN 'INCOMPLETE' WHEN length(text) < 10 OR length(text) > 2000 THEN 'SCHEMA_MISMATCH' ELSE 'PASS' END AS gate
+SELECT doc_id, CASE WHEN dup THEN 'POTENTIAL_DUPLICATE' WHEN named THEN 'SCHEMA_MISMATCH' WHEN s < 0.30 THEN 'TOO_VAGUE' WHEN source = 'src3' AND s < 0.5 THEN 'INCOMPLETE' WHEN length(text) < 10 OR length(text) > 2000 THEN 'SCHEMA_MISMATCH' ELSE 'PASS' END AS gate
 FROM (SELECT *, CASE WHEN good + bad = 0 THEN 0.4 ELSE good / (good + bad) END AS s FROM c)""")
 def flt9(spark, d):
-    from pyspark.sql import Window
-
-    w = docs(spark, d).select("doc_id", "text", "source", tx.tokens(F.col("text")).alias("w"), (F.row_number().over(Window.partitionBy("text").orderBy("doc_id")) > 1).alias("dup"))
+    marked = dedup.text_copies(docs(spark, d), "doc_id", "text").withColumnRenamed("is_copy", "dup")
+    w = marked.select("doc_id", "text", "source", tx.tokens(F.col("text")).alias("w"), "dup")
     s = w.select("*", tx.specificity(F.col("w"), SAMPLE_CONCRETE, SAMPLE_SPECIFIC, SAMPLE_VAGUE).alias("s"))
-    gate = tx.quality_gate(F.col("dup"), F.lit(None).cast("string"), F.col("s"), F.when(F.col("source") == "src3", 0).otherwise(100), F.char_length("text"))
+    said = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" for the customer"))).otherwise(F.lit(""))
+    gate = tx.quality_gate(F.col("dup"), tx.consistency_flag(said, F.lit("AccountsPayable"), F.lit("FR")), F.col("s"), F.when(F.col("source") == "src3", 0).otherwise(100), F.char_length("text"))
     return s.select("doc_id", F.coalesce(gate, F.lit("PASS")).alias("gate"))
 
 
@@ -174,9 +175,13 @@ def txt15(spark, d):
     return docs(spark, d).select("doc_id", tx.token_estimate(F.col("text")).alias("estimate"))
 
 
-@query("txt16_table_slices", "SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF starts_with(ltrim(x), '|')])::BIGINT AS n_rows FROM documents")
+@query("txt16_table_slices", """WITH t AS (SELECT p_partkey, ['| ' || i || ' | ' || p_brand || ' |' FOR i IN range(p_size)] AS body FROM part)
+SELECT p_partkey AS id, s AS slice, md5('| n | brand |' || chr(10) || '|---|---|' || chr(10) || array_to_string(body[15 * s + 1:15 * s + 15], chr(10))) AS slice_md5 FROM (SELECT *, unnest(range((len(body) + 14) // 15)) AS s FROM t)""")
 def txt16(spark, d):
-    return docs(spark, d).select("doc_id", F.size(tx.table_rows(F.col("text"))).cast("long").alias("n_rows"))
+    row = lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), F.col("p_brand"), F.lit(" |"))
+    lines = F.concat(F.array(F.lit("Parts"), F.lit("| n | brand |"), F.lit("|---|---|")), F.when(F.col("p_size") > 0, F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), row)).otherwise(F.array().cast("array<string>")))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(lines, "\n").alias("t"))
+    return p.select("id", F.posexplode(tx.table_slices(F.col("t"))).alias("slice", "s")).select("id", F.col("slice").cast("long").alias("slice"), F.md5("s").alias("slice_md5"))
 
 
 @query("prj14_prompt_escape", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;')) AS escaped_md5 FROM pages")
@@ -184,11 +189,10 @@ def prj14(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(tx.html_escape(F.col("html"))).alias("escaped_md5"))
 
 
-@query("prj9_text_ladder", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE left(text, 20) END AS chunk FROM documents WHERE doc_id % 7 <> 0")
+@query("prj9_text_ladder", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 OR trim(text) = '' THEN source ELSE text END) AS chunk_md5 FROM documents")
 def prj9(spark, d):
-    t, desc = F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 20)), F.col("source")
-    t, desc = F.when(F.col("doc_id") % 7 != 0, t), F.when(F.col("doc_id") % 7 != 0, desc)
-    return docs(spark, d).select("doc_id", F.coalesce(F.when(F.trim(t) != "", t), F.when(F.trim(desc) != "", desc)).alias("chunk")).filter(F.col("chunk").isNotNull())
+    payload = F.create_map(F.lit("text"), F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.lit("description"), F.col("source"))
+    return docs(spark, d).select("doc_id", tx.payload_text(payload).alias("chunk")).filter(F.col("chunk").isNotNull()).select("doc_id", F.md5("chunk").alias("chunk_md5"))
 
 
 @query("prj4_dominant_modality", "SELECT doc_id, CASE WHEN contains(text, ' | ') THEN 'TABLE' WHEN contains(text, '@') THEN 'IMAGE' ELSE 'TEXT' END AS modality FROM documents")
@@ -202,13 +206,17 @@ def agg15(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.round(F.sum(F.char_length("text")) / (F.count("*") * 2000.0), 6).alias("ratio"))
 
 
-@query("txt8_header_mapping", "SELECT p_partkey AS id, CASE WHEN lower(trim(p_type)) IN ('economy', 'standard') THEN p_type END AS canonical FROM part")
+#: Headers that the sample table names in one of three ways.
+HEADER_SYNONYMS = {"ECONOMY": ["economy", "economy part"], "STANDARD": ["standard", "standard part"], "PROMO": ["promo brand"]}
+
+
+@query("txt8_header_mapping")
 def txt8(spark, d):
-    from sparkloom.functions.headers import map_headers
+    from sparkloom.functions.headers import load_synonyms, map_headers
 
-    synonyms = spark.createDataFrame([("ECONOMY", "economy", 0), ("STANDARD", "standard", 1)], "canonical string, term string, ord int")
-    heads = table(spark, d, "part").selectExpr("p_partkey id", "p_type header")
-    return map_headers(heads, synonyms, fuzzy_above=101).selectExpr("id", "canonical")
+    synonyms = load_synonyms(spark, HEADER_SYNONYMS)
+    heads = table(spark, d, "part").selectExpr("p_partkey id", "CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_type || ' ' || p_brand ELSE p_name END header")
+    return map_headers(heads, synonyms).selectExpr("id", "canonical", "tier", "round(confidence, 6) confidence")
 
 
 @query("txt7_token_set_ratio")
@@ -271,12 +279,10 @@ def agg14(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("n"))
 
 
-@query("win11_batches_of_ten", "SELECT batch, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch, source FROM documents) GROUP BY source, batch")
+@query("win11_batches_of_ten", "SELECT conv_id, batch, count(*) AS n, min(turn) AS first_turn FROM (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS batch FROM conversations) GROUP BY conv_id, batch")
 def win11(spark, d):
-    from pyspark.sql import Window
-
-    n = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 10)
-    return docs(spark, d).select("source", "doc_id", n.alias("batch")).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).select("batch", "n", "first_doc")
+    turns = rel.in_batches(table(spark, d, "conversations"), ["conv_id"], ["turn"], 10)
+    return turns.groupBy("conv_id", "batch").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 
 @query("flt22_input_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) WHERE x <> '' AND NOT starts_with(x, '#') GROUP BY 1")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,20 +84,44 @@ def docx_items(content: bytes) -> list[tuple[str, str, str, list[tuple[str, str]
     return out
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """path, pos, kind (prose or row), section, text, cells of TXT and DOCX files (SRC2). PDF needs a library that isn't here: such files give no rows."""
+def parsed(files: DataFrame, pdf: Callable[[bytes], list[tuple[str, str, str, list[tuple[str, str]]]]] | None = None) -> DataFrame:
+    """path, pos, kind (prose, row or error), section, text, cells of accepted files (SRC2).
+
+    PDF goes through `pdf`, a function from bytes to items as `docx_items` gives them, with tables, prose and read page images (SRC3, SRC4); where
+    none is given, and for files that can't be read, there is one row of kind error that says so.
+    """
+
+    def items(fmt: str, content: bytes) -> list[tuple]:
+        if fmt == "PDF" and pdf is None:
+            return [("error", "", "no reader for PDF", [])]
+        try:
+            return docx_items(content) if fmt == "DOCX" else pdf(content)
+        except Exception as e:  # a file that can't be read is reported, the others go on
+            return [("error", "", f"{type(e).__name__}: {e}"[:200], [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for path, fmt, content in zip(part["path"], part["format"], part["content"]):
-                if fmt == "DOCX":
-                    rows += [(path, i, *x[:3], dict(x[3])) for i, x in enumerate(docx_items(content))]
+            rows = [(path, i, *x[:3], dict(x[3])) for path, fmt, content in zip(part["path"], part["format"], part["content"]) for i, x in enumerate(items(fmt, content))]
             yield pd.DataFrame(rows, columns=["path", "pos", "kind", "section", "text", "cells"])
 
-    docx = files.filter("format = 'DOCX'").select("path", "format", "content").mapInPandas(run, "path string, pos int, kind string, section string, text string, cells map<string,string>")
+    read = files.filter("format IN ('DOCX', 'PDF')").select("path", "format", "content").mapInPandas(run, "path string, pos int, kind string, section string, text string, cells map<string,string>")
     txt = txt_paragraphs(files.filter("format = 'TXT'")).select("path", "pos", F.lit("prose").alias("kind"), F.lit("").alias("section"), "text", F.lit(None).cast("map<string,string>").alias("cells"))
-    return docx.unionByName(txt)
+    return read.unionByName(txt)
+
+
+def with_ocr(pages: DataFrame, read: Callable[[pd.Series], pd.Series] | None, least: int = 20) -> DataFrame:
+    """pages (text, image) with the text that `read` finds in the image where there are fewer than `least` characters; a failure gives '' (SRC3, SRC4)."""
+    if read is None:
+        return pages
+
+    @F.pandas_udf("string")
+    def seen(images: pd.Series) -> pd.Series:
+        try:
+            return read(images)
+        except Exception:  # one unreadable page costs its text, not the job
+            return pd.Series([""] * len(images))
+
+    return pages.withColumn("text", F.when(F.char_length(F.trim(tx.text_or_empty(F.col("text")))) < least, F.coalesce(seen("image"), F.lit(""))).otherwise(F.col("text")))
 
 
 def requirement_texts(items: DataFrame) -> DataFrame:
@@ -114,6 +139,42 @@ def knowledge_base(spark: SparkSession, entries: list[dict], columns: str = "id
     return spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries], columns)
 
 
+def yaml_entries(spark: SparkSession, path: str, required: bool = True) -> list:
+    """The content of a YAML file in any store: hand-written configuration, read to the driver. A missing optional file is empty (SRC10, SRC12)."""
+    import yaml
+
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:
+        if required:
+            raise
+        text = None
+    return (yaml.safe_load(text[0]) if text else None) or []
+
+
+def header_synonyms(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """The synonym table of a YAML file (canonical: [terms]), and the inverse map, where the first of equal terms wins (SRC12)."""
+    from sparkloom.functions.headers import load_synonyms
+
+    table = load_synonyms(spark, dict(yaml_entries(spark, path)))
+    return table, {r.term: r.canonical for r in table.orderBy("ord").collect()}  # a hand-written file
+
+
+def collections(spark: SparkSession, path: str) -> DataFrame:
+    """collection, required: what the manifest.yaml files under a folder ask for; those that can't be read or name no product ask for nothing (SRC18)."""
+    import yaml
+
+    found = []
+    for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.yaml").load(path).select("content").collect():  # one small file a module
+        try:
+            product = (yaml.safe_load(bytes(r.content).decode("utf-8")) or {}).get("product_id")
+        except (yaml.YAMLError, UnicodeDecodeError, AttributeError):
+            continue
+        if product:
+            found += [(f"{product}_capabilities", True), (f"{product}_docs", False)]
+    return spark.createDataFrame(found, "collection string, required boolean").distinct()
+
+
 def seed(rows: DataFrame, path: str) -> int:
     """Write a collection, latest row per id, and return its size, which must not be 0 (SNK9, SNK11)."""
     rel.latest_by(rows, ["id"], [F.col(c) for c in rows.columns if c != "id"][:1] or [F.col("id")]).write.mode("overwrite").parquet(path)
@@ -135,9 +196,21 @@ def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.regexp_extract("path", r"artifact_type=([^/]+)/", 1).alias("artifact_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("size"))
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(SRC17)"""
-    return spark.read.option("header", True).csv(path)
+def fetch_artifact(spark: SparkSession, path: str, artifact_id: str) -> DataFrame:
+    """The artifact with an id, of whichever type; no row where there is none (SRC16)."""
+    return spark.read.parquet(path).filter(F.col("artifact_id") == artifact_id)
+
+
+def list_reports(spark: SparkSession, path: str) -> DataFrame:
+    """file, size of the CSV files under a folder, by name (SRC17)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    return f.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("size")).orderBy("path")
+
+
+def read_reports(spark: SparkSession, path: str, report: str | None = None) -> DataFrame:
+    """All reports, or one of them (SRC17)."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows if report is None else rows.filter(F.col("report") == report)
 
 
 def put_state(rows: DataFrame, path: str) -> None:

@@ -107,10 +107,61 @@ def test_nearest_is_exact(spark):
         assert [got[q, k] for k in range(1, 6)] == np.argsort(-s, kind="stable")[:5].tolist()
 
 
+def test_nearest_with_parts_ties_and_null_vectors(spark):
+    """Every query meets only its part, ties go by id across tiles and blocks, and rows without a vector are left out."""
+    rows = [(i, None if i == 7 else [1.0, 0.0] if i % 2 else [0.0, 1.0], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    q = df.filter("id < 4").withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r["rank"]): r.id for r in ret.nearest(q, df, 6, same_part="label", block=2, tile=9).collect()}
+    assert [got[1, k] for k in range(1, 7)] == [3, 5, 9, 11, 13, 15] and [got[2, k] for k in range(1, 7)] == [0, 4, 6, 8, 10, 12]
+    assert ret.nearest(q.filter("1 = 0"), df, 3).count() == 0 and ret.nearest(q, df.filter("1 = 0"), 3).count() == 0
+
+
+def test_header_tiers(spark):
+    """Exact, fuzzy, by likeness of letters, none; each as by brute force."""
+    from sparkloom.functions.headers import load_synonyms, trigram_cosine
+
+    synonyms = {"requirement_text": ["business requirement", "need"], "country": ["country", "need"]}
+    heads = [" Country", "requirement of business", "businesrequirement", "countries", "need", "zzz", None]
+    got = {r.header: (r.canonical, r.tier, round(r.confidence, 9)) for r in map_headers(spark.createDataFrame([(h,) for h in heads], "header string"), load_synonyms(spark, synonyms)).collect()}
+    terms = [("requirement_text", "business requirement"), ("requirement_text", "need"), ("country", "country")]
+    for h in heads:
+        x = (h or "").strip().lower()
+        fuzzy, near = max(terms, key=lambda t: ratio(x, t[1])), max(terms, key=lambda t: trigram_cosine(x, t[1]))
+        if h is not None and x in {t for _, t in terms}:
+            want = (next(c for c, t in terms if t == x), "exact", 1.0)
+        elif h is not None and ratio(x, fuzzy[1]) > 70:
+            want = (fuzzy[0], "fuzzy", round(ratio(x, fuzzy[1]) / 100, 9))
+        elif h is not None and trigram_cosine(x, near[1]) > 0.65:
+            want = (near[0], "nlp", round(trigram_cosine(x, near[1]), 9))
+        else:
+            want = (None, "unmatched", 0.0)
+        assert got[h] == want
+    assert {t for _, t, _ in got.values()} >= {"exact", "fuzzy", "unmatched"}
+
+
+@pytest.mark.parametrize(("text", "steps"), [
+    ("", []), ("one thing", ["one thing"]), ("a\n\n b ", ["a", "b"]), ("Intro\n1. first\nmore\n 2) second\n", ["first\nmore", "second"]), ("Step 1: go\nstep 2. stop", ["go", "stop"]),
+    ("- x\n* y\ntail", ["x", "y\ntail"]), ("note\n\u2022 only", ["only"]), ("1.no space", ["1.no space"]),
+])
+def test_config_steps(spark, text, steps):
+    assert one(spark, tx.config_steps(F.lit(text)))[0] == steps
+
+
+def test_specificity_counts_pairs(spark):
+    f = lambda t: one(spark, tx.specificity(tx.tokens(F.lit(t)), ("purchase order", "vendor"), ("create",), ("handle", "order")))[0]
+    assert f("") == 0.4 and f("create a purchase order, vendor") == 3 / 4 and f("handle order purchase") == 0.0 and f("Purchase Order purchase order") == 0.5
+
+
+def test_names_tables_and_json(spark):
+    got = one(spark, tx.entity_hints(F.lit("The Bank of New York Mellon met Al and The Bank")), tx.narrated(F.lit("x\n| a | b |\n|--|--|\n| 1 | |\n| 2 | z |")), tx.narrated(F.lit("no table")), tx.tolerant_json(F.lit('{"k": 1'), "k long")["k"], tx.tolerant_json(F.lit('{"k": 1}'), "k long")["k"])
+    assert got == (["new york mellon", "the bank"], "a: 1\na: 2; b: z", "", None, 1)
+
+
 def test_trimmed_and_greedy(spark):
-    sizes = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("n")) for i, n in ((1, 500), (2, 300), (3, 90))))
-    got = {r["id"]: r["n"] for r in one(spark, ret.trimmed(sizes, 400))[0]}
-    assert got == {1: 80, 2: 230, 3: 90}
+    sizes = spark.createDataFrame([(0, 1, 500), (0, 2, 300), (0, 3, 90), (1, 1, 30), (1, 2, 60), (2, 1, 900), (2, 2, 900)], "q int, id int, n long")
+    got = {(r.q, r.id): r.n for r in ret.trim_descriptions(sizes, ["q"], "id", "n", 400).collect()}
+    assert got == {(0, 1): 80, (0, 2): 230, (0, 3): 90, (1, 1): 30, (1, 2): 60, (2, 1): 80, (2, 2): 320}
     assert one(spark, ret.greedy_distinct(F.array(F.lit(1.0), F.lit(1.01), F.lit(2.0)), lambda x, y: F.abs(x - y) < 0.1))[0] == [1.0, 2.0]
 
 

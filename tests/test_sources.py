@@ -38,7 +38,7 @@ def test_formats_and_parsing(spark, folder):
         "a.pdf": ("PDF", "OK"), "b.docx": ("DOCX", "OK"), "c.zip": (None, "UNSUPPORTED_FORMAT"), "d.txt": ("TXT", "OK"), "f.bin": (None, "UNSUPPORTED_FORMAT")}
     items = src.parsed(f)
     got = {(r.kind, r.section, r.text) for r in items.collect()}
-    assert got == {("prose", "Head", "Some prose of more than thirty characters"), ("row", "Head", "Requirement: The system shall post | col_1: x"), ("prose", "", "one paragraph that is long enough to keep"), ("prose", "", "two")}
+    assert got == {("error", "", "no reader for PDF"), ("prose", "Head", "Some prose of more than thirty characters"), ("row", "Head", "Requirement: The system shall post | col_1: x"), ("prose", "", "one paragraph that is long enough to keep"), ("prose", "", "two")}
     assert sorted(r.text for r in src.requirement_texts(items).collect()) == ["Requirement: The system shall post | col_1: x", "one paragraph that is long enough to keep"]
 
 
@@ -56,3 +56,48 @@ def test_seed(spark, tmp_path):
     assert src.seed(kb, str(tmp_path / "kb")) == 1
     with pytest.raises(ValueError):
         src.knowledge_base(spark, [])
+
+
+def test_pdf_by_a_given_reader(spark, folder):
+    f = src.with_format(src.uploads(spark, folder)).filter("format = 'PDF'")
+    read = src.parsed(f, lambda content: [("row", "S", content.decode(), [("col_0", "v")])]).collect()
+    assert [(r.kind, r.section, r.text, r.cells) for r in read] == [("row", "S", "%PDF-1.4 x", {"col_0": "v"})]
+
+    def broken(content):
+        raise ValueError("page 3")
+
+    assert [(r.kind, r.text) for r in src.parsed(f, broken).collect()] == [("error", "ValueError: page 3")]
+    pages = spark.createDataFrame([("short", b"x"), ("a text of more than twenty characters", b"y"), (None, b"z")], "text string, image binary")
+    assert [r.text for r in src.with_ocr(pages, lambda images: images.map(lambda b: "seen " + bytes(b).decode())).collect()] == ["seen x", "a text of more than twenty characters", "seen z"]
+    assert [r.text for r in src.with_ocr(pages, lambda images: 1 / 0).collect()] == ["", "a text of more than twenty characters", ""]
+
+
+def test_yaml_manifests_and_reports(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "m" / "one").mkdir(parents=True)
+    (tmp_path / "m" / "two").mkdir()
+    (tmp_path / "m" / "one" / "manifest.yaml").write_text("product_id: p1\n")
+    (tmp_path / "m" / "two" / "manifest.yaml").write_text("- [broken")
+    (tmp_path / "syn.yaml").write_text("text: [Need, wish]\ncountry: [land, need]\n")
+    assert sorted(map(tuple, src.collections(spark, str(tmp_path / "m")).collect())) == [("p1_capabilities", True), ("p1_docs", False)]
+    table, inverse = src.header_synonyms(spark, str(tmp_path / "syn.yaml"))
+    assert inverse == {"need": "text", "wish": "text", "land": "country"} and table.count() == 3
+    assert src.yaml_entries(spark, str(tmp_path / "none.yaml"), required=False) == []
+    with pytest.raises(Exception):
+        src.yaml_entries(spark, str(tmp_path / "none.yaml"))
+    spark.createDataFrame([("1", "fits"), ("2", "gaps")], "id string, report string").write.partitionBy("report").option("header", True).csv(str(tmp_path / "r"))
+    assert src.list_reports(spark, str(tmp_path / "r")).count() == 2 and [r.id for r in src.read_reports(spark, str(tmp_path / "r"), "gaps").collect()] == ["2"]
+
+
+def test_fetch_artifact(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "table"), ("y", "figure")], "body string, kind string")
+    src.store_artifacts(rows, str(tmp_path / "a"), F.col("body"), F.col("kind"))
+    some = spark.read.parquet(str(tmp_path / "a")).filter("body = 'x'").first().artifact_id
+    assert [r.body for r in src.fetch_artifact(spark, str(tmp_path / "a"), some).collect()] == ["x"] and src.fetch_artifact(spark, str(tmp_path / "a"), "none").count() == 0
+
+
+def test_files_to_gated_atoms(spark, folder):
+    from sparkloom.operators import pipelines as pipe
+
+    got = {(r.ref.rpartition("/")[2], r.gate) for r in pipe.ingested_files(src.uploads(spark, folder), F.lit("Budgeting")).collect()}
+    assert ("f.bin", "UNSUPPORTED_FORMAT") in got and ("c.zip", "UNSUPPORTED_FORMAT") in got and any(x.startswith("b.docx#") for x, _ in got) and any(x.startswith("d.txt#") for x, _ in got)

@@ -18,6 +18,7 @@ def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k long, first string, c double")
     new = spark.createDataFrame([(2, "x", 9.0), (3, "y", 3.0), (3, "z", 3.5)], "k long, first string, c double")
     assert rows(rel.upsert(old, new.filter("first <> 'z'"), ["k"], ["c"]), "k", "first", "c") == [(1, "a", 1.0), (2, "b", 9.0), (3, "y", 3.0)]
+    assert rows(rel.upsert(old, new, ["k"], ["c"]), "k", "first", "c") == [(1, "a", 1.0), (2, "b", 9.0), (3, "z", 3.5)]  # of equal new keys the largest row
     assert rows(rel.insert_absent(old, new, ["k"]), "k", "first") == [(1, "a"), (2, "b"), (3, "y")]
     assert rows(rel.insert_absent(old, old, ["k"]), "k") == [(1,), (2,)]
 
@@ -46,6 +47,40 @@ def test_dedup_chain(spark):
     assert rows(merged, "id", "source_ref") == [(1, "1,2"), (4, "4")]
 
 
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_greedy_is_the_sequential_walk(spark, tile, monkeypatch):
+    """DED3 against the walk over all pairs in order; the matrix way beside it, and the dispatcher between the two."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 3))
+    data = [(i, x.tolist(), "abc"[i % 3] if i < 80 else "d" if i < 89 else "e") for i, x in enumerate(v)]
+    df = spark.createDataFrame(data, "id long, vec array<double>, b string")
+    monkeypatch.setattr(dedup, "TILE_ROWS", tile)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    gone, near, least = {}, set(), {}
+    for i in range(90):
+        for j in range(i + 1, 90):
+            s = float(u[i] @ u[j])
+            if data[i][2] == data[j][2] and s > 0.8:
+                if s > 0.92:
+                    least.setdefault(j, i)
+                if i not in gone and j not in gone:
+                    if s > 0.92:
+                        gone[j] = i
+                    else:
+                        near.add(j)
+    assert {r.id: (r.owner, r.soft) for r in dedup.greedy(df).collect()} == {i: (gone.get(i), i in near) for i in range(90)}
+    assert {r.id: r.owner for r in dedup.owners(df).collect()} == {i: least.get(i) for i in range(90)}
+    both = {r.id: r.owner for r in dedup.deduplicate(df, most=9).collect()}
+    assert both == {i: (gone if i < 80 else least).get(i) for i in range(90)}
+
+
+def test_text_copies(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "id long, t string")
+    assert rows(dedup.text_copies(d, "id", "t").filter("is_copy"), "id") == [(3,)]
+
+
 @pytest.mark.parametrize("text", ["mail a.b@c.de or x@y.org", "call 555-123-4567", "id 123-45-6789", "10.0.0.1", "4111 1111 1111 1111", "none", "", None])
 def test_pii_round_trip(text):
     red, entities, found = pii.redact_text(text)
@@ -119,3 +154,15 @@ def test_illegal_steps(spark):
 def test_bad_json_is_skipped(spark):
     raw = spark.createDataFrame([('{"seq": 1, "event": "x"}',), ("{oops",)], "value string")
     assert pr.decode(raw, "seq long, event string").count() == 1
+
+
+def test_pii_sorts_out_only_texts_without_matches(spark):
+    texts = ["x@y.org", "call (555) 123-4567 now", "+1 555.123.4567", "1.2.3.4", "1 2 3", "4111-1111 1111-1111", "123-45-6789", "plain words 12 and 34", "", None, "\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("more", F.lit("m"))
+    got = {r.id: (r.redacted, len(r.entities), r.more) for r in pii.redact(d, "id", "t", keep=("more",)).collect()}
+    assert got == {i: (pii.redact_text(t)[0], len(pii.redact_text(t)[1]), "m") for i, t in enumerate(texts)}
+
+
+def test_scored_entities(spark):
+    found = pii.detect_scored("Dr. Ada Byron, a@b.org, 123-45-6789, in Paris, DE89 3704 0044 0532 0130 00")
+    assert [x[0] for x in found] == ["PERSON", "EMAIL_ADDRESS", "US_SSN", "LOCATION", "IBAN_CODE"] and pii.detect_scored(None) == [] and pii.detect_scored("in Paris", 0.5) == []
