@@ -1,12 +1,14 @@
 """Chunk packing of prose and of tokens (CHK1-CHK6), and section carry-forward (SRC8, WIN7).
 
-Packing is sequential within a document and independent between documents: one group per document.
+Packing is sequential within a document and independent between documents. Where a row holds a whole document
+(an array of its items), it is packed where it lies, without a shuffle; items in rows of their own are brought together first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +36,7 @@ def pack_prose(items, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_SENTENC
 
     A chunk ends at `max_chars` or at a heading; the last sentences of one go before the next of the same section.
     """
-    out, held, section, page, offset, lead = [], [], "", 1, 0, ""
+    out, held, section, page, offset, lead, size = [], [], "", 1, 0, "", 0
 
     def close(end: bool) -> str:
         if not held:
@@ -50,27 +52,41 @@ def pack_prose(items, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_SENTENC
             continue
         if is_heading:
             close(True)
-            lead, section = "", text
+            lead, section, size = "", text, 0
             continue
         if not held:
             page = at
         held.append(text)
+        size += len(text)
         offset += len(text) + 1
-        if sum(map(len, held)) >= max_chars:
-            lead = close(False)
+        if size >= max_chars:
+            lead, size = close(False), 0
     close(True)
     return out
 
 
-def prose_chunks(items: DataFrame) -> DataFrame:
-    """items: doc_id, pos, is_heading, text, page. One row per chunk."""
+PROSE_SCHEMA = "chunk_no int, text string, section string, page int, char_offset long, has_overlap boolean"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        got = pack_prose(zip(part["is_heading"], part["text"], part["page"]))
-        return pd.DataFrame([(part["doc_id"].iloc[0], i, *x) for i, x in enumerate(got)], columns=["doc_id", "chunk_no", "text", "section", "page", "char_offset", "has_overlap"])
 
-    return items.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_no int, text string, section string, page int, char_offset long, has_overlap boolean")
+def _packed(docs: DataFrame, key: str, items: Column, pack, schema: str) -> DataFrame:
+    """key and the chunks that `pack` makes of each row's array of items, in batches."""
+    kind, names = docs.schema[key].dataType.simpleString(), ["k", *(x.split()[0] for x in schema.split(", "))]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(k, i, *x) for k, found in zip(part["k"], part["items"]) for i, x in enumerate(pack(found))], columns=names)
+
+    return docs.select(F.col(key).alias("k"), items.alias("items")).mapInPandas(run, f"k {kind}, {schema}").withColumnRenamed("k", key)
+
+
+def gathered(rows: DataFrame, key: str, order: str, *fields: str) -> DataFrame:
+    """key and items: the rows of a document as one array of structs, in order."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
+
+
+def prose_chunks(docs: DataFrame, items: Column, key: str = "doc_id") -> DataFrame:
+    """items: array of struct<is_heading, text, page> in order. One row per chunk (CHK1)."""
+    return _packed(docs, key, items, lambda found: pack_prose((x["is_heading"], x["text"], x["page"]) for x in found), PROSE_SCHEMA)
 
 
 def estimate(text: str) -> int:
@@ -135,13 +151,14 @@ def pack_tokens(elements, count=estimate, most: int = MAX_TOKENS, overlap: int =
     return out
 
 
-def token_chunks(elements: DataFrame) -> DataFrame:
-    """elements: doc_id, pos, text, modality, page_no, section_path. One row per chunk (CHK2, CHK4, AGG13, AGG14)."""
+TOKEN_SCHEMA = "chunk_no int, text string, n_tokens int, page_first int, page_last int, headings array<string>, shares map<string,double>, cross_refs array<string>, chunk_id string"
+
+
+def token_chunks(docs: DataFrame, items: Column, key: str = "doc_id") -> DataFrame:
+    """items: array of struct<text, modality, page_no, section_path> in order. One row per chunk (CHK2, CHK4, AGG13, AGG14)."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        got = pack_tokens(zip(part["text"], part["modality"], part["page_no"], part["section_path"]))
-        rows = [(part["doc_id"].iloc[0], i, c["text"], c["n_tokens"], c["page_first"], c["page_last"], c["headings"], c["shares"], c["cross_refs"], c["chunk_id"]) for i, c in enumerate(got)]
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "text", "n_tokens", "page_first", "page_last", "headings", "shares", "cross_refs", "chunk_id"])
+    def pack(found):
+        for c in pack_tokens((x["text"], x["modality"], x["page_no"], x["section_path"]) for x in found):
+            yield c["text"], c["n_tokens"], c["page_first"], c["page_last"], c["headings"], c["shares"], c["cross_refs"], c["chunk_id"]
 
-    return elements.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_no int, text string, n_tokens int, page_first int, page_last int, headings array<string>, shares map<string,double>, cross_refs array<string>, chunk_id string")
+    return _packed(docs, key, items, pack, TOKEN_SCHEMA)

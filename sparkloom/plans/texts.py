@@ -230,15 +230,15 @@ def txt7(spark, d):
 
 @query("chk1_prose_chunks")
 def chk1(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("is_heading", F.char_length("text") < 20).withColumn("page", F.lit(1))
-    return chunking.prose_chunks(lines).select("doc_id", "chunk_no", "section", "char_offset", "has_overlap", F.char_length("text").alias("n_chars"))
+    items = F.transform(F.split("text", "\n"), lambda x: F.struct((F.char_length(x) < 20).alias("is_heading"), x.alias("text"), F.lit(1).alias("page")))
+    return chunking.prose_chunks(docs(spark, d), items).select("doc_id", "chunk_no", "section", "char_offset", "has_overlap", F.char_length("text").alias("n_chars"))
 
 
 @query("chk2_token_chunks")
 def chk2(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter(F.trim("text") != "")
-    e = lines.select("doc_id", "pos", "text", F.lit("TEXT").alias("modality"), (F.floor(F.col("pos") / 20) + 1).cast("int").alias("page_no"), F.array(F.concat(F.lit("s"), F.floor(F.col("pos") / 40).cast("string"))).alias("section_path"))
-    return chunking.token_chunks(e).select("doc_id", "chunk_no", "n_tokens", "page_first", "page_last", "chunk_id")
+    item = lambda x, i: F.struct(x.alias("text"), F.lit("TEXT").alias("modality"), (F.floor(i / 20) + 1).cast("int").alias("page_no"), F.array(F.concat(F.lit("s"), F.floor(i / 40).cast("string"))).alias("section_path"))
+    items = F.filter(F.transform(F.split("text", "\n"), item), lambda x: F.trim(x["text"]) != "")
+    return chunking.token_chunks(docs(spark, d), items).select("doc_id", "chunk_no", "n_tokens", "page_first", "page_last", "chunk_id")
 
 
 @query("chk5_section_change", "SELECT doc_id, pos, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM s, true) AS changed FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, left(unnest(string_split(text, chr(10))), 1) AS s FROM documents)")
