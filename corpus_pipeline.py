@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-dedup, substring dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. `run` applies them in order, each to the written result of the one before.
+of documents, whatever else the table has. `run` applies them in order, each to the written result of the one before.
+
+Rows that are odd: a null or empty text has no words, so the quality rules reject it; for the later stages it is a text like
+others. A null doc_id stays through near-dedup (it can't be told from others), and draws by its text in mixing. Rows that
+repeat are judged alike by the rules, are one document in near-dedup, and repeats of each other in substring dedup. Null
+lang and source are a class of their own in mixing. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -55,7 +60,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SimHash and BPE can't be put in SQL; tests/llm hold each stage against brute force.
+#: SimHash and BPE can't be put in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
