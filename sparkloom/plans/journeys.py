@@ -11,6 +11,7 @@ from sparkloom.operators import pipelines as pipe
 from sparkloom.operators import relational as rel
 from sparkloom.operators import retrieval as ret
 from sparkloom.operators import review as rv
+from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches, uploads
 from sparkloom.plans.retrieval import hits, knn_sql
@@ -135,13 +136,12 @@ def prj10(spark, d):
 
 @query("prj11_result_view", f"WITH {VERDICTS} SELECT atom_id, module || '/' || classification AS label, round(confidence, 1) AS evidence FROM v")
 def prj11(spark, d):
-    view = F.struct(F.concat_ws("/", "module", "classification").alias("label"), F.struct(F.round("confidence", 1).alias("score")).alias("evidence"))
-    return verdicts(spark, d).select("atom_id", view.alias("x")).select("atom_id", "x.label", F.col("x.evidence.score").alias("evidence"))
+    return vw.result_view(verdicts(spark, d))
 
 
 @query("prj17_gate_by_number", f"WITH {VERDICTS} SELECT atom_id, wave AS gate FROM v WHERE wave = 3")
 def prj17(spark, d):
-    return verdicts(spark, d).filter("wave = 3").select("atom_id", F.col("wave").alias("gate"))
+    return vw.lookup(verdicts(spark, d), wave=3).select("atom_id", F.col("wave").alias("gate"))
 
 
 @query("dtj2_json_round_trip", "SELECT doc_id, source, n_chars FROM documents")
@@ -167,12 +167,12 @@ def mth4(spark, d):
 
 @query("src9_page_windows", "SELECT conv_id, (turn // 5)::BIGINT AS win, count(*) AS n FROM conversations GROUP BY 1, 2")
 def src9(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 5).alias("win")).agg(F.count("*").alias("n"))
+    return vw.page_windows(table(spark, d, "conversations"), "turn").groupBy("conv_id", "win").agg(F.count("*").alias("n"))
 
 
 @query("src7_needs_ocr", "SELECT conv_id, sum(length(text)) / (count(*) * 2000.0::DOUBLE) < 0.3 AS needs_ocr FROM conversations GROUP BY 1")
 def src7(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.sum(F.char_length("text")) / (F.count("*") * 2000.0) < 0.3).alias("needs_ocr"))
+    return vw.needs_ocr(table(spark, d, "conversations"), "conv_id", "text")
 
 
 @query("mdl5_unified_modalities", "SELECT doc_id, CASE WHEN contains(text, ' | ') THEN 'TABLE' ELSE 'TEXT' END AS modality, CASE WHEN contains(text, ' | ') THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM documents UNION ALL SELECT page_id, 'IMAGE', 0.3::DOUBLE FROM pages")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
+from sparkloom.functions.text import tolerant_json
 from sparkloom.operators import relational as rel
+from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 
 BATCHES = "b AS (SELECT o_orderkey AS batch_id, o_custkey AS upload_id, o_orderstatus AS status, o_orderpriority AS country, o_totalprice AS total, o_orderdate AS created_at FROM orders)"
@@ -48,7 +50,7 @@ def agg7(spark, d):
 
 @query("src13_point_lookup", f"WITH {BATCHES} SELECT * FROM b WHERE batch_id = 7")
 def src13(spark, d):
-    return batches(spark, d).filter("batch_id = 7")
+    return vw.lookup(batches(spark, d), batch_id=7)
 
 
 @query("srt3_review_queue", f"WITH {VERDICTS} SELECT atom_id, wave FROM v WHERE classification = 'REVIEW_REQUIRED' AND NOT reviewed")
@@ -113,13 +115,13 @@ def snk10(spark, d):
 
 @query("snk15_upload_dedup", "SELECT md5(text) AS content_hash, min(doc_id) AS upload_id, count(*) AS copies FROM documents GROUP BY 1")
 def snk15(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("content_hash")).agg(F.min("doc_id").alias("upload_id"), F.count("*").alias("copies"))
+    return vw.first_uploads(table(spark, d, "documents").withColumnRenamed("doc_id", "upload_id"), "upload_id", F.md5(F.col("text").cast("binary")))
 
 
 @query("src19_pending_migrations", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
 def src19(spark, d):
-    applied = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("id")).distinct()
-    return table(spark, d, "part").selectExpr("p_partkey id", "p_name name").join(applied, "id", "left_anti").orderBy("name")
+    applied = table(spark, d, "lineitem").filter("l_quantity > 40").selectExpr("l_partkey id")
+    return vw.pending(table(spark, d, "part").selectExpr("p_partkey id", "p_name name"), applied, "id", "name")
 
 
 @query("src11_split_kb", "SELECT p_partkey AS id, CASE WHEN row_number() OVER (ORDER BY p_partkey) <= 120 THEN 'capabilities' ELSE 'docs' END AS part FROM part")
@@ -135,30 +137,27 @@ def set6(spark, d):
 
 @query("src15_collection_count", "SELECT count(*) AS n FROM embeddings")
 def src15(spark, d):
-    return table(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    return vw.collection_size(table(spark, d, "embeddings"))
 
 
 @query("jon16_compare_batches", f"""WITH {VERDICTS}, a AS (SELECT module, wave, max(classification) AS c, avg(confidence) AS s FROM v WHERE batch_id % 2 = 0 GROUP BY ALL), b AS (SELECT module, wave, max(classification) AS c, avg(confidence) AS s FROM v WHERE batch_id % 2 = 1 AND classification <> 'REVIEW_REQUIRED' GROUP BY ALL)
 SELECT module, wave, a.c AS class_a, b.c AS class_b, round(b.s - a.s, 6) AS delta FROM a JOIN b USING (module, wave) WHERE a.c <> b.c""")
 def jon16(spark, d):
     v = verdicts(spark, d)
-    side = lambda rows, c, s: rows.groupBy("module", "wave").agg(F.max("classification").alias(c), F.avg("confidence").alias(s))
-    a, b = side(v.filter("batch_id % 2 = 0"), "class_a", "sa"), side(v.filter("batch_id % 2 = 1 AND classification <> 'REVIEW_REQUIRED'"), "class_b", "sb")
-    return a.join(b, ["module", "wave"]).filter("class_a <> class_b").orderBy(F.col("sb").desc()).select("module", "wave", "class_a", "class_b", F.round(F.col("sb") - F.col("sa"), 6).alias("delta"))
+    both = vw.compare_batches(v.filter("batch_id % 2 = 0"), v.filter("batch_id % 2 = 1 AND classification <> 'REVIEW_REQUIRED'"), ["module", "wave"])
+    return both.withColumn("delta", F.round("delta", 6))
 
 
 @query("jon17_append_missing", "SELECT o_orderkey AS id, 'live' AS src FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'stored' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 <> 0")
 def jon17(spark, d):
     o = table(spark, d, "orders")
-    live = o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey id", "'live' src")
-    return live.unionByName(o.filter("o_orderkey % 5 = 0").selectExpr("o_orderkey id", "'stored' src").join(live, "id", "left_anti"))
+    return vw.append_missing(o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey id", "'live' src"), o.filter("o_orderkey % 5 = 0").selectExpr("o_orderkey id", "'stored' src"), "id")
 
 
 @query("jon18_auto_approved", f"WITH {VERDICTS} SELECT batch_id, count(*) FILTER (f) AS flagged, count(*) FILTER (NOT f) AS auto_approved FROM (SELECT batch_id, atom_id IN (SELECT atom_id FROM v WHERE confidence < 0.6) AS f FROM v) GROUP BY batch_id")
 def jon18(spark, d):
     v = verdicts(spark, d)
-    ids = v.filter("confidence < 0.6").select("atom_id")
-    held = v.join(ids, "atom_id", "left_semi").withColumn("flagged", F.lit(True)).unionByName(v.join(ids, "atom_id", "left_anti").withColumn("flagged", F.lit(False)))
+    held = vw.split_flagged(v, v.filter("confidence < 0.6"), "atom_id")
     return held.groupBy("batch_id").agg(F.count_if("flagged").alias("flagged"), F.count_if(~F.col("flagged")).alias("auto_approved"))
 
 
@@ -166,9 +165,8 @@ def jon18(spark, d):
 SELECT id, round(least(1.0, score + 0.05 * coalesce(n, 0)), 6) AS score FROM c LEFT JOIN m USING (feature)""")
 def jon22(spark, d):
     p = table(spark, d, "part")
-    docs = p.filter("p_partkey % 4 = 0").groupBy(F.col("p_brand").alias("feature")).agg(F.count("*").alias("n"))
     caps = p.selectExpr("p_partkey id", "p_brand feature", "CAST(p_size AS DOUBLE) / 100.0 score")
-    return caps.join(docs, "feature", "left").select("id", F.round(F.least(F.lit(1.0), F.col("score") + 0.05 * F.coalesce("n", F.lit(0))), 6).alias("score"))
+    return vw.feature_boost(caps, p.filter("p_partkey % 4 = 0").selectExpr("p_brand feature")).select("id", F.round("score", 6).alias("score"))
 
 
 @query("flt25_constraint_violations", f"WITH {VERDICTS} SELECT count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS confidence_range, count(*) FILTER (NOT wave >= 2) AS wave_min, count(*) FILTER (NOT length(module) > 0) AS module_set FROM v")
@@ -208,13 +206,12 @@ def flt15(spark, d):
 @query("prj5_gate_rows", f"WITH {VERDICTS} SELECT atom_id, classification, coalesce(CASE WHEN wave % 3 = 0 THEN NULL ELSE module END, '') AS top_capability, CASE WHEN wave % 3 = 0 THEN 0.0 ELSE top_score END AS top_score FROM v")
 def prj5(spark, d):
     caps = F.when(F.col("wave") % 3 == 0, F.array().cast("array<struct<name:string,score:double>>")).otherwise(F.array(F.struct(F.col("module").alias("name"), F.col("top_score").alias("score"))))
-    v = verdicts(spark, d).withColumn("top", F.get(caps, F.lit(0)))
-    return v.select("atom_id", "classification", F.coalesce("top.name", F.lit("")).alias("top_capability"), F.coalesce("top.score", F.lit(0.0)).alias("top_score"))
+    return vw.gate_rows(verdicts(spark, d), caps).select("atom_id", "classification", "top_capability", "top_score")
 
 
 @query("prj6_hit_projection", "SELECT doc_id, left(text, 512) AS excerpt, greatest(0.0, least(1.0, n_chars / 5000.0)) AS score FROM documents")
 def prj6(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 512).alias("excerpt"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_chars").cast("double") / 5000.0)).alias("score"))
+    return table(spark, d, "documents").select("doc_id", *vw.hit(F.col("text"), F.col("n_chars").cast("double") / 5000.0))
 
 
 @query("prj7_atom_journey", f"""WITH {VERDICTS}, h AS (SELECT module, count(*) AS priors FROM v WHERE classification = 'FIT' AND wave = 1 GROUP BY 1)
@@ -222,15 +219,14 @@ SELECT o_orderkey AS atom_id, coalesce(x.n, 0) AS n_results, coalesce(x.best, ''
 def prj7(spark, d):
     v = verdicts(spark, d)
     priors = v.filter("classification = 'FIT' AND wave = 1").groupBy("module").agg(F.count("*").alias("priors"))
-    side = v.join(priors, "module", "left").groupBy(F.expr("atom_id div 8").alias("atom")).agg(F.count("*").alias("n"), F.max("classification").alias("best"), F.sum("priors").alias("priors"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("atom"))
-    return o.join(side, "atom", "left").select(F.col("atom").alias("atom_id"), F.coalesce("n", F.lit(0)).alias("n_results"), F.coalesce("best", F.lit("")).alias("best_class"), F.coalesce("priors", F.lit(0)).alias("priors"))
+    atoms = table(spark, d, "orders").selectExpr("o_orderkey atom")
+    return vw.journeys(atoms, v.withColumn("atom", F.expr("atom_id div 8")), priors, "atom").withColumnRenamed("atom", "atom_id")
 
 
 @query("prj8_tolerant_json", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (props->>'k')::INT END AS k FROM events")
 def prj8(spark, d):
     raw = F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", F.from_json(raw, "k int")["k"].alias("k"))
+    return table(spark, d, "events").select("event_id", tolerant_json(raw, "k int")["k"].alias("k"))
 
 
 @query("prj12_vector_literal", "SELECT vec_id, len(embedding) AS n, '[' || array_to_string([round(x::DOUBLE * 1000)::BIGINT FOR x IN embedding], ',') || ']' AS literal FROM embeddings")
@@ -242,19 +238,18 @@ def prj12(spark, d):
 
 @query("prj13_template_line", f"WITH {VERDICTS} SELECT atom_id, format('{{}} — {{}} ({{}}%)', module, classification, round_even(confidence * 100, 0)::INT) AS line FROM v")
 def prj13(spark, d):
-    return verdicts(spark, d).select("atom_id", F.format_string("%s — %s (%d%%)", "module", "classification", F.bround(F.col("confidence") * 100).cast("int")).alias("line"))
+    return verdicts(spark, d).select("atom_id", vw.template_line(F.col("module"), F.col("classification"), F.col("confidence")).alias("line"))
 
 
 @query("prj15_flatten_interrupts", f"WITH {VERDICTS} SELECT batch_id, count(DISTINCT module) AS modules, max(atom_id) AS last_atom FROM v WHERE classification = 'GAP' GROUP BY 1")
 def prj15(spark, d):
-    v = verdicts(spark, d).filter("classification = 'GAP'")
-    return v.groupBy("batch_id").agg(F.size(F.collect_set("module")).cast("long").alias("modules"), F.max_by("atom_id", "atom_id").alias("last_atom"))
+    return vw.open_interrupts(verdicts(spark, d).filter("classification = 'GAP'"))
 
 
 @query("prj18_payload_id", "SELECT event_id, coalesce(props->>'_id', event_id::VARCHAR) AS id, len(map_keys(map_from_entries(CASE WHEN props->>'k' IS NULL THEN [] ELSE [('k', 1)] END))) AS rest FROM events")
 def prj18(spark, d):
-    m = F.from_json("props", "map<string,string>")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.element_at(m, F.lit("_id")), F.col("event_id").cast("string")).alias("id"), F.size(F.map_filter(m, lambda k, _: k != "_id")).cast("long").alias("rest"))
+    name, rest = vw.payload_id(F.from_json("props", "map<string,string>"), F.col("event_id"))
+    return table(spark, d, "events").select("event_id", name.alias("id"), F.size(rest).cast("long").alias("rest"))
 
 
 @query("dtj9_gate_number", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 BETWEEN 1 AND 4 THEN (o_orderkey % 6)::INT END AS gate FROM orders")

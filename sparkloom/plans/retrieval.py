@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scores
 from sparkloom.operators import dedup
 from sparkloom.operators import retrieval as ret
+from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -227,9 +228,7 @@ def agg18(spark, d):
 
 @query("src20_synthetic_ranking", "SELECT i AS pos, round(0.95 / pow(i + 1, 0.8), 9) AS capability, round(0.90 / pow(i + 1, 0.7), 9) AS doc, CASE WHEN i = 19 THEN 'PARTIAL_FIT' ELSE 'FIT' END AS prior FROM range(20) t(i)")
 def src20(spark, d):
-    n = 20
-    i = F.col("id")
-    return spark.range(n).select(i.alias("pos"), F.round(0.95 / F.pow(i + 1, F.lit(0.8)), 9).alias("capability"), F.round(0.90 / F.pow(i + 1, F.lit(0.7)), 9).alias("doc"), F.when(i == n - 1, "PARTIAL_FIT").otherwise("FIT").alias("prior"))
+    return vw.synthetic_ranking(spark, 20).withColumns({c: F.round(c, 9) for c in ("capability", "doc")})
 
 
 @query("mdl7_explain", f"WITH {_FUSION} SELECT atom_id, string_agg(source || ':' || id, ' > ' ORDER BY round(score, 9) DESC, source, id) AS explanation FROM fused GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as tx
 from sparkloom.operators import chunking, dedup, pii
 from sparkloom.operators import relational as rel
+from sparkloom.operators import views as vw
 from sparkloom.plans.base import query, table
 
 #: A lexicon of frequent words, so that queries over the invented prose count something.
@@ -139,14 +140,12 @@ def src6(spark, d):
 
 @query("prj2_requirement_texts", "SELECT doc_id, length(x)::BIGINT AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE length(trim(x)) >= 30")
 def prj2(spark, d):
-    lines = docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
-    return lines.filter(F.length(F.trim("x")) >= 30).select("doc_id", F.char_length("x").cast("long").alias("n"))
+    return vw.requirement_lines(docs(spark, d), "doc_id", "text").select("doc_id", F.char_length("line").cast("long").alias("n"))
 
 
 @query("prj3_atom_ids", "SELECT doc_id, pos, 'REQ-' || lpad(doc_id::VARCHAR, 8, '0') || '-' || lpad((pos - 1)::VARCHAR, 4, '0') AS atom_id FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE length(x) >= 10")
 def prj3(spark, d):
-    rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x")).filter(F.char_length("x") >= 10)
-    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.concat(F.lit("REQ-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("-"), F.lpad(F.col("p").cast("string"), 4, "0")).alias("atom_id"))
+    return vw.atom_ids(docs(spark, d), "doc_id", "text")
 
 
 @query("txt6_entity_overlap", "SELECT doc_id, round(((contains(lower(text), 'tion'))::INT + (contains(lower(text), 'eaux'))::INT + (contains(lower(text), 'ung'))::INT) / 3.0, 6) AS overlap FROM documents")
@@ -197,13 +196,12 @@ def prj9(spark, d):
 
 @query("prj4_dominant_modality", "SELECT doc_id, CASE WHEN contains(text, ' | ') THEN 'TABLE' WHEN contains(text, '@') THEN 'IMAGE' ELSE 'TEXT' END AS modality FROM documents")
 def prj4(spark, d):
-    m = F.create_map(F.lit("TABLE"), F.contains("text", F.lit(" | ")).cast("int"), F.lit("IMAGE"), F.contains("text", F.lit("@")).cast("int"))
-    return docs(spark, d).select("doc_id", F.when(F.element_at(m, F.lit("TABLE")) > 0, "TABLE").when(F.element_at(m, F.lit("IMAGE")) > 0, "IMAGE").otherwise("TEXT").alias("modality"))
+    return docs(spark, d).select("doc_id", vw.dominant_modality(F.contains("text", F.lit(" | ")).cast("int"), F.contains("text", F.lit("@")).cast("int")).alias("modality"))
 
 
 @query("agg15_text_ratio", "SELECT conv_id, round(sum(length(text)) / (count(*) * 2000.0), 6) AS ratio FROM conversations GROUP BY 1")
 def agg15(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.round(F.sum(F.char_length("text")) / (F.count("*") * 2000.0), 6).alias("ratio"))
+    return vw.text_ratio(table(spark, d, "conversations"), "conv_id", "text").withColumn("ratio", F.round("ratio", 6))
 
 
 #: Headers that the sample table names in one of three ways.
@@ -243,12 +241,8 @@ def chk2(spark, d):
 
 @query("chk5_section_change", "SELECT doc_id, pos, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM s, true) AS changed FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, left(unnest(string_split(text, chr(10))), 1) AS s FROM documents)")
 def chk5(spark, d):
-    from pyspark.sql import Window
-
     rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.array(F.left("x", F.lit(1))).alias("path"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    before = F.lag(F.struct(F.get("path", F.lit(0)).alias("h"))).over(w)
-    return rows.select("doc_id", "pos", (before.isNull() | ~F.get("path", F.lit(0)).eqNullSafe(before["h"])).alias("changed"))
+    return vw.section_changes(rows, "doc_id", "pos", "path").drop("path")
 
 
 @query("src8_section_paths", "SELECT doc_id, pos, last_value(CASE WHEN length(x) < 20 THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS x FROM documents)")
@@ -259,24 +253,19 @@ def src8(spark, d):
 
 @query("win8_char_offset", "SELECT doc_id, pos, (sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS char_offset FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS x FROM documents)")
 def win8(spark, d):
-    from pyspark.sql import Window
-
-    rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x"))
-    w = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.sum(F.char_length("x") + 1).over(w).alias("char_offset"))
+    rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "x")
+    return vw.char_offsets(rows, "doc_id", "pos", "x").drop("x")
 
 
 @query("agg13_modality_shares", "SELECT conv_id, role, round(sum(length(text)) / sum(sum(length(text))) OVER (PARTITION BY conv_id), 6) AS share FROM conversations GROUP BY 1, 2")
 def agg13(spark, d):
-    from pyspark.sql import Window
-
-    g = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.sum(F.char_length("text")).alias("n"))
-    return g.select("conv_id", "role", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("conv_id")), 6).alias("share"))
+    return vw.modality_shares(table(spark, d, "conversations"), "conv_id", "role", F.char_length("text")).withColumn("share", F.round("share", 6))
 
 
 @query("agg14_chunk_rollup", "SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles, count(*) AS n FROM conversations GROUP BY 1")
 def agg14(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("n"))
+    r = vw.rollup(table(spark, d, "conversations"), "conv_id", "turn", "role")
+    return r.select("conv_id", F.col("first").alias("first_turn"), F.col("last").alias("last_turn"), F.array_join("labels", ",").alias("roles"), "n")
 
 
 @query("win11_batches_of_ten", "SELECT conv_id, batch, count(*) AS n, min(turn) AS first_turn FROM (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS batch FROM conversations) GROUP BY conv_id, batch")
