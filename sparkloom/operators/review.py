@@ -67,3 +67,61 @@ def steps_of(classification: Column, given: Column, text: Column) -> Column:
     """Steps of a PARTIAL_FIT: the list, else the parsed text, else null (DTJ10)."""
     parsed = config_steps(text)
     return F.when(classification == "PARTIAL_FIT", F.when(F.coalesce(F.size(given), F.lit(0)) > 0, given).when(F.size(parsed) > 0, parsed))
+
+
+def _is(*classes: str) -> Column:
+    return F.col("classification").isin(*classes)
+
+
+def module_breakdown(verdicts: DataFrame) -> DataFrame:
+    """module, fit, partial, gap; what needs review counts nowhere (AGG2)."""
+    return writable(verdicts).groupBy("module").agg(F.count_if(_is("FIT")).alias("fit"), F.count_if(_is("PARTIAL_FIT")).alias("partial"), F.count_if(_is("GAP")).alias("gap"))
+
+
+def phase_counts(verdicts: DataFrame, by: str = "batch_id") -> DataFrame:
+    """by, flagged (needs review), validated (AGG6)."""
+    return verdicts.groupBy(by).agg(F.count_if(_is("REVIEW_REQUIRED")).alias("flagged"), F.count_if(~_is("REVIEW_REQUIRED")).alias("validated"))
+
+
+def remaining_reviews(verdicts: DataFrame, by: str = "batch_id") -> DataFrame:
+    """by, remaining (AGG11)."""
+    return verdicts.filter(_is("REVIEW_REQUIRED")).groupBy(by).agg(F.count_if(~F.col("reviewed")).alias("remaining"))
+
+
+def smoke_summary(verdicts: DataFrame, n_lines: int, by: str = "batch_id") -> DataFrame:
+    """by, deduped: lines that are neither results nor up for review, 0 at least (AGG19)."""
+    return verdicts.groupBy(by).agg(F.greatest(F.lit(0).cast("long"), F.lit(n_lines) - F.count("*") - F.count_if(_is("REVIEW_REQUIRED"))).alias("deduped"))
+
+
+def wave_totals(verdicts: DataFrame) -> DataFrame:
+    """wave, total, fit, gap in order (AGG20)."""
+    return verdicts.groupBy("wave").agg(F.count("*").alias("total"), F.count_if(_is("FIT")).alias("fit"), F.count_if(_is("GAP")).alias("gap")).orderBy("wave")
+
+
+def distribution(verdicts: DataFrame) -> DataFrame:
+    """classification, pct of all; classes that don't occur have no row (AGG24)."""
+    n = verdicts.groupBy("classification").agg(F.count("*").alias("__n"))
+    return n.crossJoin(n.agg(F.sum("__n").alias("__all"))).select("classification", (100.0 * F.col("__n") / F.col("__all")).alias("pct"))  # the right side is one row
+
+
+def deltas(verdicts: DataFrame, second: Column) -> DataFrame:
+    """fit_delta, gap_delta and confidence_delta from the rows that aren't `second` to those that are (AGG25)."""
+    n = lambda c: F.count_if(second & _is(c)) - F.count_if(~second & _is(c))
+    mean = lambda side: F.avg(F.when(side, F.col("confidence")))
+    return verdicts.agg(n("FIT").alias("fit_delta"), n("GAP").alias("gap_delta"), (mean(second) - mean(~second)).alias("confidence_delta"))
+
+
+def tab_counts(rows: DataFrame) -> DataFrame:
+    """tab, n: for each class and ALL (AGG27)."""
+    return rows.rollup("classification").agg(F.count("*").alias("n")).select(F.coalesce("classification", F.lit("ALL")).alias("tab"), "n")
+
+
+def fit_trend(verdicts: DataFrame, last: int = 10) -> DataFrame:
+    """batch_id, fit_share of the last batches by wave (AGG31)."""
+    b = verdicts.groupBy("batch_id").agg(F.min("wave").alias("wave"), F.count_if(_is("FIT")).alias("fit"), F.count_if(~_is("REVIEW_REQUIRED")).alias("total"))
+    return b.orderBy(F.col("wave").desc(), F.col("batch_id").desc()).limit(last).select("batch_id", F.when(F.col("total") > 0, F.col("fit") / F.col("total")).otherwise(0.0).alias("fit_share"))
+
+
+def review_queue(verdicts: DataFrame, *order: str) -> DataFrame:
+    """What waits for review, oldest first (SRT3)."""
+    return verdicts.filter(_is("REVIEW_REQUIRED") & ~F.col("reviewed")).orderBy(*order)

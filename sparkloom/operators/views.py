@@ -153,3 +153,93 @@ def section_changes(rows: DataFrame, key: str, order: str, path: str) -> DataFra
     """Adds changed: the first element of the path is another than the row's before; the first row is a change (CHK5)."""
     before = F.lag(F.struct(F.get(path, F.lit(0)).alias("h"))).over(Window.partitionBy(key).orderBy(order))
     return rows.withColumn("changed", before.isNull() | ~F.get(path, F.lit(0)).eqNullSafe(before["h"]))
+
+
+def positions(rows: DataFrame, by: list[str], *order: Column | str, name: str = "pos") -> DataFrame:
+    """Adds the place of each row in its group, from 1 (SRT7, SRT8, SRT9)."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def newest(rows: DataFrame, at: str, tie: str, size: int) -> DataFrame:
+    """The first page, newest first (SRT11)."""
+    return rows.orderBy(F.col(at).desc(), tie).limit(size)
+
+
+def slice_of(rows: DataFrame, order: list[Column | str], offset: int, size: int) -> DataFrame:
+    """A page in the given order (SRT13)."""
+    return rows.orderBy(*order).offset(offset).limit(size)
+
+
+def sizes_of(rows: DataFrame, key: str, last: str | None = None) -> DataFrame:
+    """key, n and, if named, the largest value of a column, for the values of key that aren't blank (AGG9, AGG28)."""
+    more = [F.max(last).alias("last")] if last else []
+    return rows.filter(F.col(key) != "").groupBy(key).agg(F.count("*").alias("n"), *more)
+
+
+def values_of(rows: DataFrame, key: str) -> DataFrame:
+    """The values of a column in order (AGG10)."""
+    return rows.select(key).distinct().orderBy(key)
+
+
+def common_values(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The values that both sides have (SET6)."""
+    return a.select(key).intersect(b.select(key))
+
+
+def with_file_names(batches: DataFrame, uploads: DataFrame, key: str = "upload_id") -> DataFrame:
+    """batches with the file name of their upload, '' without one (JON1)."""
+    return batches.join(uploads.select(key, "filename"), key, "left").withColumn("filename", F.coalesce("filename", F.lit("")))
+
+
+def beside(rows: DataFrame, other: DataFrame, key: str, *columns: str) -> DataFrame:
+    """rows with columns of what the other side has under their key, null where it has nothing (JON2, JON7)."""
+    return rows.join(other.select(key, *columns), key, "left")
+
+
+def prior_counts(rows: DataFrame, priors: DataFrame, by: str) -> DataFrame:
+    """Adds n_priors: how many priors have the row's value (JON4)."""
+    n = priors.groupBy(by).agg(F.count("*").alias("n_priors"))
+    return rows.join(n, by, "left").withColumn("n_priors", F.coalesce("n_priors", F.lit(0)))
+
+
+def citations(refs: DataFrame, meta: DataFrame, key: str, cut: int = 500) -> DataFrame:
+    """refs with source_ref and an excerpt of what they cite, '' where it is unknown. meta: key, source, text (JON14)."""
+    known = meta.select(key, F.col("source").alias("source_ref"), F.substring("text", 1, cut).alias("excerpt"))
+    return refs.join(known, key, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_ref", "excerpt")})
+
+
+def reference_counts(rows: DataFrame, refs: DataFrame, key: str, name: str = "n_artifacts") -> DataFrame:
+    """Adds how many references each row has (JON15)."""
+    return rows.join(refs.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def not_shown(rows: DataFrame, by: str, item: str, shown: Column) -> DataFrame:
+    """by, left_over: the items of a group of which no row is shown, in order (JON20)."""
+    lists = rows.groupBy(by).agg(F.collect_set(item).alias("__every"), F.collect_set(F.when(shown, F.col(item))).alias("__shown"))
+    return lists.select(by, F.array_sort(F.array_except("__every", "__shown")).alias("left_over"))
+
+
+def usable_priors(rows: DataFrame, vector: str = "embedding", **equal) -> DataFrame:
+    """Rows with a vector, and with the given values (FLT4)."""
+    return lookup(rows.filter(F.col(vector).isNotNull()), **equal)
+
+
+def undecided(rows: DataFrame, decided: DataFrame, key: str, reviewed: str = "reviewed") -> DataFrame:
+    """Rows that are not reviewed and not decided in this session (FLT19)."""
+    return rows.filter(~F.col(reviewed)).join(decided.select(key).distinct(), key, "left_anti")
+
+
+def in_status(rows: DataFrame, *statuses: str) -> DataFrame:
+    """(FLT21, FLT23)"""
+    return rows.filter(F.col("status").isin(*statuses))
+
+
+def input_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line: the lines that are neither blank nor comments (FLT22)."""
+    lines = rows.select(key, F.explode(F.split(F.col(text), "\n")).alias("__x")).select(key, F.trim("__x").alias("line"))
+    return lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+
+
+def happening(rows: DataFrame, by: str, condition: Column) -> DataFrame:
+    """by, n: how many rows meet the condition, where any does (FLT24)."""
+    return rows.groupBy(by).agg(F.count_if(condition).alias("n")).filter("n > 0")

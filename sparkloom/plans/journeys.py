@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
 from sparkloom.functions import text as tx
+from sparkloom.functions import values as va
 from sparkloom.operators import pipelines as pipe
 from sparkloom.operators import relational as rel
 from sparkloom.operators import retrieval as ret
@@ -20,14 +21,14 @@ from sparkloom.plans.retrieval import hits, knn_sql
 @query("jon2_atom_views", f"WITH {VERDICTS}, a AS (SELECT o_orderkey AS atom, o_orderpriority AS country FROM orders) SELECT atom_id, country, classification FROM v LEFT JOIN a ON a.atom = atom_id // 8")
 def jon2(spark, d):
     a = table(spark, d, "orders").selectExpr("o_orderkey atom", "o_orderpriority country")
-    return verdicts(spark, d).withColumn("atom", F.expr("atom_id div 8")).join(a, "atom", "left").select("atom_id", "country", "classification")
+    return vw.beside(verdicts(spark, d).withColumn("atom", F.expr("atom_id div 8")), a, "atom", "country").select("atom_id", "country", "classification")
 
 
 @query("jon7_results_with_journey", f"WITH {VERDICTS} SELECT v.atom_id, v.module, j.n AS journey_steps FROM v LEFT JOIN (SELECT atom_id, count(*) AS n FROM v WHERE wave <= 2 GROUP BY 1) j USING (atom_id)")
 def jon7(spark, d):
     v = verdicts(spark, d)
-    j = v.filter("wave <= 2").groupBy("atom_id").agg(F.count("*").alias("journey_steps"))
-    return v.join(j, "atom_id", "left").select("atom_id", "module", "journey_steps")
+    steps = v.filter("wave <= 2").groupBy("atom_id").agg(F.count("*").alias("journey_steps"))
+    return vw.beside(v, steps, "atom_id", "journey_steps").select("atom_id", "module", "journey_steps")
 
 
 @query("jon13_reranked_payload", f"WITH {knn_sql(8)} SELECT query_id, h.id, e.label, h.rank FROM hits h JOIN embeddings e ON e.vec_id = h.id WHERE h.rank <= 5")
@@ -38,32 +39,32 @@ def jon13(spark, d):
 
 @query("jon14_citations", "SELECT c.conv_id, c.turn, coalesce(d.source, '') AS source_ref, CASE WHEN d.text IS NULL THEN '' ELSE left(d.text, 500) END AS excerpt FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id")
 def jon14(spark, d):
-    meta = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "source", F.substring("text", 1, 500).alias("excerpt"))
-    return table(spark, d, "conversations").select("conv_id", "turn").join(meta, "conv_id", "left").select("conv_id", "turn", F.coalesce("source", F.lit("")).alias("source_ref"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+    meta = table(spark, d, "documents").withColumnRenamed("doc_id", "conv_id")
+    return vw.citations(table(spark, d, "conversations").select("conv_id", "turn"), meta, "conv_id")
 
 
 @query("jon15_artifact_refs", "SELECT page_id, coalesce(n, 0) AS n_artifacts FROM pages LEFT JOIN (SELECT event_id % 100 AS page_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) USING (page_id)")
 def jon15(spark, d):
-    refs = table(spark, d, "events").filter("event_type = 'click'").groupBy((F.col("event_id") % 100).alias("page_id")).agg(F.collect_list("event_id").alias("refs"))
-    return table(spark, d, "pages").select("page_id").join(refs, "page_id", "left").select("page_id", F.size(F.coalesce("refs", F.array().cast("array<bigint>"))).cast("long").alias("n_artifacts"))
+    refs = table(spark, d, "events").filter("event_type = 'click'").selectExpr("event_id % 100 page_id")
+    return vw.reference_counts(table(spark, d, "pages").select("page_id"), refs, "page_id")
 
 
 @query("jon20_unshown_artifacts", "SELECT conv_id, array_to_string(list_sort([x FOR x IN list(DISTINCT turn) IF x % 2 = 1]), ',') AS left_over FROM conversations GROUP BY 1")
 def jon20(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("turn").alias("every"), F.collect_set(F.when(F.col("turn") % 2 == 0, F.col("turn"))).alias("cited"))
-    return c.select("conv_id", F.array_join(F.array_sort(F.array_except("every", "cited")).cast("array<string>"), ",").alias("left_over"))
+    left = vw.not_shown(table(spark, d, "conversations"), "conv_id", "turn", F.col("turn") % 2 == 0)
+    return left.select("conv_id", F.array_join(F.col("left_over").cast("array<string>"), ",").alias("left_over"))
 
 
 @query("set3_set4_ordered_union", "SELECT conv_id, array_to_string(list_sort(list_distinct(list(role))), '|') AS roles FROM conversations GROUP BY 1")
 def set3(spark, d):
     c = table(spark, d, "conversations")
     ends = c.groupBy("conv_id").agg(F.collect_list(F.when(F.col("turn") < 2, F.col("role"))).alias("a"), F.collect_list(F.when(F.col("turn") >= 2, F.col("role"))).alias("b"))
-    return ends.select("conv_id", F.array_join(F.array_sort(F.array_distinct(F.concat("a", "b"))), "|").alias("roles"))
+    return ends.select("conv_id", F.array_join(F.array_sort(va.merged(F.col("a"), F.col("b"))), "|").alias("roles"))
 
 
 @query("set5_titles_or_features", "SELECT p_partkey AS id, len(list_distinct([p_brand, p_type, p_brand]))::INT AS n FROM part")
 def set5(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(F.array_union(F.array("p_brand", "p_type"), F.array("p_brand"))).alias("n"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(va.merged(F.array("p_brand", "p_type"), F.array("p_brand"))).alias("n"))
 
 
 @query("win1_source_ranks", f"WITH {knn_sql(20)} SELECT query_id, h.id, e.label AS source, row_number() OVER (PARTITION BY query_id, e.label ORDER BY h.rank) AS rank FROM hits h JOIN embeddings e ON e.vec_id = h.id")
@@ -74,19 +75,18 @@ def win1(spark, d):
 
 @query("srt7_fused_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, role, turn) AS pos FROM conversations")
 def srt7(spark, d):
-    w = Window.partitionBy("conv_id").orderBy(F.char_length("text").desc(), "role", "turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("pos"))
+    return vw.positions(table(spark, d, "conversations"), ["conv_id"], F.char_length("text").desc(), "role", "turn").select("conv_id", "turn", F.col("pos").cast("long").alias("pos"))
 
 
 @query("srt9_chunk_order", "SELECT page_id, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id % 7, page_id) AS pos FROM pages")
 def srt9(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.array((F.col("page_id") % 7)).alias("section_path"))
-    return p.select("page_id", F.row_number().over(Window.partitionBy(F.expr("page_id div 20")).orderBy("section_path", "page_id")).cast("long").alias("pos"))
+    p = table(spark, d, "pages").select("page_id", F.array((F.col("page_id") % 7)).alias("section_path"), F.expr("page_id div 20").alias("doc"))
+    return vw.positions(p, ["doc"], "section_path", "page_id").select("page_id", F.col("pos").cast("long").alias("pos"))
 
 
 @query("srt13_page_slice", "SELECT p_partkey AS id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 30")
 def srt13(spark, d):
-    return table(spark, d, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").offset(30).limit(10).select(F.col("p_partkey").alias("id"))
+    return vw.slice_of(table(spark, d, "part"), [F.col("p_retailprice").desc(), "p_partkey"], 30, 10).select(F.col("p_partkey").alias("id"))
 
 
 @query("srt14_slices", f"WITH {knn_sql(10)} SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 5) AS top5, string_agg(id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3) AS top3 FROM hits GROUP BY 1")
@@ -110,7 +110,7 @@ def mdl6(spark, d):
 @query("flt4_usable_priors", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 9 <> 0 GROUP BY 1")
 def flt4(spark, d):
     e = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 9 != 0, F.col("embedding")))
-    return e.filter(F.col("embedding").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
+    return vw.usable_priors(e).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("flt20_atoms_with_pii", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(coalesce(text, ''), '{p}')" for _, p in tx.PII_PATTERNS))
@@ -121,12 +121,12 @@ def flt20(spark, d):
 
 @query("flt23_journey_statuses", f"WITH {BATCHES} SELECT batch_id FROM b WHERE status IN ('F', 'P')")
 def flt23(spark, d):
-    return batches(spark, d).filter(F.col("status").isin("F", "P")).select("batch_id")
+    return vw.in_status(batches(spark, d), "F", "P").select("batch_id")
 
 
 @query("flt24_reasons_above_zero", "SELECT event_type AS reason, count(*) FILTER (value > 90) AS n FROM events GROUP BY 1 HAVING count(*) FILTER (value > 90) > 0")
 def flt24(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count_if(F.col("value") > 90).alias("n")).filter("n > 0")
+    return vw.happening(table(spark, d, "events").withColumnRenamed("event_type", "reason"), "reason", F.col("value") > 90)
 
 
 @query("prj10_kb_items", "SELECT p_partkey AS id, p_brand AS module, p_name AS title FROM part")
@@ -146,18 +146,18 @@ def prj17(spark, d):
 
 @query("dtj2_json_round_trip", "SELECT doc_id, source, n_chars FROM documents")
 def dtj2(spark, d):
-    packed = table(spark, d, "documents").select("doc_id", F.to_json(F.struct("source", "n_chars")).alias("j"))
-    return packed.select("doc_id", F.from_json("j", "source string, n_chars bigint").alias("x")).select("doc_id", "x.source", "x.n_chars")
+    packed = table(spark, d, "documents").select("doc_id", va.packed("source", "n_chars").alias("j"))
+    return packed.select("doc_id", tx.tolerant_json(F.col("j"), "source string, n_chars bigint").alias("x")).select("doc_id", "x.source", "x.n_chars")
 
 
 @query("dtj12_review_required", f"WITH {VERDICTS} SELECT atom_id, 'REVIEW_REQUIRED' AS classification, 0.0::DOUBLE AS confidence FROM v")
 def dtj12(spark, d):
-    return verdicts(spark, d).select("atom_id", F.lit("REVIEW_REQUIRED").alias("classification"), F.lit(0.0).alias("confidence"))
+    return verdicts(spark, d).select("atom_id", *va.review_required())
 
 
 @query("txt20_module_or_default", "SELECT p_partkey AS id, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_brand ELSE 'default' END AS module FROM part")
 def txt20(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.col("p_brand")).otherwise("default").alias("module"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), va.known_module(F.col("p_brand"), ["Brand#1", "Brand#2"], "default").alias("module"))
 
 
 @query("mth4_sigmoid", "SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS s FROM events")

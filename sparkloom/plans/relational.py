@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
+from sparkloom.functions import values as va
 from sparkloom.functions.text import tolerant_json
 from sparkloom.operators import relational as rel
+from sparkloom.operators import review as rv
 from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 
@@ -24,7 +26,7 @@ def uploads(spark, d):
 
 @query("jon1_batches_with_uploads", f"WITH {BATCHES} SELECT b.batch_id, b.upload_id, b.status, coalesce(u.c_name, '') AS filename FROM b LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) u ON u.c_custkey = b.upload_id")
 def jon1(spark, d):
-    return batches(spark, d).join(uploads(spark, d), "upload_id", "left").select("batch_id", "upload_id", "status", F.coalesce("filename", F.lit("")).alias("filename"))
+    return vw.with_file_names(batches(spark, d), uploads(spark, d)).select("batch_id", "upload_id", "status", "filename")
 
 
 @query("flt1_batches_by_optional_filters", f"WITH {BATCHES} SELECT batch_id, status, country FROM b WHERE status = 'F' AND country = '1-URGENT'")
@@ -55,7 +57,7 @@ def src13(spark, d):
 
 @query("srt3_review_queue", f"WITH {VERDICTS} SELECT atom_id, wave FROM v WHERE classification = 'REVIEW_REQUIRED' AND NOT reviewed")
 def srt3(spark, d):
-    return verdicts(spark, d).filter((F.col("classification") == "REVIEW_REQUIRED") & ~F.col("reviewed")).orderBy("wave", "atom_id").select("atom_id", "wave")
+    return rv.review_queue(verdicts(spark, d), "wave", "atom_id").select("atom_id", "wave")
 
 
 @query("jon6_decision_overlay", """SELECT o_orderkey AS atom_id, CASE WHEN d.o_orderkey IS NOT NULL THEN d.status ELSE o.o_orderstatus END AS status, CASE WHEN d.o_orderkey IS NOT NULL THEN d.prio ELSE o.o_orderpriority END AS reviewer
@@ -132,7 +134,7 @@ def src11(spark, d):
 @query("set6_module_overlap", "SELECT DISTINCT p_brand AS module FROM part WHERE p_partkey <= 120 INTERSECT SELECT p_brand FROM part WHERE p_partkey > 120")
 def set6(spark, d):
     p = table(spark, d, "part").selectExpr("p_brand module", "p_partkey")
-    return p.filter("p_partkey <= 120").select("module").intersect(p.filter("p_partkey > 120").select("module"))
+    return vw.common_values(p.filter("p_partkey <= 120"), p.filter("p_partkey > 120"), "module")
 
 
 @query("src15_collection_count", "SELECT count(*) AS n FROM embeddings")
@@ -188,13 +190,12 @@ def flt18(spark, d):
 @query("flt19_pending", f"WITH {VERDICTS} SELECT batch_id, count(*) AS pending FROM v WHERE NOT reviewed AND atom_id % 3 <> 0 GROUP BY 1")
 def flt19(spark, d):
     v = verdicts(spark, d)
-    decided = v.filter("atom_id % 3 = 0").select("atom_id")
-    return v.filter(~F.col("reviewed")).join(decided, "atom_id", "left_anti").groupBy("batch_id").agg(F.count("*").alias("pending"))
+    return vw.undecided(v, v.filter("atom_id % 3 = 0"), "atom_id").groupBy("batch_id").agg(F.count("*").alias("pending"))
 
 
 @query("flt21_batches_by_status", f"WITH {BATCHES} SELECT status, count(*) AS n FROM b WHERE status IN ('F', 'O') GROUP BY 1")
 def flt21(spark, d):
-    return batches(spark, d).filter(F.col("status").isin("F", "O")).groupBy("status").agg(F.count("*").alias("n"))
+    return vw.in_status(batches(spark, d), "F", "O").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("flt15_known_overrides", "SELECT event_id, (props->>'k')::INT AS k FROM events WHERE (props->>'k') IS NOT NULL")
@@ -255,26 +256,24 @@ def prj18(spark, d):
 @query("dtj9_gate_number", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 BETWEEN 1 AND 4 THEN (o_orderkey % 6)::INT END AS gate FROM orders")
 def dtj9(spark, d):
     name = F.when(F.col("o_orderkey") % 6 == 5, F.lit("review")).otherwise(F.concat(F.lit("gate_"), (F.col("o_orderkey") % 6).cast("string")))
-    gate = F.regexp_extract(name, r"^gate_(\d+)$", 1).try_cast("int")
-    return table(spark, d, "orders").select("o_orderkey", F.when(gate.between(1, 4), gate).alias("gate"))
+    return table(spark, d, "orders").select("o_orderkey", va.gate_number(name).alias("gate"))
 
 
 @query("dtj8_override", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 <> 0 THEN o_orderpriority END AS classification FROM orders")
 def dtj8(spark, d):
-    chosen = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority"))
-    over = F.when((F.col("o_orderstatus") == "O") & chosen.isNotNull(), F.struct(chosen.alias("classification")))
+    decision = F.when(F.col("o_orderstatus") == "O", "OVERRIDE").otherwise("APPROVE")
+    over = va.override(decision, F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")))
     return table(spark, d, "orders").select("o_orderkey", over["classification"].alias("classification"))
 
 
 @query("dtj1_timestamps", "SELECT event_id, floor(epoch(ts))::BIGINT AS epoch, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
 def dtj1(spark, d):
-    ts = F.col("ts").cast("timestamp")
-    return table(spark, d, "events").select("event_id", F.unix_timestamp(ts).alias("epoch"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+    return table(spark, d, "events").select("event_id", va.epoch(F.col("ts")).alias("epoch"), va.iso(F.col("ts")).alias("iso"))
 
 
 @query("dtj5_content_hash", "SELECT doc_id, left(sha256(text), 16) AS element_id, left(sha256(source || text), 24) AS chunk_id FROM documents")
 def dtj5(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.left(F.sha2("text", 256), F.lit(16)).alias("element_id"), F.left(F.sha2(F.concat("source", "text"), 256), F.lit(24)).alias("chunk_id"))
+    return table(spark, d, "documents").select("doc_id", va.content_id(F.col("text")).alias("element_id"), va.content_id(F.col("source"), F.col("text"), length=24).alias("chunk_id"))
 
 
 @query("dtj6_uuid5")
@@ -300,4 +299,4 @@ def set2(spark, d):
 
 @query("srt11_index_newest_first", f"WITH {BATCHES} SELECT batch_id, floor(epoch(created_at))::BIGINT AS at FROM b ORDER BY created_at DESC, batch_id LIMIT 50")
 def srt11(spark, d):
-    return batches(spark, d).orderBy(F.col("created_at").desc(), "batch_id").limit(50).select("batch_id", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("at"))
+    return vw.newest(batches(spark, d), "created_at", "batch_id", 50).select("batch_id", va.epoch(F.col("created_at")).alias("at"))

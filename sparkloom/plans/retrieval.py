@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
+from sparkloom.functions import values as va
 from sparkloom.operators import dedup
 from sparkloom.operators import retrieval as ret
 from sparkloom.operators import views as vw
@@ -178,7 +179,8 @@ def flt13(spark, d):
 
 @query("srt8_composite_order", f"WITH {VERDICTS} SELECT batch_id, atom_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY top_score DESC, atom_id) AS rank FROM v) WHERE rank <= 10")
 def srt8(spark, d):
-    return verdicts(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.col("top_score").desc(), "atom_id")).cast("long")).filter("rank <= 10").select("batch_id", "atom_id", "rank")
+    ranked = vw.positions(verdicts(spark, d), ["batch_id"], F.col("top_score").desc(), "atom_id", name="rank")
+    return ranked.filter("rank <= 10").select("batch_id", "atom_id", F.col("rank").cast("long").alias("rank"))
 
 
 _PAIRS = f"""p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
@@ -202,7 +204,7 @@ def ded4(spark, d):
 
 @query("ded6_distinct_texts", "SELECT min(doc_id) AS first_doc, md5(text) AS h FROM documents GROUP BY 2")
 def ded6(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("first_doc")).select("first_doc", "h")
+    return vw.first_uploads(table(spark, d, "documents").withColumnRenamed("doc_id", "first_doc"), "first_doc", F.md5("text")).select("first_doc", F.col("content_hash").alias("h"))
 
 
 _NDCG = "sum(CASE WHEN rank <= 5 THEN score / (1 + log2(rank)) END) / (SELECT sum(1 / (1 + log2(i))) FROM range(1, 6) t(i))"
@@ -222,8 +224,8 @@ SELECT round(old, 6) AS old, round(new, 6) AS new, round(new - old, 6) AS delta,
 def agg18(spark, d):
     r = table(spark, d, "conversations").select((F.col("turn") % 2).alias("side"), ((F.char_length("text") % 100) / 100.0).alias("s"))
     a = r.agg(F.avg(F.when(F.col("side") == 0, F.col("s"))).alias("old"), F.avg(F.when(F.col("side") == 1, F.col("s"))).alias("new"))
-    diff = F.col("new") - F.col("old")
-    return a.select(F.round("old", 6).alias("old"), F.round("new", 6).alias("new"), F.round(diff, 6).alias("delta"), F.round(F.when(F.col("old") > 0, 100 * diff / F.col("old")).otherwise(0.0), 4).alias("pct"))
+    out = a.select("old", "new", *va.change(F.col("old"), F.col("new")))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("old", "new", "delta")), F.round("pct", 4).alias("pct"))
 
 
 @query("src20_synthetic_ranking", "SELECT i AS pos, round(0.95 / pow(i + 1, 0.8), 9) AS capability, round(0.90 / pow(i + 1, 0.7), 9) AS doc, CASE WHEN i = 19 THEN 'PARTIAL_FIT' ELSE 'FIT' END AS prior FROM range(20) t(i)")

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
+from sparkloom.functions import values as va
 from sparkloom.functions.text import review_reason
 from sparkloom.operators import review as rv
+from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, counts, query, table, verdicts
 
 
@@ -19,8 +21,7 @@ def agg1(spark, d):
 
 @query("agg2_module_breakdown", f"WITH {VERDICTS} SELECT module, count(*) FILTER (classification = 'FIT') AS fit, count(*) FILTER (classification = 'PARTIAL_FIT') AS partial, count(*) FILTER (classification = 'GAP') AS gap FROM v WHERE classification <> 'REVIEW_REQUIRED' GROUP BY 1")
 def agg2(spark, d):
-    v = verdicts(spark, d).filter(F.col("classification") != "REVIEW_REQUIRED")
-    return v.groupBy("module").agg(*counts(fit=F.col("classification") == "FIT", partial=F.col("classification") == "PARTIAL_FIT", gap=F.col("classification") == "GAP"))
+    return rv.module_breakdown(verdicts(spark, d))
 
 
 _FLAGS = """f AS (SELECT *, [x FOR x IN [CASE WHEN classification = 'GAP' AND confidence > 0.85 THEN 'high_confidence_gap' END, CASE WHEN classification = 'FIT' AND top_score < 0.6 THEN 'low_score_fit' END,
@@ -54,7 +55,7 @@ def agg4(spark, d):
 
 @query("agg6_phase4_counts", f"WITH {VERDICTS} SELECT batch_id, count(*) FILTER (classification = 'REVIEW_REQUIRED') AS flagged, count(*) FILTER (classification <> 'REVIEW_REQUIRED') AS validated FROM v GROUP BY 1")
 def agg6(spark, d):
-    return verdicts(spark, d).groupBy("batch_id").agg(*counts(flagged=F.col("classification") == "REVIEW_REQUIRED", validated=F.col("classification") != "REVIEW_REQUIRED"))
+    return rv.phase_counts(verdicts(spark, d))
 
 
 @query("agg8_majority_vote", f"""WITH {VERDICTS}, t AS (SELECT atom_id // 8 AS atom, wave AS call_no, classification FROM v WHERE wave <= 3 AND quantity > 5), c AS (SELECT atom, classification, count(*) AS n, min(call_no) AS first_call FROM t GROUP BY 1, 2),
@@ -90,17 +91,17 @@ def snk6(spark, d):
 
 @query("agg9_kb_modules", "SELECT p_brand AS module, count(*) AS n FROM part WHERE p_brand <> '' GROUP BY 1")
 def agg9(spark, d):
-    return table(spark, d, "part").filter("p_brand <> ''").groupBy(F.col("p_brand").alias("module")).agg(F.count("*").alias("n"))
+    return vw.sizes_of(table(spark, d, "part").withColumnRenamed("p_brand", "module"), "module")
 
 
 @query("agg10_modules_sorted", "SELECT DISTINCT p_brand AS module FROM part")
 def agg10(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("module")).distinct().orderBy("module")
+    return vw.values_of(table(spark, d, "part").withColumnRenamed("p_brand", "module"), "module")
 
 
 @query("agg11_remaining_reviews", f"WITH {VERDICTS} SELECT batch_id, count(*) FILTER (NOT reviewed) AS remaining FROM v WHERE classification = 'REVIEW_REQUIRED' GROUP BY 1")
 def agg11(spark, d):
-    return verdicts(spark, d).filter(F.col("classification") == "REVIEW_REQUIRED").groupBy("batch_id").agg(*counts(remaining=~F.col("reviewed")))
+    return rv.remaining_reviews(verdicts(spark, d))
 
 
 @query("agg12_reasons_on_reconnect", f"WITH {VERDICTS}, {_FLAGS} SELECT batch_id, coalesce(reason, 'low_confidence') AS reason, count(*) AS n FROM r WHERE classification = 'REVIEW_REQUIRED' GROUP BY 1, 2")
@@ -110,12 +111,12 @@ def agg12(spark, d):
 
 @query("agg19_smoke_summary", f"WITH {VERDICTS} SELECT batch_id, greatest(0, 700 - count(*) - count(*) FILTER (classification = 'REVIEW_REQUIRED')) AS deduped FROM v GROUP BY 1")
 def agg19(spark, d):
-    return verdicts(spark, d).groupBy("batch_id").agg(F.greatest(F.lit(0).cast("long"), F.lit(700) - F.count("*") - F.count_if(F.col("classification") == "REVIEW_REQUIRED")).alias("deduped"))
+    return rv.smoke_summary(verdicts(spark, d), 700)
 
 
 @query("agg20_wave_totals", f"WITH {VERDICTS} SELECT wave, count(*) AS total, count(*) FILTER (classification = 'FIT') AS fit, count(*) FILTER (classification = 'GAP') AS gap FROM v GROUP BY 1")
 def agg20(spark, d):
-    return verdicts(spark, d).groupBy("wave").agg(F.count("*").alias("total"), *counts(fit=F.col("classification") == "FIT", gap=F.col("classification") == "GAP")).orderBy("wave")
+    return rv.wave_totals(verdicts(spark, d))
 
 
 @query("agg21_overall_rates", f"WITH {VERDICTS} SELECT CASE WHEN count(*) = 0 THEN 0 ELSE floor(100.0::DOUBLE * count(*) FILTER (classification = 'FIT') / count(*) + 0.5)::BIGINT END AS fit_rate, CASE WHEN count(*) = 0 THEN 0 ELSE floor(100.0::DOUBLE * count(*) FILTER (classification = 'GAP') / count(*) + 0.5)::BIGINT END AS gap_rate FROM v")
@@ -138,31 +139,27 @@ def agg23(spark, d):
 
 @query("agg24_distribution", f"WITH {VERDICTS} SELECT classification, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM v), 4) AS pct FROM v GROUP BY 1")
 def agg24(spark, d):
-    g = verdicts(spark, d).groupBy("classification").agg(F.count("*").alias("n"))
-    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4)).filter("n > 0").select("classification", "pct")
+    return rv.distribution(verdicts(spark, d)).withColumn("pct", F.round("pct", 4))
 
 
 @query("agg25_comparison", f"WITH {VERDICTS}, a AS (SELECT batch_id % 2 AS side, count(*) FILTER (classification = 'FIT') AS fit, count(*) FILTER (classification = 'GAP') AS gap, avg(confidence) AS c FROM v GROUP BY 1) SELECT b.fit - a.fit AS fit_delta, b.gap - a.gap AS gap_delta, round(b.c - a.c, 6) AS confidence_delta FROM a, a b WHERE a.side = 0 AND b.side = 1")
 def agg25(spark, d):
-    side = F.col("batch_id") % 2
-    s = lambda k, c: F.count_if((side == k) & c)
-    return verdicts(spark, d).agg((s(1, F.col("classification") == "FIT") - s(0, F.col("classification") == "FIT")).alias("fit_delta"), (s(1, F.col("classification") == "GAP") - s(0, F.col("classification") == "GAP")).alias("gap_delta"), F.round(F.avg(F.when(side == 1, F.col("confidence"))) - F.avg(F.when(side == 0, F.col("confidence"))), 6).alias("confidence_delta"))
+    return rv.deltas(verdicts(spark, d), F.col("batch_id") % 2 == 1).withColumn("confidence_delta", F.round("confidence_delta", 6))
 
 
 @query("agg27_tab_counts", f"WITH {VERDICTS} SELECT coalesce(classification, 'ALL') AS tab, count(*) AS n FROM v WHERE NOT reviewed GROUP BY ROLLUP (classification)")
 def agg27(spark, d):
-    return verdicts(spark, d).filter(~F.col("reviewed")).rollup("classification").agg(F.count("*").alias("n")).select(F.coalesce("classification", F.lit("ALL")).alias("tab"), "n")
+    return rv.tab_counts(verdicts(spark, d).filter(~F.col("reviewed")))
 
 
 @query("agg28_artifacts_by_type", "SELECT event_type AS type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1")
 def agg28(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+    return vw.sizes_of(table(spark, d, "events").withColumnRenamed("event_type", "type"), "type", "event_id").withColumnRenamed("last", "last_id")
 
 
 @query("agg31_confidence_trend", f"WITH {VERDICTS}, b AS (SELECT batch_id, min(wave) AS wave, count(*) FILTER (classification = 'FIT') AS fit, count(*) FILTER (classification <> 'REVIEW_REQUIRED') AS total FROM v GROUP BY 1) SELECT batch_id, round(CASE WHEN total > 0 THEN fit / total ELSE 0 END, 6)::DOUBLE AS fit_share FROM b ORDER BY wave DESC, batch_id DESC LIMIT 10")
 def agg31(spark, d):
-    b = verdicts(spark, d).groupBy("batch_id").agg(F.min("wave").alias("wave"), *counts(fit=F.col("classification") == "FIT", total=F.col("classification") != "REVIEW_REQUIRED"))
-    return b.orderBy(F.col("wave").desc(), F.col("batch_id").desc()).limit(10).select("batch_id", F.round(F.when(F.col("total") > 0, F.col("fit") / F.col("total")).otherwise(0.0), 6).alias("fit_share"))
+    return rv.fit_trend(verdicts(spark, d)).withColumn("fit_share", F.round("fit_share", 6))
 
 
 @query("dtj10_config_steps", f"WITH {VERDICTS} SELECT atom_id, CASE WHEN classification <> 'PARTIAL_FIT' THEN 0 WHEN wave % 3 = 0 THEN 2 WHEN wave % 3 = 1 THEN 1 ELSE 0 END AS n_steps FROM v")
@@ -176,14 +173,13 @@ def dtj10(spark, d):
 @query("dtj11_no_capability_gap", f"WITH {VERDICTS} SELECT atom_id, CASE WHEN wave > 5 THEN 'GAP' ELSE classification END AS classification, CASE WHEN wave > 5 THEN 0.0 ELSE confidence END AS confidence FROM v")
 def dtj11(spark, d):
     none = F.size(F.when(F.col("wave") > 5, F.array()).otherwise(F.array(F.lit(1)))) == 0
-    return verdicts(spark, d).select("atom_id", F.when(none, "GAP").otherwise(F.col("classification")).alias("classification"), F.when(none, 0.0).otherwise(F.col("confidence")).alias("confidence"))
+    return verdicts(spark, d).select("atom_id", *va.without_capability(none, F.col("classification"), F.col("confidence")))
 
 
 @query("jon4_priors_by_atom", f"WITH {VERDICTS}, p AS (SELECT module, count(*) AS n FROM v WHERE wave = 7 GROUP BY 1) SELECT atom_id, coalesce(n, 0) AS n_priors FROM v LEFT JOIN p USING (module)")
 def jon4(spark, d):
     v = verdicts(spark, d)
-    p = v.filter("wave = 7").groupBy("module").agg(F.count("*").alias("n"))
-    return v.join(p, "module", "left").select("atom_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_priors"))
+    return vw.prior_counts(v, v.filter("wave = 7"), "module").select("atom_id", "n_priors")
 
 
 @query("pip5_validation", f"""WITH {VERDICTS}, {_FLAGS}, m AS (SELECT batch_id, CASE WHEN len(flags) > 0 AND atom_id % 6 = 0 THEN 'FIT' ELSE classification END AS c FROM r)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import values as va
 from sparkloom.plans.base import query, table
 from sparkloom.streaming import progress as pr
 
@@ -87,5 +88,4 @@ def dtj3(spark, d):
 @query("dtj4_map_update", "SELECT event_id, ((props->>'k')::BIGINT + 1) AS k FROM events WHERE (props->>'k') IS NOT NULL")
 def dtj4(spark, d):
     m = F.from_json("props", "map<string,bigint>")
-    up = F.map_concat(F.map_filter(m, lambda k, _: k != "k"), F.create_map(F.lit("k"), F.coalesce(F.element_at(m, F.lit("k")), F.lit(0)) + 1))
-    return table(spark, d, "events").filter(F.element_at(m, F.lit("k")).isNotNull()).select("event_id", F.element_at(up, F.lit("k")).alias("k"))
+    return table(spark, d, "events").filter(F.element_at(m, F.lit("k")).isNotNull()).select("event_id", F.element_at(va.counted_up(m, "k"), F.lit("k")).alias("k"))

@@ -276,8 +276,7 @@ def win11(spark, d):
 
 @query("flt22_input_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS x FROM documents) WHERE x <> '' AND NOT starts_with(x, '#') GROUP BY 1")
 def flt22(spark, d):
-    x = F.trim("x")
-    return docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("x")).filter((x != "") & ~x.startswith("#")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return vw.input_lines(docs(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("txt17_fallback_description", "SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN url END, CASE WHEN page_id % 3 = 0 THEN 'Image in section ' || page_id END, 'Image') AS text FROM pages")
