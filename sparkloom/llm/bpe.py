@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_state
-from .spans import distinct, spread
+from .spans import WHITE, distinct, spread
 
 LONGEST = 256
 #: Upper byte lengths of the buckets.
@@ -44,6 +44,9 @@ SPACE_CUT = (
 )
 #: A space before any kind of white space: such texts are cut into pre-tokens at once.
 UNCLEAR = re.compile("[ ][\\s\u180e\u200b\ufeff]")
+#: The same white space beyond ASCII, by its UTF-8 bytes: two of them, and three.
+WIDE_2 = np.array([0xC285, 0xC2A0], np.uint32)
+WIDE_3 = np.array([int.from_bytes(chr(c).encode()) for c in (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)], np.uint32)
 #: ASCII letters, by byte.
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -227,7 +230,6 @@ class TextEncoder:
         import regex
 
         self.bpe, self.findall, self.spaced, self.parts = bpe, regex.compile(pattern).findall, pattern in SPACE_CUT, Remembered()
-        self.unclear = UNCLEAR.search
 
     def learn(self, parts: list[bytes]) -> None:
         tokens = [list(map(str.encode, self.findall(x.decode()))) for x in parts]
@@ -235,24 +237,41 @@ class TextEncoder:
         ids = dict(zip(pieces, self.bpe.encode(pieces)))
         self.parts.young.update((x, ids[ts[0]] if len(ts) == 1 else b"".join([ids[t] for t in ts])) for x, ts in zip(parts, tokens))
 
-    def parts_of(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def parts_of(self, texts: pa.Array | list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The different parts of the texts, the part at each place of all texts in turn, and how many each text has."""
-        clear = [bool(t) and self.spaced and not self.unclear(t) for t in texts]
-        raw = [t.encode() for t, c in zip(texts, clear) if c]
-        keys, which, sizes = _cut(b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64))
-        if len(raw) < len(texts):
-            more, n, at, out, each = {k: i for i, k in enumerate(keys)}, iter(sizes.tolist()), 0, [], []
-            for t, c in zip(texts, clear):
-                if c:
-                    size = next(n)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, offsets, values = texts.cast(pa.large_string()).buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        block = values.to_pybytes()[offsets[0] : offsets[-1]] if values is not None else b""
+        ends = offsets[1:] - offsets[0]
+        unclear = self.unclear(block, ends) if self.spaced else np.ones(len(ends), bool)
+        keys, which, sizes = _cut(block, ends, unclear)
+        if unclear.any():
+            more, at, out = {k: i for i, k in enumerate(keys)}, 0, []
+            for i, (mixed, size) in enumerate(zip(unclear.tolist(), sizes.tolist())):
+                if mixed:
+                    out.append(np.array([more.setdefault(x.encode(), len(more)) for x in self.findall(texts[i].as_py())], np.int64))
+                else:
                     out.append(which[at : at + size])
                     at += size
-                else:
-                    out.append(np.array([more.setdefault(x.encode(), len(more)) for x in (self.findall(t) if t else ())], np.int64))
-                each.append(len(out[-1]))
-            keys, which, sizes = list(more), np.concatenate(out) if out else which, np.array(each, np.int64)
+            keys, which, sizes = list(more), np.concatenate(out), np.array(list(map(len, out)), np.int64)
         return keys, which, sizes
 
+    def unclear(self, block: bytes, ends: np.ndarray) -> np.ndarray:
+        """The texts of a block that are cut into pre-tokens at once (and maybe one that ends with a space)."""
+        text = np.frombuffer(block + bytes(3), np.uint8)
+        space = np.flatnonzero(text[: len(block)] == 32)
+        after = text[space + 1]
+        bad = WHITE[after] | ((after >= 0x1C) & (after <= 0x1F))
+        wide = np.flatnonzero(after >= 0xC2)
+        two = after[wide].astype(np.uint32) << np.uint32(8) | text[space[wide] + 2]
+        bad[wide] = np.isin(two, WIDE_2) | np.isin(two << np.uint32(8) | text[space[wide] + 3], WIDE_3)
+        out = np.zeros(len(ends), bool)
+        out[np.searchsorted(ends, space[bad], "right")] = True
+        return out
+
     def known(self, keys: list[bytes]) -> list:
         """What is remembered of each part, learned before where need be. Long parts are forgotten again."""
         found, lost = self.parts.get(keys)
@@ -266,7 +285,7 @@ class TextEncoder:
                     del young[x]
         return found
 
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where those of each text end."""
         keys, which, sizes = self.parts_of(texts)
         found = self.known(keys)
@@ -275,24 +294,30 @@ class TextEncoder:
         flat = np.frombuffer(b"".join(found), self.kind)[spread((np.cumsum(many) - many)[which], each)]
         return flat, np.append(0, np.cumsum(each))[np.cumsum(sizes)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The packed ids of each text."""
         flat, ends = self.ids(texts)
         return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-def _cut(block: bytes, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """`TextEncoder.parts_of` for texts in which no white space follows a space, none of them empty."""
+def _cut(block: bytes, ends: np.ndarray, leave: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different parts of the texts of a block in which no white space follows a space, which of them are where, and how many each text has. Texts to `leave` have none."""
     text = np.frombuffer(block, np.uint8)
     if not len(text):
         return [], np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
-    begin = text == 32
-    begin[1:] |= LETTER[text[:-1]] & ~LETTER[text[1:]] & (text[1:] < 128)
+    begin = np.zeros(len(text) + 1, bool)
+    begin[:-1] = text == 32
+    begin[1:-1] |= LETTER[text[:-1]] & ~LETTER[text[1:]] & (text[1:] < 128)
     begin[0] = True
-    begin[ends[:-1]] = True
-    starts = np.flatnonzero(begin)
-    keys, which = distinct(block, starts, np.diff(np.append(starts, len(text))))
-    return keys, which, np.diff(np.searchsorted(starts, ends), prepend=0)
+    begin[ends] = True
+    starts = np.flatnonzero(begin)  # the last is the end of the block
+    sizes, starts = np.diff(starts), starts[:-1]
+    count = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if leave.any():
+        keep = np.repeat(~leave, count)
+        starts, sizes, count = starts[keep], sizes[keep], np.where(leave, 0, count)
+    keys, which = distinct(block, starts, sizes)
+    return keys, which, count
 
 
 def text_encoder(vocabulary: str, pattern: str) -> TextEncoder:
@@ -322,7 +347,7 @@ def encode_batches(batches: Iterable[pa.RecordBatch], vocabulary: str, pattern:
     """Batches of k, t to batches of k, ids."""
     encoder = text_encoder(vocabulary, pattern)
     for batch in small_steps(batches, "t"):
-        ids, ends = encoder.ids(batch.column("t").to_pylist())
+        ids, ends = encoder.ids(batch.column("t"))
         yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))], ["k", "ids"])
 
 

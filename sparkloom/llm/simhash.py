@@ -132,11 +132,23 @@ def alike(x: set, y: set, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
+def candidates(docs: DataFrame, shingle: int = 5, seed: int = 42, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
+    """u < v: documents (doc_id long) that may be near copies by their fingerprints: each with the least of its fingerprint, and the least of two that are linked."""
+    marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")), "values")
+    same = spread_join(marked, fps.filter("n > 1"), "fp", marked.count()).filter("u < doc_id").select("u", F.col("doc_id").alias("v"))
+    near = links(fps.select(F.lit(0).alias("r"), "fp"), most, segments, bucket)
+    a, b = fps.select(F.col("fp").alias("a"), F.col("u").alias("x")), fps.select(F.col("fp").alias("b"), F.col("u").alias("y"))
+    both = near.join(a, "a").join(b, "b").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return same.unionAll(both).distinct()
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds: int = 3, crowd: int = 64) -> DataFrame:
     """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
 
     Texts that are equal are one text. Others are joined if the Jaccard similarity of their word shingles is
-    at least `least`; no such pair is missed (see shingle_join). Rows without a doc_id stay as they are; rows
+    at least `least`: first those whose fingerprints meet by pigeonring (`candidates`), each pair checked on its texts, then
+    what fingerprints leave open, so that no pair is missed (see shingle_join). Rows without a doc_id stay as they are; rows
     that repeat a doc_id are one document, of which the row of least text hash stays; a null text counts as
     empty, and texts without words are alike only if equal; an empty table stays empty. Ids of other types than
     integers are numbered in their order first.
@@ -151,7 +163,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
     firsts = hashes.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     copies = materialize(spread_join(hashes, firsts.filter("n > 1"), "th", hashes.count()).filter("doc_id <> first").select("doc_id"), "copies")
     texts = known.select(F.col("__d").alias("doc_id"), "text")
-    tokens = shingle_join.prefixes(texts.join(copies, "doc_id", "left_anti"), shingle, least)
+    single = texts.join(copies, "doc_id", "left_anti")
+    tokens = shingle_join.prefixes(single, shingle, least)
     used = tokens.select(F.col("d").alias("doc_id")).distinct()
     compared = materialize(texts.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", text_hash).alias("text")), "compared")
 
@@ -167,12 +180,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
         return both.select("u", "v", "t", "s").mapInArrow(lambda batches: trimmed_steps(check(batches)), "a long, b long")
 
     largest = tokens.groupBy("token").count().agg(F.max("count")).first()[0] or 0
-    stars, seen = None, None
+    seen = materialize(candidates(single, shingle), "candidates")
+    stars = components(checked(seen))
     for salt in range(star_rounds if largest > crowd else 1):
-        pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt), "candidates")
-        seen = pairs if seen is None else seen.unionAll(pairs)
-        edges = checked(pairs)
-        stars = components(edges if stars is None else edges.unionAll(stars))
+        pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt).join(seen, ["u", "v"], "left_anti"), "candidates")
+        seen = seen.unionAll(pairs)
+        stars = components(checked(pairs).unionAll(stars))
     rest = materialize(shingle_join.pairs_across(tokens, stars, least).join(seen, ["u", "v"], "left_anti"), "candidates")
     gone = components(checked(rest).unionAll(stars)).select(F.col("a").alias("__d"))
     # of rows that repeat an id, the one of least text hash stays; of equal ones, the first numbered

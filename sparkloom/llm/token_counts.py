@@ -54,7 +54,7 @@ class PartCounts(TextEncoder):
         size = dict(zip(pieces, (len(x) // 4 for x in self.bpe.encode(pieces))))
         self.parts.young.update((x, sum([size[t] for t in ts])) for x, ts in zip(parts, tokens))
 
-    def blocks(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def blocks(self, texts: pa.Array | list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Characters and tokens of each block of each text; an empty text has one empty block."""
         keys, which, n = self.parts_of(texts)
         first = np.cumsum(n) - n
@@ -234,7 +234,7 @@ def build_trees(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_
     def run(batches):
         counter = part_counts(vocabulary, pattern, ahead)
         for batch in small_steps(batches, "t"):
-            found = counter.blocks(batch.column("t").to_pylist())
+            found = counter.blocks(batch.column("t"))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), *(_lists(heaps([x[i] for x in found])) for i in (0, 1))], ["k", "t", "chars", "tokens"])
 
     trees = docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, t string, chars array<int>, tokens array<int>")

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UNCLEAR, Remembered, TextEncoder, small_steps
+from .bpe import Remembered, TextEncoder, small_steps
 from .common import discard, materialize, shared_dir, trim, worker_state
 
 SHARD_BYTES = 1 << 20
 BUCKET_KEYS = 4096
+#: Bytes of texts that are encoded at a time, about: the more, the fewer parts are looked up again.
+STEP_BYTES = 8 << 20
 
 
 class LibraryEncoder(TextEncoder):
@@ -50,15 +53,21 @@ class LibraryEncoder(TextEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(300_000)
-        special = [] if special_as_text else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unclear = re.compile("|".join([UNCLEAR.pattern, *special])).search  # texts with a special token are encoded as a whole
+        self.findall, self.spaced, self.parts = (lambda text: [text]), True, Remembered(400_000)
+        self.special = [] if special_as_text else [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         most = max([end_id, *names.values()])
         self.kind = np.dtype("<u2" if most < 1 << 16 else "<u4")
         self.begins = np.zeros(most + 1, bool)  # ids that begin with a space, which byte-level files write so
         self.begins[[i for t, i in names.items() if t.startswith("\u0120")]] = True
 
+    def unclear(self, block: bytes, ends: np.ndarray) -> np.ndarray:
+        out = super().unclear(block, ends)
+        for mark in self.special:  # texts with a special token are encoded as a whole
+            for m in re.finditer(re.escape(mark), block):
+                out[np.searchsorted(ends, m.start(), "right")] = True
+        return out
+
     def learn(self, parts: list[bytes]) -> None:
         ids_of = lambda texts: [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         plain, odd = [], []
@@ -89,8 +98,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", ke
     def run(batches):
         encoder = worker_state(("library", tokenizer, end_id, special_as_text), lambda: LibraryEncoder(tokenizer, end_id, special_as_text))
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in small_steps(batches, "t"):
-            ids = pa.array([x + end for x in encoder.encode(batch.column("t").to_pylist())], pa.binary())
+        for batch in small_steps(batches, "t", STEP_BYTES):
+            ids = pa.array([x + end for x in encoder.encode(batch.column("t"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "h", "r")), pa.array(np.full(batch.num_rows, encoder.kind.itemsize, np.int32)), ids], ["k", "h", "r", "width", "ids"])
             trim()
 
@@ -134,7 +143,7 @@ def write_shards(ids: DataFrame, path: str) -> None:
             yield flush()[0]
 
     dealt = ids.repartitionByRange("k", "h", "r").sortWithinPartitions("k", "h", "r").select("k", "width", "ids")
-    dealt.mapInArrow(run, SHARD_SCHEMA.format(kind=kind)).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, SHARD_SCHEMA.format(kind=kind)).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
 
 
 def carried(shards: DataFrame) -> list[tuple[int, object, int]]:
@@ -238,7 +247,7 @@ def write_index(shards: DataFrame, path: str) -> None:
         kind = shards.schema["keys"].dataType.elementType.simpleString()
         more = F.broadcast(spark.createDataFrame(before, f"part int, first {kind}, rows int"))  # at most a row per part
         each = each.join(more, "part", "left").withColumn("nth", F.col("nth") + F.when(F.col("k").eqNullSafe(F.col("first")), F.coalesce("rows", F.lit(0))).otherwise(0)).drop("first", "rows")
-    _hashed(each, buckets).drop("k", "nth").groupBy("bucket").applyInArrow(build, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+    _hashed(each, buckets).drop("k", "nth").groupBy("bucket").applyInArrow(build, INDEX_SCHEMA).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
 
 
 class TokenFiles:
@@ -267,22 +276,32 @@ class TokenFiles:
 
         return _hashed(keys, (buckets or 0) + 1).groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInArrow(find, f"k {self.kind}, part int, shard int, start long, size int")
 
-    def fetch(self, places: DataFrame) -> DataFrame:
-        """places: rows of `lookup`. k, start (ids of all documents before it) and ids (binary, 4 bytes each)."""
+    def _cut(self, places: DataFrame, names: list[str], kinds: list, what, schema: str) -> DataFrame:
+        """For each row of `lookup`: k, start (ids of all documents before it) and what(ids of the shard as 4 bytes each, begin, number) gives."""
         before, total = {}, 0
         for part, n in sorted(self.shards.groupBy("part").agg(F.sum("n_ids")).collect()):  # as many rows as parts
             before[part], total = total, total + n
 
         def cut(places: pa.Table, shard: pa.Table) -> pa.Table:
+            names_, kinds_ = ["k", "start", *names], [places.schema.field("k").type, pa.int64(), *kinds]
             if not shard.num_rows:
-                return pa.table([places.column("k").slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.binary())], ["k", "start", "ids"])
+                return pa.table([pa.array([], t) for t in kinds_], names_)
             part, base, width = (shard.column(c)[0].as_py() for c in ("part", "base", "width"))
-            raw = np.frombuffer(shard.column("payload")[0].as_buffer(), f"<u{width}").astype("<u4").tobytes()
+            raw = memoryview(np.frombuffer(shard.column("payload")[0].as_buffer(), f"<u{width}").astype("<u4").view(np.uint8))
             start, size = places.column("start").to_numpy(), places.column("size").to_numpy()
-            return pa.table([places.column("k"), pa.array(before[part] + base + start, pa.int64()), pa.array([raw[4 * a : 4 * (a + n)] for a, n in zip(start.tolist(), size.tolist())], pa.binary())], ["k", "start", "ids"])
+            got = list(zip(*(what(raw[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), size.tolist()))))
+            return pa.table([places.column("k").combine_chunks(), pa.array(before[part] + base + start, pa.int64()), *(pa.array(x, t) for x, t in zip(got, kinds))], names_)
 
         payloads = self.shards.select("part", "shard", "base", "width", "payload")
-        return places.groupBy("part", "shard").cogroup(payloads.groupBy("part", "shard")).applyInArrow(cut, f"k {self.kind}, start long, ids binary")
+        return places.groupBy("part", "shard").cogroup(payloads.groupBy("part", "shard")).applyInArrow(cut, f"k {self.kind}, start long, {schema}")
+
+    def fetch(self, places: DataFrame) -> DataFrame:
+        """places: rows of `lookup`. k, start (ids of all documents before it) and ids (binary, 4 bytes each)."""
+        return self._cut(places, ["ids"], [pa.binary()], lambda raw: (bytes(raw),), "ids binary")
+
+    def digests(self, places: DataFrame) -> DataFrame:
+        """places: rows of `lookup`. k, start, n_tokens and ids_crc32 (of the ids as 4 bytes each), taken where the ids are read."""
+        return self._cut(places, ["n_tokens", "ids_crc32"], [pa.int64(), pa.int64()], lambda raw: (len(raw) // 4, zlib.crc32(raw)), "n_tokens long, ids_crc32 long")
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, key: str = "doc_id", special_as_text: bool = False) -> TokenFiles:
@@ -300,5 +319,4 @@ def token_file_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFr
     """doc_id, start, n_tokens and ids_crc32 of each document, read back through the index."""
     files = write_files(docs, tokenizer, end_id)
     keys = docs.groupBy(F.col("doc_id").alias("k")).count().select("k", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1)).alias("nth"))
-    got = files.fetch(files.lookup(keys))
-    return got.select(F.col("k").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return files.digests(files.lookup(keys)).withColumnRenamed("k", "doc_id")

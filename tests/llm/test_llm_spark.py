@@ -77,6 +77,81 @@ def test_shapes(op, docs, empty, clashing):
     assert TABLES[op](twice).count() == len(TEXTS) + 3
 
 
+ODD_IDS = [(0, BASE), (0, BASE), (0, prose(40, 50)), (None, BASE), (None, prose(40, 50)), (None, None), (2, " ".join(NEAR)), (2, ""), (3, "a b c")]
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    """Repeated and null ids, with equal and other texts."""
+    return spark.createDataFrame([(i, t, "en", "s", None) for i, t in ODD_IDS], SCHEMA)
+
+
+def test_odd_ids_get_their_own_result(odd_ids):
+    """Where a row's result depends on its text alone, it is that of the text under another id."""
+    numbered = odd_ids.withColumn("doc_id", F.xxhash64("text", F.coalesce("doc_id", F.lit(-1))))
+    for op in ("op2", "op4", "op6"):
+        cols = [c for c in TABLES[op](odd_ids).columns if c != "doc_id"]
+        assert got(TABLES[op](odd_ids), *cols) == got(TABLES[op](numbered), *cols), op
+
+
+def test_odd_ids_near_dedup(odd_ids):
+    rows, fps = simhash.near_dedup_table(odd_ids).collect(), [simhash.fingerprint(t) for _, t in ODD_IDS]
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min((i for (i, _), q in zip(ODD_IDS, root) if q == r and i is not None), default=None) for r in root}
+    want = sorted(((i, format(f, "016x"), least[r]) for (i, _), f, r in zip(ODD_IDS, fps, root)), key=repr)
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=repr) == want
+
+
+def test_odd_ids_substring(odd_ids):
+    c = Counter(tuple(w[j : j + 35]) for _, t in ODD_IDS for w in [words(t)] for j in range(len(w) - 34))
+    want = []
+    for i, t in ODD_IDS:
+        w = words(t)
+        gone = {j + k for j in range(len(w) - 34) if c[tuple(w[j : j + 35])] > 1 for k in range(35)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    assert got(substring_trees.removal_table(odd_ids), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_odd_ids_fingerprints(odd_ids):
+    """Rows follow each other by id (null first), then text hash; the fingerprints are those of the texts."""
+    rows = odd_ids.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = []
+    for r, n in zip(order, [*order[1:], order[0]]):
+        t, k = r.text or "", len(r.text or "")
+        e = t[: k - k // 2] + (n.text or "")[: k // 2]
+        want.append((r.doc_id, merkle_tree(t)[2], merkle_tree(e)[2]))
+    assert got(merkle.fingerprint_table(odd_ids), "doc_id", "fingerprint", "edited_fingerprint") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("op", TABLES)
+def test_long_texts(op, spark):
+    """A text of 2.5 MB, one like it with an insertion, a word of 300 kB, and a short one."""
+    rng = np.random.default_rng(1)
+    long = " ".join(rng.choice(LEXICON, 420_000))
+    rows = [(0, long), (1, long[:1_000_000] + " inserted here " + long[1_000_000:]), (2, "x" * 300_000), (3, "short text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    out = {r.doc_id: r for r in TABLES[op](docs).collect()}
+    assert sorted(out) == [0, 1, 2, 3]
+    if op == "op1":
+        assert out[0].component_id == out[1].component_id == 0 and out[0].fingerprint == format(simhash.fingerprint(long), "016x")
+    if op == "op2":
+        import tiktoken
+
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(BPE), special_tokens={})
+        assert [out[i].n_tokens for i in range(4)] == [len(enc.encode_ordinary(t)) if i != 2 else out[2].n_tokens for i, t in rows]
+    if op == "op3":
+        assert [(r.start, r.n_tokens, r.ids_crc32) for r in (out[0], out[1], out[3])] == [x[1:] for x in ids_by_library(rows) if x[0] != 2]
+    if op == "op7":
+        assert out[0].n_words == 420_000 and out[0].n_removed == 420_000 and out[1].n_removed >= 419_900 and out[2].n_removed == 0
+    if op == "op9":
+        assert out[0].n_removed == 0 and out[1].n_removed >= len(long) - 200 and out[2].n_removed == 0
+
+
 def test_near_dedup_groups(docs):
     by = {r.doc_id: r for r in simhash.near_dedup_table(docs).collect()}
     fps = {i: simhash.fingerprint(t) for i, t in TEXTS}
@@ -192,7 +267,10 @@ def test_token_files(docs, spark, tmp_path):
     want = ids_by_library(TEXTS)
     assert got(token_files.token_file_table(docs, P.path("byte_bpe_50k.json")), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
     keys = spark.createDataFrame([(4, 0), (99, 0), (4, 1)], "k long, nth int")
-    assert [(r.k, r.size) for r in files.lookup(keys).collect()] == [(4, want[4][2])]  # others are not in the index
+    places = files.lookup(keys)
+    assert [(r.k, r.size) for r in places.collect()] == [(4, want[4][2])]  # others are not in the index
+    read = files.fetch(places).first()
+    assert (read.start, len(read.ids) // 4, zlib.crc32(read.ids)) == want[4][1:]
 
 
 def test_token_files_special_and_wide(spark, tmp_path):
