@@ -242,9 +242,10 @@ class TextEncoder:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not len(texts):
             return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, offsets, values = texts.cast(pa.large_string()).buffers()
-        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        block = values.to_pybytes()[offsets[0] : offsets[-1]] if values is not None else b""
+        wide = texts.cast(pa.large_string())
+        _, offsets, values = wide.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+        block = memoryview(values)[offsets[0] : offsets[-1]].tobytes() if values is not None else b""
         ends = offsets[1:] - offsets[0]
         unclear = self.unclear(block, ends) if self.spaced else np.ones(len(ends), bool)
         keys, which, sizes = _cut(block, ends, unclear)

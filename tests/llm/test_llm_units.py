@@ -44,6 +44,18 @@ def test_bpe_is_tiktoken(bpe, tiktoken_encoding):
     assert TextEncoder(bpe, P.PATTERN).encode([None]) == [b""]
 
 
+def test_slices_of_arrow_columns(bpe, tiktoken_encoding):
+    """Texts as a slice of a column, as batches are cut; nulls among them."""
+    import pyarrow as pa
+
+    texts = [None, "one two", "  odd  ", "", "é three, four", None, "five"]
+    for kind in (pa.string(), pa.large_string()):
+        for a in range(7):
+            for b in range(a, 8):
+                got = TextEncoder(bpe, P.PATTERN).encode(pa.array(texts, kind).slice(a, b - a))
+                assert [np.frombuffer(x, np.int32).tolist() for x in got] == [tiktoken_encoding.encode_ordinary(t or "") for t in texts[a:b]]
+
+
 def test_bpe_under_another_pattern(bpe, ranks):
     """A pattern that doesn't begin a match at each space: texts are not cut there."""
     import tiktoken
