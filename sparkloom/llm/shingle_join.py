@@ -12,13 +12,19 @@ more common, which moves its place in the order for all texts alike and loses no
 Within a bucket, first all are compared with one leader for each class of sizes, which joins large groups
 in linear time and is repeated with other leaders; then every pair of the bucket whose ends aren't yet in one component is a candidate, so
 the components are those of all pairs.
+
+A bucket of very many texts is never brought together: its leaders are a grouped minimum that is broadcast (a row for each such
+bucket and class of sizes), and for the pairs that are left, the texts outside its largest component meet parts of the bucket in tasks
+of their own.
 """
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK_BYTES, pack, unpack, volume
@@ -184,11 +190,76 @@ def named(tokens: DataFrame, stars: DataFrame | None) -> DataFrame:
     return tokens.join(stars.select(F.col("a").alias("d"), F.col("b").alias("root")), "d", "left").select("token", "d", "n", "pos", F.coalesce("root", "d").alias("c"))
 
 
-def star_pairs(tokens: DataFrame, stars: DataFrame | None, least: float, salt: int) -> DataFrame:
+#: Texts of a bucket beyond which it is dealt to several tasks, and such buckets at most; texts outside the largest component in one task.
+CROWDED, MOST_CROWDED, OUTSIDE = 20_000, 20_000, 2_000
+
+
+def crowded_buckets(tokens: DataFrame, limit: int = CROWDED) -> tuple[int, DataFrame | None]:
+    """The size of the largest bucket; token and many of those beyond the limit, or None. They are fewer than MOST_CROWDED."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("many"))
+    most, total = counts.agg(F.max("many"), F.sum("many")).first()
+    limit = max(limit, (total or 0) // MOST_CROWDED)
+    if (most or 0) <= limit:
+        return most or 0, None
+    return most, materialize(counts.filter(F.col("many") > limit).withColumn("parts", F.ceil(F.col("many") / limit).cast("long")), "crowded")
+
+
+def reach(n: Column, pos: Column, m: Column, at: Column, least: float) -> Column:
+    """`may_reach` as an expression."""
+    ceil = lambda share, x: F.ceil(F.lit(share) * x - F.lit(EPS))
+    low, high = F.least(n, m), F.greatest(n, m)
+    small = F.when(n <= m, pos).otherwise(at) <= low - ceil(2 * least / (1 + least), low)
+    return small & (low >= F.lit(least) * high - F.lit(EPS)) & (F.least(pos, at) + F.least(n - pos, m - at) >= ceil(least / (1 + least), n + m))
+
+
+def _crowded_stars(rows: DataFrame, least: float, salt: int) -> DataFrame:
+    classed = rows.withColumn("k", F.floor(F.log("n") / F.lit(-log(least))))
+    lead = classed.groupBy("token", "k").agg(F.min_by(F.struct("d", "n", "pos", "c"), F.xxhash64("d", F.lit(salt))).alias("l"))
+    both = classed.join(F.broadcast(lead), ["token", "k"]).filter((F.col("c") != F.col("l.c")) & reach(F.col("l.n"), F.col("l.pos"), F.col("n"), F.col("pos"), least))
+    return both.select(F.least("d", "l.d").alias("u"), F.greatest("d", "l.d").alias("v"))
+
+
+def _crowded_across(rows: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
+    sizes = rows.groupBy("token", "c").agg(F.count("*").alias("size"))
+    large = sizes.groupBy("token").agg(F.max_by("c", F.struct("size", "c")).alias("large"), (F.sum("size") - F.max("size")).alias("others"))
+    facts = crowd.join(large, "token").filter("others > 0").withColumn("shares", F.ceil(F.col("others") / OUTSIDE).cast("long"))
+    held = rows.join(F.broadcast(facts), "token")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    members = held.withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts"))).withColumn("share", F.explode(every("shares"))).select("token", "part", "share", "d", "n", "pos", "c", "large")
+    outside = held.filter("c <> large").withColumn("share", F.pmod(F.xxhash64("d", F.lit(1)), F.col("shares"))).withColumn("part", F.explode(every("parts"))).select("token", "part", "share", "d", "n", "pos", "c").toDF("token", "part", "share", "d", "n", "pos", "c")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            d, n, pos, c, large = (right.column(x).to_numpy() for x in ("d", "n", "pos", "c", "large"))
+            for e, m, at, k in zip(*(left.column(x).to_pylist() for x in ("d", "n", "pos", "c"))):
+                ok = (c != k) & ((c == large) | (d > e)) & may_reach(m, at, n, pos, least)
+                v = d[ok]
+                us.append(np.minimum(e, v))
+                vs.append(np.maximum(e, v))
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    by = ("token", "part", "share")
+    return outside.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(lambda left, right: trimmed(run, left, right), "u long, v long")
+
+
+def _split(rows: DataFrame, crowd: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary buckets, and those of crowded ones."""
+    if crowd is None:
+        return rows, None
+    marks = F.broadcast(crowd.select("token"))
+    return rows.join(marks, "token", "left_anti"), rows.join(marks, "token", "left_semi")
+
+
+def star_pairs(tokens: DataFrame, stars: DataFrame | None, least: float, salt: int, crowd: DataFrame | None = None) -> DataFrame:
     """Candidates u < v: in each bucket, one text for each class of sizes, of its largest component, and the texts of other components."""
-    return _pairs(named(tokens, stars), _stars(salt), least)
+    rows, many = _split(named(tokens, stars), crowd)
+    out = _pairs(rows, _stars(salt), least)
+    return out if many is None else out.unionAll(_crowded_stars(many, least, salt)).distinct()
 
 
-def pairs_across(tokens: DataFrame, stars: DataFrame, least: float) -> DataFrame:
+def pairs_across(tokens: DataFrame, stars: DataFrame, least: float, crowd: DataFrame | None = None) -> DataFrame:
     """All candidates u < v but those inside one component."""
-    return _pairs(named(tokens, stars), _across, least)
+    rows, many = _split(named(tokens, stars), crowd)
+    out = _pairs(rows, _across, least)
+    return out if many is None else out.unionAll(_crowded_across(many, crowd, least)).distinct()

@@ -143,7 +143,7 @@ def candidates(docs: DataFrame, shingle: int = 5, seed: int = 42, most: int = 2,
     return same.unionAll(both).distinct()
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds: int = 3, crowd: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds: int = 3, crowd: int = 64, crowded: int = shingle_join.CROWDED) -> DataFrame:
     """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
 
     Texts that are equal are one text. Others are joined if the Jaccard similarity of their word shingles is
@@ -156,7 +156,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         numbers = materialize(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("__d")), "numbers")
         rows = docs.join(numbers, "doc_id", "left").select(F.col("__d").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-        return keep_one(rows, shingle, least, star_rounds, crowd).select("__row.*")
+        return keep_one(rows, shingle, least, star_rounds, crowd, crowded).select("__row.*")
     text_hash = F.md5(F.coalesce("text", F.lit("")))
     known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__d", F.col("doc_id").cast("long"))
     hashes = materialize(known.groupBy(F.col("__d").alias("doc_id")).agg(F.min(text_hash).alias("th")), "texts")
@@ -179,14 +179,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
         both = pairs.join(compared.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(compared.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
         return both.select("u", "v", "t", "s").mapInArrow(lambda batches: trimmed_steps(check(batches)), "a long, b long")
 
-    largest = tokens.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+    largest, crowds = shingle_join.crowded_buckets(tokens, crowded)
     seen = materialize(candidates(single, shingle), "candidates")
     stars = components(checked(seen))
     for salt in range(star_rounds if largest > crowd else 1):
-        pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt).join(seen, ["u", "v"], "left_anti"), "candidates")
+        pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
         seen = seen.unionAll(pairs)
         stars = components(checked(pairs).unionAll(stars))
-    rest = materialize(shingle_join.pairs_across(tokens, stars, least).join(seen, ["u", "v"], "left_anti"), "candidates")
+    rest = materialize(shingle_join.pairs_across(tokens, stars, least, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
     gone = components(checked(rest).unionAll(stars)).select(F.col("a").alias("__d"))
     # of rows that repeat an id, the one of least text hash stays; of equal ones, the first numbered
     once = Window.partitionBy("__d").orderBy(text_hash)

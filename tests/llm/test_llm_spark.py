@@ -226,6 +226,28 @@ def test_keep_one_finds_inserted_blocks(spark):
     assert kept == kept_by_brute_force(texts) == list(range(0, 120, 2))
 
 
+@pytest.mark.parametrize(("crowded", "outside"), [(20_000, 2_000), (3, 2)])
+def test_keep_one_in_crowded_buckets(spark, monkeypatch, crowded, outside):
+    """A large group of near copies, and texts beside it that share its shingles but are too far from it; buckets dealt to many tasks or to one."""
+    from sparkloom.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "OUTSIDE", outside)
+    w, texts = [f"a{i}" for i in range(100)], {}
+    for k in range(40):
+        texts[k] = " ".join([*w[:k], f"x{k}", *w[k + 1 :]])  # one word changed: alike in chains
+    for k in range(40, 70):
+        texts[k] = " ".join([*w[: 50 + k % 7], *(f"y{k}{i}" for i in range(20 + k % 5))])
+    for k in range(70, 80):
+        texts[k] = texts[k - 30] + f" z{k}"
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), crowded=crowded).collect())
+    assert kept == kept_by_brute_force(texts) and 20 < len(kept) < 60
+
+
+def test_keep_one_of_string_ids(spark):
+    rows = [("b", BASE), ("a", BASE), ("d", " ".join(NEAR)), ("c", prose(50, 9)), (None, BASE)]
+    assert sorted((r.doc_id or "" for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect())) == ["", "a", "c"]
+
+
 def test_keep_one_compares_within_a_vocabulary(spark):
     """Texts of one small vocabulary in different order: near copies are found though the least document is like none."""
     words, texts = [f"w{i}" for i in range(40)], {}
