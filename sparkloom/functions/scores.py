@@ -98,6 +98,11 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.bround(done * 100.0 / total).cast("int")).otherwise(0)
 
 
+def seconds(ms: Column) -> Column:
+    """Milliseconds as whole seconds, halves up (MTH14)."""
+    return half_up(ms / 1000)
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 

@@ -65,3 +65,17 @@ def known_module(module: Column, vocabulary: list[str], default: str) -> Column:
 def change(old: Column, new: Column) -> list[Column]:
     """delta and pct of a metric; 0 percent of a metric that was 0 (AGG18)."""
     return [(new - old).alias("delta"), F.when(old > 0, 100 * (new - old) / old).otherwise(0.0).alias("pct")]
+
+
+#: Cuts of texts by where they are shown (fixed).
+CUTS = {"excerpt": 500, "hit": 512, "prompt": 2000, "title": 30}
+
+
+def cut(text: Column, where: str) -> Column:
+    """The first characters of a text, as many as are shown there (TXT19)."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, CUTS[where])
+
+
+def file_name(path: Column) -> Column:
+    """What follows the last slash or backslash (TXT19)."""
+    return F.regexp_extract(path, r"([^/\\\\]*)$", 1)

@@ -151,6 +151,27 @@ def pack_tokens(elements, count=estimate, most: int = MAX_TOKENS, overlap: int =
     return out
 
 
+def trim_path(path: list[str], level: int, heading: str) -> list[str]:
+    """The section path at a heading: what stands above its level, then the heading."""
+    return [*path[: max(0, level - 1)], heading]
+
+
+def pack_elements(items) -> list[tuple]:
+    """(text, modality, page, section_path) of the items that are no headings, in order of page and place; a heading trims the path to its level."""
+    out, path = [], []
+    for x in sorted(items, key=lambda x: (x["page"], x["place"])):
+        if x["level"]:
+            path = trim_path(path, x["level"], (x["text"] or "").strip())
+        else:
+            out.append((x["text"], x["modality"], x["page"], list(path)))
+    return out
+
+
+def element_stream(docs: DataFrame, items: Column, key: str = "doc_id") -> DataFrame:
+    """items: array of struct<page, place, level (0 for what is no heading), modality, text>. One row per element, in reading order, with its section path (SRC8)."""
+    return _packed(docs, key, items, pack_elements, "element_no int, text string, modality string, page int, section_path array<string>")
+
+
 TOKEN_SCHEMA = "chunk_no int, text string, n_tokens int, page_first int, page_last int, headings array<string>, shares map<string,double>, cross_refs array<string>, chunk_id string"
 
 

@@ -276,7 +276,8 @@ def dtj5(spark, d):
     return table(spark, d, "documents").select("doc_id", va.content_id(F.col("text")).alias("element_id"), va.content_id(F.col("source"), F.col("text"), length=24).alias("chunk_id"))
 
 
-@query("dtj6_uuid5")
+@query("dtj6_uuid5", r"""WITH h AS (SELECT doc_id, sha1('\x6B\xA7\xB8\x11\x9D\xAD\x11\xD1\x80\xB4\x00\xC0\x4F\xD4\x30\xC8'::BLOB || encode(doc_id::VARCHAR)) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%x', (('0x' || h[17])::INT & 3) | 8) || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
 def dtj6(spark, d):
     import uuid
 

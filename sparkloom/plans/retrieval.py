@@ -191,7 +191,11 @@ def ded2(spark, d):
     return dedup.owners(vectors(spark, d), hard=0.35, soft=0.25, block="label").select("id", "owner", "soft")
 
 
-@query("ded3_greedy_duplicates")
+@query("ded3_greedy_duplicates", f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS n FROM p WHERE s > 0.35),
+r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT o.n, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, j) END FROM r JOIN o ON o.n = r.n + 1),
+g AS (SELECT unnest(gone) AS id FROM r WHERE n = (SELECT max(n) FROM r)), w AS (SELECT j, min(i) AS owner FROM o WHERE i NOT IN (SELECT id FROM g) GROUP BY 1),
+f AS (SELECT j, min(i) AS first FROM p WHERE s > 0.25 AND s <= 0.35 AND i NOT IN (SELECT id FROM g) GROUP BY 1)
+SELECT vec_id AS id, owner, (first IS NOT NULL AND (owner IS NULL OR first < owner)) AS soft FROM embeddings LEFT JOIN w ON w.j = vec_id LEFT JOIN f ON f.j = vec_id""")
 def ded3(spark, d):
     return dedup.greedy(vectors(spark, d), hard=0.35, soft=0.25, block="label")
 

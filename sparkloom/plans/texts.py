@@ -154,9 +154,19 @@ def txt6(spark, d):
     return docs(spark, d).select("doc_id", F.round(tx.entity_overlap(hints, F.col("text")), 6).alias("overlap"))
 
 
-@query("txt9_config_steps")
+def _steps_sql(mark: str, end: str) -> str:
+    """The marked items of t as a DuckDB list: cut before each line that begins with `end`, keep what begins with `mark`."""
+    return rf"[regexp_replace(regexp_replace(x, '^{mark}\s+', ''), '^\s+|\s+$', '', 'g') FOR x IN string_split(regexp_replace(t, '\n\s*({end})', chr(1) || '\1', 'g'), chr(1)) IF regexp_matches(x, '^{mark}\s+\S')]"
+
+
+@query("txt9_config_steps", rf"""WITH d AS (SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN replace(text, '. ', chr(10) || '3) ') WHEN 1 THEN replace(text, '. ', chr(10) || '- ') ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, {_steps_sql(tx.STEP_MARK, tx.STEP_END)} AS a, {_steps_sql(tx.BULLET_MARK, tx.BULLET_MARK)} AS b, [y FOR y IN [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(t, chr(10))] IF y <> ''] AS c FROM d),
+s AS (SELECT doc_id, CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END AS s FROM w) SELECT doc_id, len(s)::BIGINT AS n_steps, md5(array_to_string(s, '|')) AS steps_md5 FROM s""")
 def txt9(spark, d):
-    return docs(spark, d).select("doc_id", F.size(tx.config_steps(F.col("text"))).alias("n_steps"))
+    k = F.col("doc_id") % 3
+    t = F.when(k == 0, F.replace("text", F.lit(". "), F.lit("\n3) "))).when(k == 1, F.replace("text", F.lit(". "), F.lit("\n- "))).otherwise(F.col("text"))
+    s = docs(spark, d).select("doc_id", tx.config_steps(t).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_steps"), F.md5(F.array_join("s", "|")).alias("steps_md5"))
 
 
 @query("txt13_cross_references", r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?:See|Refer to|Same as|per) (?:Section|Figure|REQ-)\S+'))::BIGINT AS n_refs FROM documents")

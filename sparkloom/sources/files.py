@@ -175,9 +175,13 @@ def collections(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "collection string, required boolean").distinct()
 
 
-def seed(rows: DataFrame, path: str) -> int:
-    """Write a collection, latest row per id, and return its size, which must not be 0 (SNK9, SNK11)."""
-    rel.latest_by(rows, ["id"], [F.col(c) for c in rows.columns if c != "id"][:1] or [F.col("id")]).write.mode("overwrite").parquet(path)
+def seed(rows: DataFrame, path: str, text: str | None = None, encode=None) -> int:
+    """Write a collection, latest row per id, and return its size, which must not be 0 (SNK9, SNK11). With `text`, each row gets the vector of that column."""
+    from sparkloom.operators import models
+
+    if text:
+        rows = rows.withColumn("vec", models.embedding(F.col(text), encode or models.hashed_words))
+    rel.latest_by(rows, ["id"], [F.col(c) for c in rows.columns if c not in ("id", "vec")][:1] or [F.col("id")]).write.mode("overwrite").parquet(path)
     n = rows.sparkSession.read.parquet(path).count()
     if not n:
         raise ValueError("nothing was written")
@@ -218,6 +222,17 @@ def put_state(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def put_gate_rows(rows: DataFrame, path: str, gate: int, at: Column) -> None:
+    """Append the rows of a gate, one JSON text per atom, under the batch's field of that gate (SNK13). rows: batch_id, atom_id, ..."""
+    body = F.to_json(F.struct(*(c for c in rows.columns if c != "batch_id")))
+    put_state(rows.select("batch_id", F.concat(F.lit(f"gate_{gate}:"), F.col("atom_id").cast("string")).alias("field"), body.alias("value"), at.alias("at")), path)
+
+
+def batch_index(spark: SparkSession, path: str, now: Column, ttl_s: int = 86_400) -> DataFrame:
+    """batch_id, at: the batches with state that is still alive, newest first (SNK13)."""
+    return get_state(spark, path, now, ttl_s).groupBy("batch_id").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "batch_id")
+
+
 def get_state(spark: SparkSession, path: str, now: Column, ttl_s: int = 86_400) -> DataFrame:
     """The last value of each field of each batch that is younger than the time to live (SRC14, STR8)."""
     rows = spark.read.parquet(path).filter(F.unix_timestamp(now) - F.unix_timestamp("at") < ttl_s)

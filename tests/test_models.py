@@ -43,3 +43,59 @@ def test_queries_have_no_stray_names():
     from sparkloom.plans import registry
 
     assert set(registry.ORACLES) <= set(registry.QUERIES) and len(registry.QUERIES) > 200
+
+
+def test_atomise_falls_back(spark):
+    from sparkloom.operators import pipelines as pipe
+
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.split("+") for t in texts] if len(texts) < 4 else [[]]
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["a+b", "bad", "c", "d+e", "f", None])], "id int, t string").coalesce(1)
+    got = sorted(tuple(r) for r in pipe.atomise(d, "id", "t", model, size=3).collect())
+    assert got == [(0, 1, "a", "MODEL"), (0, 2, "b", "MODEL"), (1, 1, "bad", "FUNCTIONAL"), (2, 1, "c", "MODEL"), (3, 1, "d", "MODEL"), (3, 2, "e", "MODEL"), (4, 1, "f", "MODEL"), (5, 1, "", "MODEL")]
+    assert pipe.atomise(d, "id", "t", model, size=6).filter("kind = 'FUNCTIONAL'").count() == 1
+
+
+def test_matched_pairs(spark):
+    from sparkloom.operators import pipelines as pipe
+
+    rows = [("a", 1, [1.0, 0.0], [1.0, 0.0], "post invoices", "Invoice posting", ["invoice"], 0.5, 0.9, True, True), ("a", 2, [1.0, 0.0], [0.0, 1.0], "post invoices", "Other", ["invoice"], 0.0, 0.1, True, True), ("a", 3, [1.0, 0.0], [0.0, 1.0], "post invoices", "Other", ["invoice"], 0.0, 0.0, True, False), ("b", 1, [1.0, 0.0], [1.0, 0.1], "x", "y", ["z"], 0.0, 0.0, False, False)]
+    d = spark.createDataFrame(rows, "atom_id string, cap_id int, atom_vec array<double>, cap_vec array<double>, atom_text string, cap_text string, hints array<string>, historical_alignment double, rerank_score double, has_history boolean, has_fit_prior boolean")
+    got = {(r.atom_id, r["rank"]): r for r in pipe.matched_pairs(d).collect()}
+    assert sorted(got) == [("a", 1), ("a", 2), ("b", 1)] and [got["a", k].cap_id for k in (1, 2)] == [1, 2]
+    assert got["a", 1].entity_overlap == 1.0 and got["a", 1].anomaly is None and got["b", 1].anomaly.startswith("high cosine") and got["b", 1].route == "GAP_CONFIRM"
+
+
+def test_kb_search_by_module(spark):
+    from sparkloom.operators import pipelines as pipe
+
+    base = spark.createDataFrame([(1, [1.0, 0.0], "m"), (2, [0.9, 0.1], "n"), (3, [0.0, 1.0], "m")], "id long, vec array<double>, module string")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
+    assert [r.id for r in pipe.kb_search(q, base, 2).orderBy("rank").collect()] == [1, 2] and [r.id for r in pipe.kb_search(q, base, 2, "m").orderBy("rank").collect()] == [1, 3]
+
+
+def test_section_paths(spark):
+    from sparkloom.operators import chunking
+
+    item = "array<struct<page:int,place:int,level:int,modality:string,text:string>>"
+    items = [(1, 0, 1, "TEXT", "A"), (1, 2, 0, "TEXT", "p"), (1, 1, 2, "TEXT", "B"), (2, 0, 0, "TABLE", "t"), (2, 1, 2, "TEXT", "C"), (2, 2, 0, "IMAGE", "i"), (3, 0, 1, "TEXT", "D"), (3, 1, 0, "TEXT", "q")]
+    d = spark.createDataFrame([(7, items), (8, [])], f"doc_id long, items {item}")
+    got = [(r.text, r.modality, r.section_path) for r in chunking.element_stream(d, F.col("items")).orderBy("element_no").collect()]
+    assert got == [("p", "TEXT", ["A", "B"]), ("t", "TABLE", ["A", "B"]), ("i", "IMAGE", ["A", "C"]), ("q", "TEXT", ["D"])]
+
+
+def test_gate_state_and_seed(spark, tmp_path):
+    from sparkloom.functions import values as va
+    from sparkloom.sources import files as src
+
+    now = F.to_timestamp(F.lit("2024-01-02 12:00:00"))
+    rows = spark.createDataFrame([(1, 5, "FIT"), (1, 6, "GAP"), (2, 7, "GAP")], "batch_id long, atom_id long, classification string")
+    src.put_gate_rows(rows, str(tmp_path / "s"), 3, F.to_timestamp(F.lit("2024-01-02 11:00:00")))
+    assert [r.batch_id for r in src.batch_index(spark, str(tmp_path / "s"), now).collect()] == [1, 2] and src.get_state(spark, str(tmp_path / "s"), now).filter("field = 'gate_3:5'").first().value == '{"atom_id":5,"classification":"FIT"}'
+    kb = src.knowledge_base(spark, [{"id": "1", "module": "m", "feature": "f", "description": "post invoices"}])
+    assert src.seed(kb, str(tmp_path / "kb"), "description") == 1 and len(spark.read.parquet(str(tmp_path / "kb")).first().vec) == 384
+    names = spark.createDataFrame([("a/b/c.txt",), ("c:\\x\\y.pdf",), ("plain",)], "p string").select(va.file_name(F.col("p")).alias("n"), va.cut(F.lit("x" * 900), "excerpt").alias("e")).collect()
+    assert [r.n for r in names] == ["c.txt", "y.pdf", "plain"] and len(names[0].e) == 500
