@@ -147,7 +147,7 @@ def test_long_texts(op, spark):
     if op == "op3":
         assert [(r.start, r.n_tokens, r.ids_crc32) for r in (out[0], out[1], out[3])] == [x[1:] for x in ids_by_library(rows) if x[0] != 2]
     if op == "op7":
-        assert out[0].n_words == 420_000 and out[0].n_removed == 420_000 and out[1].n_removed >= 419_900 and out[2].n_removed == 0
+        assert out[0].n_words == 420_000 and 419_990 <= out[0].n_removed < 420_000 and out[1].n_removed >= 419_900 and out[2].n_removed == 0
     if op == "op9":
         assert out[0].n_removed == 0 and out[1].n_removed >= len(long) - 200 and out[2].n_removed == 0
 
