@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import journeys, models, relational, retrieval, review, streams, texts
+from sparkloom.plans import journeys, models, parts, relational, retrieval, review, streams, texts
 from sparkloom.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "journeys", "models", "relational", "retrieval", "review", "streams", "texts"]
+__all__ = ["ORACLES", "QUERIES", "journeys", "models", "parts", "relational", "retrieval", "review", "streams", "texts"]
