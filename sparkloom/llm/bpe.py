@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import trimmed_steps, worker_state
 from .spans import WHITE, distinct, spread
 
 LONGEST = 256
 #: Upper byte lengths of the buckets.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, LONGEST)
 #: Parts of a generation that a worker remembers, about.
-REMEMBER = 250_000
+REMEMBER = 150_000
 NONE = np.int32(2**31 - 1)
 #: Public pre-token patterns that begin a match at every single space before a non-space, and look at most two characters beyond the end of a match.
 SPACE_CUT = (
@@ -355,7 +355,7 @@ def encode_batches(batches: Iterable[pa.RecordBatch], vocabulary: str, pattern:
 def encode_table(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and ids (array<int>) of each row. `vocabulary` is a file of base64 tokens and ranks that every executor can open."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(lambda batches: encode_batches(batches, vocabulary, pattern), f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(lambda batches: trimmed_steps(encode_batches(batches, vocabulary, pattern)), f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(ids: pa.Array, table: list[bytes], size: np.ndarray) -> pa.Array:
@@ -389,7 +389,7 @@ def round_trip_table(docs: DataFrame, vocabulary: str, pattern: str, text: str =
         for batch in encode_batches(batches, vocabulary, pattern):
             yield pa.RecordBatch.from_arrays([*batch.columns, decode(batch.column("ids"), *names)], ["k", "ids", "bytes"])
 
-    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, ids array<int>, bytes binary").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(lambda batches: trimmed_steps(run(batches)), f"k {kind}, ids array<int>, bytes binary").withColumnRenamed("k", key)
 
 
 def digest_table(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK_BYTES, pack, unpack, volume
+from .chunks import pack, unpack, volume
 from .common import materialize, trimmed, trimmed_steps, worker_state
 from .spans import SpanHash, rolling, word_spans
 
+CHUNK_BYTES = 1 << 20
 GROUP_SHINGLES = 1_000_000
 EPS = 1e-9
 
