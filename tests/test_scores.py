@@ -144,7 +144,7 @@ def test_header_tiers(spark):
     ("", []), ("one thing", ["one thing"]), ("a\n\n b ", ["a", "b"]), ("Intro\n1. first\nmore\n 2) second\n", ["first\nmore", "second"]), ("Step 1: go\nstep 2. stop", ["go", "stop"]),
     ("- x\n* y\ntail", ["x", "y\ntail"]), ("note\n\u2022 only", ["only"]), ("1.no space", ["1.no space"]),
 ])
-def test_config_steps(spark, text, steps):
+def test_config_steps_by_case(spark, text, steps):
     assert one(spark, tx.config_steps(F.lit(text)))[0] == steps
 
 
