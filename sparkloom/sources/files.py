@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
 from sparkloom.operators import relational as rel
+from sparkloom.operators.views import LEAST_RATIO, PAGE_CHARS
 
 HEAD_BYTES = 8192
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -124,6 +125,33 @@ def with_ocr(pages: DataFrame, read: Callable[[pd.Series], pd.Series] | None, le
     return pages.withColumn("text", F.when(F.char_length(F.trim(tx.text_or_empty(F.col("text")))) < least, F.coalesce(seen("image"), F.lit(""))).otherwise(F.col("text")))
 
 
+def converted(files: DataFrame, first: Callable[[bytes], list[str]], second: Callable[[bytes], list[str]], least: float = LEAST_RATIO) -> DataFrame:
+    """path, pages (array of texts), way (first, second or failed) and error of each file (SRC7).
+
+    The second reader takes over where the first fails or finds less than `least` of the text that so many pages hold.
+    """
+
+    def read(reader: Callable[[bytes], list[str]], content: bytes) -> tuple[list[str] | None, str]:
+        try:
+            return list(reader(content)), ""
+        except Exception as e:  # a reader that fails on a file leaves it to the other one
+            return None, f"{type(e).__name__}: {e}"[:200]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, content in zip(part["path"], part["content"]):
+                pages, error = read(first, content)
+                way = "first"
+                if pages is None or sum(map(len, pages)) < least * PAGE_CHARS * max(1, len(pages)):
+                    more, error = read(second, content)
+                    pages, way = (more, "second") if more is not None else (pages, "first" if pages is not None else "failed")
+                rows.append((path, pages, way, error if way == "failed" else None))
+            yield pd.DataFrame(rows, columns=["path", "pages", "way", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, pages array<string>, way string, error string")
+
+
 def requirement_texts(items: DataFrame) -> DataFrame:
     """Rows of 10 characters or more; prose of 30 or more only where a file has no rows; excerpt of 500 characters (PRJ2, TXT19)."""
     rows = items.filter((F.col("kind") == "row") & (F.char_length("text") >= 10))
@@ -242,3 +270,11 @@ def get_state(spark: SparkSession, path: str, now: Column, ttl_s: int = 86_400)
 def ensure_table(spark: SparkSession, name: str, schema: str) -> None:
     """(SNK14)"""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+
+
+def bootstrap(spark: SparkSession, tables: dict[str, str]) -> list[str]:
+    """Create the tables (name -> schema) that aren't there yet, and say which these were (SNK14)."""
+    new = [name for name in tables if not spark.catalog.tableExists(name)]
+    for name in new:
+        ensure_table(spark, name, tables[name])
+    return new

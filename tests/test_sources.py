@@ -101,3 +101,27 @@ def test_files_to_gated_atoms(spark, folder):
 
     got = {(r.ref.rpartition("/")[2], r.gate) for r in pipe.ingested_files(src.uploads(spark, folder), F.lit("Budgeting")).collect()}
     assert ("f.bin", "UNSUPPORTED_FORMAT") in got and ("c.zip", "UNSUPPORTED_FORMAT") in got and any(x.startswith("b.docx#") for x, _ in got) and any(x.startswith("d.txt#") for x, _ in got)
+
+
+def test_conversion_falls_back(spark):
+    files = spark.createDataFrame([("good", b"x" * 700), ("thin", b"x"), ("bad", b"!"), ("worse", b"?")], "path string, content binary")
+
+    def first(content):
+        if content in (b"!", b"?"):
+            raise ValueError("no text")
+        return [bytes(content).decode()]
+
+    def second(content):
+        if content == b"?":
+            raise ValueError("no image")
+        return ["seen"]
+
+    got = {r.path: (r.pages, r.way, r.error) for r in src.converted(files, first, second).collect()}
+    assert got == {"good": (["x" * 700], "first", None), "thin": (["seen"], "second", None), "bad": (["seen"], "second", None), "worse": (None, "failed", "ValueError: no image")}
+
+
+def test_bootstrap_is_idempotent(spark):
+    tables = {"boot_a": "id long, name string", "boot_b": "id long"}
+    assert src.bootstrap(spark, tables) == ["boot_a", "boot_b"] and src.bootstrap(spark, tables) == []
+    for name in tables:
+        spark.sql(f"DROP TABLE {name}")
