@@ -144,6 +144,10 @@ def candidates(docs: DataFrame, shingle: int = 5, seed: int = 42, most: int = 2,
     return same.unionAll(both).distinct()
 
 
+#: Links that the components of near copies take in plain joins, at most: some 16 MB.
+SMALL = 1_000_000
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds: int = 3, crowd: int = 64, crowded: int = shingle_join.CROWDED) -> DataFrame:
     """The documents, with all their columns, without copies and near copies: of each group the one of least doc_id stays.
 
@@ -182,13 +186,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
 
     largest, crowds = shingle_join.crowded_buckets(tokens, crowded)
     seen = materialize(candidates(single, shingle), "candidates")
-    stars = components(checked(seen))
+    stars = components(checked(seen), SMALL)
     for salt in range(star_rounds if largest > crowd else 1):
         pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
         seen = seen.unionAll(pairs)
-        stars = components(checked(pairs).unionAll(stars))
+        stars = components(checked(pairs).unionAll(stars), SMALL)
     rest = materialize(shingle_join.pairs_across(tokens, stars, least, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
-    gone = components(checked(rest).unionAll(stars)).select(F.col("a").alias("__d"))
+    gone = components(checked(rest).unionAll(stars), SMALL).select(F.col("a").alias("__d"))
     # of rows that repeat an id, the one of least text hash stays; of equal ones, the first numbered
     once = Window.partitionBy("__d").orderBy(text_hash)
     kept = known.join(copies.select(F.col("doc_id").alias("__d")).unionAll(gone), "__d", "left_anti").withColumn("__n", F.row_number().over(once)).filter("__n = 1")
