@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +81,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int):
+    """While it lasts, jobs hand rows to Python in batches of about `most` bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def discard(written: DataFrame) -> None:
     """Delete the files of a `materialize` whose last reader has written its own result."""
     spark = written.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegralType
 
 from . import shingle_join
 from .bpe import small_steps
-from .common import materialize, spread_join, trimmed_steps, worker_state
+from .common import arrow_batches, materialize, spread_join, trimmed_steps, worker_state
 from .graph import components
 
 
@@ -146,6 +146,8 @@ def candidates(docs: DataFrame, shingle: int = 5, seed: int = 42, most: int = 2,
 
 #: Links that the components of near copies take in plain joins, at most: some 16 MB.
 SMALL = 1_000_000
+#: Bytes of a batch of pairs of texts that a Python worker gets at a time, about.
+PAIR_BYTES = 16 << 20
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds: int = 3, crowd: int = 64, crowded: int = shingle_join.CROWDED) -> DataFrame:
@@ -184,15 +186,16 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, star_rounds:
         both = pairs.join(compared.select(F.col("doc_id").alias("u"), F.col("text").alias("t")), "u").join(compared.select(F.col("doc_id").alias("v"), F.col("text").alias("s")), "v")
         return both.select("u", "v", "t", "s").mapInArrow(lambda batches: trimmed_steps(check(batches)), "a long, b long")
 
-    largest, crowds = shingle_join.crowded_buckets(tokens, crowded)
-    seen = materialize(candidates(single, shingle), "candidates")
-    stars = components(checked(seen), SMALL)
-    for salt in range(star_rounds if largest > crowd else 1):
-        pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
-        seen = seen.unionAll(pairs)
-        stars = components(checked(pairs).unionAll(stars), SMALL)
-    rest = materialize(shingle_join.pairs_across(tokens, stars, least, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
-    gone = components(checked(rest).unionAll(stars), SMALL).select(F.col("a").alias("__d"))
+    with arrow_batches(docs.sparkSession, PAIR_BYTES):  # rows with two texts each
+        largest, crowds = shingle_join.crowded_buckets(tokens, crowded)
+        seen = materialize(candidates(single, shingle), "candidates")
+        stars = components(checked(seen), SMALL)
+        for salt in range(star_rounds if largest > crowd else 1):
+            pairs = materialize(shingle_join.star_pairs(tokens, stars, least, salt, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
+            seen = seen.unionAll(pairs)
+            stars = components(checked(pairs).unionAll(stars), SMALL)
+        rest = materialize(shingle_join.pairs_across(tokens, stars, least, crowds).join(seen, ["u", "v"], "left_anti"), "candidates")
+        gone = components(checked(rest).unionAll(stars), SMALL).select(F.col("a").alias("__d"))
     # of rows that repeat an id, the one of least text hash stays; of equal ones, the first numbered
     once = Window.partitionBy("__d").orderBy(text_hash)
     kept = known.join(copies.select(F.col("doc_id").alias("__d")).unionAll(gone), "__d", "left_anti").withColumn("__n", F.row_number().over(once)).filter("__n = 1")
