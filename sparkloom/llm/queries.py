@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, merkle, mixing, quality, simhash, substring_trees, suffix_array, token_counts, token_files
+from . import bpe, conversation_trie, delta_lloyd, language, lm, merkle, mixing, quality, simhash, substring_trees, suffix_array, token_counts, token_files
 from .common import documents
 
 
@@ -54,5 +54,17 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixing_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_token_counts, op5_language_id, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op9_suffix_array_dedup, op10_mixing)}
-ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op7_substring_dedup": substring_trees.ORACLE_SQL, "op9_suffix_array_dedup": suffix_array.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+def op11_lm_scoring(spark, sf_dir):
+    return lm.score_table(documents(spark, sf_dir))
+
+
+def op12_delta_lloyd(spark, sf_dir):
+    return delta_lloyd.cluster_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.trie_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_token_id_files, op4_token_counts, op5_language_id, op6_quality_rules, op7_substring_dedup, op8_document_fingerprints, op9_suffix_array_dedup, op10_mixing, op11_lm_scoring, op12_delta_lloyd, op13_conversation_trie)}
+ORACLES = {"op6_quality_rules": quality.ORACLE_SQL, "op7_substring_dedup": substring_trees.ORACLE_SQL, "op9_suffix_array_dedup": suffix_array.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op12_delta_lloyd": delta_lloyd.ORACLE_SQL, "op13_conversation_trie": conversation_trie.ORACLE_SQL}
