@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import values as va
 from sparkloom.plans.base import query, table
+from sparkloom.storage import shared_folder
+from sparkloom.streaming import live
 from sparkloom.streaming import progress as pr
 
 _KIND = "CASE event_id % 7 WHEN 0 THEN 'phase_start' WHEN 1 THEN 'step_progress' WHEN 2 THEN 'phase_complete' WHEN 3 THEN 'classification' WHEN 4 THEN 'classification' WHEN 5 THEN 'step_progress' ELSE CASE WHEN event_id % 49 = 6 THEN 'complete' ELSE 'phase_start' END END"
@@ -13,7 +17,11 @@ EVENTS = f"""e AS (SELECT event_id AS seq, ts, {_KIND} AS event, user_id AS batc
 
 
 def events(spark, d):
-    return table(spark, d, "events").selectExpr("event_id seq", "CAST(ts AS timestamp) ts", f"{_KIND} event", "user_id batch_id", "CAST(event_id % 5 + 1 AS INT) phase", "event_type step", "CAST(CAST(floor(value) AS BIGINT) % 11 AS INT) completed", "10 total", "event_id % 40 atom_id", "event_type classification", "CAST(event_id % 100 AS INT) atoms_produced", "value latency_ms")
+    return _as_events(table(spark, d, "events"))
+
+
+def _as_events(raw):
+    return raw.selectExpr("event_id seq", "CAST(ts AS timestamp) ts", f"{_KIND} event", "user_id batch_id", "CAST(event_id % 5 + 1 AS INT) phase", "event_type step", "CAST(CAST(floor(value) AS BIGINT) % 11 AS INT) completed", "10 total", "event_id % 40 atom_id", "event_type classification", "CAST(event_id % 100 AS INT) atoms_produced", "value latency_ms")
 
 
 _STATES = """s AS (SELECT batch_id, phase, arg_max(struct_pack(status := CASE WHEN event = 'phase_complete' THEN 'complete' ELSE 'in_progress' END, pct := CASE event WHEN 'phase_start' THEN 0 WHEN 'phase_complete' THEN 100 ELSE round_even(completed * 100.0 / total, 0)::INT END,
@@ -89,3 +97,20 @@ def dtj3(spark, d):
 def dtj4(spark, d):
     m = F.from_json("props", "map<string,bigint>")
     return table(spark, d, "events").filter(F.element_at(m, F.lit("k")).isNotNull()).select("event_id", F.element_at(va.counted_up(m, "k"), F.lit("k")).alias("k"))
+
+
+_LIVE = """g AS (SELECT *, epoch_ms(ts) AS ms, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER w >= 86400000 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY batch_id ORDER BY epoch_ms(ts), seq)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY batch_id ORDER BY ms, seq) AS part, max(ms) OVER (PARTITION BY batch_id) AS last FROM g),
+x AS (SELECT * FROM n WHERE part = (SELECT max(part) FROM n m WHERE m.batch_id = n.batch_id) AND (SELECT max(ms) FROM g) - 3600000 - last < 86400000)"""
+
+
+@query("str10_live_state", f"""WITH {EVENTS}, {_LIVE}, p AS (SELECT batch_id, phase, max(seq) AS seq, arg_max(event, seq) AS event, arg_max(completed, seq) AS completed, arg_max(step, seq) AS step, arg_max(atoms_produced, seq) AS made, arg_max(latency_ms, seq) AS ms FROM x WHERE event IN ('phase_start', 'step_progress', 'phase_complete') GROUP BY 1, 2)
+SELECT batch_id, 'phase' AS kind, phase::BIGINT AS pos, seq, CASE WHEN event = 'phase_complete' THEN 'complete' ELSE 'in_progress' END AS status, CASE event WHEN 'phase_start' THEN 0 WHEN 'phase_complete' THEN 100 ELSE completed * 10 END::INT AS pct, CASE WHEN event = 'step_progress' THEN step END AS step, CASE WHEN event = 'phase_complete' THEN made ELSE 0 END AS atoms_produced, CASE WHEN event = 'phase_complete' THEN ms END AS latency_ms FROM p
+UNION ALL SELECT batch_id, 'atom', atom_id, min(seq), arg_min(classification, seq), NULL, NULL, NULL, NULL FROM x WHERE event = 'classification' GROUP BY 1, 3
+UNION ALL SELECT batch_id, 'end', 0, min(seq), arg_min(event, seq), NULL, NULL, NULL, NULL FROM x WHERE event = 'complete' GROUP BY 1""")
+def str10(spark, d):
+    """The stream over the whole table of events: what its keyed state holds at the end, a day of silence having dropped batches by their timers."""
+    raw = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    folder = f"{shared_folder(spark)}/sparkloom/live-{uuid.uuid4().hex}"
+    live.run(live.changes(_as_events(raw)), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return live.snapshot(spark.read.schema(live.LOG).parquet(f"{folder}/log"))
