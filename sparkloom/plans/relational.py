@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.functions import scores
 from sparkloom.functions import values as va
@@ -11,6 +14,8 @@ from sparkloom.operators import relational as rel
 from sparkloom.operators import review as rv
 from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
+from sparkloom.sources.keyed import KeyedTable
+from sparkloom.storage import shared_folder
 
 BATCHES = "b AS (SELECT o_orderkey AS batch_id, o_custkey AS upload_id, o_orderstatus AS status, o_orderpriority AS country, o_totalprice AS total, o_orderdate AS created_at FROM orders)"
 
@@ -301,3 +306,39 @@ def set2(spark, d):
 @query("srt11_index_newest_first", f"WITH {BATCHES} SELECT batch_id, floor(epoch(created_at))::BIGINT AS at FROM b ORDER BY created_at DESC, batch_id LIMIT 50")
 def srt11(spark, d):
     return vw.newest(batches(spark, d), "created_at", "batch_id", 50).select("batch_id", va.epoch(F.col("created_at")).alias("at"))
+
+
+def _keyed(spark, name, schema, key, rows):
+    """A new keyed table in the shared folder, with a bucket for each 500,000 rows, about."""
+    return KeyedTable.create(spark, f"{shared_folder(spark)}/sparkloom/{name}-{uuid.uuid4().hex}", StructType.fromDDL(schema), [key], 8 + rows // 500_000)
+
+
+@query("snk3_table_merges", _UPSERT + """, m AS (SELECT k, CASE WHEN n.k IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence, CASE WHEN o.k IS NOT NULL THEN o.module ELSE n.module END AS module FROM o FULL JOIN n USING (k))
+SELECT k, confidence, CASE WHEN k % 7 = 0 THEN 'seen' ELSE module END AS module FROM m WHERE k % 11 <> 0 UNION ALL SELECT o_orderkey, o_totalprice, 'late' FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0""")
+def snk3_table(spark, d):
+    """Insert, upsert, keyed update, delete and insert-if-absent, each a commit of one lasting table."""
+    old, new = _upsert_sides(spark, d)
+    t = _keyed(spark, "results", "k long, confidence double, module string", "k", old.count())
+    t.merge(old, [])
+    t.merge(new, ["confidence"])
+    t.update_where(F.col("k") % 7 == 0, {"module": F.lit("seen")})
+    t.delete(t.read().filter("k % 11 = 0").select("k"))
+    t.insert_absent(table(spark, d, "orders").filter("o_orderkey % 2 = 1 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0").selectExpr("o_orderkey k", "o_totalprice confidence", "'late' module"))
+    return t.read()
+
+
+@query("snk9_table_points", """WITH t AS (SELECT *, CASE WHEN event_id < (SELECT (count(*) + 2) // 3 FROM events) THEN 1 ELSE 2 END AS part FROM events)
+SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, CASE WHEN max(part) = 1 THEN 'v1' ELSE 'v2' END AS kind FROM t GROUP BY 1""")
+def snk9_table(spark, d):
+    """Points upserted by id in three runs; a column is added once, between the first and the second, and older rows have its fill."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    n = e.count()
+    first, second = (n + 2) // 3, (n + 2) // 3 + (n + 1) // 3
+    t = _keyed(spark, "points", "user_id long, event_id long, event_type string", "user_id", n)
+    t.merge(e.filter(F.col("event_id") < first), ["event_id", "event_type"])
+    for _ in range(2):
+        t.migrate("V2", "kind string", {"kind": "v1"})
+    later = e.withColumn("kind", F.lit("v2"))
+    t.merge(later.filter((F.col("event_id") >= first) & (F.col("event_id") < second)), ["event_id", "event_type", "kind"])
+    t.merge(later.filter(F.col("event_id") >= second), ["event_id", "event_type", "kind"])
+    return t.read()
