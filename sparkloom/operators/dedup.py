@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.retrieval import _unit
+from sparkloom.operators.vector_index import VectorIndex
 from sparkloom.storage import written
 
 #: Rows of a tile, about: a block of n rows is n / TILE_ROWS tiles, and each two of them meet in one task.
@@ -52,23 +55,27 @@ def owners(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str =
     return rows.select("id").join(marks.withColumnRenamed("j", "id"), "id", "left").select("id", "owner", (F.col("owner").isNull() & F.col("near").isNotNull()).alias("soft"))
 
 
-def greedy(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b") -> DataFrame:
-    """id, owner, soft where an absorbed row absorbs no other (DED3).
+def greedy(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b", pairs: DataFrame | None = None) -> DataFrame:
+    """id, owner, soft where an absorbed row absorbs no other (DED3). pairs: those above `soft`, if they are known.
 
     What the pairs in (i, j) order decide one by one: a row is absorbed if a smaller similar row is kept, and kept if all
     of those are absorbed. Each round decides every row whose smaller neighbours are decided, so rounds follow the
-    longest chain of such rows, not the number of pairs. The owner is the least kept neighbour; a row is soft if a
-    kept row was similar to it before it was absorbed.
+    longest chain of such rows, not the number of pairs. A pair remembers what was decided of its i, so a round joins and writes new
+    decisions only. The owner is the least kept neighbour; a row is soft if a kept row was similar to it before it was absorbed.
     """
-    pairs = written(similar_pairs(rows, soft, block), "pairs")
+    pairs = written(similar_pairs(rows, soft, block) if pairs is None else pairs, "pairs")
     hard_pairs = pairs.filter(F.col("s") > hard).select("i", "j")
-    live = written(hard_pairs, "live")
-    status = written(live.select(F.col("i").alias("id")).distinct().join(live.select(F.col("j").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "status")
-    while not live.isEmpty():
-        seen = live.join(status.withColumnRenamed("id", "i"), "i", "left").groupBy(F.col("j").alias("id")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.min(F.col("kept").isNotNull()).alias("all_known"))
-        new = written(seen.filter("any_kept OR all_known").select("id", (~F.col("any_kept")).alias("kept")), "status")
-        live = written(live.join(new.select(F.col("id").alias("j")), "j", "left_anti"), "live")
-        status = written(status.unionByName(new), "status")
+    live = hard_pairs.withColumn("known", F.lit(None).cast("boolean"))
+    new = written(hard_pairs.select(F.col("i").alias("id")).distinct().join(hard_pairs.select(F.col("j").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "decided")
+    decided = [new]
+    while not new.isEmpty():
+        told = live.join(new.withColumnRenamed("id", "i"), "i", "left").select("i", "j", F.coalesce("known", "kept").alias("known"))
+        told = written(told, "live")
+        seen = told.groupBy(F.col("j").alias("id")).agg(F.max(F.coalesce("known", F.lit(False))).alias("any_kept"), F.min(F.col("known").isNotNull()).alias("all_known"))
+        new = written(seen.filter("any_kept OR all_known").select("id", (~F.col("any_kept")).alias("kept")), "decided")
+        live = told.join(new.select(F.col("id").alias("j")), "j", "left_anti")
+        decided.append(new)
+    status = reduce(DataFrame.unionByName, decided)
     gone = status.filter(~F.col("kept")).select(F.col("id").alias("i"))
     owner = hard_pairs.join(gone, "i", "left_anti").groupBy(F.col("j").alias("id")).agg(F.min("i").alias("owner"))
     near = pairs.filter(F.col("s") <= hard).select("i", F.col("j").alias("id")).join(gone, "i", "left_anti").groupBy("id").agg(F.min("i").alias("first"))
@@ -76,6 +83,14 @@ def greedy(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str =
     return out.select("id", "owner", (F.col("first").isNotNull() & (F.col("owner").isNull() | (F.col("first") < F.col("owner")))).alias("soft"))
 
 
+def greedy_by_index(rows: DataFrame, hard: float = 0.92, soft: float = 0.80) -> DataFrame:
+    """`greedy` over a whole table without blocks: the pairs come from a vector index, which leaves out lists that can't hold any (DED3)."""
+    index = VectorIndex.build(rows)
+    pairs = written(index.pairs_above(rows, soft), "pairs")
+    index.drop()
+    return greedy(rows, hard, soft, pairs=pairs)
+
+
 def deduplicate(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b", most: int = MATRIX_ROWS) -> DataFrame:
     """id, owner, soft: blocks of up to `most` rows by `owners`, larger ones by `greedy`; a block of one row has no pairs (DED1)."""
     sizes = rows.groupBy(block).agg((F.count("*") > most).alias("__large"))

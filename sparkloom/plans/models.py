@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as tx
 from sparkloom.operators import dedup, models, pii
 from sparkloom.operators import relational as rel
-from sparkloom.plans.base import ORACLES, VERDICTS, query, table, verdicts
+from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches
-from sparkloom.plans.retrieval import vectors
+from sparkloom.plans.retrieval import _PAIRS, _greedy_sql, vectors
 from sparkloom.plans.texts import TOKENS, docs
 
 #: Atoms as they come out of matching: route, capabilities and best score. One per order.
@@ -84,10 +84,15 @@ def mdl4(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.md5(tx.narrated(F.array_join(lines, "\n"))).alias("told_md5"))
 
 
-@query("ded1_dispatcher", ORACLES["ded2_duplicate_owners"])
+_SMALL = _PAIRS.replace("a.label = b.label", "a.label = b.label AND a.label >= 8")
+_LARGE = _PAIRS.replace("a.label = b.label", "a.label < 8 AND b.label < 8")
+
+
+@query("ded1_dispatcher", f"""SELECT * FROM (WITH {_SMALL}, h AS (SELECT j, min(i) AS owner FROM p WHERE s > 0.35 GROUP BY 1), f AS (SELECT DISTINCT j FROM p WHERE s > 0.25 AND s <= 0.35) SELECT vec_id AS id, owner, (owner IS NULL AND f.j IS NOT NULL) AS soft FROM embeddings LEFT JOIN h ON h.j = vec_id LEFT JOIN f ON f.j = vec_id WHERE label >= 8)
+UNION ALL SELECT * FROM ({_greedy_sql(_LARGE, "(SELECT * FROM embeddings WHERE label < 8)")})""")
 def ded1(spark, d):
-    """Blocks of the sample are small, so that all go the matrix way; tests hold the other to brute force."""
-    return dedup.deduplicate(vectors(spark, d), hard=0.35, soft=0.25, block="label")
+    """Labels below 8 are one block of more than MATRIX_ROWS rows and go the greedy way; the others are small blocks and go the matrix way."""
+    return dedup.deduplicate(vectors(spark, d).withColumn("block", F.when(F.col("label") < 8, -1).otherwise(F.col("label"))), hard=0.35, soft=0.25, block="block")
 
 
 @query("prj16_tolerant_json", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN (props::JSON ->> 'k')::BIGINT END AS k FROM events")

@@ -10,6 +10,7 @@ from sparkloom.functions import values as va
 from sparkloom.operators import dedup
 from sparkloom.operators import retrieval as ret
 from sparkloom.operators import views as vw
+from sparkloom.operators.vector_index import VectorIndex
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -200,6 +201,31 @@ def ded3(spark, d):
     return dedup.greedy(vectors(spark, d), hard=0.35, soft=0.25, block="label")
 
 
+_WHOLE = f"p AS (SELECT a.vec_id AS i, b.vec_id AS j, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+
+
+def _greedy_sql(pairs: str, base: str = "embeddings") -> str:
+    return f"""WITH RECURSIVE {pairs}, o AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY i, j) AS n FROM p WHERE s > 0.35),
+r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone UNION ALL SELECT o.n, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, j) END FROM r JOIN o ON o.n = r.n + 1),
+g AS MATERIALIZED (SELECT unnest(gone) AS id FROM r WHERE n = (SELECT max(n) FROM r)), w AS (SELECT j, min(i) AS owner FROM o WHERE i NOT IN (SELECT id FROM g) GROUP BY 1),
+f AS (SELECT j, min(i) AS first FROM p WHERE s > 0.25 AND s <= 0.35 AND i NOT IN (SELECT id FROM g) GROUP BY 1)
+SELECT vec_id AS id, owner, (first IS NOT NULL AND (owner IS NULL OR first < owner)) AS soft FROM {base} LEFT JOIN w ON w.j = vec_id LEFT JOIN f ON f.j = vec_id"""
+
+
+@query("ded3_index_duplicates", _greedy_sql(_WHOLE))
+def ded3_index(spark, d):
+    """The whole table as one block: pairs through the index."""
+    return dedup.greedy_by_index(vectors(spark, d), hard=0.35, soft=0.25)
+
+
+@query("srt4_index_top20")
+def srt4_index(spark, d):
+    """The stated queries through an index of all rows; tests print and hold its recall against `srt4_knn_top20`."""
+    v = vectors(spark, d)
+    found = VectorIndex.build(v).search(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), 20)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("ded4_merge", f"WITH {_PAIRS}, h AS (SELECT j, min(i) AS owner FROM p WHERE s > 0.35 GROUP BY 1), m AS (SELECT owner, string_agg(j::VARCHAR, ',' ORDER BY j) AS ids, count(*) AS n FROM h GROUP BY 1) SELECT vec_id AS id, vec_id || coalesce(',' || ids, '') AS source_ref, coalesce(n, 0) AS absorbed FROM embeddings LEFT JOIN m ON owner = vec_id WHERE vec_id NOT IN (SELECT j FROM h)")
 def ded4(spark, d):
     v = vectors(spark, d)
