@@ -15,7 +15,7 @@ from sparkloom.operators import review as rv
 from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches, uploads
-from sparkloom.plans.retrieval import hits, knn_sql
+from sparkloom.plans.retrieval import _HYBRID, hits, knn_sql, sparse_hits
 
 
 @query("jon2_atom_views", f"WITH {VERDICTS}, a AS (SELECT o_orderkey AS atom, o_orderpriority AS country FROM orders) SELECT atom_id, country, classification FROM v LEFT JOIN a ON a.atom = atom_id // 8")
@@ -197,13 +197,10 @@ def pip9(spark, d):
     return rv.merge_overrides(v, dec).select("atom_id", "classification")
 
 
-@query("pip10_search_dispatch", f"""WITH {knn_sql(10)}, s AS (SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY id) AS other FROM hits),
-f AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + other) AS score FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS n FROM f)
-SELECT query_id, id, 'hybrid' AS way FROM b WHERE n <= 5 UNION ALL SELECT query_id, id, 'dense' FROM hits WHERE rank <= 5""")
+@query("pip10_search_dispatch", f"WITH {_HYBRID} SELECT query_id, id, 'hybrid' AS way FROM both_ UNION ALL SELECT query_id, id, 'dense' FROM hits WHERE rank <= 5")
 def pip10(spark, d):
     dense = hits(spark, d, 10)
-    sparse = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    both = pipe.search(dense, sparse, 5).select("query_id", "id", F.lit("hybrid").alias("way"))
+    both = pipe.search(dense, sparse_hits(spark, d, 10), 5).select("query_id", "id", F.lit("hybrid").alias("way"))
     return both.unionByName(pipe.search(dense, None, 5).select("query_id", "id", F.lit("dense").alias("way")))
 
 

@@ -6,12 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scores
+from sparkloom.functions import text as tx
 from sparkloom.functions import values as va
 from sparkloom.operators import dedup
 from sparkloom.operators import retrieval as ret
 from sparkloom.operators import views as vw
+from sparkloom.operators.sparse_index import SparseIndex, exhaustive_sql
 from sparkloom.operators.vector_index import VectorIndex
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
+from sparkloom.plans.texts import TOKENS
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _COS = f"{_DOT} / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -48,15 +51,31 @@ def srt5(spark, d):
     return ret.priors_first(hits(spark, d, 10).withColumn("override", F.col("id") % 4 == 0), 5).select("query_id", "id", F.col("prior_rank").cast("long").alias("prior_rank"))
 
 
-@query("srt10_hybrid", f"""WITH {knn_sql(10)}, s AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS rank FROM (SELECT * FROM hits UNION ALL SELECT query_id, id + 1, score, rank FROM hits WHERE rank <= 3)),
-d2 AS (SELECT query_id, id, min(rank) AS d FROM hits GROUP BY ALL), s2 AS (SELECT query_id, id, min(rank) AS s FROM s WHERE rank <= 10 GROUP BY ALL),
-f AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + s), 0) AS score FROM d2 FULL JOIN s2 USING (query_id, id))
-SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM f) WHERE rank <= 5""")
+#: Documents that have a vector, and of these the stated queries: one id names both.
+_TEXTS = "base_ AS MATERIALIZED (SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), asked_ AS (SELECT id AS query_id, text FROM base_ WHERE id % 100 = 0)"
+_SPARSE = f"{_TEXTS}, {exhaustive_sql('base_', 'asked_', 10, TOKENS)}"
+_HYBRID = f"""{knn_sql(10)}, {_SPARSE}, fused_ AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS score FROM hits h FULL JOIN sparse s USING (query_id, id)),
+both_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fused_) WHERE rank <= 5)"""
+
+
+def sparse_hits(spark, d, k: int):
+    """The stated queries' texts through the sparse index of all documents that have a vector."""
+    texts = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+    words = tx.tokens(F.col("text"))
+    return SparseIndex.build(texts, "id", words).search(texts.filter("id % 100 = 0"), k, "id", words)
+
+
+@query("txt18_bm25_top10", f"WITH base_ AS (SELECT doc_id AS id, text FROM documents), asked_ AS (SELECT item_id AS query_id, text FROM benchmark), {exhaustive_sql('base_', 'asked_', 10, TOKENS)} SELECT query_id, id, rank, round(score, 6) AS score FROM sparse")
+def txt18_top(spark, d):
+    """All benchmark items against all documents."""
+    words = tx.tokens(F.col("text"))
+    found = SparseIndex.build(table(spark, d, "documents"), "doc_id", words).search(table(spark, d, "benchmark"), 10, "item_id", words)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("srt10_hybrid", f"WITH {_HYBRID} SELECT query_id, id, round(score, 9) AS score, rank FROM both_")
 def srt10(spark, d):
-    dense = hits(spark, d, 10)
-    more = dense.unionByName(dense.filter("rank <= 3").withColumn("id", F.col("id") + 1))
-    sparse = more.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("id").desc()))).filter("rank <= 10").groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
-    return ret.hybrid(dense, sparse, 5).select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ret.hybrid(hits(spark, d, 10), sparse_hits(spark, d, 10), 5).select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("srt6_rerank", f"WITH {knn_sql(20)} SELECT query_id, id, round(1 / (1 + exp(-score * 10)), 6) AS rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS n FROM hits) WHERE n <= 7")
