@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scores
 from sparkloom.functions import text as tx
 from sparkloom.functions import values as va
-from sparkloom.operators import dedup
+from sparkloom.operators import containment, dedup
 from sparkloom.operators import retrieval as ret
 from sparkloom.operators import views as vw
 from sparkloom.operators.sparse_index import SparseIndex, exhaustive_sql
@@ -140,6 +140,31 @@ def jon11(spark, d):
     return caps.join(first, ["atom_id", "id"], "left").select("atom_id", "id", F.round(F.least(F.lit(1.0), F.col("score") + scores.PRIOR_BOOST * F.coalesce("boosts", F.lit(0))), 9).alias("score"))
 
 
+_FEATURES = "a AS MATERIALIZED (SELECT DISTINCT lower(trim(x)) AS x FROM (SELECT unnest([p_name, p_type, p_brand] || string_split(p_name, ' ')) AS x FROM part UNION ALL SELECT unnest(string_split(text, '. ')) FROM benchmark))"
+
+
+def features(spark, d):
+    """Distinct names, types and brands of parts, their words, and the sentences of benchmark items."""
+    parts = table(spark, d, "part").select(F.explode(F.concat(F.array("p_name", "p_type", "p_brand"), F.split("p_name", " "))).alias("x"))
+    lines = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("x"))
+    return parts.unionByName(lines).select(F.lower(F.trim("x")).alias("x")).distinct()
+
+
+@query("jon10_features_in_texts", f"WITH {_FEATURES} SELECT x AS feature, doc_id FROM a JOIN documents ON x <> '' AND lower(trim(text)) <> '' AND (contains(lower(trim(text)), x) OR contains(x, lower(trim(text))))")
+def jon10_texts(spark, d):
+    """Features against whole documents, either way round."""
+    f = features(spark, d).withColumn("feature", F.col("x"))
+    return containment.either_way(f, table(spark, d, "documents"), "feature", "x", "doc_id", "text")
+
+
+@query("txt6_overlap_of_features", f"WITH {_FEATURES} SELECT doc_id, count(*)::DOUBLE / (SELECT count(*) FROM a WHERE x <> '') AS overlap FROM a JOIN documents ON x <> '' AND contains(lower(trim(text)), x) GROUP BY 1")
+def txt6_features(spark, d):
+    """The share of all features that each document holds; documents without any are left out."""
+    f = features(spark, d).filter("x <> ''").withColumn("feature", F.col("x"))
+    total = f.count()
+    return containment.contained(f, table(spark, d, "documents"), "feature", "x", "doc_id", "text").groupBy("doc_id").agg((F.count("*") / F.lit(total)).alias("overlap"))
+
+
 @query("mth6_prior_score", f"WITH {VERDICTS} SELECT atom_id, round(least(1.0, CASE classification WHEN 'FIT' THEN 0.10 WHEN 'PARTIAL_FIT' THEN 0.05 ELSE 0 END + 0.60 * confidence + CASE WHEN reviewed THEN 0.15 ELSE 0 END), 6)::DOUBLE AS score FROM v")
 def mth6(spark, d):
     return verdicts(spark, d).select("atom_id", F.round(scores.prior_score(F.col("classification"), F.col("confidence"), F.col("reviewed")), 6).alias("score"))
