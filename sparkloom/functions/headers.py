@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.storage import written
+
 
 def _indel(a: str, b: str) -> float:
     """2 * LCS / (|a| + |b|), in percent."""
@@ -58,7 +60,7 @@ def load_synonyms(spark, synonyms: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "canonical string, term string, ord int")
 
 
-#: Synonyms that are broadcast and compared with each unknown header, at most; they are hand-written configuration.
+#: Synonyms that are broadcast and compared with each unknown header, at most, where the similarity is the caller's own.
 MOST_SYNONYMS = 20_000
 
 
@@ -69,24 +71,29 @@ def trigram_cosine(a: str | None, b: str | None) -> float:
     return sum(v * y[k] for k, v in x.items()) / n if n else 0.0
 
 
-def map_headers(headers: DataFrame, synonyms: DataFrame, header: str = "header", fuzzy_above: float = 70.0, alike_above: float = 0.65, alike=trigram_cosine) -> DataFrame:
+def map_headers(headers: DataFrame, synonyms: DataFrame, header: str = "header", fuzzy_above: float = 70.0, alike_above: float = 0.65, alike=None) -> DataFrame:
     """The headers with canonical, confidence and tier: exact, else fuzzy (token-set ratio above `fuzzy_above`), else nlp (`alike` above `alike_above`), else unmatched (TXT8).
 
-    Of equal scores the earlier synonym wins. Each different unknown header is compared once.
+    Of equal scores the earlier synonym wins. Each different unknown header is compared once, and only with terms that may be above a threshold
+    (`operators.fuzzy`). A similarity of the caller's own (`alike`) has no such bound, so it is asked for each term, of at most MOST_SYNONYMS.
     """
-    if synonyms.count() > MOST_SYNONYMS:
-        raise ValueError(f"more than {MOST_SYNONYMS} synonyms")
-
-    @F.pandas_udf("struct<fuzzy:double,nlp:double>")
-    def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fuzzy": [ratio(x, y) for x, y in zip(a, b)], "nlp": [alike(x, y) for x, y in zip(a, b)]})
+    from sparkloom.operators import fuzzy
 
     named = headers.withColumn("__h", F.lower(F.trim(header)))
-    exact = named.join(F.broadcast(synonyms.select(F.col("term").alias("__h"), F.col("canonical").alias("__exact"))), "__h", "left")
-    distinct = exact.filter(F.col("__exact").isNull() & F.col("__h").isNotNull()).select("__h").distinct()
-    pairs = distinct.crossJoin(F.broadcast(synonyms)).withColumn("s", scored("__h", "term"))  # at most MOST_SYNONYMS a header
-    tier = F.when(F.col("s.fuzzy") > fuzzy_above, F.struct(F.lit(2).alias("t"), (F.col("s.fuzzy") / 100).alias("r"))).when(F.col("s.nlp") > alike_above, F.struct(F.lit(1).alias("t"), F.col("s.nlp").alias("r")))
-    best = pairs.withColumn("m", tier).filter("m IS NOT NULL").groupBy("__h").agg(F.max(F.struct("m.t", "m.r", (-F.col("ord")).alias("o"), "canonical")).alias("b")).select("__h", "b.t", "b.r", F.col("b.canonical").alias("__near"))
+    exact = named.join(synonyms.select(F.col("term").alias("__h"), F.col("canonical").alias("__exact")), "__h", "left")
+    unknown = written(exact.filter(F.col("__exact").isNull() & F.col("__h").isNotNull()).select(F.col("__h").alias("t")).distinct(), "headers")
+    terms = written(synonyms.select(F.col("term").alias("t"), "canonical", "ord"), "terms")
+    near = written(fuzzy.ratio_pairs(unknown, terms, fuzzy_above).select("x", "y", F.lit(2).alias("t"), (F.col("score") / 100).alias("r")), "near")
+    rest = unknown.join(near.select(F.col("x").alias("t")).distinct(), "t", "left_anti")
+    if alike is None:
+        told = fuzzy.trigram_pairs(rest, terms, alike_above)
+    else:
+        if terms.count() > MOST_SYNONYMS:
+            raise ValueError(f"more than {MOST_SYNONYMS} synonyms")
+        scored = F.pandas_udf(lambda a, b: pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=float), "double")
+        told = rest.select(F.col("t").alias("x")).crossJoin(F.broadcast(terms.select(F.col("t").alias("y")))).withColumn("score", scored("x", "y")).filter(F.col("score") > alike_above)
+    pairs = near.unionByName(told.select("x", "y", F.lit(1).alias("t"), F.col("score").alias("r")))
+    best = pairs.join(terms.withColumnRenamed("t", "y"), "y").groupBy(F.col("x").alias("__h")).agg(F.max(F.struct("t", "r", (-F.col("ord")).alias("o"), "canonical")).alias("b")).select("__h", "b.t", "b.r", F.col("b.canonical").alias("__near"))
     out = exact.join(best, "__h", "left")
     is_exact = F.col("__exact").isNotNull()
     return out.select(*headers.columns, F.coalesce("__exact", "__near").alias("canonical"), F.when(is_exact, 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("confidence"), F.when(is_exact, "exact").when(F.col("t") == 2, "fuzzy").when(F.col("t") == 1, "nlp").otherwise("unmatched").alias("tier"))

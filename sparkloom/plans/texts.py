@@ -218,22 +218,68 @@ def agg15(spark, d):
 HEADER_SYNONYMS = {"ECONOMY": ["economy", "economy part"], "STANDARD": ["standard", "standard part"], "PROMO": ["promo brand"]}
 
 
-@query("txt8_header_mapping")
+def _lcs(u: str, v: str) -> str:
+    """Length of the longest common subsequence, by the bits of a HUGEINT; u has up to 120 characters."""
+    full = f"((1::HUGEINT << len({u})) - 1)"
+    at = f"list_sum(list_transform(range(1, len({u}) + 1), lambda i: CASE WHEN substr({u}, i::BIGINT, 1) = ch THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT"
+    return f"(len({u}) - bit_count(list_reduce([{full}] || list_transform(string_split({v}, ''), lambda ch: coalesce({at}, 0::HUGEINT)), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})))"
+
+
+def _indel(u: str, v: str) -> str:
+    return f"CASE WHEN {u} = '' AND {v} = '' THEN 100.0 ELSE 200.0 * {_lcs(u, v)} / (len({u}) + len({v})) END"
+
+
+def ratio_sql(pairs: str) -> str:
+    """DuckDB CTEs that end in `ratios` (a, b, score in percent) for the distinct pairs (a, b) of a table."""
+    words = lambda c: f"list_sort(list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda w: w <> '')))"
+    return f"""w_ AS MATERIALIZED (SELECT DISTINCT a, b, {words('a')} AS x, {words('b')} AS y FROM {pairs} WHERE a IS NOT NULL AND b IS NOT NULL),
+p_ AS MATERIALIZED (SELECT a, b, len(x) * len(y) AS n, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS c, array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS l, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS r FROM w_),
+j_ AS MATERIALIZED (SELECT *, trim(c || ' ' || l) AS p, trim(c || ' ' || r) AS q FROM p_),
+ratios AS MATERIALIZED (SELECT a, b, CASE WHEN n = 0 THEN 0.0 WHEN c <> '' AND (l = '' OR r = '') THEN 100.0 ELSE greatest({_indel('p', 'q')}, CASE WHEN c <> '' THEN {_indel('c', 'p')} ELSE 0 END, CASE WHEN c <> '' THEN {_indel('c', 'q')} ELSE 0 END) END::DOUBLE AS score FROM j_)"""
+
+
+_HEADS = "CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_type || ' ' || p_brand ELSE p_name END"
+_TERMS = ", ".join(f"('{c}', '{t}', {i})" for i, (c, t) in enumerate((c, t) for c, ts in HEADER_SYNONYMS.items() for t in ts))
+_GRAMS = "SELECT t, g, count(*) AS n FROM (SELECT t, unnest(list_transform(range(1, len(t) + 2), lambda i: substr('  ' || t || ' ', i::BIGINT, 3))) AS g FROM {0}) GROUP BY ALL"
+
+
+@query("txt8_header_mapping", f"""WITH h AS MATERIALIZED (SELECT p_partkey AS id, lower(trim({_HEADS})) AS t FROM part), s AS MATERIALIZED (SELECT * FROM (VALUES {_TERMS}) v(canonical, term, ord)), u AS MATERIALIZED (SELECT DISTINCT t FROM h WHERE t NOT IN (SELECT term FROM s)),
+pairs_ AS (SELECT t AS a, term AS b FROM u, s), {ratio_sql('pairs_')}, f AS (SELECT a, arg_max(canonical, score * 1000 - ord) AS canonical, max(score) / 100 AS r FROM ratios JOIN s ON term = b WHERE score > 70 GROUP BY a),
+x AS MATERIALIZED ({_GRAMS.format('u')}), y AS MATERIALIZED ({_GRAMS.format('(SELECT term AS t FROM s)')}), nx AS (SELECT t, sqrt(sum(n * n)) AS n FROM x GROUP BY t), ny AS (SELECT t, sqrt(sum(n * n)) AS n FROM y GROUP BY t),
+d AS (SELECT x.t AS a, y.t AS b, sum(x.n * y.n) / any_value(nx.n * ny.n) AS score FROM x JOIN y USING (g) JOIN nx ON nx.t = x.t JOIN ny ON ny.t = y.t GROUP BY ALL),
+n AS (SELECT a, arg_max(canonical, score * 1000 - ord / 1e6) AS canonical, max(score) AS r FROM d JOIN s ON term = b WHERE score > 0.65 GROUP BY a)
+SELECT id, coalesce(s.canonical, f.canonical, n.canonical) AS canonical, CASE WHEN s.canonical IS NOT NULL THEN 'exact' WHEN f.a IS NOT NULL THEN 'fuzzy' WHEN n.a IS NOT NULL THEN 'nlp' ELSE 'unmatched' END AS tier, round(CASE WHEN s.canonical IS NOT NULL THEN 1.0 ELSE coalesce(f.r, n.r, 0.0) END, 6)::DOUBLE AS confidence
+FROM h LEFT JOIN s ON s.term = h.t LEFT JOIN f ON f.a = h.t LEFT JOIN n ON n.a = h.t""")
 def txt8(spark, d):
     from sparkloom.functions.headers import load_synonyms, map_headers
 
     synonyms = load_synonyms(spark, HEADER_SYNONYMS)
-    heads = table(spark, d, "part").selectExpr("p_partkey id", "CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_type || ' ' || p_brand ELSE p_name END header")
+    heads = table(spark, d, "part").selectExpr("p_partkey id", f"{_HEADS} header")
     return map_headers(heads, synonyms).selectExpr("id", "canonical", "tier", "round(confidence, 6) confidence")
 
 
-@query("txt7_token_set_ratio")
+_LABEL = "p_name || ' ' || p_type || ' ' || p_brand"
+
+
+@query("txt7_token_set_ratio", f"""WITH l AS MATERIALIZED (SELECT p_partkey AS id, {_LABEL} AS t FROM part), n AS MATERIALIZED (SELECT x.id, x.t AS a, y.t AS b FROM l x JOIN l y ON y.id + 1 = x.id), {ratio_sql('n')}
+SELECT id, round(score / 100, 6) AS ratio FROM n JOIN ratios USING (a, b)""")
 def txt7(spark, d):
     from sparkloom.functions.headers import token_set_ratio
 
-    b = table(spark, d, "benchmark").selectExpr("item_id", "text t")
-    other = b.selectExpr("item_id + 1 item_id", "t s")
-    return b.join(other, "item_id").select("item_id", token_set_ratio("t", "s").alias("ratio"))
+    b = table(spark, d, "part").selectExpr("p_partkey id", f"{_LABEL} t")
+    other = b.selectExpr("id + 1 id", "t s")
+    return b.join(other, "id").select("id", F.round(token_set_ratio("t", "s"), 6).alias("ratio"))
+
+
+@query("txt7_fuzzy_pairs", f"""WITH l AS MATERIALIZED (SELECT DISTINCT {_LABEL} AS t FROM part), k AS MATERIALIZED (SELECT DISTINCT p_type || ' ' || p_name AS t FROM part), n AS MATERIALIZED (SELECT l.t AS a, k.t AS b FROM l, k), {ratio_sql('n')}
+SELECT a AS x, b AS y, round(score, 6) AS score FROM ratios WHERE score > 70""")
+def txt7_pairs(spark, d):
+    """All pairs of part labels and part kinds above a ratio of 70, without comparing all pairs."""
+    from sparkloom.operators import fuzzy
+
+    part = table(spark, d, "part")
+    found = fuzzy.ratio_pairs(part.selectExpr(f"{_LABEL} t"), part.selectExpr("p_type || ' ' || p_name t"), 70.0)
+    return found.select("x", "y", F.round("score", 6).alias("score"))
 
 
 @query("chk1_prose_chunks")
