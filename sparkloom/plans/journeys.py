@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches, uploads
 from sparkloom.plans.retrieval import _HYBRID, hits, knn_sql, sparse_hits
+from sparkloom.sources import artifacts, elements
+from sparkloom.storage import shared_folder
 
 
 @query("jon2_atom_views", f"WITH {VERDICTS}, a AS (SELECT o_orderkey AS atom, o_orderpriority AS country FROM orders) SELECT atom_id, country, classification FROM v LEFT JOIN a ON a.atom = atom_id // 8")
@@ -236,3 +240,27 @@ def ded5(spark, d):
 def pip1(spark, d):
     module = F.when(F.col("doc_id") % 2 == 0, "AccountsPayable").otherwise("Budgeting")
     return pipe.ingested(table(spark, d, "documents"), "doc_id", "text", module).select("doc_id", "pos", "module", "action", "n_entities", "gate")
+
+
+@query("src9_element_windows", """SELECT conv_id, (n // 3 + 1)::INT AS page, (n % 3)::INT AS position, (ceil((n // 3 + 1) / 5.0))::INT AS win, 'TEXT' AS kind, md5(text) AS text_md5
+FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)""")
+def src9_elements(spark, d):
+    """A text file for each conversation, three turns on a page, read as elements in windows of five pages."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))  # one conversation
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 3).cast("int")), lambda p: F.array_join(F.transform(F.slice("t", p * 3 + 1, F.lit(3)), lambda e: e["text"]), "\n\n"))
+    files = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.array_join(pages, "\f").alias("text"))
+    folder = f"{shared_folder(spark)}/sparkloom/files-{uuid.uuid4().hex}"
+    files.write.partitionBy("conv_id").text(folder)
+    elements.register(spark)
+    read = spark.read.format("sparkloom_elements").load(folder)
+    return read.select(F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), "page", "position", F.col("window").alias("win"), "kind", F.md5("text").alias("text_md5"))
+
+
+@query("snk12_artifact_store", "SELECT DISTINCT source AS batch_id, 'lang_' || lang AS artifact_type, substr(sha256(text), 1, 16) AS artifact_id, strlen(text)::BIGINT AS size FROM documents")
+def snk12_store(spark, d):
+    """Every document as an artifact, written twice; the second time nothing is new."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("batch_id"), F.concat(F.lit("lang_"), "lang").alias("artifact_type"), F.col("text").cast("binary").alias("content"))
+    folder = f"{shared_folder(spark)}/sparkloom/artifacts-{uuid.uuid4().hex}"
+    for _ in range(2):
+        artifacts.store(rows, folder)
+    return artifacts.listing(spark, folder)
