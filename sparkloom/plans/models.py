@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
 from sparkloom.operators import dedup, models, pii
 from sparkloom.operators import relational as rel
+from sparkloom.operators import review as rv
+from sparkloom.operators.ledger import GateLedger
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches
 from sparkloom.plans.retrieval import _PAIRS, _greedy_sql, vectors
 from sparkloom.plans.texts import TOKENS, docs
+from sparkloom.storage import shared_folder
 
 #: Atoms as they come out of matching: route, capabilities and best score. One per order.
 MATCHED = """m AS (SELECT *, CASE WHEN c > 0.85 THEN 'FAST_TRACK' WHEN c >= 0.3 THEN 'DEEP_REASON' ELSE 'GAP_CONFIRM' END AS route
@@ -66,6 +71,30 @@ def pip7(spark, d):
     return models.step_gates(b, table(spark, d, "lineitem").selectExpr("l_orderkey batch_id"))
 
 
+@query("pip7_gate_ledger", f"""WITH {VERDICTS}, f AS (SELECT batch_id, bool_or(classification = 'REVIEW_REQUIRED') AS review FROM v GROUP BY 1)
+SELECT batch_id, atom_id, module, CASE WHEN review AND classification = 'REVIEW_REQUIRED' AND atom_id % 2 = 0 THEN 'FIT' ELSE classification END AS classification, CASE WHEN review THEN 6 ELSE 5 END AS gate FROM v JOIN f USING (batch_id)""")
+def pip7_ledger(spark, d):
+    """All batches through five phases; the even ones are a phase ahead at first, each stop is a new ledger over the same folder, and reviews resume with overrides."""
+    line, part, folder = table(spark, d, "lineitem"), table(spark, d, "part").selectExpr("p_partkey", "p_brand module"), f"{shared_folder(spark)}/sparkloom/gates-{uuid.uuid4().hex}"
+    cls = F.when(F.col("l_quantity") > 45, "REVIEW_REQUIRED").when(F.col("l_returnflag") == "A", "FIT").when(F.col("l_returnflag") == "N", "PARTIAL_FIT").otherwise("GAP")
+    phases = [
+        ("Ingestion", lambda rows: rows.select("batch_id", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("atom_id"), "l_partkey", "l_quantity", "l_returnflag", "l_tax")),
+        ("RAG", lambda rows: rows.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey", "l_partkey")),
+        ("Matching", lambda rows: rows.withColumn("top_score", F.round(F.col("l_tax") * 10, 2))),
+        ("Classification", lambda rows: rows.withColumn("classification", cls)),
+        ("Validation", lambda rows: rows.withColumn("flags", F.when(F.col("classification") == "REVIEW_REQUIRED", F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>")))),
+    ]
+    ledger = lambda: GateLedger(spark, folder, phases, F.col("classification") == "REVIEW_REQUIRED")
+    rows = line.withColumnRenamed("l_suppkey", "batch_id")
+    ledger().start(rows)
+    ledger().proceed(rows.filter("batch_id % 2 = 0"))
+    ledger().run()
+    decided = rows.selectExpr("l_orderkey * 8 + l_linenumber atom_id").filter("atom_id % 2 = 0").distinct().selectExpr("atom_id", "'OVERRIDE' decision", "'FIT' override_classification", "'r' reviewer")
+    ledger().resume(rows, lambda r: rv.merge_overrides(r.withColumn("reviewer", F.lit(None).cast("string")), decided))
+    done = ledger()
+    return done.final().join(done.status().select("batch_id", "gate"), "batch_id").select("batch_id", "atom_id", "module", "classification", "gate")
+
+
 @query("txt5_entity_hints", rf"""WITH h AS (SELECT doc_id, list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all(left(coalesce(text, ''), 512), '{tx.HINT}') IF length(x) > 2])) AS h FROM documents) SELECT doc_id, len(h)::BIGINT AS n, md5(array_to_string(h, ',')) AS hints_md5 FROM h""")
 def txt5(spark, d):
     h = docs(spark, d).select("doc_id", tx.entity_hints(F.col("text")).alias("h"))
