@@ -282,7 +282,19 @@ def txt7_pairs(spark, d):
     return found.select("x", "y", F.round("score", 6).alias("score"))
 
 
-@query("chk1_prose_chunks")
+_LINES = "SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents"
+#: Items one after the other: k is 1 where the chunk was closed by its size, 2 by a heading, 0 where it is open.
+_CHUNKS = f"""i AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, length(x) < 20 AS h, trim(x) AS t FROM ({_LINES}) WHERE trim(x) <> ''),
+r AS (SELECT doc_id, n, h, t, 0 AS chunk, 2 AS before, 0 AS size, 2 AS k FROM (SELECT doc_id, 0 AS n, true AS h, '' AS t FROM i GROUP BY 1)
+ UNION ALL SELECT i.doc_id, i.n, i.h, i.t, CASE WHEN NOT i.h AND r.k > 0 THEN r.chunk + 1 ELSE r.chunk END, r.k, CASE WHEN i.h THEN 0 WHEN r.k > 0 THEN length(i.t) ELSE r.size + length(i.t) END,
+  CASE WHEN i.h THEN 2 WHEN (CASE WHEN r.k > 0 THEN 0 ELSE r.size END) + length(i.t) >= {chunking.MAX_CHARS} THEN 1 ELSE 0 END FROM r JOIN i ON i.doc_id = r.doc_id AND i.n = r.n + 1),
+m AS (SELECT *, last_value(CASE WHEN h AND n > 0 THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS section, sum(CASE WHEN h THEN 0 ELSE length(t) + 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS off FROM r),
+c AS (SELECT doc_id, chunk, string_agg(t, ' ' ORDER BY n) AS body, arg_min(before, n) = 1 AS follows, max(off) AS off, coalesce(any_value(section), '') AS section FROM m WHERE NOT h GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN follows THEN list_filter(string_split(lag(body) OVER (PARTITION BY doc_id ORDER BY chunk), '. '), lambda y: y <> '') END AS parts FROM c),
+l AS (SELECT *, CASE WHEN len(parts) > {chunking.OVERLAP_SENTENCES} THEN array_to_string(parts[-{chunking.OVERLAP_SENTENCES}:], '. ') ELSE '' END AS lead FROM b)"""
+
+
+@query("chk1_prose_chunks", f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, (chunk - 1)::INT AS chunk_no, section, off::BIGINT AS char_offset, lead <> '' AS has_overlap, length(CASE WHEN lead <> '' THEN trim(lead || ' ' || body) ELSE body END)::INT AS n_chars FROM l")
 def chk1(spark, d):
     items = F.transform(F.split("text", "\n"), lambda x: F.struct((F.char_length(x) < 20).alias("is_heading"), x.alias("text"), F.lit(1).alias("page")))
     return chunking.prose_chunks(docs(spark, d), items).select("doc_id", "chunk_no", "section", "char_offset", "has_overlap", F.char_length("text").alias("n_chars"))
@@ -307,6 +319,17 @@ def src8(spark, d):
     return chunking.section_carry(rows, "doc_id", "pos", F.when(F.char_length("x") < 20, F.col("x"))).select("doc_id", "pos", "section")
 
 
+@query("src8_element_stream", f"""WITH RECURSIVE i AS MATERIALIZED (SELECT doc_id, i AS n, i // 20 + 1 AS page, CASE WHEN length(x) < 20 THEN length(x) % 4 ELSE 0 END AS level, x FROM ({_LINES})),
+r AS (SELECT doc_id, n, page, level, x, CASE WHEN level > 0 THEN [trim(x)] ELSE []::VARCHAR[] END AS path FROM i WHERE n = 0
+ UNION ALL SELECT i.doc_id, i.n, i.page, i.level, i.x, CASE WHEN i.level > 0 THEN list_append(r.path[:least(len(r.path), i.level - 1)], trim(i.x)) ELSE r.path END FROM r JOIN i ON i.doc_id = r.doc_id AND i.n = r.n + 1)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS element_no, page::INT AS page, md5(x) AS text_md5, array_to_string(path, ' > ') AS section FROM r WHERE level = 0""")
+def src8_stream(spark, d):
+    """Lines as items, short ones headings of level 1 to 3 by their length; a heading trims the path to its level."""
+    item = lambda x, i: F.struct((F.floor(i / 20) + 1).cast("int").alias("page"), (i % 20).cast("int").alias("place"), F.when(F.char_length(x) < 20, F.char_length(x) % 4).otherwise(0).alias("level"), F.lit("TEXT").alias("modality"), x.alias("text"))
+    found = chunking.element_stream(docs(spark, d), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), item))
+    return found.select("doc_id", "element_no", "page", F.md5("text").alias("text_md5"), F.array_join("section_path", " > ").alias("section"))
+
+
 @query("win8_char_offset", "SELECT doc_id, pos, (sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS char_offset FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS x FROM documents)")
 def win8(spark, d):
     rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "x")
