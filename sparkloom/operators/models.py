@@ -58,11 +58,35 @@ def embedding(text: Column, encode: Callable[[pd.Series], pd.Series] = hashed_wo
     return embed(text)
 
 
+def embedded(text: Column, encode: Callable[[pd.Series], pd.Series] = hashed_words) -> Column:
+    """struct<vec, error>: as `embedding`, but where the encoder fails on a batch its halves are tried, so that only the texts that it can't take have an error (SNK7)."""
+
+    def attempt(texts: pd.Series) -> list[tuple]:
+        try:
+            got = list(encode(texts))
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+            return [(v, None) for v in got]
+        except Exception as e:  # the text that fails is told, the others go on
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}"[:200])]
+            half = len(texts) // 2
+            return attempt(texts[:half]) + attempt(texts[half:])
+
+    @F.pandas_udf("struct<vec:array<float>,error:string>")
+    def embed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(attempt(texts) if len(texts) else [], columns=["vec", "error"])
+
+    return embed(text)
+
+
 def write_back(verdicts: DataFrame, text: str, encode: Callable[[pd.Series], pd.Series] = hashed_words) -> DataFrame:
-    """The decisions that may be stored, with their embedding; a blank text gets none and is marked, and the others go on (SNK6, SNK7)."""
+    """The decisions that may be stored, with their embedding; a blank text, or one that the encoder fails on, gets none and is marked, and the others go on (SNK6, SNK7)."""
+    rows = rv.writable(verdicts)
     filled = tx.strip(tx.text_or_empty(F.col(text))) != ""
-    rows = rv.writable(verdicts).withColumn("embedding", F.when(filled, embedding(F.col(text), encode)))
-    return rows.withColumn("error", F.when(~filled, "no text to embed"))
+    some = rows.filter(filled).withColumn("__e", embedded(F.col(text), encode)).withColumn("embedding", F.col("__e.vec")).withColumn("error", F.col("__e.error")).drop("__e")
+    none = rows.filter(~filled).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("error", F.lit("no text to embed"))
+    return some.unionByName(none)
 
 
 def requests(rows: DataFrame) -> DataFrame:

@@ -59,27 +59,27 @@ def atomise(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], l
     return rows.selectExpr(f"`{key}` k", f"`{text}` t").mapInPandas(run, f"k {kind}, pos long, atom string, kind string").withColumnRenamed("k", key)
 
 
-def ingested(rows: DataFrame, key: str, text: str, module: Column | None = None) -> DataFrame:
+def ingested(rows: DataFrame, key: str, text: str, module: Column | None = None, country: Column | None = None) -> DataFrame:
     """Injection scan, PII redaction, atoms, copies and the quality gate of each atom; blocked texts go (PIP1).
 
     Columns are carried from step to step, so each text is scanned and redacted once. An atom whose text an earlier atom
     has (by key, then place) is a duplicate.
     """
-    of = F.lit("") if module is None else module
-    scanned = rows.select(key, text, of.alias("module"), tx.injection_action(tx.injection_hits(F.col(text))).alias("action")).filter("action <> 'BLOCK'")
-    clean = pii.redact(scanned, key, text, keep=("module", "action")).select(key, "redacted", "module", "action", F.size("entities").alias("n_entities"))
-    atoms = rule_atoms(clean, key, "redacted", keep=("module", "action", "n_entities"))
+    of, land = F.lit("") if module is None else module, F.lit("") if country is None else country
+    scanned = rows.select(key, text, of.alias("module"), land.alias("country"), tx.injection_action(tx.injection_hits(F.col(text))).alias("action")).filter("action <> 'BLOCK'")
+    clean = pii.redact(scanned, key, text, keep=("module", "country", "action")).select(key, "redacted", "module", "country", "action", F.size("entities").alias("n_entities"))
+    atoms = rule_atoms(clean, key, "redacted", keep=("module", "country", "action", "n_entities"))
     w = dedup.text_copies(atoms.withColumn("__place", F.struct(key, "pos")), "__place", "atom").withColumn("w", tx.tokens(F.col("atom")))
-    gate = tx.quality_gate(F.col("is_copy"), tx.consistency_flag(F.col("atom"), F.col("module"), F.lit("")), tx.specificity(F.col("w")), tx.completeness(F.col("w"), F.col("module")), F.char_length("atom"))
+    gate = tx.quality_gate(F.col("is_copy"), tx.consistency_flag(F.col("atom"), F.col("module"), F.col("country")), tx.specificity(F.col("w")), tx.completeness(F.col("w"), F.col("module")), F.char_length("atom"))
     return w.select(key, "pos", "module", "action", "n_entities", F.coalesce(gate, F.lit("VALIDATED")).alias("gate"))
 
 
-def ingested_files(files: DataFrame, module: Column | None = None) -> DataFrame:
+def ingested_files(files: DataFrame, module: Column | None = None, country: Column | None = None) -> DataFrame:
     """`ingested` over the requirement texts of accepted files; files that are refused give one row with the reason as gate (PIP1, FLT10)."""
     checked = files_.validated(files_.with_format(files))
     texts = files_.requirement_texts(files_.parsed(checked.filter("verdict = 'OK'"))).withColumn("ref", F.concat_ws("#", "path", "pos"))
     refused = checked.filter("verdict <> 'OK'").select(F.col("path").alias("ref"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("module"), F.lit("REJECTED").alias("action"), F.lit(0).alias("n_entities"), F.col("verdict").alias("gate"))
-    return ingested(texts, "ref", "text", module).unionByName(refused)
+    return ingested(texts, "ref", "text", module, country).unionByName(refused)
 
 
 def matched(pairs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches, uploads
 from sparkloom.plans.retrieval import _HYBRID, hits, knn_sql, sparse_hits
+from sparkloom.plans.texts import ratio_sql
 from sparkloom.sources import artifacts, elements
 from sparkloom.storage import shared_folder
 
@@ -189,6 +190,45 @@ def mdl2(spark, d):
     return pipe.rule_atoms(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", F.char_length("atom").cast("long").alias("n"))
 
 
+#: Sentences that the query's model takes at most; longer texts it refuses.
+_MOST = 60
+
+
+def _splitter(texts: list[str]) -> list[list[str]]:
+    out = [[x for x in t.split(". ") if x] for t in texts]
+    if any(len(x) > _MOST for x in out):
+        raise ValueError("too long")
+    return out
+
+
+@query("mdl2_atomise", f"""WITH s AS (SELECT doc_id, text, list_filter(string_split(text, '. '), lambda x: x <> '') AS x FROM documents)
+SELECT doc_id, i AS pos, md5(x[i]) AS atom_md5, 'MODEL' AS kind FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM s WHERE len(x) <= {_MOST}) UNION ALL SELECT doc_id, 1, md5(text), 'FUNCTIONAL' FROM s WHERE len(x) > {_MOST}""")
+def mdl2_atomise(spark, d):
+    """Ten texts a call to a splitter that refuses long ones: a refused call is asked again text by text, and a refused text is one atom."""
+    found = pipe.atomise(table(spark, d, "documents"), "doc_id", "text", _splitter)
+    return found.select("doc_id", "pos", F.md5("atom").alias("atom_md5"), "kind")
+
+
+_PAIRS3 = f"""{knn_sql(5)}, l AS (SELECT p_partkey AS k, p_name || ' ' || p_type AS t, lower(p_name) AS nm FROM part),
+x AS MATERIALIZED (SELECT query_id AS atom_id, id AS cap_id, score, a.t AS a, c.t AS b, string_split(a.nm, ' ') AS hints FROM hits JOIN l a ON a.k = query_id % 100 JOIN l c ON c.k = id % 100), {ratio_sql('x')},
+s AS (SELECT atom_id, cap_id, x.b, greatest(0.0, least(1.0, least(1.0, 0.25 * x.score + 0.20 * len(list_filter(hints, lambda h: contains(lower(x.b), h))) / len(hints) + 0.15 * r.score / 100 + 0.25 * (cap_id % 3 = 0)::INT + 0.15 * (cap_id % 10) / 10) + CASE WHEN cap_id % 5 = 0 THEN 0.10 ELSE 0 END))::DOUBLE AS c FROM x JOIN ratios r ON r.a = x.a AND r.b = x.b),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY atom_id, b ORDER BY round(c, 6) DESC, cap_id) AS n FROM s) WHERE n = 1)"""
+
+
+@query("pip3_matched_pairs", f"""WITH {_PAIRS3}, z AS (SELECT *, max(round(c, 6)) OVER (PARTITION BY atom_id) AS best FROM o)
+SELECT atom_id, cap_id, row_number() OVER (PARTITION BY atom_id ORDER BY round(c, 6) DESC, cap_id) AS rank, round(c, 6) AS composite, CASE WHEN best > 0.85 AND atom_id % 200 = 0 THEN 'FAST_TRACK' WHEN best >= 0.60 THEN 'DEEP_REASON' ELSE 'GAP_CONFIRM' END AS route FROM z""")
+def pip3_pairs(spark, d):
+    """Candidates by vectors, with texts, hints and priors: signals, one of equal texts, composite order and route."""
+    label = table(spark, d, "part").selectExpr("p_partkey k", "p_name || ' ' || p_type t", "split(lower(p_name), ' ') hints")
+    v = table(spark, d, "embeddings").selectExpr("vec_id", "embedding")
+    found = hits(spark, d, 5).selectExpr("query_id atom_id", "id cap_id")
+    side = lambda name: label.select(F.col("k").alias(f"{name}_k"), F.col("t").alias(f"{name}_text"), *([F.col("hints")] if name == "atom" else []))
+    pairs = found.join(v.selectExpr("vec_id atom_id", "embedding atom_vec"), "atom_id").join(v.selectExpr("vec_id cap_id", "embedding cap_vec"), "cap_id")
+    pairs = pairs.join(side("atom"), F.col("atom_id") % 100 == F.col("atom_k")).join(side("cap"), F.col("cap_id") % 100 == F.col("cap_k"))
+    pairs = pairs.selectExpr("*", "CAST(cap_id % 3 = 0 AS double) historical_alignment", "(cap_id % 10) / 10 rerank_score", "atom_id % 200 = 0 has_history", "cap_id % 5 = 0 has_fit_prior")
+    return pipe.matched_pairs(pairs).select("atom_id", "cap_id", F.col("rank").cast("long").alias("rank"), "composite", "route")
+
+
 @query("pip8_batch_listing", f"WITH {BATCHES} SELECT batch_id, coalesce(u.c_name, '') AS filename, (SELECT count(*) FROM b WHERE status = 'O') AS total FROM b LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) u ON u.c_custkey = upload_id WHERE status = 'O' ORDER BY created_at DESC, batch_id LIMIT 20 OFFSET 20")
 def pip8(spark, d):
     return pipe.listing(rel.matching(batches(spark, d), status="O"), uploads(spark, d), offset=20, size=20)
@@ -239,7 +279,8 @@ def ded5(spark, d):
 @query("pip1_ingestion")
 def pip1(spark, d):
     module = F.when(F.col("doc_id") % 2 == 0, "AccountsPayable").otherwise("Budgeting")
-    return pipe.ingested(table(spark, d, "documents"), "doc_id", "text", module).select("doc_id", "pos", "module", "action", "n_entities", "gate")
+    country = F.when(F.col("doc_id") % 3 == 0, "DE").otherwise("")
+    return pipe.ingested(table(spark, d, "documents"), "doc_id", "text", module, country).select("doc_id", "pos", "module", "action", "n_entities", "gate")
 
 
 @query("src9_element_windows", """SELECT conv_id, (n // 3 + 1)::INT AS page, (n % 3)::INT AS position, (ceil((n // 3 + 1) / 5.0))::INT AS win, 'TEXT' AS kind, md5(text) AS text_md5

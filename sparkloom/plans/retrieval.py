@@ -196,6 +196,18 @@ def win4(spark, d):
     return v.select("batch_id", "wave", F.size(ret.greedy_distinct(F.col("items"), lambda x, y: F.abs(x - y) < 0.15)).cast("long").alias("kept"))
 
 
+@query("win4_greedy_by_cosine", f"""WITH RECURSIVE {knn_sql(20)}, h AS MATERIALIZED (SELECT query_id, id, rank, embedding::DOUBLE[] AS v FROM hits JOIN embeddings ON vec_id = id),
+s AS MATERIALIZED (SELECT a.query_id, a.id, a.rank, list(b.id) FILTER (b.id <> a.id AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) > 0.2) AS near FROM h a JOIN h b USING (query_id) GROUP BY ALL),
+r AS (SELECT query_id, rank, [id] AS kept FROM s WHERE rank = 1 UNION ALL SELECT s.query_id, s.rank, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, s.id) END FROM r JOIN s ON s.query_id = r.query_id AND s.rank = r.rank + 1)
+SELECT query_id, len(arg_max(kept, rank))::BIGINT AS kept, md5(array_to_string(arg_max(kept, rank), ',')) AS ids_md5 FROM r GROUP BY 1""")
+def win4_cosine(spark, d):
+    """The 20 best of each query in order of score, without those alike to a kept one. The library's bound is 0.95; vectors of the sample are never so close."""
+    v = vectors(spark, d).select("id", "vec")
+    lists = hits(spark, d, 20).join(v, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "vec"))).alias("x"))  # 20 a query
+    kept = ret.greedy_distinct(F.col("x"), lambda a, b: scores.cosine(a["vec"], b["vec"]) > 0.2)
+    return lists.select("query_id", F.transform(kept, lambda e: e["id"]).alias("k")).select("query_id", F.size("k").cast("long").alias("kept"), F.md5(F.array_join(F.col("k").cast("array<string>"), ",")).alias("ids_md5"))
+
+
 @query("win6_trim_descriptions", f"""WITH {knn_sql(20)}, l AS (SELECT query_id, h.id, d.n_chars AS n, greatest(0, d.n_chars - 80) AS cap FROM hits h JOIN documents d ON d.doc_id = h.id),
 o AS (SELECT *, sum(n) OVER (PARTITION BY query_id) - 12288 AS over, coalesce(sum(cap) OVER (PARTITION BY query_id ORDER BY n DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM l)
 SELECT query_id, id, (n - least(cap, greatest(0, over - given)))::BIGINT AS n_chars FROM o""")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
-from sparkloom.operators import chunking, dedup, pii
+from sparkloom.operators import chunking, dedup, phrases, pii
 from sparkloom.operators import relational as rel
 from sparkloom.operators import views as vw
 from sparkloom.plans.base import query, table
+from sparkloom.storage import written
 
 #: A lexicon of frequent words, so that queries over the invented prose count something.
 SAMPLE_CONCRETE, SAMPLE_SPECIFIC, SAMPLE_VAGUE = ("the", "of the", "in"), ("and", "to"), ("of", "with", "for")
@@ -380,3 +381,19 @@ def txt18(spark, d):
 
     b, tokens = table(spark, d, "benchmark"), tx.tokens(F.col("text"))
     return bm25_encode(b, bm25_vocabulary(b, "item_id", tokens), "item_id", tokens).groupBy("item_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 4).alias("weight"))
+
+
+_LOG = lambda n, r, c: f"CASE WHEN {n} > 0 THEN {n} * ln({n} * total / ({r} * {c})) ELSE 0 END"
+_LLR = "2 * (" + " + ".join(_LOG(*x) for x in (("n", "f", "s"), ("(f - n)", "f", "(total - s)"), ("(s - n)", "(total - f)", "s"), ("(total - f - s + n)", "(total - f)", "(total - s)"))) + ")"
+
+
+@query("txt5_phrases", f"""WITH p AS MATERIALIZED (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents))),
+c AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS n FROM p GROUP BY ALL), x AS (SELECT a, sum(n) AS f FROM c GROUP BY 1), y AS (SELECT b, sum(n) AS s FROM c GROUP BY 1), t AS (SELECT sum(n) AS total FROM c),
+k AS MATERIALIZED (SELECT a, b FROM c JOIN x USING (a) JOIN y USING (b), t WHERE n >= {phrases.SUPPORT} AND n * total > f * s AND {_LLR} >= {phrases.LEAST}),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM p JOIN k USING (a, b)), q AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) - 1) // {phrases.MOST_WORDS - 1} AS part FROM r)
+SELECT doc_id, min(pos)::INT AS pos, (count(*) + 1)::INT AS words, string_agg(a, ' ' ORDER BY pos) || ' ' || arg_max(b, pos) AS phrase FROM q GROUP BY doc_id, run, part""")
+def txt5_phrases(spark, d):
+    """Collocations of all documents, and the phrases of each."""
+    words = tx.tokens(F.col("text"))
+    found = written(phrases.collocations(phrases.pairs(docs(spark, d), "doc_id", words)), "collocations")
+    return phrases.phrases(docs(spark, d), "doc_id", words, found)
