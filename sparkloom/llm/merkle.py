@@ -12,13 +12,15 @@ first that the second hasn't there; `locate_edits` turns these into places in th
 Likeness of two fingerprints: 1 if the roots agree, else the Dice coefficient of their sets of runs.
 Defined results: a null text counts as empty, an empty text has one empty run; repeated rows each
 keep their row, in order of text hash; null ids come first; an empty table gives an empty result; a table of one
-row is followed by itself; other columns never take part. Ids that can't be cast to a long are all in one block.
+row is followed by itself; other columns never take part. Ids have any type with an order, and are ordered as that type: strings as strings. Rows of one id
+and text are in one block. `differing` of a null fingerprint is null; to `locate_edits` a null text is an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import let
 
@@ -28,6 +30,8 @@ UNIT = 8
 MARK, FIRST = "0" * UNIT, "0" * (UNIT - 1) + "1"
 #: Bounds that are looked up by binary search, and blocks whose first rows are broadcast, at most.
 MOST_CUTS, MOST_BROADCAST = 8192, 65536
+#: Sampled rows for each bound; blocks in a span.
+OVERSAMPLE, SPAN = 10, 4096
 
 
 def _runs(paragraph: Column, run_words: int) -> Column:
@@ -136,37 +140,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(_dice(leaves(a), leaves(b)))
 
 
+def _cuts(held: DataFrame, n: int, tops: int) -> tuple[list[str], Column]:
+    """The bounds as JSON, and as an array of struct<i, h>: they part the rows into `tops` blocks of about one size, in the order of ids and text hashes. From a sample of OVERSAMPLE rows a block, drawn by hash."""
+    share = int(min(1.0, OVERSAMPLE * tops / max(n, 1)) * (1 << 30))
+    sample = held.filter(F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(1 << 30)) < share).select(F.col("doc_id").alias("i"), "h")
+    rows = sample.orderBy(F.col("i").asc_nulls_first(), "h").select(F.to_json(F.struct("i", "h")).alias("j")).collect() if tops > 1 else []  # OVERSAMPLE * tops, about
+    some = list(dict.fromkeys(rows[len(rows) * k // tops]["j"] for k in range(1, tops))) if rows else []
+    return some, F.from_json(F.lit("[" + ",".join(some) + "]"), f"array<struct<i:{held.schema['doc_id'].dataType.simpleString()},h:bigint>>")
+
+
 def with_next(docs: DataFrame, values: dict[str, Column], block_rows: int = 1500, most_cuts: int = MOST_CUTS) -> DataFrame:
     """doc_id, the values of each row, and `next`: a struct of the values of the row after it by ascending doc_id, then text hash.
 
-    After the last row comes the first. Rows are dealt to blocks: between quantiles of doc_id (at most
-    `most_cuts`, a small array), and within each into equal ranges of ids where the table has more rows than that makes
-    blocks of `block_rows`. Neighbours within a block come from a window, and the one row at
-    each block's end gets its successor from the next block. Null ids come first.
+    After the last row comes the first; null ids come first. The order is that of the id's own type. Rows are dealt to blocks between bounds of (id, text
+    hash), so rows of one id, or without one, can be in several blocks. There are `most_cuts` bounds at most; where a table has more rows than that makes
+    blocks of `block_rows`, numeric ids are parted further, into equal ranges, and with other types blocks have more rows. Neighbours within a block
+    come from a window, and the one row at each block's end gets its successor from the next block.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("i"))
-    wanted = max(1, ids.count() // block_rows)
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    n = held.count()
+    wanted = max(1, n // block_rows)
     tops = min(most_cuts, wanted)
-    parts = -(-wanted // tops)
-    low, high, *quantiles = ids.agg(F.min("i"), F.max("i"), F.percentile_approx("i", [k / tops for k in range(1, tops)] or [0.5], 20 * tops)).first()
-    cuts = sorted(set(quantiles[0] or [])) if tops > 1 else []
+    numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
+    parts = -(-wanted // tops) if numeric else 1
+    found, cuts = _cuts(held, n, tops)
+    here = F.struct(F.col("doc_id").alias("i"), F.col("h").alias("h"))
     block = F.lit(0).cast("long")
-    if cuts or parts > 1 and low is not None:
-        longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-        at = F.col("doc_id").cast("long")
-        steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1))) if cuts else F.array().cast("array<int>")
-        # the number of cuts not above the id, by binary search
-        top = F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.coalesce(F.get(longs(cuts), acc + s - 1) <= at, F.lit(False)), acc + s).otherwise(acc)) if cuts else F.lit(0)
-        if parts == 1:
-            block = top.cast("long")
-        else:
-            def within(t: Column) -> Column:
-                begin, end = F.get(longs([low, *cuts]), t).cast("double"), F.get(longs([*cuts, high + 1]), t).cast("double")
-                part = F.floor((at.cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)) * parts)
-                return t.cast("long") * parts + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)), F.lit(0)).cast("long")
-
-            block = let(top, within)
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), block.alias("block"))
+    if found:
+        steps = F.array(*(F.lit(1 << k) for k in range(len(found).bit_length() - 1, -1, -1)))
+        # the number of cuts not above the row, by binary search
+        block = F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.coalesce(F.get(cuts, acc + s - 1) <= here, F.lit(False)), acc + s).otherwise(acc)).cast("long")
+    if parts > 1:
+        low, high = (x if x is not None else 0 for x in held.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first())
+
+        def within(t: Column) -> Column:
+            begin, end = (F.coalesce(F.get(cuts, k)["i"].cast("double"), F.lit(x)) for k, x in ((t - 1, float(low)), (t, float(high) + 1)))
+            part = F.floor((F.col("doc_id").cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)) * parts)
+            return t * parts + F.when(F.col("doc_id").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))).cast("long")
+
+        block = let(block, lambda t: within(t.cast("int")))
+    held = held.withColumn("block", block)
     order = [F.col("doc_id").asc_nulls_first(), "h"]
     named = F.struct(*(c.alias(k) for k, c in values.items()))
     rows = held.select("doc_id", "h", "block", *(c.alias(k) for k, c in values.items())).withColumn("next", F.lead(F.struct(*values)).over(Window.partitionBy("block").orderBy(*order)))
@@ -174,12 +187,20 @@ def with_next(docs: DataFrame, values: dict[str, Column], block_rows: int = 1500
     least = F.broadcast(least) if wanted <= MOST_BROADCAST else least  # one row per block
     hit = held.join(least, (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("h") == F.col("m.h")))
     firsts = hit.dropDuplicates(["b"]).select("b", named.alias("head"))
-    turn = Window.partitionBy(F.lit(1)).orderBy("b")  # the numbers of the blocks, one for each `block_rows` rows
-    after = firsts.select("b").withColumn("to", F.coalesce(F.lead("b").over(turn), F.first("b").over(turn.rowsBetween(Window.unboundedPreceding, 0))))
-    heads = after.join(firsts.withColumnRenamed("b", "to"), "to").select("b", "head")
+    heads = _after(firsts.select("b")).join(firsts.withColumnRenamed("b", "to"), "to").select("b", "head")
     return rows.join(heads, rows["block"] == heads["b"], "left").select("doc_id", *values, F.coalesce("next", "head").alias("next"))
 
 
+def _after(blocks: DataFrame) -> DataFrame:
+    """b, to: the next block of each, and the first after the last. Windows run over spans of block numbers; only a row for each span, that is for SPAN blocks, comes to one task."""
+    spans = blocks.withColumn("span", F.expr(f"b div {SPAN}"))
+    own = spans.withColumn("near", F.lead("b").over(Window.partitionBy("span").orderBy("b")))
+    one = Window.partitionBy(F.lit(1)).orderBy("span")
+    least = spans.groupBy("span").agg(F.min("b").alias("least"))
+    far = least.select("span", F.coalesce(F.lead("least").over(one), F.first("least").over(one.rowsBetween(Window.unboundedPreceding, 0))).alias("far"))
+    return own.join(far, "span").select("b", F.coalesce("near", "far").alias("to"))
+
+
 def fingerprint_table(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Fingerprints of each text and of its edited text (its last half replaced by the start of the next document), and their likeness."""
     text = F.coalesce("text", F.lit(""))

@@ -442,6 +442,29 @@ def test_merkle_next(docs, block_rows, most_cuts):
     assert {r.doc_id: r.next.body for r in nxt.collect()} == {i: TEXTS[(k + 1) % len(TEXTS)][1] or "" for k, (i, _) in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,2)", "date", "binary"])
+@pytest.mark.parametrize(("block_rows", "most_cuts"), [(5, 8192), (2, 3), (1500, 8192)])
+def test_merkle_next_follows_the_order_of_any_id(spark, kind, block_rows, most_cuts):
+    """Numeric strings in string order, text ids, repeated and null ids, over several blocks."""
+    ids = [str(i) for i in range(1, 31)] + (["id-0", "id-1", "Ä", "", "id-1", "id-1"] if kind == "string" else ["7", "7"])
+    rows = [(i, f"text {k % 29} of {i}") for k, i in enumerate(ids)] + [(None, f"nobody {k}") for k in range(9)] + [("5", None)]
+    cast = {"date": "date_add(DATE'2020-01-01', CAST(i AS int))", "binary": "CAST(i AS binary)"}.get(kind, f"CAST(i AS {kind})")
+    frame = spark.createDataFrame(rows, "i string, text string").selectExpr(f"{cast} doc_id", "text").repartition(3)
+    held = frame.withColumn("h", F.xxhash64("text")).collect()
+    plain = lambda i: bytes(i) if isinstance(i, bytearray) else i
+    order = sorted(held, key=lambda r: (r.doc_id is not None, r.doc_id is not None and (plain(r.doc_id).encode() if kind == "string" else plain(r.doc_id)), r.h))
+    want = sorted((str(a.doc_id), a.text or "", b.text or "") for a, b in zip(order, [*order[1:], order[0]]))
+    out = merkle.with_next(frame, {"body": F.coalesce("text", F.lit(""))}, block_rows=block_rows, most_cuts=most_cuts).collect()
+    assert sorted((str(r.doc_id), r.body, r.next.body) for r in out) == want
+
+
+def test_merkle_spans_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "SPAN", 3)
+    some = [0, 1, 2, 5, 9, 10, 11, 30]
+    got_ = {r.b: r.to for r in merkle._after(spark.createDataFrame([(b,) for b in some], "b long")).collect()}
+    assert got_ == dict(zip(some, [*some[1:], 0]))
+
+
 def test_merkle_prints(docs):
     """All columns of the table against brute force."""
     by = {r.doc_id: r for r in merkle.fingerprint_table(docs).collect()}
