@@ -117,7 +117,19 @@ def txt12(spark, d):
     return c.select("doc_id", *(F.element_at("m", F.lit(n)).cast("long").alias(n.lower()) for n, _ in tx.PII_PATTERNS))
 
 
-@query("txt10_pii_redaction")
+def _spans(name: str, pattern: str) -> str:
+    """Rows (doc_id, name, start, stop) of a pattern's matches: where they lie follows from the parts between them."""
+    return f"""SELECT doc_id, '{name}' AS name, list_sum([length(x) FOR x IN parts[:k]]) + coalesce(list_sum([length(x) FOR x IN found[:k - 1]]), 0) AS start, length(found[k]) AS size
+ FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS found, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS k FROM documents WHERE text IS NOT NULL)"""
+
+
+_REDACTED = f"""m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, start + size DESC, ord) AS n FROM ({" UNION ALL ".join(f"SELECT *, {i} AS ord FROM ({_spans(*x)})" for i, x in enumerate(tx.PII_PATTERNS))})),
+g AS (SELECT doc_id, name, start, size, n, true AS kept, start + size AS at FROM m WHERE n = 1 UNION ALL SELECT m.doc_id, m.name, m.start, m.size, m.n, m.start >= g.at, CASE WHEN m.start >= g.at THEN m.start + m.size ELSE g.at END FROM g JOIN m ON m.doc_id = g.doc_id AND m.n = g.n + 1),
+k AS MATERIALIZED (SELECT doc_id, start, size, '<PII_' || name || '_' || row_number() OVER (PARTITION BY doc_id, name ORDER BY start) || '>' AS mark, coalesce(lag(start + size) OVER (PARTITION BY doc_id ORDER BY start), 0) AS after, lead(start) OVER (PARTITION BY doc_id ORDER BY start) IS NULL AS ends FROM g WHERE kept),
+r AS (SELECT doc_id, count(*) AS n, string_agg(substr(text, (after + 1)::BIGINT, (start - after)::BIGINT) || mark || CASE WHEN ends THEN substr(text, (start + size + 1)::BIGINT) ELSE '' END, '' ORDER BY start) AS redacted FROM k JOIN documents USING (doc_id) GROUP BY doc_id)"""
+
+
+@query("txt10_pii_redaction", f"WITH RECURSIVE {_REDACTED} SELECT doc_id, sha256(coalesce(redacted, text)) AS redacted_sha256, coalesce(n, 0)::INT AS n_entities FROM documents LEFT JOIN r USING (doc_id)")
 def txt10(spark, d):
     return pii.redact(docs(spark, d).select("doc_id", "text"), "doc_id", "text").select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), F.size("entities").alias("n_entities"))
 
