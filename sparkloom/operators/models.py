@@ -126,13 +126,15 @@ def classified(rows: DataFrame, answers: DataFrame) -> DataFrame:
     the verdict of two or more, with the confidence of the first call that gave it (AGG8). Personal data in the answer is
     noted in the caveats (TXT12), and the verdict is held against the best score (MTH12). rows: atom_id, route, n_capabilities, top_score.
     """
-    good = answers.filter("ok")
-    votes = rv.majority(answers.select("atom_id", "call_no", "ok", "verdict")).select("atom_id", F.col("verdict").alias("__major"), F.col("votes").alias("__votes"))
-    by_verdict = good.groupBy("atom_id", "verdict").agg(F.min_by(F.struct("confidence", "rationale"), "call_no").alias("__said"))
-    single = good.filter("call_no = 1").select("atom_id", F.col("verdict").alias("__single"))
-    out = rows.join(votes, "atom_id", "left").join(single, "atom_id", "left")
-    verdict = F.when(F.col("n_capabilities") <= 0, "GAP").when(F.col("route") == "DEEP_REASON", F.coalesce("__major", F.lit("REVIEW_REQUIRED"))).otherwise(F.coalesce("__single", F.lit("REVIEW_REQUIRED")))
-    out = out.withColumn("__verdict", verdict).join(by_verdict.withColumnRenamed("verdict", "__verdict"), ["atom_id", "__verdict"], "left")
+    each = answers.filter("ok").groupBy("atom_id").agg(F.array_sort(F.collect_list(F.struct("call_no", "verdict", "confidence", "rationale"))).alias("__good"))  # as many as calls
+    good = F.coalesce(F.col("__good"), F.array().cast(each.schema["__good"].dataType))
+    out = rows.join(each, "atom_id", "left").withColumn("__good", good)
+    of = lambda v: F.filter("__good", lambda y: y["verdict"] == v)
+    best = F.array_max(F.transform("__good", lambda x: F.struct(F.size(of(x["verdict"])).alias("n"), (-F.get(of(x["verdict"]), F.lit(0))["call_no"]).alias("c"), x["verdict"].alias("v"))))
+    major = F.when(best["n"] >= 2, best["v"]).otherwise("REVIEW_REQUIRED")
+    single = F.get(F.filter("__good", lambda y: y["call_no"] == 1), F.lit(0))["verdict"]
+    verdict = F.when(F.col("n_capabilities") <= 0, "GAP").when(F.col("route") == "DEEP_REASON", F.coalesce(major, F.lit("REVIEW_REQUIRED"))).otherwise(F.coalesce(single, F.lit("REVIEW_REQUIRED")))
+    out = out.withColumn("__verdict", verdict).withColumn("__said", F.get(of(F.col("__verdict")), F.lit(0))).withColumn("__votes", F.size("__good"))
     none = F.col("n_capabilities") <= 0
     said = F.when(none, NO_CAPABILITY).otherwise(F.col("__said.rationale"))
     found = F.map_filter(tx.pii_counts(said), lambda _, n: n > 0)

@@ -66,6 +66,27 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def all_cosines(queries: DataFrame, base: DataFrame, query_id: str = "query_id", base_id: str = "id", vector: str = "vec", block: int = QUERY_BLOCK, tile: int = BASE_TILE) -> DataFrame:
+    """query_id, id, score: every stated query with every other row of the base (JON9). Blocks meet tiles and give their products; nothing is ranked. The result has queries * rows rows."""
+    side = lambda df, id, name: df.filter(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias(name), F.col(vector).cast("array<float>").alias("v"))
+    q, b = side(queries, query_id, "qid"), side(base, base_id, "bid")
+    blocks, tiles = max(1, -(-q.count() // block)), max(1, -(-b.count() // tile))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q, b = q.withColumn("qb", deal("qid", blocks)).withColumn("bt", spread(tiles)), b.withColumn("bt", deal("bid", tiles)).withColumn("qb", spread(blocks))
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            x, ids, y, there = _unit(left.column("v")), left.column("qid").to_numpy(), _unit(right.column("v")), right.column("bid").to_numpy()
+            for i, qid in enumerate(ids.tolist()):
+                other = there != qid
+                out.append((np.full(int(other.sum()), qid), there[other], y[other] @ x[i]))
+        return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "id", "score"), zip(*out))})
+
+    return q.groupBy("qb", "bt").cogroup(b.groupBy("qb", "bt")).applyInArrow(product, "query_id long, id long, score double")
+
+
 def source_ranks(hits: DataFrame) -> DataFrame:
     """Adds source_rank: 1..n in each list of a query and source, by rank (WIN1)."""
     return hits.withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank")))

@@ -43,10 +43,12 @@ def pending(every: DataFrame, applied: DataFrame, key: str, order: str) -> DataF
     return every.join(applied.select(key).distinct(), key, "left_anti").orderBy(order)
 
 
-def synthetic_ranking(spark: SparkSession, n: int) -> DataFrame:
-    """A made-up ranking: power-law scores of capabilities and documents, and priors that fit but for the last (SRC20)."""
-    i = F.col("id")
-    return spark.range(n).select(i.alias("pos"), (0.95 / F.pow(i + 1, F.lit(0.8))).alias("capability"), (0.90 / F.pow(i + 1, F.lit(0.7))).alias("doc"), F.when(i == n - 1, "PARTIAL_FIT").otherwise("FIT").alias("prior"))
+def power_law_ranking(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """by, order, pos (from 0 in each group) with power-law scores of capabilities and documents, and priors that fit but for a group's last (SRC20)."""
+    w = Window.partitionBy(by).orderBy(order)
+    i = F.row_number().over(w) - 1
+    last = F.lead(F.lit(1)).over(w).isNull()
+    return rows.select(by, order, i.alias("pos"), last.alias("__last")).select(by, order, "pos", (0.95 / F.pow(F.col("pos") + 1, F.lit(0.8))).alias("capability"), (0.90 / F.pow(F.col("pos") + 1, F.lit(0.7))).alias("doc"), F.when(F.col("__last"), "PARTIAL_FIT").otherwise("FIT").alias("prior"))
 
 
 def first_uploads(rows: DataFrame, key: str, content: Column) -> DataFrame:
@@ -113,7 +115,7 @@ def compare_batches(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Groups that both have with different classes: class_a, class_b, and the change of the mean confidence; largest first (JON16)."""
     side = lambda rows, c, s: rows.groupBy(*by).agg(F.max("classification").alias(c), F.avg("confidence").alias(s))
     both = side(a, "class_a", "__a").join(side(b, "class_b", "__b"), by).filter("class_a <> class_b")
-    return both.orderBy(F.col("__b").desc()).select(*by, "class_a", "class_b", (F.col("__b") - F.col("__a")).alias("delta"))
+    return both.orderBy(F.col("__b").desc(), *by).select(*by, "class_a", "class_b", (F.col("__b") - F.col("__a")).alias("delta"))
 
 
 def append_missing(live: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -17,7 +17,7 @@ from sparkloom.operators import review as rv
 from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches, uploads
-from sparkloom.plans.retrieval import _HYBRID, hits, knn_sql, sparse_hits
+from sparkloom.plans.retrieval import _HYBRID, _SPARSE, hits, knn_sql, sparse_hits
 from sparkloom.plans.texts import ratio_sql
 from sparkloom.sources import artifacts, elements
 from sparkloom.storage import shared_folder
@@ -261,14 +261,20 @@ def pip6(spark, d):
     return v.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("classification") == "FIT").alias("fit"), F.count_distinct("module").alias("modules"))
 
 
-@query("pip11_ranking_evaluation", """WITH r AS (SELECT i AS pos, 0.95 / pow(i + 1, 0.8) AS old, 1.0 / (61 + i) AS new FROM range(20) t(i)),
-m AS (SELECT sum(CASE WHEN pos < 5 THEN old / (1 + log2(pos + 1)) END) / (SELECT sum(1 / (1 + log2(i))) FROM range(1, 6) t(i)) AS old_ndcg, sum(CASE WHEN pos < 5 THEN new / (1 + log2(pos + 1)) END) / (SELECT sum(1 / (1 + log2(i))) FROM range(1, 6) t(i)) AS new_ndcg FROM r)
-SELECT round(old_ndcg, 6)::DOUBLE AS old_ndcg, round(new_ndcg, 6)::DOUBLE AS new_ndcg FROM m""")
+_OF_ORDER = "sum(CASE WHEN {0} <= 5 THEN s / (1 + log2({0})) END) / (SELECT sum(1 / (1 + log2(i))) FROM range(1, 6) t(i))"
+
+
+@query("pip11_ranking_evaluation", f"""WITH {knn_sql(10)}, {_SPARSE}, j AS (SELECT query_id, id, h.rank AS old, greatest(h.score, 0) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + h.rank) + coalesce(1.0::DOUBLE / (60 + x.rank), 0), 12) DESC, id) AS new FROM hits h LEFT JOIN sparse x USING (query_id, id)),
+m AS (SELECT query_id, {_OF_ORDER.format("old")} AS old, {_OF_ORDER.format("new")} AS new FROM j GROUP BY 1)
+SELECT round(avg(old), 6)::DOUBLE AS old_ndcg, round(avg(new), 6)::DOUBLE AS new_ndcg, round(avg(new) - avg(old), 6)::DOUBLE AS delta, count(*) AS queries FROM m""")
 def pip11(spark, d):
-    i = F.col("id")
-    both = spark.range(20).select(F.explode(F.array(F.struct(F.lit(0).alias("query_id"), (0.95 / F.pow(i + 1, F.lit(0.8))).alias("score")), F.struct(F.lit(1).alias("query_id"), scores.rrf(i + 1).alias("score")))).alias("x"), (i + 1).alias("rank")).select("x.*", "rank")
-    m = ret.rank_metrics(both)
-    return m.agg(F.round(F.max(F.when(F.col("query_id") == 0, F.col("ndcg"))), 6).alias("old_ndcg"), F.round(F.max(F.when(F.col("query_id") == 1, F.col("ndcg"))), 6).alias("new_ndcg"))
+    """The hits of the stated queries in the order of vectors, and in that of the ranks of vectors and texts together: nDCG@5 with the cosine as relevance, averaged."""
+    dense = hits(spark, d, 10)
+    both = dense.join(sparse_hits(spark, d, 10).select("query_id", "id", F.col("rank").alias("other")), ["query_id", "id"], "left")
+    fused = F.round(scores.rrf(F.col("rank")) + F.coalesce(scores.rrf(F.col("other")), F.lit(0.0)), 12)
+    both = both.withColumn("new", F.row_number().over(Window.partitionBy("query_id").orderBy(fused.desc(), "id"))).withColumn("score", F.greatest("score", F.lit(0.0)))
+    of = lambda rank: ret.rank_metrics(both.select("query_id", F.col(rank).alias("rank"), "score")).select("query_id", F.col("ndcg").alias(rank))
+    return of("rank").join(of("new"), "query_id").agg(F.round(F.avg("rank"), 6).alias("old_ndcg"), F.round(F.avg("new"), 6).alias("new_ndcg"), F.round(F.avg("new") - F.avg("rank"), 6).alias("delta"), F.count("*").alias("queries"))
 
 
 @query("ded5_upload_hash", "SELECT sha256(html) AS content_hash, min(page_id) AS page_id FROM pages GROUP BY 1")

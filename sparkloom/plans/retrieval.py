@@ -314,9 +314,11 @@ def agg18(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in ("old", "new", "delta")), F.round("pct", 4).alias("pct"))
 
 
-@query("src20_synthetic_ranking", "SELECT i AS pos, round(0.95 / pow(i + 1, 0.8), 9) AS capability, round(0.90 / pow(i + 1, 0.7), 9) AS doc, CASE WHEN i = 19 THEN 'PARTIAL_FIT' ELSE 'FIT' END AS prior FROM range(20) t(i)")
+@query("src20_synthetic_ranking", """WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT p_brand, p_partkey, pos::INT AS pos, round(0.95 / pow(pos + 1, 0.8), 9) AS capability, round(0.90 / pow(pos + 1, 0.7), 9) AS doc, CASE WHEN pos = n - 1 THEN 'PARTIAL_FIT' ELSE 'FIT' END AS prior FROM p""")
 def src20(spark, d):
-    return vw.synthetic_ranking(spark, 20).withColumns({c: F.round(c, 9) for c in ("capability", "doc")})
+    """A made-up ranking of each brand's parts."""
+    return vw.power_law_ranking(table(spark, d, "part"), "p_brand", "p_partkey").withColumns({c: F.round(c, 9) for c in ("capability", "doc")})
 
 
 @query("mdl7_explain", f"WITH {_FUSION} SELECT atom_id, string_agg(source || ':' || id, ' > ' ORDER BY round(score, 9) DESC, source, id) AS explanation FROM fused GROUP BY 1")
