@@ -18,7 +18,7 @@ from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
 from sparkloom.plans.relational import BATCHES, batches, uploads
 from sparkloom.plans.retrieval import _HYBRID, _SPARSE, hits, knn_sql, sparse_hits
-from sparkloom.plans.texts import ratio_sql
+from sparkloom.plans.texts import _REDACTED, TOKENS, _in, _sql_rlike, ratio_sql
 from sparkloom.sources import artifacts, elements
 from sparkloom.storage import shared_folder
 
@@ -282,7 +282,17 @@ def ded5(spark, d):
     return table(spark, d, "pages").groupBy(F.sha2("html", 256).alias("content_hash")).agg(F.min("page_id").alias("page_id"))
 
 
-@query("pip1_ingestion")
+_GATED = f"""{_REDACTED}, i_ AS MATERIALIZED (SELECT doc_id, len(list_filter([{", ".join(f"regexp_matches(coalesce(text, ''), '(?is){p}')".replace("'(?is)" + p, "'(?is)" + p.replace("'", "''")) for _, p in tx.INJECTION_PATTERNS)}], lambda x: x)) / {len(tx.INJECTION_PATTERNS)}.0 AS score FROM documents),
+d_ AS (SELECT doc_id, coalesce(redacted, text) AS t, coalesce(n, 0) AS n_entities, CASE WHEN doc_id % 2 = 0 THEN 'AccountsPayable' ELSE 'Budgeting' END AS module, CASE WHEN doc_id % 3 = 0 THEN 'DE' ELSE '' END AS country, CASE WHEN score >= 0.15 THEN 'FLAG_FOR_REVIEW' ELSE 'PASS' END AS action FROM documents LEFT JOIN r USING (doc_id) JOIN i_ USING (doc_id) WHERE score < 0.5),
+a_ AS MATERIALIZED (SELECT * EXCLUDE (x), trim(x) AS text FROM (SELECT doc_id, module, country, action, n_entities, generate_subscripts(string_split(t, '. '), 1) AS pos, unnest(string_split(t, '. ')) AS x FROM d_) WHERE length(trim(x)) >= 10),
+w_ AS MATERIALIZED (SELECT *, {TOKENS} AS w, row_number() OVER (PARTITION BY text ORDER BY doc_id, pos) > 1 AS dup FROM a_),
+c_ AS (SELECT *, len([x FOR x IN w IF x IN {_in(tx.CONCRETE_NOUNS + tx.SPECIFIC_VERBS)}]) + len([i FOR i IN range(1, len(w)) IF (w[i] || ' ' || w[i + 1]) IN {_in(tx.CONCRETE_NOUNS)}]) AS good, len([x FOR x IN w IF x IN {_in(tx.VAGUE_TERMS)}]) AS bad,
+  CASE module {" ".join(f"WHEN '{m}' THEN round_even(100.0 * ({' + '.join('(' + ' AND '.join(f'list_contains(w, {_in([x])[1:-1]})' for x in t.split()) + ')::INT' for t in ts)}) / {len(ts)}, 1)" for m, ts in tx.MODULE_PARAMS.items() if m in ("AccountsPayable", "Budgeting"))} ELSE 50.0 END AS complete FROM w_),
+s_ AS (SELECT *, CASE WHEN good + bad = 0 THEN 0.4 ELSE good / (good + bad) END AS s FROM c_)"""
+
+
+@query("pip1_ingestion", f"""WITH RECURSIVE {_GATED} SELECT doc_id, pos, module, action, n_entities::INT AS n_entities, CASE WHEN dup THEN 'POTENTIAL_DUPLICATE'
+ WHEN (module = 'AccountsPayable' AND {_sql_rlike(tx.CUSTOMER_PATTERN)}) OR (country = 'DE' AND {_sql_rlike(tx.GAAP_PATTERN)}) THEN 'SCHEMA_MISMATCH' WHEN s < 0.30 THEN 'TOO_VAGUE' WHEN complete < 30 AND s < 0.50 THEN 'INCOMPLETE' WHEN length(text) < 10 OR length(text) > 2000 THEN 'SCHEMA_MISMATCH' ELSE 'VALIDATED' END AS gate FROM s_""")
 def pip1(spark, d):
     module = F.when(F.col("doc_id") % 2 == 0, "AccountsPayable").otherwise("Budgeting")
     country = F.when(F.col("doc_id") % 3 == 0, "DE").otherwise("")
