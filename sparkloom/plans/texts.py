@@ -313,7 +313,25 @@ def chk1(spark, d):
     return chunking.prose_chunks(docs(spark, d), items).select("doc_id", "chunk_no", "section", "char_offset", "has_overlap", F.char_length("text").alias("n_chars"))
 
 
-@query("chk2_token_chunks")
+_N = lambda c: f"len(list_filter(string_split_regex({c}, '\\s+'), lambda y: y <> ''))"
+_T = lambda words: f"floor(({words}) * 1.3)::BIGINT"
+_GROUP = int((chunking.MAX_TOKENS + 1) / 1.3 - 1e-9)  # words that make MAX_TOKENS tokens at most
+#: Oversized lines fall into sentences, or words, that are grouped; then pieces are packed. why: a chunk begins by size (1), or by section (2).
+_TOKEN_CHUNKS = f"""l AS MATERIALIZED (SELECT doc_id, i, x, i // 20 + 1 AS page, i // 40 AS head, {_N('x')} AS nw FROM ({_LINES}) WHERE trim(x) <> ''),
+o AS MATERIALIZED (SELECT *, list_filter(string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y) <> '') AS parts FROM l WHERE {_T('nw')} > {chunking.MAX_TOKENS}),
+u AS MATERIALIZED (SELECT doc_id, i, k, parts[k] AS t, {_N('parts[k]')} AS w FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM o WHERE len(parts) > 1 AND list_max(list_transform(parts, lambda y: {_T(_N('y'))})) <= {chunking.MAX_TOKENS})),
+g AS (SELECT doc_id, i, k, t, w AS held, 1 AS p FROM u WHERE k = 1 UNION ALL SELECT u.doc_id, u.i, u.k, u.t, CASE WHEN {_T('g.held + u.w')} > {chunking.MAX_TOKENS} THEN u.w ELSE g.held + u.w END, CASE WHEN {_T('g.held + u.w')} > {chunking.MAX_TOKENS} THEN g.p + 1 ELSE g.p END FROM g JOIN u ON u.doc_id = g.doc_id AND u.i = g.i AND u.k = g.k + 1),
+v AS (SELECT doc_id, i, ws, unnest(range(1, (len(ws) + {_GROUP - 1}) // {_GROUP} + 1)) AS p FROM (SELECT doc_id, i, list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '') AS ws FROM o ANTI JOIN u USING (doc_id, i))),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS n, {_T(_N('t'))} AS tok FROM (
+ SELECT doc_id, i, 1 AS p, x AS t FROM l WHERE {_T('nw')} <= {chunking.MAX_TOKENS} UNION ALL SELECT doc_id, i, p, string_agg(t, ' ' ORDER BY k) FROM g GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, i, p, array_to_string(ws[(p - 1) * {_GROUP} + 1:p * {_GROUP}], ' ') FROM v) JOIN (SELECT doc_id, i, page, head FROM l) USING (doc_id, i)),
+r AS (SELECT doc_id, n, t, page, head, tok AS size, 1 AS chunk, 2 AS why FROM e WHERE n = 1 UNION ALL SELECT e.doc_id, e.n, e.t, e.page, e.head, CASE WHEN e.head <> r.head OR r.size + e.tok > {chunking.MAX_TOKENS} THEN e.tok ELSE r.size + e.tok END,
+ CASE WHEN e.head <> r.head OR r.size + e.tok > {chunking.MAX_TOKENS} THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN e.head <> r.head THEN 2 WHEN r.size + e.tok > {chunking.MAX_TOKENS} THEN 1 ELSE 0 END FROM r JOIN e ON e.doc_id = r.doc_id AND e.n = r.n + 1),
+c AS (SELECT doc_id, chunk, string_agg(t, chr(10) || chr(10) ORDER BY n) AS body, arg_min(why, n) AS why, min(page) AS lo, max(page) AS hi, '[' || string_agg(page::VARCHAR, ', ' ORDER BY n) || ']' AS pages FROM r GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN why = 1 THEN array_to_string(list_filter(string_split_regex(lag(body) OVER (PARTITION BY doc_id ORDER BY chunk), '\\s+'), lambda y: y <> '')[-{int(chunking.OVERLAP_TOKENS / 1.3)}:], ' ') ELSE '' END AS lead FROM c),
+f AS (SELECT *, CASE WHEN lead <> '' THEN regexp_replace(lead || chr(10) || chr(10) || body, '^\\s+|\\s+$', '', 'g') ELSE body END AS text FROM b)"""
+
+
+@query("chk2_token_chunks", f"WITH RECURSIVE {_TOKEN_CHUNKS} SELECT doc_id, (chunk - 1)::INT AS chunk_no, least({chunking.CLAMP_TOKENS}, greatest(1, {_T(_N('text'))}))::INT AS n_tokens, lo::INT AS page_first, hi::INT AS page_last, substr(sha256(text || pages), 1, 24) AS chunk_id FROM f")
 def chk2(spark, d):
     item = lambda x, i: F.struct(x.alias("text"), F.lit("TEXT").alias("modality"), (F.floor(i / 20) + 1).cast("int").alias("page_no"), F.array(F.concat(F.lit("s"), F.floor(i / 40).cast("string"))).alias("section_path"))
     items = F.filter(F.transform(F.split("text", "\n"), item), lambda x: F.trim(x["text"]) != "")
