@@ -14,6 +14,7 @@ from sparkloom.operators import relational as rel
 from sparkloom.operators import review as rv
 from sparkloom.operators import views as vw
 from sparkloom.plans.base import VERDICTS, query, table, verdicts
+from sparkloom.sources import files
 from sparkloom.sources.keyed import KeyedTable
 from sparkloom.storage import shared_folder
 
@@ -342,3 +343,30 @@ def snk9_table(spark, d):
     t.merge(later.filter((F.col("event_id") >= first) & (F.col("event_id") < second)), ["event_id", "event_type", "kind"])
     t.merge(later.filter(F.col("event_id") >= second), ["event_id", "event_type", "kind"])
     return t.read()
+
+
+@query("snk13_state_with_expiry", """WITH n AS (SELECT max(floor(epoch(ts))) AS now FROM events) SELECT user_id AS batch_id, event_type AS field, arg_max(value, ts) AS value FROM events, n WHERE now - floor(epoch(ts)) < 86400 GROUP BY 1, 2""")
+def snk13_state(spark, d):
+    """States put in two runs, and read a day before the last event expires: the last value of each field that is younger."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("batch_id"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    folder = f"{shared_folder(spark)}/sparkloom/state-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        files.put_state(e.filter(F.col("event_id") % 2 == part).drop("event_id"), folder)
+    now = e.agg(F.max("at")).first()[0]
+    return files.get_state(spark, folder, F.lit(now)).select("batch_id", "field", F.col("value").cast("double").alias("value"))
+
+
+@query("src17_read_report", f"WITH {VERDICTS} SELECT atom_id::VARCHAR AS req_id, module FROM v WHERE classification = 'GAP'")
+def src17_report(spark, d):
+    """Reports written as CSV files, and one of them read back."""
+    folder = f"{shared_folder(spark)}/sparkloom/reports-{uuid.uuid4().hex}"
+    rv.report_rows(verdicts(spark, d)).write.option("header", True).partitionBy("report").csv(folder)
+    return files.read_reports(spark, folder, "gaps").select("req_id", "module")
+
+
+@query("snk11_seeded_collection", "SELECT p_type AS id, max(p_partkey) AS v FROM part GROUP BY 1")
+def snk11_seed(spark, d):
+    """The last row of each id, written, counted and read back."""
+    folder = f"{shared_folder(spark)}/sparkloom/collection-{uuid.uuid4().hex}"
+    files.seed(table(spark, d, "part").selectExpr("p_type id", "p_partkey v"), folder)
+    return spark.read.parquet(folder).select("id", "v")

@@ -9,6 +9,7 @@ from sparkloom.functions import scores
 from sparkloom.functions import text as tx
 from sparkloom.functions import values as va
 from sparkloom.operators import containment, dedup
+from sparkloom.operators import pipelines as pipe
 from sparkloom.operators import retrieval as ret
 from sparkloom.operators import views as vw
 from sparkloom.operators.sparse_index import SparseIndex, exhaustive_sql
@@ -342,3 +343,18 @@ def pip2(spark, d):
     graded = kept.join(ret.quality(kept, history).select("query_id", "quality"), "query_id")
     got = graded.groupBy("query_id", "quality").agg(F.count("*").alias("kept"), F.max(scores.calibrated(F.col("score"), F.col("quality"), history)).alias("best"), F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x"))
     return got.select("query_id", "quality", "kept", F.round("best", 6).alias("best"), F.md5(F.array_join(F.transform("x", lambda e: e["id"].cast("string")), ",")).alias("provenance"))
+
+
+@query("mth2_cosine", f"SELECT a.vec_id AS id, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def mth2(spark, d):
+    v = vectors(spark, d)
+    both = v.select("id", "vec").join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other")), "id")
+    return both.select("id", F.round(scores.cosine(F.col("vec"), F.col("other")), 6).alias("cosine"))
+
+
+@query("srt17_kb_search", f"""SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label = 3) WHERE rank <= 10""")
+def srt17(spark, d):
+    """The knowledge base of one module; a query that is in it finds itself."""
+    v = vectors(spark, d)
+    found = pipe.kb_search(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), v.withColumnRenamed("label", "module"), 10, 3)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
