@@ -1,12 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a Column over the measures of a document. `order_rules` takes the first rows of the table
-(at most `sample_rows`, from as few partitions as hold them), measures every rule on them (its cost in
+Each rule is a Column over the measures of a document. `order_rules` draws rows by chance from the whole table
+(`sample_rows`, about; they stay in Spark), measures every rule on them (its cost in
 seconds, and the share it rejects) and sorts the rules by rejection per cost. `cascade` then
 evaluates them in that order inside one CASE expression, so a document that an early rule rejects
 never pays for the later ones. The order decides cost only: a document is kept exactly when no rule
-rejects it. Where all measures are wanted anyway (`quality_table`), the rules read them and none is
-taken twice.
+rejects it. Where some measures are wanted anyway (`quality_table`), the rules read them, and the other measures (words by
+frequency, kinds of lines) are only taken of documents that the base and the rules before let through.
 
 Defined results: a null or empty text has no words and is rejected by `too_few_words`; repeated
 rows each get their own result; an empty table gives an empty result; other columns never take
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, words
+from .common import SPACE_CHARS, discard, let, materialize, words
 
 SYMBOLS = r"[#*$%&|<>]"
 POS_BITS = 28
@@ -79,6 +79,24 @@ def n_repeat_words(w: Column) -> Column:
     return let(w, of).cast("long")
 
 
+def top_word(w: Column) -> Column:
+    """Occurrences of the most frequent word; 0 without words. Equal words are neighbours once sorted."""
+
+    def longest(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: ~F.coalesce(F.get(a, i) == F.get(a, i - 1), F.lit(False)))
+        return let(starts, lambda p: F.array_max(F.transform(p, lambda x, i: F.coalesce(F.get(p, i + 1), F.size(a)) - x)))
+
+    return F.when(F.size(w) > 0, let(F.sort_array(w), longest)).otherwise(0).cast("long")
+
+
+#: Lines that end in an ellipsis, and that begin with a bullet.
+ELLIPSIS_LINE, BULLET_LINE = r"(?m)(?:\.\.\.|\u2026)[ \t\r]*$", r"(?m)^[ \t]*[-*\u2022\u2023\u00B7] "
+
+
+def n_lines_like(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+
 class Measures:
     """The measures of a document, each an expression over its text and words unless a column already holds it."""
 
@@ -88,7 +106,8 @@ class Measures:
     def __getattr__(self, name: str) -> Column:
         made = {
             "n_words": lambda: F.size(self.words).cast("long"), "word_chars": lambda: word_chars(self.words), "n_symbols": lambda: n_symbols(self.text),
-            "lines": lambda: lines(self.text), "n_repeat_words": lambda: n_repeat_words(self.words),
+            "lines": lambda: lines(self.text), "n_repeat_words": lambda: n_repeat_words(self.words), "top_word": lambda: top_word(self.words),
+            "n_ellipsis_lines": lambda: n_lines_like(self.text, ELLIPSIS_LINE), "n_bullet_lines": lambda: n_lines_like(self.text, BULLET_LINE),
         }
         if name not in made:
             raise AttributeError(name)
@@ -118,34 +137,45 @@ def default_rules(min_words: int = 50, repeat_pct: int = 50, symbols_pct: int =
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 500) -> list[Rule]:
-    """The rules by rejection per cost, estimated on at most `sample_rows` rows (the only place that samples)."""
+def extra_rules(top_word_pct: int = 30, ellipsis_pct: int = 30, bullets_pct: int = 90) -> list[Rule]:
+    """Rules whose measures no column of `quality_table` holds."""
+    return [
+        Rule("one_word", lambda m: m.top_word * 100 > m.n_words * top_word_pct),
+        Rule("ellipsis_lines", lambda m: m.n_ellipsis_lines * 100 > m.lines["n"] * ellipsis_pct),
+        Rule("bullet_lines", lambda m: m.n_bullet_lines * 100 > m.lines["n"] * bullets_pct),
+    ]
+
+
+def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000) -> list[Rule]:
+    """The rules by rejection per cost, estimated on about `sample_rows` rows drawn by chance (the only place that samples). The rows are written to the shared folder; the driver gets counts and times."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(t.alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES).head(sample_rows)  # at most sample_rows * SAMPLE_BYTES come to the driver
-    if not rows:
-        return list(rules)
-    sample = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "t string").coalesce(1).select("t", words(F.col("t")).alias("w")).cache()
+    total = docs.count()
+    drawn = docs.select(t.alias("t")).filter((F.octet_length("t") <= SAMPLE_BYTES) & (F.rand(7) < min(1.0, sample_rows / max(1, total))))
+    held = materialize(drawn, "sample")
+    sample = held.coalesce(1).select("t", words(F.col("t")).alias("w")).cache()
     try:
-        sample.count()
+        n = sample.count()
         every = Measures(F.col("t"), F.col("w"))
 
         def measure(hit: Column) -> tuple[float, int]:
-            """The least time of three, and the rows hit."""
-            took = []
-            for _ in range(3):
-                began = time.perf_counter()
-                got = sample.agg(F.count_if(hit)).first()[0]
-                took.append(time.perf_counter() - began)
-            return min(took), got
-
+            """The time of a run after the one that compiles, and the rows hit."""
+            counted = sample.agg(F.count_if(hit))
+            counted.first()
+            began = time.perf_counter()
+            got = counted.first()[0]
+            return time.perf_counter() - began, got
+
+        if not n:
+            return list(rules)
         idle = measure(F.col("t").isNull())[0]
         rank = []
         for at, rule in enumerate(rules):
             took, got = measure(rule.rejects(every))
-            rank.append((-(got / len(rows)) / max(took - idle, 1e-3), at))
+            rank.append((-(got / n) / max(took - idle, 1e-3), at))
         return [rules[at] for _, at in sorted(rank)]
     finally:
         sample.unpersist()
+        discard(held)
 
 
 def cascade(rules: list[Rule], measures: Measures) -> Column:
@@ -156,7 +186,7 @@ def cascade(rules: list[Rule], measures: Measures) -> Column:
     return out
 
 
-def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = 500) -> DataFrame:
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = 1000) -> DataFrame:
     """The documents, with all their columns, that no rule rejects."""
     ordered = order_rules(docs, default_rules() if rules is None else rules, text, sample_rows)
     t, w, names = "__quality_text", "__quality_words", docs.columns
@@ -164,15 +194,15 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "tex
     return held.filter(cascade(ordered, Measures(F.col(t), F.col(w))).isNull()).select("row.*")
 
 
-def quality_table(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept for each document."""
-    ordered = order_rules(docs, default_rules() if rules is None else rules, "text", sample_rows)
+def quality_table(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
+    """doc_id, the base measures, base_failed and kept for each document. By default the rules are `default_rules` and `extra_rules`."""
+    ordered = order_rules(docs, [r for r in (default_rules() + extra_rules() if rules is None else rules) if r.name not in BASE], "text", sample_rows)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words(F.col("t")))
     taken, names = Measures(F.col("t"), F.col("w")), ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
     out = base.select("doc_id", "t", "w", *(getattr(taken, c).alias(c) for c in names))
     measures = Measures(F.col("t"), F.col("w"), {c: F.col(c) for c in names})
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    verdict = F.when(F.col("base_failed"), False).otherwise(cascade([r for r in ordered if r.name not in BASE], measures).isNull())
+    verdict = F.when(F.col("base_failed"), False).otherwise(cascade(ordered, measures).isNull())
     return out.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dups").alias("n_dup_lines"), "n_repeat_words", "base_failed", verdict.alias("kept"))
 
 
@@ -187,11 +217,13 @@ g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest([0, 1, 2]) AS k FROM g WHERE n > 1) GROUP BY r),
 l AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r, x),
 ln AS (SELECT r, sum(n) AS lines, sum(n - 1) AS dups FROM l GROUP BY r),
-m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+tw AS (SELECT r, max(n) AS top FROM (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r, x) GROUP BY r),
+m AS (SELECT doc_id, coalesce(top, 0) AS top, len(regexp_extract_all(t, '(?m)(?:\.\.\.|…)[ \t\r]*$')) AS dots, len(regexp_extract_all(t, '(?m)^[ \t]*[-*•‣·] ')) AS bullets, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0) AS lines
-  FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r) LEFT JOIN tw USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 100 > n_words * 10 OR n_dup_lines * 100 > lines * 50 OR word_chars > n_words * 15 OR word_chars < n_words * 2) AS kept
+  NOT (base_failed OR n_symbols * 100 > n_words * 10 OR n_dup_lines * 100 > lines * 50 OR word_chars > n_words * 15 OR word_chars < n_words * 2
+    OR top * 100 > n_words * 30 OR dots * 100 > lines * 30 OR bullets * 100 > lines * 90) AS kept
 FROM b
 """

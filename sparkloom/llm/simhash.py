@@ -1,6 +1,6 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A fingerprint is cut into `segments` equal segments on a ring. If two differ in at most `most` bits,
+A fingerprint is cut into `segments` equal segments on a ring; as many as the number of fingerprints asks for, so that keys stay long enough to tell them apart (`segments_for`). If two differ in at most `most` bits,
 there is a segment from which every chain of l consecutive segments differs in at most
 l * most / segments bits (rounded down). Chains whose budget is 0 are the join key; the budgets of
 the longer chains prune candidates before the full Hamming check.
@@ -67,18 +67,30 @@ def budgets(segments: int, most: int) -> list[int]:
     return [n * most // segments for n in range(1, segments + 1)]
 
 
-def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
+def key_bits(segments: int, most: int = 2) -> int:
+    """Bits of a join key: of the longest chain without a budget."""
+    return sum(1 for x in budgets(segments, most) if not x) * (64 // segments)
+
+
+def segments_for(fingerprints: int, most: int = 2, bucket: int = 64) -> int:
+    """The fewest segments, 8 at least, whose keys hold an eighth of `bucket` fingerprints each on average: 24 bits of key with 8, 28 with 16, 30 with 32, 31 with 64."""
+    return next((s for s in (8, 16, 32) if fingerprints <= bucket / 8 * (1 << key_bits(s, most))), 64)
+
+
+def links(fps: DataFrame, most: int = 2, segments: int | None = None, bucket: int = 64) -> DataFrame:
     """r, a, b: distinct fingerprints of one family (columns r, fp) that differ in 1 to `most` bits, or that are joined by a shared neighbour value."""
+    total = fps.count()
+    segments = segments or segments_for(total, most, bucket)
     if not 0 <= most <= 2 or 64 % segments:
         raise ValueError("most must be 0 to 2, and segments must divide 64")
     width, allowed = 64 // segments, budgets(segments, most)
     exact = sum(1 for x in allowed if not x)
     keys = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(_turned(F.col("fp"), i * width), 64 - exact * width).alias("key")) for i in range(segments)))
-    keyed = fps.select("r", "fp", F.inline(keys))
-    by = ["r", "i", "key"]
-    crowded = keyed.groupBy(*by).count().filter(F.col("count") > bucket).select(*by)
-    hot = keyed.join(crowded, by, "left_semi").select("r", "fp").distinct()
-    few = keyed.join(crowded, by, "left_anti").groupBy(*by).agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    keyed = fps.select("r", "fp", F.inline(keys)).select("r", "fp", F.struct("r", "i", "key").alias("k"))
+    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    met = spread_join(keyed, shared.withColumn("crowded", F.col("n") > bucket), "k", total * segments)  # rows of a crowded key stay where they are
+    hot = met.filter("crowded").select("r", "fp").distinct()
+    few = met.filter(~F.col("crowded")).groupBy("k").agg(F.collect_set("fp").alias("fps")).select("k.*", "fps").filter(F.size("fps") > 1)
 
     def chained(x: Column) -> Column:
         """x: the differing bits, turned so that the chain starts at the top."""
@@ -97,12 +109,12 @@ def links(fps: DataFrame, most: int = 2, segments: int = 8, bucket: int = 64) ->
 
     pairs = few.select("r", F.inline(F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
     around = hot.select("r", "fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64)))).alias("v"))
-    shared = around.groupBy("r", "v").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = shared.select("r", "a", F.explode("fps").alias("b")).filter("a <> b")
+    beside = around.groupBy("r", "v").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = beside.select("r", "a", F.explode("fps").alias("b")).filter("a <> b")
     return pairs.unionAll(stars) if most == 2 else pairs.unionAll(stars.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
 
 
-def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, most: int = 2, segments: int | None = None, bucket: int = 64) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable over links) of each row."""
     marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "values")
@@ -133,7 +145,7 @@ def alike(x: set, y: set, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def candidates(docs: DataFrame, shingle: int = 5, seed: int = 42, most: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
+def candidates(docs: DataFrame, shingle: int = 5, seed: int = 42, most: int = 2, segments: int | None = None, bucket: int = 64) -> DataFrame:
     """u < v: documents (doc_id long) that may be near copies by their fingerprints: each with the least of its fingerprint, and the least of two that are linked."""
     marked = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")), "values")

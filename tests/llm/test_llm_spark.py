@@ -169,14 +169,19 @@ def test_near_dedup_groups(docs):
     assert {i: r.component_id for i, r in by.items()} == {i: find(i) for i in fps}
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_links_cold_and_hot(spark, bucket):
-    """The way for crowded keys finds the same components as the pairs."""
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.key_bits(s) for s in (8, 16, 32, 64)] == [24, 28, 30, 31]
+    assert [simhash.segments_for(n) for n in (0, 10**8, 10**9, 5 * 10**9, 10**11)] == [8, 8, 16, 32, 64]
+
+
+@pytest.mark.parametrize(("bucket", "segments"), [(64, None), (2, None), (64, 16), (2, 32), (64, 64), (2, 16)])
+def test_links_cold_and_hot(spark, bucket, segments):
+    """The way for crowded keys finds the same components as the pairs, whatever the length of keys."""
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 20, np.int64)]
     fps = {b ^ int(sum(1 << int(k) for k in rng.choice(64, n, replace=False))) for b in base for n in (0, 1, 2, 3) for _ in range(6)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.links(spark.createDataFrame([(0, x) for x in signed], "r int, fp long"), bucket=bucket)
+    links = simhash.links(spark.createDataFrame([(0, x) for x in signed], "r int, fp long"), segments=segments, bucket=bucket)
     from sparkloom.llm.graph import components
 
     star = {r.a: r.b for r in components(links).collect()}
@@ -363,6 +368,38 @@ def test_quality_counts(docs):
     assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(i for i, r in by.items() if r.kept)
 
 
+def test_quality_extra_rules(spark):
+    """Words by frequency and kinds of lines, each against a plain count."""
+    plain = " ".join(f"w{i}" for i in range(60))
+    odd = {1: plain, 2: plain + " it" * 40, 3: plain.replace(" ", " \n", 50).replace("w3 ", "w3... "), 4: "\n".join(f"w{i} and{i}..." for i in range(40)), 5: "\n".join(f"- w{i} and{i} or{i} nor{i}" for i in range(40)), 6: "\n".join(f"* w{i} and{i} or{i} nor{i}" for i in range(36)) + "\nx y" * 4, 7: "", 8: None}
+    frame = spark.createDataFrame(list(odd.items()), "doc_id long, text string")
+    w, t = quality.words(F.col("text")), F.coalesce("text", F.lit(""))
+    m = quality.Measures(t, w)
+    got_ = {r.doc_id: (r.a, r.b, r.c) for r in frame.select("doc_id", m.top_word.alias("a"), m.n_ellipsis_lines.alias("b"), m.n_bullet_lines.alias("c")).collect()}
+    lines_ = {i: (x or "").split("\n") for i, x in odd.items()}
+    assert got_ == {i: (max(Counter(words(x)).values(), default=0), sum(y.rstrip(" \t\r").endswith("...") for y in lines_[i]), sum(re.match(r"[ \t]*[-*] ", y) is not None for y in lines_[i])) for i, x in odd.items()}
+    assert {r.doc_id for r in quality.quality_table(frame, quality.extra_rules()).collect() if r.kept} == {1, 3, 6}
+
+
+def test_quality_takes_further_measures_only_of_what_is_left(spark):
+    """A rule behind the base, or behind a rule that rejects, isn't evaluated."""
+    good = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(1, "too few"), (2, good + " #" * 30)], "doc_id long, text string")
+    trap = quality.Rule("trap", lambda m: F.raise_error(F.concat(F.lit("evaluated: "), m.text)).cast("boolean"))
+    base = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", quality.words(F.col("t")))
+    rules = [r for r in quality.default_rules() if r.name == "symbols"] + [trap]
+    known = base.select("doc_id", F.when(F.size("w") < 50, False).otherwise(quality.cascade(rules, quality.Measures(F.col("t"), F.col("w"))).isNull()).alias("kept"))
+    assert {r.doc_id: r.kept for r in known.collect()} == {1: False, 2: False}
+
+
+def test_quality_samples_the_whole_table(spark):
+    """Rules that reject rows at the table's end come first, too."""
+    rows = [(i, " ".join(f"w{k}" for k in range(60)) + (" #" * 40 if i >= 300 else "")) for i in range(600)]
+    ordered = quality.order_rules(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), quality.default_rules() + quality.extra_rules(), sample_rows=200)
+    assert ordered[0].name == "symbols"
+    assert len(quality.order_rules(spark.createDataFrame([], "doc_id long, text string"), quality.default_rules())) == 6
+
+
 @pytest.mark.parametrize(("chunk_bytes", "crowded", "bits"), [(2 << 20, 2000, 64), (900, 2000, 64), (2 << 20, 1, 64), (900, 1, 64), (900, 2000, 4), (900, 1, 4)])
 def test_substring_removal(docs, chunk_bytes, crowded, bits):
     """Also where all hashes have 4 bits, so that different windows meet, and where every anchor is crowded."""
