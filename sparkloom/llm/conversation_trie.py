@@ -20,6 +20,7 @@ has no root; columns other than the four never take part.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,8 @@ from .common import discard, materialize, spread_join, trimmed_steps, worker_sta
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Ids in a run, at most.
 RUN = 1 << 16
+#: Levels that are read side by side.
+LEVELS = 16
 
 
 def turn_key(role: Column, text: Column) -> Column:
@@ -167,10 +170,10 @@ def build(turns: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame, lis
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The rows of all parts. Many levels are written together, so that the plan of the result stays small."""
+    while len(parts) > LEVELS:
+        parts = [materialize(reduce(DataFrame.unionByName, parts[at : at + LEVELS]), "levels") for at in range(0, len(parts), LEVELS)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _rolled_up(levels: list[DataFrame], used: list[DataFrame]) -> DataFrame:

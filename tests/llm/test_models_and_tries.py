@@ -247,9 +247,9 @@ def brute_trie(rows):
 def conversations(seed, n):
     rng = random.Random(seed)
     rows = [(c, t, rng.choice(["user", "bot"]), rng.choice(["yes", "no", "é", ""])) for c in range(n) for t in range(rng.randrange(0, 14))]
-    long = [(t, "user", f"turn {t}") for t in range(40)]
+    long = [(t, "user", f"turn {t}") for t in range(22)]
     for c in range(500, 560):  # copies, and copies that end early
-        rows += [(c, *x) for x in long[: 40 if c % 3 else c % 40]]
+        rows += [(c, *x) for x in long[: 22 if c % 3 else c % 22]]
     return rows
 
 
