@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.retrieval import _unit
@@ -91,10 +91,16 @@ def greedy_by_index(rows: DataFrame, hard: float = 0.92, soft: float = 0.80) ->
     return greedy(rows, hard, soft, pairs=pairs)
 
 
-def deduplicate(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b", most: int = MATRIX_ROWS) -> DataFrame:
-    """id, owner, soft: blocks of up to `most` rows by `owners`, larger ones by `greedy`; a block of one row has no pairs (DED1)."""
-    sizes = rows.groupBy(block).agg((F.count("*") > most).alias("__large"))
-    marked = rows.join(sizes, block)
+def deduplicate(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b", most: int = MATRIX_ROWS, large: Column | None = None) -> DataFrame:
+    """id, owner, soft: blocks of up to `most` rows by `owners`, larger ones by `greedy`; a block of one row has no pairs (DED1).
+
+    large: of the block's value, where a caller says which blocks are large, so that the way of a block doesn't change as the table grows.
+    """
+    if large is None:
+        sizes = rows.groupBy(block).agg((F.count("*") > most).alias("__large"))
+        marked = rows.join(sizes, block)
+    else:
+        marked = rows.filter(F.col(block).isNotNull()).withColumn("__large", large)
     return owners(marked.filter(~F.col("__large")), hard, soft, block).unionByName(greedy(marked.filter("__large"), hard, soft, block))
 
 

@@ -1,5 +1,7 @@
 """Merges, dedup, PII, chunking, reports, streams."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,12 @@ def test_pii_sorts_out_only_texts_without_matches(spark):
 def test_scored_entities(spark):
     found = pii.detect_scored("Dr. Ada Byron, a@b.org, 123-45-6789, in Paris, DE89 3704 0044 0532 0130 00")
     assert [x[0] for x in found] == ["PERSON", "EMAIL_ADDRESS", "US_SSN", "LOCATION", "IBAN_CODE"] and pii.detect_scored(None) == [] and pii.detect_scored("in Paris", 0.5) == []
+
+
+def test_large_blocks_are_those_that_the_caller_names(spark):
+    """Both blocks have more rows than `most`. The chain 0 - 1 - 2: the owner of 2 is 1 by the matrix way, and nobody by the greedy way."""
+    turn = lambda i: [math.cos(i * 0.5), math.sin(i * 0.5)]
+    rows = [(100 * b + i, turn(i), b) for b in (1, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, b int")
+    got = {r.id: r.owner for r in dedup.deduplicate(df, hard=0.8, soft=0.7, most=2, large=F.col("b") == 2).collect()}
+    assert got == {100: None, 101: 100, 102: 101, 200: None, 201: 200, 202: None}
