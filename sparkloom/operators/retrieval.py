@@ -22,6 +22,28 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.where(n == 0, 1, n)
 
 
+def keep_best(s: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (a row for each query) cut to 2k columns at most that hold the k best; of equal scores the least ids."""
+    if s.shape[1] <= 2 * k:
+        return s, found
+    edge = -np.partition(-s, k - 1, 1)[:, k - 1 : k]
+    keep = min(s.shape[1], max(2 * k, int((s >= edge - 1e-9).sum(1).max())))  # more than 2k only where scores tie
+    pick = np.argpartition(-s, keep - 1, 1)[:, :keep] if keep < s.shape[1] else np.broadcast_to(np.arange(keep), s.shape)
+    s, found = np.take_along_axis(s, pick, 1), np.take_along_axis(found, pick, 1)
+    if keep > 2 * k:
+        order = np.lexsort((found, -np.round(s, 9)), axis=1)[:, :k]
+        s, found = np.take_along_axis(s, order, 1), np.take_along_axis(found, order, 1)
+    return s, found
+
+
+def best_of(top: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, id and score of the k best of each row, without those of -inf."""
+    order = np.lexsort((at, -np.round(top, 9)), axis=1)[:, :k]
+    top, at = np.take_along_axis(top, order, 1), np.take_along_axis(at, order, 1)
+    which, place = np.nonzero(np.isfinite(top))
+    return which, at[which, place], top[which, place]
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", base_id: str = "id", vector: str = "vec", same_part: str | None = None, exclude_self: bool = True, block: int = QUERY_BLOCK, tile: int = BASE_TILE) -> DataFrame:
     """query_id, id, score (cosine), rank: the k nearest of each query, exact; ties by id (SRT4, SRT15, JON9).
 
@@ -49,16 +71,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_
                 if exclude_self:
                     s[ids[:, None] == there[None, :]] = -np.inf
                 s, found = np.concatenate([top, s], 1), np.concatenate([at, np.broadcast_to(there, (len(ids), len(there)))], 1)
-                if s.shape[1] > 2 * k:  # more than k only where scores tie
-                    edge = -np.partition(-s, k - 1, 1)[:, k - 1 : k]
-                    keep = min(s.shape[1], max(2 * k, int((s >= edge - 1e-9).sum(1).max())))
-                    pick = np.argpartition(-s, keep - 1, 1)[:, :keep] if keep < s.shape[1] else np.broadcast_to(np.arange(keep), (len(ids), keep))
-                    s, found = np.take_along_axis(s, pick, 1), np.take_along_axis(found, pick, 1)
-                top, at = s, found
-            for i, qid in enumerate(ids.tolist()):
-                order = np.lexsort((at[i], -np.round(top[i], 9)))[:k]
-                order = order[np.isfinite(top[i][order])]
-                out.append((np.full(len(order), qid), at[i][order], top[i][order]))
+                top, at = keep_best(s, found, k)
+            which, best_ids, score = best_of(top, at, k)
+            out.append((ids[which], best_ids, score))
         return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "id", "score"), zip(*out))})
 
     found = q.groupBy("qb", "bt", *on).cogroup(b.groupBy("qb", "bt", *on)).applyInArrow(best, "query_id long, id long, score double")
