@@ -63,7 +63,7 @@ def sparse_hits(spark, d, k: int):
     """The stated queries' texts through the sparse index of all documents that have a vector."""
     texts = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
     words = tx.tokens(F.col("text"))
-    return SparseIndex.build(texts, "id", words).search(texts.filter("id % 100 = 0"), k, "id", words)
+    return SparseIndex.build(texts, "id", words).search_blocks(texts.filter("id % 100 = 0"), k, "id", words)
 
 
 @query("txt18_bm25_top10", f"WITH base_ AS (SELECT doc_id AS id, text FROM documents), asked_ AS (SELECT item_id AS query_id, text FROM benchmark), {exhaustive_sql('base_', 'asked_', 10, TOKENS)} SELECT query_id, id, rank, round(score, 6) AS score FROM sparse")
