@@ -12,6 +12,8 @@ from sparkloom.functions import scores
 
 #: Queries in a block and base rows in a tile that meet in one task, about; rows of a tile that are scored at a time.
 QUERY_BLOCK, BASE_TILE, SCORED = 2048, 100_000, 8192
+#: The same where every product is a row: a task holds a block's product with a tile, of 24 bytes a row.
+PRODUCT_BLOCK, PRODUCT_TILE = 512, 2048
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -81,8 +83,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def all_cosines(queries: DataFrame, base: DataFrame, query_id: str = "query_id", base_id: str = "id", vector: str = "vec", block: int = QUERY_BLOCK, tile: int = BASE_TILE) -> DataFrame:
-    """query_id, id, score: every stated query with every other row of the base (JON9). Blocks meet tiles and give their products; nothing is ranked. The result has queries * rows rows."""
+def all_cosines(queries: DataFrame, base: DataFrame, query_id: str = "query_id", base_id: str = "id", vector: str = "vec", block: int = PRODUCT_BLOCK, tile: int = PRODUCT_TILE) -> DataFrame:
+    """query_id, id, score: every stated query with every other row of the base (JON9). Blocks meet tiles and give their products, of about block * tile rows each; nothing is ranked. The result has queries * rows rows."""
     side = lambda df, id, name: df.filter(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias(name), F.col(vector).cast("array<float>").alias("v"))
     q, b = side(queries, query_id, "qid"), side(base, base_id, "bid")
     blocks, tiles = max(1, -(-q.count() // block)), max(1, -(-b.count() // tile))
@@ -91,13 +93,12 @@ def all_cosines(queries: DataFrame, base: DataFrame, query_id: str = "query_id",
     q, b = q.withColumn("qb", deal("qid", blocks)).withColumn("bt", spread(tiles)), b.withColumn("bt", deal("bid", tiles)).withColumn("qb", spread(blocks))
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            x, ids, y, there = _unit(left.column("v")), left.column("qid").to_numpy(), _unit(right.column("v")), right.column("bid").to_numpy()
-            for i, qid in enumerate(ids.tolist()):
-                other = there != qid
-                out.append((np.full(int(other.sum()), qid), there[other], y[other] @ x[i]))
-        return pa.table({c: np.concatenate(v) for c, v in zip(("query_id", "id", "score"), zip(*out))})
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        ids, there = left.column("qid").to_numpy(), right.column("bid").to_numpy()
+        s = _unit(left.column("v")) @ _unit(right.column("v")).T
+        i, j = np.nonzero(ids[:, None] != there[None, :])
+        return pa.table({"query_id": ids[i], "id": there[j], "score": s[i, j]})
 
     return q.groupBy("qb", "bt").cogroup(b.groupBy("qb", "bt")).applyInArrow(product, "query_id long, id long, score double")
 

@@ -175,3 +175,17 @@ def test_uuid5(spark):
     import uuid
 
     assert one(spark, tx.uuid5(uuid.NAMESPACE_URL.bytes, F.lit("abc")))[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "abc"))
+
+
+def test_all_cosines_bound_what_a_task_gives(spark):
+    """A block's product with a tile stays below 64 MB however many rows there are, and every pair of different ids is there once."""
+    import numpy as np
+
+    from sparkloom.operators import retrieval as ret
+
+    assert ret.PRODUCT_BLOCK * ret.PRODUCT_TILE * 24 < 1 << 26
+    v = np.random.default_rng(1).normal(size=(40, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "id long, vec array<double>")
+    got = {(r.query_id, r.id): r.score for r in ret.all_cosines(df.filter("id % 3 = 0").withColumnRenamed("id", "query_id"), df, block=5, tile=7).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert set(got) == {(i, j) for i in range(0, 40, 3) for j in range(40) if i != j} and all(abs(s - u[i] @ u[j]) < 1e-6 for (i, j), s in got.items())
