@@ -425,5 +425,5 @@ SELECT doc_id, min(pos)::INT AS pos, (count(*) + 1)::INT AS words, string_agg(a,
 def txt5_phrases(spark, d):
     """Collocations of all documents, and the phrases of each."""
     words = tx.tokens(F.col("text"))
-    found = written(phrases.collocations(phrases.pairs(docs(spark, d), "doc_id", words)), "collocations")
+    found = written(phrases.collocations_of(docs(spark, d), words), "collocations")
     return phrases.phrases(docs(spark, d), "doc_id", words, found)

@@ -82,3 +82,16 @@ def test_the_country_reaches_the_gate(spark):
     rows = spark.createDataFrame([(1, text), (2, text + " It differs.")], "doc_id long, text string")
     gate = lambda land: {r.doc_id: r.gate for r in pipelines.ingested(rows, "doc_id", "text", F.lit("Budgeting"), F.lit(land)).filter("pos = 1").collect()}
     assert gate("DE")[1] != gate("")[1]
+
+
+def test_pairs_are_counted_before_the_shuffle_and_phrases_found_where_a_text_is_read(spark):
+    docs = [*corpus(2), (200, None)]
+    frame = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    words = F.filter(F.split("text", " "), lambda x: x != "")
+    counts = {(r.a, r.b): r.n for r in phrases.counted(frame, words).filter("a IS NOT NULL AND b IS NOT NULL").collect()}
+    assert counts == Counter(p for _, w in docs for p in zip(w or [], (w or [])[1:]))
+    found = phrases.collocations_of(frame, words, 5, 10.83)
+    known, want = brute([(i, w or []) for i, w in docs], 5, 10.83)
+    told = phrases.phrases(frame, "doc_id", words, found)
+    assert {(r.a, r.b) for r in found.collect()} == known and sorted(map(tuple, told.collect())) == want
+    assert "Window" not in told._jdf.queryExecution().executedPlan().toString()
