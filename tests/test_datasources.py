@@ -100,3 +100,19 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="only added"):
         artifacts.register(spark)
         good.write.format("sparkloom_artifacts").mode("overwrite").save(root)
+
+
+def test_the_driver_learns_of_folders_and_lists_and_not_of_files(spark, tmp_path):
+    import pickle
+
+    root = str(tmp_path / "many")
+    artifacts.store(spark.range(600).selectExpr("'b' batch_id", "'T' artifact_type", "cast(cast(id % 500 as string) as binary) content").repartition(3), root)
+    got = artifacts.listing(spark, root)
+    assert got.count() == got.distinct().count() == 500 and not [x for x in os.listdir(root) if x != "b" and os.listdir(f"{root}/{x}")]
+    parts = artifacts.ArtifactReader({"path": root}, got.schema).partitions()
+    assert len(pickle.dumps(parts)) < 4000
+    writer = artifacts.ArtifactWriter({"path": root}, spark.createDataFrame([], "batch_id string, artifact_type string, content binary").schema)
+    told = writer.write(iter([{"batch_id": "c", "artifact_type": "T", "content": b"%d" % i} for i in range(300)]))
+    assert len(pickle.dumps(told)) < 1000
+    writer.commit([told, None])
+    assert artifacts.listing(spark, root, batch_id="c").count() == 300
