@@ -17,6 +17,8 @@ from sparkloom.storage import written
 TILE_ROWS = 4096
 #: Rows of a block from which the index way takes over.
 MATRIX_ROWS = 300
+#: Rows that a round of `greedy_by_index` decides among themselves, at first.
+CANDIDATES = 4096
 
 
 def similar_pairs(rows: DataFrame, above: float, block: str, tile: int = TILE_ROWS) -> DataFrame:
@@ -83,12 +85,33 @@ def greedy(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str =
     return out.select("id", "owner", (F.col("first").isNotNull() & (F.col("owner").isNull() | (F.col("first") < F.col("owner")))).alias("soft"))
 
 
-def greedy_by_index(rows: DataFrame, hard: float = 0.92, soft: float = 0.80) -> DataFrame:
-    """`greedy` over a whole table without blocks: the pairs come from a vector index, which leaves out lists that can't hold any (DED3)."""
+def greedy_by_index(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, first: int = CANDIDATES) -> DataFrame:
+    """`greedy` over a whole table without blocks: pairs come from a vector index, which leaves out lists that can't hold any (DED3).
+
+    Only pairs with a kept row decide anything, so only kept rows are asked for. A round decides the next rows that no kept row has absorbed, `first` of them in the
+    order of ids, among themselves; then those that stay are looked up in the index, and what they absorb is decided too. Where a round keeps most of
+    its rows, the next one takes twice as many, so rounds don't follow the number of rows.
+    """
     index = VectorIndex.build(rows)
-    pairs = written(index.pairs_above(rows, soft), "pairs")
+    vectors = written(rows.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).select(F.col("id").cast("long"), F.col("vec").cast("array<float>")), "vectors")
+    todo, found = vectors.select("id"), []
+    while True:
+        last = todo.orderBy("id").limit(first).agg(F.max("id"), F.count("*")).first()
+        if not last[1]:
+            break
+        some = todo.filter(F.col("id") <= last[0])
+        among = greedy(vectors.join(some, "id", "left_semi").withColumn("b", F.lit(0)), hard, soft, "b")
+        kept = written(among.filter("owner IS NULL").select("id"), "kept")
+        pairs = written(index.pairs_above(vectors.join(kept, "id", "left_semi"), soft), "pairs")
+        found.append(pairs)
+        gone = pairs.filter(F.col("s") > hard).select(F.col("j").alias("id")).distinct()
+        todo = written(todo.filter(F.col("id") > last[0]).join(gone, "id", "left_anti"), "todo")
+        first *= 1 + (2 * kept.count() > last[1])
     index.drop()
-    return greedy(rows, hard, soft, pairs=pairs)
+    if not found:
+        return rows.select("id", F.lit(None).cast("long").alias("owner"), F.lit(False).alias("soft"))
+    near = reduce(DataFrame.unionByName, found).groupBy(F.col("j").alias("id")).agg(F.min(F.when(F.col("s") > hard, F.col("i"))).alias("owner"), F.min(F.when(F.col("s") <= hard, F.col("i"))).alias("first"))
+    return rows.select("id").join(near, "id", "left").select("id", "owner", (F.col("first").isNotNull() & (F.col("owner").isNull() | (F.col("first") < F.col("owner")))).alias("soft"))
 
 
 def deduplicate(rows: DataFrame, hard: float = 0.92, soft: float = 0.80, block: str = "b", most: int = MATRIX_ROWS, large: Column | None = None) -> DataFrame:

@@ -27,6 +27,8 @@ from sparkloom.storage import shared_folder, written
 
 #: Rows in a tile at most, about; rows for each list; queries that meet a tile at a time, about.
 TILE, LIST_ROWS, QUERY_BLOCK = 20_000, 1_000, 20_000
+#: Pairs that a task of `pairs_above` may give, about, if all are above the threshold.
+PAIRS = 4_000_000
 #: Queries that recall is measured with.
 TRIAL = 200
 
@@ -145,11 +147,12 @@ class VectorIndex:
 
         return queries.mapInArrow(run, "list int, tile int, qid long, q binary")
 
-    def _met(self, asked: DataFrame, answer, schema: str) -> DataFrame:
-        """answer(queries of a tile, the tile) for every tile that is asked. Tiles with more than QUERY_BLOCK queries are copied for each block of these."""
+    def _met(self, asked: DataFrame, answer, schema: str, most: int | None = None) -> DataFrame:
+        """answer(queries of a tile, the tile) for every tile that is asked. Tiles with more than `most` (QUERY_BLOCK) queries are copied for each block of these."""
+        most = most or QUERY_BLOCK
         asked = written(asked, "asked")
-        many = asked.groupBy("list", "tile").count().filter(F.col("count") > QUERY_BLOCK)
-        hot = written(many.select("list", "tile", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("blocks")), "hot")
+        many = asked.groupBy("list", "tile").count().filter(F.col("count") > most)
+        hot = written(many.select("list", "tile", F.ceil(F.col("count") / most).cast("int").alias("blocks")), "hot")
         tiles, keys = self.table(), ["list", "tile"]
         if hot.isEmpty():
             return asked.groupBy(*keys).cogroup(tiles.groupBy(*keys)).applyInArrow(answer, schema)
@@ -198,7 +201,7 @@ class VectorIndex:
                     out.append((qid[at : at + 512][a], ids[b], s[a, b]))
             return pa.table({c: np.concatenate(v) for c, v in zip("ijs", zip(*out))})
 
-        return self._met(self._asked(_named(rows, id, vector), possible), answer, "i long, j long, s double")
+        return self._met(self._asked(_named(rows, id, vector), possible), answer, "i long, j long, s double", max(1, PAIRS // max(1, int(np.max(-(-self.sizes // self.tiles), initial=0)))))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

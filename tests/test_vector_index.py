@@ -103,3 +103,16 @@ def test_odd_vectors(spark):
     assert none.search(asked(v, 5), 3).collect() == []
     one = VectorIndex.build(v.filter("id = 7"))
     assert hits(one.search(asked(v, 5), 3)) == {(q, 7) for q in (0, 5, 10, 15, 100)}
+
+
+def test_greedy_by_index_asks_for_kept_rows_only(spark, monkeypatch):
+    """Copies and near copies, a few candidates a round: as over all pairs, while copies that were absorbed are not looked up."""
+    from sparkloom.operators import dedup
+
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(20, 4)), 8, 0) + np.tile(rng.normal(size=(8, 4)), (20, 1)) * 0.01
+    df = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(rng.permutation(v))] + [(1000, None)], "id long, vec array<double>")
+    asked, plain = [], VectorIndex.pairs_above
+    monkeypatch.setattr(VectorIndex, "pairs_above", lambda self, rows, above: asked.append(rows.count()) or plain(self, rows, above))
+    got = {r.id: (r.owner, r.soft) for r in dedup.greedy_by_index(df, 0.9, 0.6, first=16).collect()}
+    assert got == {r.id: (r.owner, r.soft) for r in dedup.greedy(df.withColumn("b", F.lit(0)), 0.9, 0.6).collect()} and sum(asked) <= 20
