@@ -31,7 +31,7 @@ SCHEMA = "batch_id string, artifact_type string, artifact_id string, size long,
 SUFFIX = {"TABLE_IMAGE": ".png", "TABLE_DATAFRAME": ".parquet", "FIGURE_IMAGE": ".png"}
 STAGING = "_staging"
 #: Partitions of a folder that is read, by the first digit of ids, while there are no more than FOLDERS folders; threads that move files, and files that they are given at a time.
-DIGITS, FOLDERS, MOVERS, MOVED = "0123456789abcdef", 1024, 16, 10_000
+DIGITS, FOLDERS, MOVERS, MOVED = "0123456789abcdef", 8, 16, 10_000
 
 
 @dataclass
