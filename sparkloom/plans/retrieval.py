@@ -70,7 +70,7 @@ def sparse_hits(spark, d, k: int):
 def txt18_top(spark, d):
     """All benchmark items against all documents."""
     words = tx.tokens(F.col("text"))
-    found = SparseIndex.build(table(spark, d, "documents"), "doc_id", words).search_blocks(table(spark, d, "benchmark"), 10, "item_id", words)
+    found = SparseIndex.build(table(spark, d, "documents"), "doc_id", words).search_sent(table(spark, d, "benchmark"), 10, "item_id", words)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 

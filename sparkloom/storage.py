@@ -20,9 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written and read back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """`df`, written and read back: cuts lineage and survives lost executors. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
